@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Centroids of each half; the square of it is the number of cells.
-CENTROIDS = 48
+CENTROIDS = 128
 #: Vectors that the centroids are fitted on, at most.
 FIT_ROWS = 8192
 #: Cells are visited in order until they hold this share of all different vectors.
-SHARE = 0.2
+SHARE = 0.4
 #: Vectors and queries that meet in one task's matrix product.
 BIN_ROWS, QUERY_ROWS = 8192, 4096
 

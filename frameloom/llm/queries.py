@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from frameloom.llm.common import table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -15,12 +22,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.toxicity import fit, score
 
@@ -34,7 +54,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_warc, op9_toxicity, op10_ann)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_bpe, op4_quality, op5_warc, op8_licenses, op9_toxicity, op10_ann)}
+
+def _licenses() -> str:
+    from frameloom.llm.licenses import oracle
+
+    return oracle()
+
 
 ORACLES = {
     "op5_warc": r"""
@@ -48,4 +74,5 @@ ORACLES = {
           CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM d JOIN k USING (h)
     """,
+    "op8_licenses": _licenses(),
 }
