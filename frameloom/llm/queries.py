@@ -35,6 +35,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.licenses import scan
 
@@ -54,7 +60,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_bpe, op4_quality, op5_warc, op8_licenses, op9_toxicity, op10_ann)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op8_licenses, op9_toxicity, op10_ann)}
 
 def _licenses() -> str:
     from frameloom.llm.licenses import oracle
