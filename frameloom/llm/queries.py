@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from frameloom.llm.common import table
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.suffix import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.language import fit, identify
 
@@ -60,7 +66,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op8_licenses, op9_toxicity, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op8_licenses, op9_toxicity, op10_ann)}
 
 def _licenses() -> str:
     from frameloom.llm.licenses import oracle
