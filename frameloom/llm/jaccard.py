@@ -158,8 +158,8 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
         common = points.common(p, alive)
         union = size + points.size[p] - common
         near = alive[lawful & (100 * common >= percent * union) & (alive != p)]
-        links += [(p, int(x)) for x in near]
-        group = np.unique(label[np.append(near, p)])
+        group, at = np.unique(label[np.append(p, near)], return_index=True)
+        links += [(p, int(near[k - 1])) for k, g in zip(at, group) if k and g != label[p]]  # one per component that is met
         if len(group) > 1:
             label[np.isin(label, group)] = group[0]
         distance = 1 - common / union
