@@ -268,7 +268,8 @@ def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFra
     edges = signed.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "a long, b long")
     blocks = components(edges)
     members = written(blocks.join(reps, blocks["node"] == reps["key"]).select(F.col("component").alias("region"), "rep"), "members")
-    points = members.join(texts.where("doc_id is not null"), members["rep"] == texts["doc_id"]).select("region", "rep", "text").mapInArrow(_tokens, "region long, rep long, tokens binary")
+    # merged at every size: a side that grows with the documents isn't to be broadcast when it happens to be small
+    points = members.hint("merge").join(texts.where("doc_id is not null"), members["rep"] == texts["doc_id"]).select("region", "rep", "text").mapInArrow(_tokens, "region long, rep long, tokens binary")
     points = written(points.where(F.octet_length("tokens") > 0), "points")
     regions, links = _voronoi(points, limit)
     found = regions.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_join_all, "a long, b long")
