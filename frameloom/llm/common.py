@@ -82,16 +82,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[places[0] : places[-1]], places - places[0]
 
 
+def smallest(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The n rows with the smallest hash of doc_id, so that a sample doesn't depend on partitioning."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
+    """(text, other columns of ids) of a bounded table of ids, which is broadcast; longer texts don't take part."""
+    return docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, per_class: int, max_chars: int = 20_000) -> list[tuple[str, int]]:
     """At most per_class (text, label) rows of either class from the folds that may be learnt from.
 
-    The rows with the smallest hash of doc_id are taken, so the sample does not depend on partitioning. Longer texts than
-    max_chars are not taken for training (scoring has no such bound), which bounds what reaches the driver.
+    Ids are chosen before texts are touched. Longer texts than max_chars are not taken for training (scoring has no such
+    bound), which bounds what reaches the driver.
     """
-    keyed = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != held)).select(F.col("doc_id"), F.col(label).cast("int").alias("_y"))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.length("text") > 0))
-    rows = []
-    for y in (0, 1):
-        chosen = texts.join(keyed.where(F.col("_y") == y).distinct(), "doc_id")
-        rows += [(r[0], y) for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).select("text").collect()]
-    return rows
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != held)).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
+    lengths = docs.where(F.length("text").between(1, max_chars)).select("doc_id").distinct()
+    known = known.join(lengths, "doc_id", "left_semi")
+    ids = smallest(known.where("_y = 0"), per_class).unionByName(smallest(known.where("_y = 1"), per_class))
+    return sorted(((r["text"], r["_y"]) for r in texts_of(docs, ids, max_chars).collect()), key=lambda x: x[1])
