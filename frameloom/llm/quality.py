@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import fold, slices, utf8
+from frameloom.llm.common import fold, slices, smallest, texts_of, utf8
 from frameloom.llm.grams import spaced, word_hashes, words
 
 PARTS, HELD = 5, 0
@@ -107,11 +107,10 @@ def train(positive: list[str], unlabelled: list[str], prior: float | None = None
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trusted positives: rows with quality 1 outside the held-out fold. Unlabelled: any text outside it. Both are bounded
     samples, of smallest id hash; no label 0 is read."""
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, MAX_CHARS) & (fold("doc_id", PARTS) != HELD))
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("text"))
-    positive = [r[0] for r in texts.join(trusted, "doc_id", "left_semi").orderBy(*order).limit(POSITIVES).select("text").collect()]
-    return train(positive, [r[0] for r in texts.orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), *order).limit(UNLABELLED).select("text").collect()])
+    ids = docs.where(F.length("text").between(1, MAX_CHARS) & (fold("doc_id", PARTS) != HELD)).select("doc_id").distinct()
+    trusted = smallest(ids.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), POSITIVES)
+    positive, unlabelled = (sorted(r["text"] for r in texts_of(docs, x, MAX_CHARS).collect()) for x in (trusted, smallest(ids, UNLABELLED, 1)))
+    return train(positive, unlabelled)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
