@@ -113,10 +113,11 @@ TAGGED = "bucket long, doc long, blob binary, text binary"
 
 
 def _records(buckets: int):
-    """Per slice and bucket a row of records; runs that repeat one of the slice as a whole leave as spans (bucket -1) at once."""
+    """Per slice and bucket a row of records; runs that repeat one of the slice as a whole leave as spans
+    (negative bucket) at once."""
 
     def go(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=3 << 19):
             data, places = utf8(part.column(1))
             doc, start, size, key, content, again = runs(data, places)
             r = np.zeros(len(doc), RECORD)
@@ -125,10 +126,10 @@ def _records(buckets: int):
                 r[name] = values
             r, first = _first_of(r)
             later = _later(r, first)
-            rows = [(-1, d, b, None) for d, b in _spans(r["doc"][later], r["start"][later], r["size"][later])]
+            rows = [(-1 - d % buckets, d, b, None) for d, b in _spans(r["doc"][later], r["start"][later], r["size"][later])]
             r = r[np.unique(first)]
             bucket = ((r["key"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((r["start"], r["doc"], bucket))
             r, bucket = r[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             # columns, not rows, as they shrink better
@@ -166,8 +167,11 @@ def _buckets(batches, *columns):
 def _decide(batches):
     """Per bucket: spans of runs that repeat an earlier run as a whole, and requests (bucket as it is) for the bytes of the
     first of each kind where a minimizer has several kinds or a run may repeat itself."""
-    for bucket, blobs in _buckets(batches, 2):
-        r, first = _first_of(np.concatenate([_unpack(b) for (b,) in blobs]))
+    for bucket, blobs in _buckets(batches, 2, 1):
+        if bucket < 0:
+            yield _batch([(-1, d, b, None) for b, d in blobs], *_TAGGED)
+            continue
+        r, first = _first_of(np.concatenate([_unpack(b) for b, _ in blobs]))
         later = _later(r, first)
         rows = [(-1, d, b, None) for d, b in _spans(r["doc"][later], r["start"][later], r["size"][later])]
         kinds = r[np.unique(first)]
@@ -407,13 +411,13 @@ def removed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    records = written(texts.mapInArrow(_records(4 * parts), TAGGED), "runs")
-    asked = records.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide, TAGGED)
+    records = texts.mapInArrow(_records(4 * parts), TAGGED)
+    asked = records.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide, TAGGED)
     asked = written(asked, "requests")
     grouped = asked.where("bucket >= 0").groupBy("doc").agg(F.collect_list(F.struct("bucket", "blob")).alias("asked"))  # of one document
     fetched = texts.join(grouped, texts["doc_id"] == grouped["doc"]).select("doc_id", "text", "asked").mapInArrow(_fetch, TAGGED)
     merged = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, TAGGED)
-    spans = records.where("bucket < 0").unionByName(asked.where("bucket < 0")).unionByName(merged)
+    spans = asked.where("bucket < 0").unionByName(merged)
     return spans.groupBy("doc").agg(F.collect_list("blob").alias("blobs")).withColumnRenamed("doc", "doc_id")
 
 
