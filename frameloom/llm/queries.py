@@ -47,6 +47,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameloom.llm.licenses import scan
 
@@ -66,7 +72,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op8_licenses, op9_toxicity, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op7_decontamination, op8_licenses, op9_toxicity, op10_ann)}
 
 def _licenses() -> str:
     from frameloom.llm.licenses import oracle
