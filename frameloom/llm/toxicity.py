@@ -18,6 +18,8 @@ LEAST_TEXTS, RARE = 4, 120
 #: Share of each parameter that a step takes back, by the step's rate.
 DECAY = 0.1
 PER_CLASS = 800
+#: Characters of a training text at most; texts are scored whole.
+MAX_CHARS = 6000
 PARTS, HELD = 5, 0
 
 
@@ -164,7 +166,7 @@ def train(sample: list[tuple[str, int]], steps: int = 70, rate: float = 0.1, see
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn from at most per_class rows of either class, of the folds other than HELD."""
-    return train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class))
+    return train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, MAX_CHARS))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
