@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import SLICE_BYTES, slices, utf8
+from frameloom.llm.common import slices, utf8
 from frameloom.llm.grams import WORD, mix, spaced
 
 #: Bytes of a q-gram, edits per byte of a passage, and bytes of a passage: longer items are searched by passages of this size.
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def go(batches, shared=shared):
             index = Index(shared.value)
-            for part in slices(batches, limit=SLICE_BYTES // 2):
+            for part in slices(batches):
                 found = index.search(*utf8(part.column(1)))
                 if found:
                     rows = list(zip(*found))
@@ -181,7 +181,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def go(batches, shared=shared):
             index = Index(shared.value)
-            for part in slices(batches, place, SLICE_BYTES // 2):
+            for part in slices(batches, place):
                 stay = np.ones(part.num_rows, bool)
                 stay[[x[0] for x in index.search(*utf8(part.column(place)))]] = False
                 yield part.filter(pa.array(stay))

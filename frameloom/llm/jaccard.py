@@ -60,7 +60,7 @@ def _sign(buckets: int):
     """Per slice and bucket one row: point keys, how many signatures each has there, and the signatures, five bytes each."""
 
     def run(batches):
-        for part in slices(batches, limit=8 << 20):
+        for part in slices(batches, limit=4 << 20):
             points = {_set_id(s): s for s in shingle_sets(part.column(1)) if len(s) > 3}
             if not points:
                 continue
