@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frameloom.llm.common import shuffle_parts
+
 #: Centroids of each half; the square of it is the number of cells.
 CENTROIDS = 128
 #: Vectors that the centroids are fitted on, at most.
@@ -144,7 +146,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
             salt = np.array([x[0] for x in pdf["ids"]], np.int64) % count[cell] if len(pdf) else cell
             yield pdf.assign(bin=first[cell] + salt)
 
-    queries = rows.where(F.col("vec_id") % every == 0).mapInPandas(visit, "bin long, query_id long, vector binary, cells binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    queries = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), "vec_id").mapInPandas(visit, "bin long, query_id long, vector binary, cells binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     dealt = index.mapInPandas(deal, "vector binary, cell long, ids array<long>, bin long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     n_cells = len(held)
 
