@@ -109,7 +109,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
     held = np.zeros(len(left) * len(right), np.int64)
     for cell, n in index.groupBy("cell").count().collect():
         held[cell] = n
-    need = share * held.sum()
+    need = max(share * held.sum(), k + 2)  # as few as that are all looked at
     # cells fill bins in turn; a cell of more than BIN_ROWS gets bins of its own
     first, count, used, fill = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, 0
     for cell in np.flatnonzero(held):

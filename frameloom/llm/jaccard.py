@@ -29,6 +29,8 @@ PERCENT = 80
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a region that one task joins at most, and pivots of a split.
 REGION_SHINGLES, PIVOTS = 4_000_000, 16
+#: Splits in a row, after which regions that are still too large are joined by pairs of blocks too.
+LEVELS = 4
 #: Sets of up to SMALL elements use pairs of neighbours, sets of more than LARGE triples, those between both.
 LARGE, SMALL = 32, 40
 _ID = np.uint64(0x9E3779B97F4A7C15)
@@ -242,14 +244,14 @@ def _voronoi(points: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None
         found = went.where("part < 0").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         links = found if links is None else links.unionByName(found)
         split = went.where("part >= 0")
-        grown = split.groupBy("region", "part").agg(F.sum(F.octet_length("tokens") / 8).alias("now")).join(big.select("region", "total"), "region")
-        split = split.join(grown, ["region", "part"]).withColumn("next", F.xxhash64("region", "part", F.lit(level)))
-        # a region that hardly shrank is dealt into blocks, and every pair of its blocks becomes a region
-        dense = split.where((F.col("now") > limit) & (F.col("now") > 0.8 * F.col("total"))).withColumn("blocks", F.ceil(2 * F.col("now") / limit).cast("long")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        pairs = dense.select("next", "rep", "tokens", "block", other).select(F.xxhash64("next", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "rep", "tokens")
-        ready = ready.unionByName(pairs)
-        points = written(split.where((F.col("now") <= limit) | (F.col("now") <= 0.8 * F.col("total"))).select(F.col("next").alias("region"), "rep", "tokens"), "regions")
+        grown = split.groupBy("region", "part").agg(F.sum(F.octet_length("tokens") / 8).alias("now")).groupBy("region").agg(F.max("now").alias("now")).join(big, "region")
+        # a region of which a part hardly shrank is dealt into blocks instead, and every pair of its blocks becomes a region
+        dense = grown.where((F.col("now") > limit) & ((F.col("now") > 0.8 * F.col("total")) | F.lit(level + 1 >= LEVELS))).select("region", F.ceil(2 * F.col("total") / limit).cast("long").alias("blocks"))
+        dense = written(dense, "dense")
+        blocked = points.join(dense, "region").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")))
+        pairs = blocked.select("region", "rep", "tokens", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        ready = ready.unionByName(pairs.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "rep", "tokens"))
+        points = written(split.join(dense, "region", "left_anti").select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "rep", "tokens"), "regions")
         level += 1
 
 
