@@ -39,8 +39,7 @@ def can_id(token: Column) -> Column:
 
 def direction_index(t: Column) -> Column:
     """Place (from 0) of the first Rx or Tx, or null."""
-    at = F.array_position(F.transform(t, lambda x: F.lower(x).isin("rx", "tx")), True)
-    return F.when(at > 0, (at - 1).cast("int"))
+    return F.least(index_of(t, "rx"), index_of(t, "tx"))
 
 
 def direction_at(t: Column, index: Column) -> Column:

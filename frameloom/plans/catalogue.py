@@ -93,8 +93,8 @@ def _text(name: str, template: str, seconds: str, channel: str, dialect: str | N
         pieces = [parts[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
         lines = rows.select("row_idx", F.concat(*pieces).alias("line"))
         if dialect is None:
-            return lines.select("row_idx", detect(F.col("line")).alias("x")).select("row_idx", "x.dialect", "x.frame.timestamp", "x.frame.can_id", "x.frame.direction", "x.frame.data_len", F.hex("x.frame.data").alias("data_hex"), "x.frame.channel")
-        return lines.select("row_idx", parse(F.col("line"), dialect).alias("x")).select("row_idx", "x.timestamp", "x.can_id", "x.direction", "x.data_len", F.hex("x.data").alias("data_hex"), "x.channel")
+            return detect(lines, F.col("line"), "x").select("row_idx", "x.dialect", "x.frame.timestamp", "x.frame.can_id", "x.frame.direction", "x.frame.data_len", F.hex("x.frame.data").alias("data_hex"), "x.frame.channel")
+        return parse(lines, F.col("line"), dialect, "x").select("row_idx", "x.timestamp", "x.can_id", "x.direction", "x.data_len", F.hex("x.data").alias("data_hex"), "x.channel")
 
     shown = f"{name[6:].upper()!r} AS dialect, " if dialect is None else ""
     _add(name, f"""WITH {_BASE} SELECT row_idx, {shown}{seconds} AS "timestamp", can_id, direction, data_len, data_hex, {channel} AS channel FROM f WHERE {where}""", run)
@@ -114,7 +114,7 @@ _text("parse_cancmd_t3", "{MS} 4 {I} 2 {B} {D} CANFD 1", "((us // 1000)::DOUBLE
 
 def _detected(s: SparkSession, d: str) -> DataFrame:
     lines = base(s, d).select("row_idx", F.concat(F.format_string("%d.%06d", F.floor(F.col("us") / 1000000), F.col("us") % 1000000), F.when(F.col("row_idx") % 3 == 0, " CANFD 1 ").otherwise(" CAN 1 "), L.direction_name(F.col("direction")), F.lit(" "), F.hex("can_id"), F.when(F.col("row_idx") % 3 == 0, " M 1 0 2 2 ").otherwise(" M 2 "), L.spaced_hex(F.col("data"))).alias("line"))
-    return lines.select("row_idx", detect(F.col("line")).alias("x")).groupBy("x.dialect").agg(F.count("*").alias("n"), F.sum("x.frame.can_id").alias("ids"))
+    return detect(lines, F.col("line"), "x").groupBy("x.dialect").agg(F.count("*").alias("n"), F.sum("x.frame.can_id").alias("ids"))
 
 
 _add("parse_detect", f"WITH {_BASE} SELECT CASE WHEN row_idx % 3 = 0 THEN 'CANOE' ELSE 'FILTER' END AS dialect, count(*) AS n, sum(can_id)::BIGINT AS ids FROM f GROUP BY 1", _detected)

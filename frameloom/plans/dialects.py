@@ -1,68 +1,99 @@
-"""The eight text dialects as nullable structs of columns, and their detection."""
+"""The eight text dialects as nullable structs of columns, and their detection.
+
+Whatever several fields or dialects look up in a line (its tokens, the places of direction and length) is a column of an earlier
+projection, so that it is computed once a line and plans stay small.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions import lexer as L
 
 
+class Line(NamedTuple):
+    """A line and the places (from 0) in it: of the direction, of CANFD, and of the lengths that dialects search for."""
+
+    text: Column
+    tokens: Column
+    way: Column
+    fd: Column
+    after1: Column
+    after2: Column
+    from3: Column
+    digits: Column
+
+
+_LINE = "_line_{}"
+
+
+def prepared(df: DataFrame, line: Column) -> tuple[DataFrame, Line]:
+    """df with the columns of a Line added; those a plan doesn't use are pruned."""
+    c = Line(*[F.col(_LINE.format(f)) for f in Line._fields])
+    stages = [
+        {"text": F.regexp_replace(line, r"[\r\n]+$", "")},
+        {"tokens": L.tokens(c.text)},
+        {"way": L.direction_index(c.tokens), "fd": L.index_of(c.tokens, "CANFD")},
+        {"after1": L.length_index(c.tokens, c.way + 1), "after2": L.length_index(c.tokens, c.way + 2), "from3": L.length_index(c.tokens, F.lit(3)), "digits": L.digits_index(c.tokens, c.way + 1)},
+    ]
+    for stage in stages:
+        df = df.withColumns({_LINE.format(k): v for k, v in stage.items()})
+    return df, c
+
+
 def _frame(good: Column, timestamp: Column, can_id: Column, direction: Column, n: Column, data: Column, channel: Column) -> Column:
     fields = F.struct(timestamp.alias("timestamp"), can_id.alias("can_id"), direction.cast("int").alias("direction"), n.cast("int").alias("data_len"), data.alias("data"), channel.alias("channel"))
     complete = good & timestamp.isNotNull() & can_id.isNotNull() & direction.isNotNull() & data.isNotNull() & L.valid_length(n)
     return F.when(F.coalesce(complete, F.lit(False)), fields)
 
 
-def _searched(t: Column, least: int, timestamp: Column, id_step: int, length_step: int, channel: Column | None, good: Column | None = None) -> Column:
-    """Dialects that look for the direction and then for a length: steps are counted from the direction."""
-    at = L.direction_index(t)
-    place = L.length_index(t, at + length_step)
+def _searched(x: Line, least: int, timestamp: Column, id_step: int, place: Column, channel: Column | None, good: Column | None = None) -> Column:
+    """Dialects that look for the direction and then for a length; the step to the identifier is counted from the direction."""
+    t = x.tokens
     n = F.get(t, place).try_cast("int")
     ok = F.size(t) >= least
-    return _frame(ok if good is None else ok & good, timestamp, L.can_id(F.get(t, at + id_step)), L.direction_at(t, at), n, L.payload(t, place, n), F.lit("") if channel is None else channel)
+    return _frame(ok if good is None else ok & good, timestamp, L.can_id(F.get(t, x.way + id_step)), L.direction_at(t, x.way), n, L.payload(t, place, n), F.lit("") if channel is None else channel)
 
 
-def canoe(line: Column) -> Column:
-    t = L.tokens(line)
-    fd = L.index_of(t, "CANFD")
-    return _searched(t, 8, L.decimal(F.get(t, F.lit(0))), 1, 2, L.channel(F.get(t, fd + 1)), fd.isNotNull() & (fd + 1 < F.size(t)))
+def canoe(x: Line) -> Column:
+    t, fd = x.tokens, x.fd
+    return _searched(x, 8, L.decimal(F.get(t, F.lit(0))), 1, x.after2, L.channel(F.get(t, fd + 1)), fd.isNotNull() & (fd + 1 < F.size(t)))
 
 
-def canoe_full(line: Column) -> Column:
-    t = L.tokens(line)
-    fd = L.index_of(t, "CANFD")
-    return _searched(t, 10, L.decimal(F.get(t, F.lit(2))), -1, 1, L.channel(F.get(t, fd + 1)), F.get(t, F.lit(0)).contains("-") & fd.isNotNull() & (fd + 1 < F.size(t)) & (L.direction_index(t) >= 1))
+def canoe_full(x: Line) -> Column:
+    t, fd = x.tokens, x.fd
+    return _searched(x, 10, L.decimal(F.get(t, F.lit(2))), -1, x.after1, L.channel(F.get(t, fd + 1)), F.get(t, F.lit(0)).contains("-") & fd.isNotNull() & (fd + 1 < F.size(t)) & (x.way >= 1))
 
 
-def canoe_compact(line: Column) -> Column:
-    t = L.tokens(line)
+def canoe_compact(x: Line) -> Column:
+    t = x.tokens
     n = L.unsigned(F.get(t, F.lit(5))).cast("int")
     return _frame((F.size(t) >= 7) & (F.lower(F.get(t, F.lit(4))) == "d"), L.decimal(F.get(t, F.lit(0))), L.can_id(F.get(t, F.lit(2))), L.direction_at(t, F.lit(3)), n, F.when(L.valid_length(n), L.payload(t, F.lit(5), n)), L.channel(F.get(t, F.lit(1))))
 
 
-def cancmd(line: Column) -> Column:
-    t = L.tokens(line)
-    return _searched(t, 10, L.decimal(F.get(t, F.lit(2))), -1, 1, None, F.get(t, F.lit(0)).contains("-") & (L.direction_index(t) >= 1))
+def cancmd(x: Line) -> Column:
+    t = x.tokens
+    return _searched(x, 10, L.decimal(F.get(t, F.lit(2))), -1, x.after1, None, F.get(t, F.lit(0)).contains("-") & (x.way >= 1))
 
 
-def filtered(line: Column) -> Column:
-    t = L.tokens(line)
-    return _searched(t, 7, L.decimal(F.get(t, F.lit(0))), 1, 2, None)
+def filtered(x: Line) -> Column:
+    t = x.tokens
+    return _searched(x, 7, L.decimal(F.get(t, F.lit(0))), 1, x.after2, None)
 
 
-def cansuke(line: Column) -> Column:
-    t = L.tokens(line)
-    at = L.direction_index(t)
-    place = L.digits_index(t, at + 1)
+def cansuke(x: Line) -> Column:
+    t = x.tokens
+    at, place = x.way, x.digits
     n = L.unsigned(F.get(t, place)).cast("int")
     return _frame((F.size(t) >= 6) & (at >= 1), L.decimal(F.get(t, F.lit(0))), L.can_id(F.get(t, at - 1)), L.direction_at(t, at), n, F.when(L.valid_length(n), L.payload(t, place, n)), F.lit(""))
 
 
-def cancmd_tab(line: Column) -> Column:
-    c = L.tab_columns(line)
+def cancmd_tab(x: Line) -> Column:
+    c = L.tab_columns(x.text)
     clock, code = F.get(c, F.lit(0)), F.get(c, F.lit(4))
     timestamp = F.when(clock.rlike("^[0-9]*$"), F.when(clock == "", 0.0).otherwise(clock.try_cast("double") / 1000.0)).otherwise(L.decimal(clock))
     letters = F.map_from_arrays(F.array(*[F.lit(x) for x in "ABCDEF"]), F.array(*[F.lit(x) for x in (16, 20, 24, 32, 48, 64)]))
@@ -77,22 +108,21 @@ def cancmd_tab(line: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), fields)
 
 
-def cancmd_clock(line: Column) -> Column:
-    t = L.tokens(line)
-    at = L.direction_index(t)
-    place = L.length_index(t, F.lit(3))
+def cancmd_clock(x: Line) -> Column:
+    t = x.tokens
+    at, place = x.way, x.from3
     n = F.get(t, place).try_cast("int")
     return _frame((F.size(t) >= 6) & (place < at), L.unsigned(F.get(t, F.lit(0))) * 0.001, L.can_id(F.get(t, F.lit(2))), L.direction_at(t, at), n, L.payload(t, place, n), L.channel(F.get(t, F.lit(1))))
 
 
 #: In the order of detection.
-DIALECTS: dict[str, Callable[[Column], Column]] = {
+DIALECTS: dict[str, Callable[[Line], Column]] = {
     "CANCMD_T2": cancmd_tab, "CANOE": canoe, "CANOE_FULL": canoe_full, "CANOE_CMP": canoe_compact,
     "CANCMD": cancmd, "FILTER": filtered, "CANSUKE": cansuke, "CANCMD_T3": cancmd_clock,
 }
 
 
-def register(name: str, parser: Callable[[Column], Column]) -> None:
+def register(name: str, parser: Callable[[Line], Column]) -> None:
     """Add a dialect of one's own, tried after the others."""
     DIALECTS[name] = parser
 
@@ -102,18 +132,19 @@ def skipped(line: Column) -> Column:
     return line.rlike(r"^[\x00-\x20]*$|^[\x00-\x20]*[/#;]")
 
 
-def parse(line: Column, dialect: str) -> Column:
-    return DIALECTS[dialect](F.regexp_replace(line, r"[\r\n]+$", ""))
+def parse(df: DataFrame, line: Column, dialect: str, into: str = "frame") -> DataFrame:
+    """df with column `into`: the line's frame in that dialect, or null."""
+    wide, x = prepared(df, line)
+    return wide.withColumn(into, DIALECTS[dialect](x)).select(*df.columns, into)
 
 
-def detect(line: Column) -> Column:
-    """Struct (dialect, frame) of the first dialect that takes the line, or null."""
-    plain = F.regexp_replace(line, r"[\r\n]+$", "")
-    found = F.lit(None)
-    for name, parser in reversed(DIALECTS.items()):
-        if name == "CANCMD_T2":
-            frame = F.when(plain.contains("\t"), parser(plain))
-        else:
-            frame = F.when(F.size(L.tokens(plain)) >= 4, parser(plain))
-        found = F.when(frame.isNotNull(), F.struct(F.lit(name).alias("dialect"), frame.alias("frame"))).otherwise(found)
-    return F.when(~skipped(plain), found)
+def detect(df: DataFrame, line: Column, into: str = "found") -> DataFrame:
+    """df with column `into`: struct (dialect, frame) of the first dialect that takes the line, or null."""
+    wide, x = prepared(df, line)
+    frames = {}
+    for name, parser in DIALECTS.items():
+        able = x.text.contains("\t") if name == "CANCMD_T2" else F.size(x.tokens) >= 4
+        frames[name] = F.when(able & ~skipped(x.text), parser(x))
+    wide = wide.withColumns({_LINE.format(name): frame for name, frame in frames.items()})
+    found = F.coalesce(*[F.when(F.col(_LINE.format(name)).isNotNull(), F.struct(F.lit(name).alias("dialect"), F.col(_LINE.format(name)).alias("frame"))) for name in frames])
+    return wide.withColumn(into, found).select(*df.columns, into)

@@ -81,7 +81,7 @@ def read_blf(spark: SparkSession, path: str, log_id: str) -> DataFrame:
 def _joined(cells: DataFrame) -> DataFrame:
     """Each row's cells that aren't null, joined by blanks and parsed like a line."""
     line = F.regexp_replace(F.concat_ws(" ", *cells.columns), r"\s+", " ")
-    return cells.select(detect(line).alias("found")).where("found is not null").select("found.frame.*")
+    return detect(cells.select(line.alias("line")), F.col("line")).where("found is not null").select("found.frame.*")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def detect_dialects(lines: DataFrame) -> DataFrame:
     """(file, dialect): that of each file's first line that any dialect takes."""
-    found = lines.withColumn("found", detect(F.col("line"))).where("found is not null")
+    found = detect(lines, F.col("line")).where("found is not null")
     return found.groupBy("file").agg(F.min_by(F.col("found.dialect"), "line_number").alias("dialect"))
 
 
@@ -46,7 +46,7 @@ def parse_log(spark: SparkSession, path: str, log_id: str, dialect: str | None =
         if not first:
             return spark.createDataFrame([], "log_id string, row_idx long, line_number long, timestamp double, can_id long, direction int, data_len int, data binary, channel string, last_timestamp double, changed int")
         dialect = first[0]["dialect"]
-    parsed = lines.withColumn("frame", parse(F.col("line"), dialect)).where("frame is not null").select("file", "split", "line_number", "frame.*")
+    parsed = parse(lines, F.col("line"), dialect).where("frame is not null").select("file", "split", "line_number", "frame.*")
     per = parsed.groupBy("file", "split").agg(F.count("*").alias("n"))
     base = per.select("file", "split", F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per split
     rank = F.row_number().over(Window.partitionBy("file", "split").orderBy("line_number")) - 1
@@ -58,7 +58,7 @@ def parse_log(spark: SparkSession, path: str, log_id: str, dialect: str | None =
 def parse_text(spark: SparkSession, text: str | None) -> DataFrame:
     """Records of a multi-line text, each line on its own; None is empty."""
     lines = spark.createDataFrame([(text or "",)], "text string").select(F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
-    return lines.withColumn("found", detect(F.col("line"))).where("found is not null").select((F.col("line_number") + 1).alias("line_number"), "found.dialect", "found.frame.*").orderBy("line_number")
+    return detect(lines, F.col("line")).where("found is not null").select((F.col("line_number") + 1).alias("line_number"), "found.dialect", "found.frame.*").orderBy("line_number")
 
 
 def parse_line(spark: SparkSession, line: str):

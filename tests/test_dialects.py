@@ -42,7 +42,7 @@ def test_lines_of_every_dialect_and_trap(spark):
 
 
 def test_known_dialect_rejects_what_detection_passes_on(spark):
-    rows = spark.createDataFrame([("12399\t1\t1A2\tM\t9\t00 01 02\tRx",)], "line string").select(parse(F.col("line"), "CANCMD_T2").alias("x"))
+    rows = parse(spark.createDataFrame([("12399\t1\t1A2\tM\t9\t00 01 02\tRx",)], "line string"), F.col("line"), "CANCMD_T2", "x")
     assert rows.first()["x"] is None
     assert parse_line(spark, "nothing here") is None and parse_text(spark, None).count() == 0
 
