@@ -146,7 +146,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
             salt = np.array([x[0] for x in pdf["ids"]], np.int64) % count[cell] if len(pdf) else cell
             yield pdf.assign(bin=first[cell] + salt)
 
-    queries = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), "vec_id").mapInPandas(visit, "bin long, query_id long, vector binary, cells binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # by a hash: Spark leaves out a repartition by the aggregate's own key, and merges the aggregate's small partitions into one task
+    queries = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInPandas(visit, "bin long, query_id long, vector binary, cells binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     dealt = index.mapInPandas(deal, "vector binary, cell long, ids array<long>, bin long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     n_cells = len(held)
 
