@@ -92,14 +92,22 @@ def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, per_class: int, max_chars: int = 20_000) -> list[tuple[str, int]]:
-    """At most per_class (text, label) rows of either class from the folds that may be learnt from.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, per_class: int, class_bytes: int) -> list[tuple[str, int]]:
+    """At most per_class (text, label) rows, of class_bytes in all, of either class from the folds that may be learnt from.
 
-    Ids are chosen before texts are touched. Longer texts than max_chars are not taken for training (scoring has no such
-    bound), which bounds what reaches the driver.
+    Ids are chosen before texts are touched, in the order of a hash, which bounds what reaches the driver. No length of its
+    own leaves a text out: only one that doesn't fit what is left of class_bytes is passed over.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != held)).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
-    lengths = docs.where(F.length("text").between(1, max_chars)).select("doc_id").distinct()
-    known = known.join(lengths, "doc_id", "left_semi")
-    ids = smallest(known.where("_y = 0"), per_class).unionByName(smallest(known.where("_y = 1"), per_class))
-    return sorted(((r["text"], r["_y"]) for r in texts_of(docs, ids, max_chars).collect()), key=lambda x: x[1])
+    sizes = docs.where("text <> ''").groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("_bytes"))
+    known = known.join(sizes, "doc_id")
+    chosen = []
+    for y in (0, 1):
+        left = class_bytes
+        for r in smallest(known.where(F.col("_y") == y), per_class).collect():
+            if r["_bytes"] <= left:
+                left -= r["_bytes"]
+                chosen.append((r["doc_id"], y))
+    ids = docs.sparkSession.createDataFrame(chosen, known.select("doc_id", "_y").schema)
+    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(ids), "doc_id")
+    return sorted(((r["text"], r["_y"]) for r in texts.collect()), key=lambda x: x[1])

@@ -13,13 +13,13 @@ from frameloom.llm.grams import gram_pairs, gram_sums, spaced, word_hashes, word
 #: Words whose embeddings are summed and divided by this number; a document is as toxic as its most toxic window.
 WINDOW = 8
 BUCKETS, WIDTH = 1 << 18, 8
-#: N-grams of fewer training texts than this, or than one in RARE of them, learn nothing: they would only recall their texts.
-LEAST_TEXTS, RARE = 4, 120
+#: N-grams of fewer training texts than this learn nothing: they would only recall their texts. The same for a sample of any size.
+LEAST_TEXTS = 4
 #: Share of each parameter that a step takes back, by the step's rate.
 DECAY = 0.1
 PER_CLASS = 800
-#: Characters of a training text at most; texts are scored whole.
-MAX_CHARS = 6000
+#: Bytes of training text of a class at most, whatever a single text's length; texts are scored whole.
+CLASS_BYTES = 2_400_000
 PARTS, HELD = 5, 0
 
 
@@ -31,14 +31,27 @@ def _unrepeated(text, first, end, row):
     return first[new], end[new], row[new], h[new]
 
 
-def _windows(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window number of each word and row of each window: about equal runs of at most WINDOW words, none across rows."""
+def _layout(row: np.ndarray, rows: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Room for WINDOW words a text at least: the place of each word, the number of places, the place where each window starts and its row.
+
+    Every word that a whole window can start at starts one; a text of fewer words has one window. Texts without words have none.
+    """
     count = np.bincount(row, minlength=rows)
-    begin = np.cumsum(count) - count
-    of_row = -(-count // WINDOW)
-    place = np.arange(len(row)) - begin[row]
-    inner = place * of_row[row] // count[row]
-    return (np.cumsum(of_row) - of_row)[row] + inner, np.repeat(np.arange(rows), of_row)
+    room = np.where(count > 0, np.maximum(count, WINDOW), 0)
+    begin = np.cumsum(room) - room
+    many = np.where(count > 0, room - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(rows), many)
+    start = np.arange(len(owner)) + (begin - (np.cumsum(many) - many))[owner]
+    return np.arange(len(row)) + (begin - (np.cumsum(count) - count))[row], int(room.sum()), start, owner
+
+
+def _run_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of WINDOW rows from each row on; a sum depends on its own rows alone."""
+    size = 1
+    while size < WINDOW:
+        x = x[:-size] + x[size:]
+        size *= 2
+    return x
 
 
 class _Means:
@@ -64,6 +77,26 @@ class _Means:
         return out
 
 
+class _Runs:
+    """Averages the vectors of words over every window, and hands gradients back."""
+
+    def __init__(self, place: np.ndarray, room: int, start: np.ndarray, word: np.ndarray, n_words: int):
+        self.place, self.room, self.start, self.n_words = place, room, start, n_words
+        self.order = np.argsort(word, kind="stable")
+        self.runs = np.flatnonzero(np.diff(word[self.order], prepend=-1))
+        self.word = word
+
+    def forward(self, vectors: np.ndarray) -> np.ndarray:
+        laid = np.zeros((self.room, vectors.shape[1]), np.float32)
+        laid[self.place] = vectors[self.word]
+        return _run_sums(laid)[self.start] / np.float32(WINDOW)
+
+    def backward(self, gradient: np.ndarray) -> np.ndarray:
+        laid = np.zeros((self.room + WINDOW - 1, gradient.shape[1]), np.float32)
+        laid[self.start + WINDOW - 1] = gradient / np.float32(WINDOW)
+        return np.add.reduceat(_run_sums(laid)[self.place[self.order]], self.runs, axis=0)
+
+
 def _pairs_of_texts(word, text, texts, of_word, bucket) -> np.ndarray:
     """bucket * texts + text for every text that a bucket's words occur in."""
     seen = np.unique(word * texts + text)
@@ -89,8 +122,10 @@ class Model:
         if len(first):
             first, end, row, _ = _unrepeated(text, first, end, row)
             value = gram_sums(text, first, end, self.weights)
-            window, owner = _windows(row, rows)
-            mean = np.add.reduceat(value, np.flatnonzero(np.diff(window, prepend=-1))) / WINDOW
+            place, room, start, owner = _layout(row, rows)
+            laid = np.zeros(room)
+            laid[place] = value
+            mean = _run_sums(laid)[start] / WINDOW
             edges = np.flatnonzero(np.diff(owner, prepend=-1))
             top[owner[edges]] = np.maximum.reduceat(mean, edges) + self.bias
         return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
@@ -111,21 +146,21 @@ def train(sample: list[tuple[str, int]], steps: int = 70, rate: float = 0.1, see
     if not len(first):
         return Model(np.zeros(BUCKETS), -5.0)
     first, end, row, h = _unrepeated(text, first, end, row)
-    window, owner = _windows(row, len(sample))
+    place, room, start, owner = _layout(row, len(sample))
     # equal words share their n-grams
     _, at, word = np.unique(h, return_index=True, return_inverse=True)
     of_word, bucket = gram_pairs(text, first[at], end[at], BUCKETS)
     order = np.argsort(of_word, kind="stable")
     of_word, bucket = of_word[order], bucket[order].astype(np.int64)
     used, bucket = np.unique(bucket, return_inverse=True)
-    spread = np.bincount(_pairs_of_texts(word, owner[window], len(sample), of_word, bucket) // len(sample), minlength=len(used))
-    frequent = spread >= max(LEAST_TEXTS, len(sample) // RARE)
+    spread = np.bincount(_pairs_of_texts(word, row, len(sample), of_word, bucket) // len(sample), minlength=len(used))
+    frequent = spread >= LEAST_TEXTS
     grams = np.bincount(of_word, minlength=len(at))
     kept = frequent[bucket]
     if not kept.any():
         return Model(np.zeros(BUCKETS), -5.0)
     to_words = _Means(of_word[kept], bucket[kept], len(used), np.maximum(grams, 1))
-    to_windows = _Means(window, word, len(at), np.full(len(owner), WINDOW))
+    to_windows = _Runs(place, room, start, word, len(at))
     rng = np.random.default_rng(seed)
     table = (rng.standard_normal((len(used), WIDTH)) * 0.1 * frequent[:, None]).astype(np.float32)
     layer = (rng.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
@@ -165,8 +200,8 @@ def train(sample: list[tuple[str, int]], steps: int = 70, rate: float = 0.1, see
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Learn from at most per_class rows of either class, of the folds other than HELD."""
-    return train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, MAX_CHARS))
+    """Learn from at most per_class rows and CLASS_BYTES of either class, of the folds other than HELD."""
+    return train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, CLASS_BYTES))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

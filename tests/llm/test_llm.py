@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.llm import ann, bpe, decontaminate, jaccard, language, licenses, quality, suffix, toxicity, warc
-from frameloom.llm.common import fold, utf8
+from frameloom.llm.common import fold, labelled_sample, utf8
 from frameloom.llm.graph import components
 from frameloom.llm.queries import ORACLES, QUERIES
 from frameloom.llm.shingles import shingle_sets
@@ -206,6 +206,28 @@ def test_quality_and_toxicity_scores(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(odd_docs())
 
 
+def test_toxicity_of_windows_rare_grams_and_long_texts(spark):
+    model = toxicity.train([("you are a stupid idiot here now", 1), ("what a nice warm day we have", 0)] * 60)
+    calm = "what a nice warm day we have".split()
+    texts = [" ".join([*(calm * 3)[:k], "stupid", "idiot", *(calm * 3)[: 20 - k]]) for k in range(21)]
+    alone = model.scores(*utf8(pa.array(["stupid idiot", "nice warm day"])))
+    got = model.scores(*utf8(pa.array(texts)))
+    assert np.ptp(got[8:13]) < 0.05 and alone[0] > 0.5 > alone[1]
+    values = np.zeros(toxicity.BUCKETS) + 1.0
+    one, other = (toxicity.Model(values, -0.5).scores(*utf8(pa.array([t]))) for t in ("a b c d e f g h", "a b c d e f g h i"))
+    assert abs(one[0] - other[0]) < 1e-9  # a whole window of nine words, not halves
+    r = random.Random(3)
+    sample = [(" ".join(r.choice(WORDS) for _ in range(12)), int(k < 600)) for k in range(1200)]
+    for k in range(8):  # an insult of 8 in 1,208 texts
+        sample.append(("zurriago gaznapiro", 1))
+    bad, good = toxicity.train(sample).scores(*utf8(pa.array(["zurriago gaznapiro", "w1 w2 w3"])))
+    assert bad > 0.5 and bad > good
+    docs = spark.createDataFrame([(k, ("x" if k == 2 else "y") * 9000) for k in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") == 2).cast("int").alias("toxic"))
+    got = labelled_sample(docs, labels, "toxic", 5, 0, 800, 90_000)
+    assert ("x" * 9000, 1) in got and sum(len(t) for t, y in got if not y) == 90_000
+
+
 def test_prior_is_estimated_from_positives_and_unlabelled():
     r = np.random.default_rng(2)
     positive, unlabelled = r.normal(2, 1, (800, 2)), np.concatenate([r.normal(2, 1, (1200, 2)), r.normal(-3, 1, (800, 2))])
