@@ -12,6 +12,8 @@ from frameloom.llm.grams import WORD, mix, spaced
 
 #: Bytes of a q-gram, edits per byte of a passage, and bytes of a passage: longer items are searched by passages of this size.
 Q, EDITS, PASSAGE = 10, 0.06, 512
+#: Parts of an item are found by passages of PART bytes, one every STRIDE bytes: no verbatim run of PART + STRIDE - 1 bytes is missed.
+PART, STRIDE = 96, 24
 #: Bytes of benchmark text whose index is broadcast at a time; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 24
@@ -69,37 +71,59 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
 
 
 class Index:
-    """q-grams of the passages of a block of items."""
+    """q-grams of a block of items, each once, and the passages that they are parts of."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.pattern, keys, owner, place = [], [], [], [], []
+        self.item, self.whole, self.short, keys = [], [], [], []
         for item, text in items:
             if item is None or not text:
                 continue
-            whole, starts, _ = normal(*utf8(pa.array([text], pa.large_string())))
+            whole, _, _ = normal(*utf8(pa.array([text], pa.large_string())))
             whole = whole[: len(whole) - (len(whole) > 0 and whole[-1] == 32)]
-            cuts = range(0, max(1, len(whole) - PASSAGE // 2), PASSAGE // 2) if len(whole) > PASSAGE else [0]
-            for cut in cuts:
-                pattern = whole[cut : cut + PASSAGE]
-                if len(pattern) < Q:
-                    continue
-                h = _hashes(pattern)
-                keys.append(h), place.append(np.arange(len(h))), owner.append(np.full(len(h), len(self.item)))
-                self.item.append(item), self.pattern.append(pattern)
+            if len(whole) >= Q:
+                keys.append(_hashes(whole))
+                self.item.append(item), self.whole.append(whole)
+            elif len(whole):
+                self.short.append((item, whole.tobytes()))
+        many = np.array([len(h) for h in keys], np.int64)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(self.keys, kind="stable")
+        self.owner = np.repeat(np.arange(len(many)), many)[order]
+        self.place = (np.arange(len(self.keys)) - np.repeat(np.cumsum(many) - many, many))[order]
         self.keys = self.keys[order]
-        self.owner = np.concatenate(owner)[order] if keys else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
-        self.size = np.array([len(p) for p in self.pattern], np.int64)
+        self.length = many + Q - 1
+        # an item of up to PASSAGE bytes whole, or passages half over each other; then the parts, of which the last ends with the item
+        self.n_large = np.where(self.length <= PASSAGE, 1, -(-(self.length - PASSAGE // 2) // (PASSAGE // 2)))
+        self.n_parts = np.where(self.length > PART, -(-(self.length - PART) // STRIDE) + 1, 0)
+        total = self.n_large + self.n_parts
+        self.first = np.cumsum(total) - total
+        self.of = np.repeat(np.arange(len(total)), total)
+        number = np.arange(len(self.of)) - self.first[self.of]
+        large, length = number < self.n_large[self.of], self.length[self.of]
+        self.begin = np.where(large, number * (PASSAGE // 2), np.minimum((number - self.n_large[self.of]) * STRIDE, length - PART))
+        self.size = np.where(large, np.minimum(PASSAGE, length - self.begin), PART)
+        self.large = large
         self.budget = np.minimum((EDITS * self.size).astype(np.int64), np.maximum(0, self.size - Q) // Q)
         self.need = self.size - Q + 1 - Q * self.budget
+        self.least = np.minimum.reduceat(self.need, self.first) if len(self.first) else np.zeros(0, np.int64)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def search(self, data: np.ndarray, places: np.ndarray):
-        """Per text and item the best part within the edit budget: (text, item, first byte, end byte, edits, passage bytes)."""
-        text, starts, origin = normal(data, places)
+    def _covering(self, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, passage) of every passage that holds the hit's q-gram."""
+        tries = [place // (PASSAGE // 2) - k for k in range(2)]
+        parts = [place // STRIDE - k for k in range(PART // STRIDE)]
+        hits, passages = [], []
+        last = self.n_parts[item] - 1
+        for number, low, high in (*((x, 0, self.n_large[item]) for x in tries), *((self.n_large[item] + x, self.n_large[item], self.n_large[item] + last) for x in parts), (self.n_large[item] + last, self.n_large[item], self.n_large[item] + last + 1)):
+            some = np.flatnonzero((number >= low) & (number < high))
+            passage = self.first[item[some]] + number[some]
+            inside = (self.begin[passage] <= place[some]) & (place[some] + Q <= self.begin[passage] + self.size[passage])
+            hits.append(some[inside]), passages.append(passage[inside])
+        return np.concatenate(hits), np.concatenate(passages)
+
+    def _candidates(self, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, passage, band) with as many of the passage's q-grams in a band of diagonals as the budget of edits leaves."""
         h = _hashes(text)
         if not len(h) or not len(self.keys):
             return []
@@ -111,32 +135,90 @@ class Index:
             return []
         entry = np.arange(int(many.sum())) + np.repeat(left - (np.cumsum(many) - many), many)
         at = np.repeat(at, many)
-        row = np.searchsorted(starts, at, "right") - 1
-        passage, diagonal = self.owner[entry], at - starts[row] - self.place[entry] + (1 << 20)
+        row, item, place = np.searchsorted(starts, at, "right") - 1, self.owner[entry], self.place[entry]
+        # too few q-grams of the item for any passage
+        _, pair, count = np.unique(row * len(self.item) + item, return_inverse=True, return_counts=True)
+        some = count[pair] >= self.least[item]
+        at, row, item, place = at[some], row[some], item[some], place[some]
+        hit, passage = self._covering(item, place)
+        if not len(hit):
+            return []
+        row, place, diagonal = row[hit], place[hit], (at - starts[row] - place)[hit] + (1 << 20)
         # bands of twice budget + 1 diagonals, each half of which is in two of them
-        step = self.budget[passage] + 1
-        band = diagonal // step
+        band = diagonal // (self.budget[passage] + 1)
         # a q-gram of the passage counts once in a band, however often it is hit there
-        key = np.stack([np.tile(row, 2), np.tile(passage, 2), np.concatenate([band, band - 1]), np.tile(self.place[entry], 2)])
+        key = np.stack([np.tile(row, 2), np.tile(passage, 2), np.concatenate([band, band - 1]), np.tile(place, 2)])
         group = key[:, np.lexsort(key[::-1])]
         new = np.ones(group.shape[1], bool)
         new[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
         group = group[:, new]
         edge = np.flatnonzero(np.append(True, (group[:3, 1:] != group[:3, :-1]).any(axis=0)))
         count = np.diff(np.append(edge, group.shape[1]))
-        held = edge[count >= self.need[group[1, edge]]]
-        best: dict[tuple[int, int], tuple] = {}
-        for r, p, b in group[:3, held].T.tolist():
-            step = int(self.budget[p]) + 1
-            own = text[starts[r] : starts[r + 1]]
-            low = b * step - (1 << 20)
-            edits, first, end = align(self.pattern[p], own, low - step, low + 3 * step)
-            if edits <= self.budget[p]:
-                found = (edits / self.size[p], edits, first, end, int(self.size[p]))
-                where = (r, self.item[p])
-                best[where] = min(best.get(where, found), found)
+        return list(map(tuple, group[:3, edge[count >= self.need[group[1, edge]]]].T.tolist()))
+
+    def _part(self, own: np.ndarray, item: int, held: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """(first, end, edits, passage bytes) of the whole item, or else of its longest part, within own."""
+        whole, raw, hits = self.whole[item], own.tobytes(), []
+        for p, band in held:  # large passages come first
+            begin, size, budget = int(self.begin[p]), int(self.size[p]), int(self.budget[p])
+            low = band * (budget + 1) - (1 << 20) + begin
+            low, high = low - (budget + 1), low + 3 * (budget + 1)
+            if not self.large[p]:
+                if hits and self.length[item] <= PASSAGE and hits[0][1] == self.length[item]:
+                    break  # the item is there whole
+                if any(a <= begin and begin + size <= z and low <= first - a + begin <= high for a, z, first, _, _ in hits):
+                    continue
+            pattern = whole[begin : begin + size]
+            exact = raw.find(pattern.tobytes(), max(0, low), max(0, high + size))
+            edits, first, end = (0, exact, exact + size) if exact >= 0 else align(pattern, own, low, high)
+            if edits <= budget:
+                hits.append((begin, begin + size, first, end, edits))
+        # adjoining passages on about the same diagonal are one region, if that is within the budget as a whole
+        regions = []
+        for a, z, first, end, _ in sorted(hits):
+            slack = int(EDITS * (z - a)) + 1
+            for region in reversed(regions):
+                if a <= region[1] and abs(first - a - region[3]) <= slack:
+                    region[1], region[2], region[3], region[4] = max(region[1], z), [*region[2], first - a], first - a, max(region[4], slack)
+                    break
+            else:
+                regions.append([a, z, [first - a], first - a, slack])
+        for a, z, diagonals, _, slack in regions:
+            if len(diagonals) > 1:
+                edits, first, end = align(whole[a:z], own, min(diagonals) + a - slack, max(diagonals) + a + slack)
+                if edits <= int(EDITS * (z - a)):
+                    hits.append((a, z, first, end, edits))
+        best = min(hits, key=lambda x: (x[0] - x[1], x[4], x[2]), default=None)
+        return best and (best[2], best[3], best[4], best[1] - best[0])
+
+    def _short(self, text: np.ndarray, starts: np.ndarray):
+        """(row, item, first, end, 0, bytes) of the first exact occurrence, as whole words, of items with fewer than Q bytes."""
+        raw = text.tobytes() if self.short else b""
+        for item, pattern in self.short:
+            at, seen = raw.find(pattern + b" "), -1
+            while at >= 0:
+                row = int(np.searchsorted(starts, at, "right")) - 1
+                if row > seen and (at == starts[row] or raw[at - 1] == 32) and at + len(pattern) < starts[row + 1]:
+                    seen = row
+                    yield row, item, at - int(starts[row]), at - int(starts[row]) + len(pattern), 0, len(pattern)
+                at = raw.find(pattern + b" ", at + 1)
+
+    def search(self, data: np.ndarray, places: np.ndarray):
+        """Per text and item the best part within the edit budget: (text, item, first byte, end byte, edits, passage bytes)."""
+        text, starts, origin = normal(data, places)
+        held: dict[tuple[int, int], list] = {}
+        for row, p, band in self._candidates(text, starts):
+            held.setdefault((row, int(self.of[p])), []).append((p, band))
+        found = {}
+        for (row, k), passages in held.items():
+            part = self._part(text[starts[row] : starts[row + 1]], k, passages)
+            if part:
+                where = (row, self.item[k])
+                found[where] = min(found.get(where, part), part, key=lambda x: (-x[3], x[2], x[0]))
+        for row, item, *part in self._short(text, starts):
+            found.setdefault((row, item), tuple(part))
         last = lambda r, x: int(origin[starts[r] + x - 1]) + 1
-        return [(r, item, int(origin[starts[r] + first]) - int(places[r]), last(r, end) - int(places[r]), edits, size) for (r, item), (_, edits, first, end, size) in sorted(best.items())]
+        return [(r, item, int(origin[starts[r] + first]) - int(places[r]), last(r, end) - int(places[r]), edits, size) for (r, item), (first, end, edits, size) in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame):
@@ -151,10 +233,11 @@ def _blocks(benchmark: DataFrame):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and benchmark item that it holds: doc_id, item_id, start, stop (bytes of the text), edits, passage_bytes.
 
-    A document holds an item if a part of it turns into the item, or into a passage of PASSAGE bytes of a longer one, by edits of
-    at most EDITS of the passage's bytes, both with lower-cased words parted by single blanks. Of several parts the best is given.
-    Items with fewer than Q such bytes and null ones are not searched. Null and empty texts hold nothing; repeated rows give
-    repeated results. A narrow map per block of the benchmark; nothing is shuffled.
+    A document holds an item if a part of it turns into the item, or into a passage of PART or PASSAGE bytes of it, by edits of
+    at most EDITS of the passage's bytes, both with lower-cased words parted by single blanks. A whole item of up to PASSAGE
+    bytes is given if it is there, else the longest part; adjoining passages are one. Items with fewer than Q such bytes are
+    found as whole words without edits; those without words and null ones aren't searched. Null and empty texts hold nothing;
+    repeated rows give repeated results. A narrow map per block of the benchmark; nothing is shuffled.
     """
     out = None
     for items in _blocks(benchmark):

@@ -272,6 +272,40 @@ def test_leaks_with_edits_and_without(spark, odd, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_parts_of_items_of_any_offset_and_short_items(spark):
+    def edits_of(pattern, text):
+        row = np.zeros(len(text) + 1, int)
+        for i, a in enumerate(pattern, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(k, "".join(r.choice(letters) for _ in range(n))) for k, n in enumerate([97, 130, 300, 500, 513, 740, 1500])] + [(90, "Yes, no"), (91, "!?")]
+    index, n = decontaminate.Index(items), 0
+    for k, item in items[:7]:
+        for size in (119, 150, 300, 512, 739):
+            for begin in {0, 1, 23, 131, 255, 400, len(item) - size}:
+                if not 0 <= begin <= len(item) - size:
+                    continue
+                part = list(item[begin : begin + size])
+                for _ in range(n % 3 if size > 119 else 0):
+                    part[r.randrange(size)] = "0"
+                text = "intro words " + "".join(part) + " outro"
+                n += 1
+                (got,) = index.search(*utf8(pa.array([text], pa.large_string())))
+                assert got[:2] == (0, k) and got[5] >= 96 and got[4] <= 0.06 * got[5]
+                if size < 200 and len(item) < 600:
+                    assert edits_of(text[got[2] : got[3]], item) <= got[4]
+    assert n > 50
+    docs = [(1, "so yes no it is"), (2, "eyes no"), (3, "yes not"), (4, "x yes"), (5, "no"), (6, "YES -- no")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"], x["start"], x["stop"]) for x in found.collect()} == {(1, 90, 3, 9), (6, 90, 0, 9)}
+
+
 def test_alignment_equals_full_dynamic_programming():
     for _ in range(200):
         p, t = ([rng.randrange(3) for _ in range(n)] for n in (rng.randint(1, 12), rng.randint(0, 20)))
