@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,15 +40,20 @@ def detect_dialects(lines: DataFrame) -> DataFrame:
 def parse_log(spark: SparkSession, path: str, log_id: str, dialect: str | None = None, with_changed: bool = True, limit_ids: bool = True) -> DataFrame:
     """Frames of one log: row_idx in line order, last_timestamp and changed.
 
-    A first job finds the dialect, so that the parse itself is one dialect's projection. with_changed=False leaves changed at 0.
+    A first job finds each file's dialect, so that the parse itself is one projection per dialect present, over the files in it.
+    with_changed=False leaves changed at 0.
     """
     lines = read_lines(spark, path)
     if dialect is None:
-        first = detect_dialects(lines).orderBy("file").limit(1).collect()
-        if not first:
+        files = detect_dialects(lines).cache()  # a row per file
+        present = [r[0] for r in files.select("dialect").distinct().orderBy("dialect").collect()]
+        if not present:
             return spark.createDataFrame([], "log_id string, row_idx long, line_number long, timestamp double, can_id long, direction int, data_len int, data binary, channel string, last_timestamp double, changed int")
-        dialect = first[0]["dialect"]
-    parsed = parse(lines, F.col("line"), dialect).where("frame is not null").select("file", "split", "line_number", "frame.*")
+        parts = [(d, lines.join(files.where(F.col("dialect") == d).select("file"), "file", "left_semi")) for d in present]
+    else:
+        parts = [(dialect, lines)]
+    shown = [parse(part, F.col("line"), d).where("frame is not null").select("file", "split", "line_number", "frame.*") for d, part in parts]
+    parsed = functools.reduce(DataFrame.unionByName, shown)
     per = parsed.groupBy("file", "split").agg(F.count("*").alias("n"))
     base = per.select("file", "split", F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per split
     rank = F.row_number().over(Window.partitionBy("file", "split").orderBy("line_number")) - 1

@@ -189,3 +189,12 @@ def test_store_copies_once(spark, tmp_path):
     for _ in range(2):
         assert store.save_record(spark, str(tmp_path / "a"), str(tmp_path / "b"), "a")
     assert store.read_frames(spark, str(tmp_path / "b"), "a").count() == 6
+
+
+def test_parse_log_of_a_folder_of_two_dialects(spark, tmp_path):
+    from frameloom.sources.textlog import parse_log
+
+    (tmp_path / "a.txt").write_text("1.5 CANFD 1 Rx 101 MsgA 1 0 2 2 0A 0B\n2.5 CANFD 1 Tx 102 MsgA 1 0 2 2 0C 0D\n")
+    (tmp_path / "b.txt").write_text("3.5 CAN 1 Rx 103 MsgA 2 01 02\n4.5 CAN 1 Tx 104 MsgA 2 03 04\n")
+    rows = parse_log(spark, str(tmp_path), "log").orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["line_number"], r["timestamp"], r["can_id"], bytes(r["data"]).hex()) for r in rows] == [(0, 1, 1.5, 0x101, "0a0b"), (1, 2, 2.5, 0x102, "0c0d"), (2, 1, 3.5, 0x103, "0102"), (3, 2, 4.5, 0x104, "0304")]
