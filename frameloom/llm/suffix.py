@@ -13,10 +13,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import shuffle_parts, slices, utf8, written
@@ -26,6 +27,8 @@ from frameloom.llm.grams import mix
 WINDOW, Q, SYMBOL = 100, 16, 4
 #: Windows of a run, shards of a merge, and symbols merged at a time (more if one bucket key alone has more).
 RUN, SHARDS, MERGE = 256, 4, 1 << 20
+#: Bits of a place in a text; those above tell several texts of one doc_id apart.
+PLACE_BITS = 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,8 +124,8 @@ def _records(buckets: int):
             data, places = utf8(part.column(1))
             doc, start, size, key, content, again = runs(data, places)
             r = np.zeros(len(doc), RECORD)
-            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for name, values in zip(RECORD.names, (key, content, ids[doc], start, size, again)):
+            ids, base = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+            for name, values in zip(RECORD.names, (key, content, ids[doc], start + base[doc], size, again)):
                 r[name] = values
             r, first = _first_of(r)
             later = _later(r, first)
@@ -188,17 +191,26 @@ def _decide(batches):
             yield _batch(rows, *_TAGGED)
 
 
+def _own(spans: np.ndarray, start: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of a doc_id's spans that belong to the text with this base, and where they start in it."""
+    mine = (start >> PLACE_BITS) == (base >> PLACE_BITS)
+    return spans[mine], start[mine] - base
+
+
 def _fetch(batches):
-    """Rows (doc, text, requests): per bucket the runs with their bytes."""
+    """Rows (doc, text, base, requests): per bucket the runs with their bytes."""
     for part in slices(batches):
         data, places = utf8(part.column(1))
         by: dict[int, tuple[list, list]] = {}
-        for k, asked in enumerate(part.column(2).to_pylist()):
+        for k, (base, asked) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
             for ask in asked:
                 piece = np.frombuffer(ask["blob"], PIECE)
+                piece, start = _own(piece, piece["start"], base)
+                if not len(piece):
+                    continue
                 blobs, texts = by.setdefault(ask["bucket"], ([], []))
-                blobs.append(ask["blob"])
-                texts += [data[a : a + s].tobytes() for a, s in zip((places[k] + piece["start"]).tolist(), (piece["size"].astype(np.int64) + WINDOW - 1).tolist())]
+                blobs.append(piece.tobytes())
+                texts += [data[a : a + s].tobytes() for a, s in zip((places[k] + start).tolist(), (piece["size"].astype(np.int64) + WINDOW - 1).tolist())]
         rows = [(b, None, b"".join(x), b"".join(t)) for b, (x, t) in by.items()]
         if rows:
             yield _batch(rows, *_TAGGED)
@@ -395,27 +407,33 @@ def _merge(batches):
             yield _batch([(-1, d, b, None) for d, b in _spans(doc, start, size)], *_TAGGED)
 
 
-def _kept(data: np.ndarray, blobs) -> tuple[np.ndarray, int]:
+def _kept(data: np.ndarray, base: int, blobs) -> tuple[np.ndarray, int]:
     """Which bytes stay, and the number of maximal removed runs."""
     change = np.zeros(len(data) + 1, np.int32)
     for blob in blobs or ():
         span = np.frombuffer(blob, np.int64).reshape(-1, 2)
-        np.add.at(change, span[:, 0], 1)
-        np.add.at(change, np.minimum(span[:, 0] + span[:, 1] + WINDOW - 1, len(data)), -1)
+        span, start = _own(span, span[:, 0], base)
+        np.add.at(change, start, 1)
+        np.add.at(change, np.minimum(start + span[:, 1] + WINDOW - 1, len(data)), -1)
     gone = np.cumsum(change[:-1]) > 0
     return ~gone, int(np.count_nonzero(gone & ~np.append(False, gone[:-1]))) if len(gone) else 0
 
 
+def _base(text: str) -> Column:
+    """What is added to the places of a text, so that several texts of one doc_id stand one after another: 31 bits of its hash."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)), PLACE_BITS)
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, blobs): per document the runs of windows that also start earlier, by pairs of first byte and windows."""
+    """(doc_id, blobs): per document the runs of windows that also start earlier, by pairs of first byte (with _base) and windows."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _base("text").alias("base"))
     records = texts.mapInArrow(_records(4 * parts), TAGGED)
     asked = records.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide, TAGGED)
     asked = written(asked, "requests")
     grouped = asked.where("bucket >= 0").groupBy("doc").agg(F.collect_list(F.struct("bucket", "blob")).alias("asked"))  # of one document
-    fetched = texts.join(grouped, texts["doc_id"] == grouped["doc"]).select("doc_id", "text", "asked").mapInArrow(_fetch, TAGGED)
+    fetched = texts.join(grouped, texts["doc_id"] == grouped["doc"]).select("doc_id", "text", "base", "asked").mapInArrow(_fetch, TAGGED)
     merged = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, TAGGED)
     spans = asked.where("bucket < 0").unionByName(merged)
     return spans.groupBy("doc").agg(F.collect_list("blob").alias("blobs")).withColumnRenamed("doc", "doc_id")
@@ -424,26 +442,27 @@ def removed(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes).
 
-    Null and empty texts have no bytes. Texts of fewer than 100 bytes lose none. Rows of one doc_id are taken for one document,
-    which must have one text. Rows without an id are kept whole and repeat nothing. Other columns aren't read.
+    Null and empty texts have no bytes. Texts of fewer than 100 bytes lose none. Equal rows are one document. Several texts of one
+    doc_id are documents one after another, in the order of their hashes. Rows without an id are kept whole and repeat nothing.
+    Other columns aren't read.
     """
 
     def go(batches):
         for part in slices(batches):
             data, places = utf8(part.column(1))
             rows = []
-            for k, blobs in enumerate(part.column(2).to_pylist()):
+            for k, (base, blobs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
                 text = data[places[k] : places[k + 1]]
                 if blobs:
-                    stay, n = _kept(text, blobs)
+                    stay, n = _kept(text, base, blobs)
                     rest = text[stay]
                 else:
                     rest, n = text, 0
                 rows.append((len(text), len(text) - len(rest), n, hashlib.sha256(rest.tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(removed(docs), "doc_id", "left").select("doc_id", "text", "blobs").mapInArrow(go, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _base("text").alias("base"))
+    return texts.join(removed(docs), "doc_id", "left").select("doc_id", "text", "base", "blobs").mapInArrow(go, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -456,13 +475,15 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             data, places = utf8(part.column(place))
             null = part.column(place).is_null().to_pylist()
             new = []
-            for k, blobs in enumerate(part.column(part.num_columns - 1).to_pylist()):
+            last = part.num_columns - 1
+            for k, (base, blobs) in enumerate(zip(part.column(last - 1).to_pylist(), part.column(last).to_pylist())):
                 own = data[places[k] : places[k + 1]]
-                new.append(None if null[k] else (own[_kept(own, blobs)[0]] if blobs else own).tobytes().decode("utf-8", "ignore"))
-            columns = part.columns[:-1]
+                new.append(None if null[k] else (own[_kept(own, base, blobs)[0]] if blobs else own).tobytes().decode("utf-8", "ignore"))
+            columns = part.columns[:-2]
             columns[place] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-2])
 
-    gone = removed(docs).withColumnRenamed("blobs", "_removed").withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select(*(docs[c] for c in docs.columns), "_removed")
-    return joined.mapInArrow(go, docs.schema)
+    names = [f"_{k}_{uuid.uuid4().hex}" for k in range(3)]  # whatever the columns of docs are called
+    gone = removed(docs).toDF(names[0], names[2])
+    joined = docs.withColumn(names[1], _base(text)).join(gone, docs["doc_id"] == F.col(names[0]), "left")
+    return joined.select(*(docs[c] for c in docs.columns), names[1], names[2]).mapInArrow(go, docs.schema)

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import fold, labelled_sample, slices, utf8
-from frameloom.llm.grams import gram_pairs, gram_sums, spaced, word_hashes, words
+from frameloom.llm.grams import gram_pairs, mix, spaced, word_hashes, words
 
 #: Words whose embeddings are summed and divided by this number; a document is as toxic as its most toxic window.
 WINDOW = 8
-BUCKETS, WIDTH = 1 << 18, 8
+BUCKETS, WIDTH = 1 << 20, 8
 #: N-grams of fewer training texts than this learn nothing: they would only recall their texts. The same for a sample of any size.
 LEAST_TEXTS = 4
 #: Share of each parameter that a step takes back, by the step's rate.
 DECAY = 0.1
 PER_CLASS = 800
+#: Weight of the toxic texts of a sample against that of the clean ones.
+TOXIC_WEIGHT = 0.6
 #: Bytes of training text of a class at most, whatever a single text's length; texts are scored whole.
 CLASS_BYTES = 2_400_000
 PARTS, HELD = 5, 0
@@ -54,61 +56,46 @@ def _run_sums(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Means:
-    """Averages rows of a matrix by group, and hands gradients back; groups are sorted. count: what to divide by."""
-
-    def __init__(self, group: np.ndarray, item: np.ndarray, items: int, count: np.ndarray):
-        self.item, self.items, self.groups = item, items, len(count)
-        self.begin = np.flatnonzero(np.diff(group, prepend=-1))
-        self.group, self.some = group, group[self.begin]
-        self.count = count.astype(np.float32)[:, None]
-        self.order = np.argsort(item, kind="stable")
-        self.runs = np.flatnonzero(np.diff(item[self.order], prepend=-1))
-        self.held = item[self.order][self.runs]
-
-    def forward(self, matrix: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.groups, matrix.shape[1]), np.float32)
-        out[self.some] = np.add.reduceat(matrix[self.item], self.begin, axis=0)
-        return out / self.count
-
-    def backward(self, gradient: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.items, gradient.shape[1]), np.float32)
-        out[self.held] = np.add.reduceat((gradient / self.count)[self.group[self.order]], self.runs, axis=0)
-        return out
-
-
-class _Runs:
-    """Averages the vectors of words over every window, and hands gradients back."""
-
-    def __init__(self, place: np.ndarray, room: int, start: np.ndarray, word: np.ndarray, n_words: int):
-        self.place, self.room, self.start, self.n_words = place, room, start, n_words
-        self.order = np.argsort(word, kind="stable")
-        self.runs = np.flatnonzero(np.diff(word[self.order], prepend=-1))
-        self.word = word
+def _spread_sums(values: np.ndarray, groups: np.ndarray, n: int, item: np.ndarray | None = None, rows: int = 1 << 19) -> np.ndarray:
+    """Sums of the rows of values (of values[item]) by sorted group numbers, about `rows` at a time; groups without rows have zeros."""
+    out = np.zeros((n, *values.shape[1:]), np.float32)
+    begin = np.flatnonzero(np.diff(groups, prepend=-1))
+    at = 0
+    while at < len(begin):
+        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + rows)))
+        low, high = begin[at], begin[stop] if stop < len(begin) else len(groups)
+        part = values[low:high] if item is None else values[item[low:high]]
+        out[groups[begin[at:stop]]] = np.add.reduceat(part, begin[at:stop] - low, axis=0)
+        at = stop
+    return out
+
+
+def _grams(text, first, end, h) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every n-gram of the words and of each word as a whole, sorted by word."""
+    of_word, bucket = gram_pairs(text, first, end, BUCKETS)
+    of_word, bucket = np.concatenate([of_word.astype(np.int32), np.arange(len(h), dtype=np.int32)]), np.concatenate([bucket.astype(np.int32), _whole(h).astype(np.int32)])
+    order = np.argsort(of_word, kind="stable")
+    return of_word[order], bucket[order]
 
-    def forward(self, vectors: np.ndarray) -> np.ndarray:
-        laid = np.zeros((self.room, vectors.shape[1]), np.float32)
-        laid[self.place] = vectors[self.word]
-        return _run_sums(laid)[self.start] / np.float32(WINDOW)
 
-    def backward(self, gradient: np.ndarray) -> np.ndarray:
-        laid = np.zeros((self.room + WINDOW - 1, gradient.shape[1]), np.float32)
-        laid[self.start + WINDOW - 1] = gradient / np.float32(WINDOW)
-        return np.add.reduceat(_run_sums(laid)[self.place[self.order]], self.runs, axis=0)
+def _whole(h: np.ndarray) -> np.ndarray:
+    return (mix(h + np.uint64(77)) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
 
-def _pairs_of_texts(word, text, texts, of_word, bucket) -> np.ndarray:
-    """bucket * texts + text for every text that a bucket's words occur in."""
-    seen = np.unique(word * texts + text)
-    w, t = seen // texts, seen % texts
-    begin = np.searchsorted(of_word, np.arange(len(np.unique(of_word)) + 1))
-    many = begin[w + 1] - begin[w]
-    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[w], many)
-    return np.unique(bucket[place] * texts + np.repeat(t, many))
+def _texts_of_buckets(row, word, texts: int, of_word, bucket, words_known: int) -> np.ndarray:
+    """In how many texts each bucket occurs, a text at a time."""
+    spread = np.zeros(BUCKETS, np.int32)
+    of_text, begin = np.searchsorted(row, np.arange(texts + 1)), np.searchsorted(of_word, np.arange(words_known + 1))
+    for a, b in zip(of_text[:-1], of_text[1:]):
+        own = np.unique(word[a:b])
+        many = begin[own + 1] - begin[own]
+        place = np.arange(int(many.sum())) + np.repeat(begin[own] - (np.cumsum(many) - many), many)
+        spread[np.unique(bucket[place])] += 1
+    return spread
 
 
 class Model:
-    """weights: the softmax's log odds of each n-gram bucket's embedding; bias: its offset."""
+    """weights: the softmax's log odds of each bucket's embedding; bias: its offset."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
@@ -120,8 +107,10 @@ class Model:
         first, end, row = words(text, starts)
         top = np.full(rows, min(self.bias, 0.0))
         if len(first):
-            first, end, row, _ = _unrepeated(text, first, end, row)
-            value = gram_sums(text, first, end, self.weights)
+            first, end, row, h = _unrepeated(text, first, end, row)
+            _, at, back = np.unique(h, return_index=True, return_inverse=True)
+            total, count = gram_pairs(text, first[at], end[at], BUCKETS, weights=self.weights)
+            value = ((total + self.weights[_whole(h[at])]) / (count + 1))[back]
             place, room, start, owner = _layout(row, rows)
             laid = np.zeros(room)
             laid[place] = value
@@ -131,68 +120,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
 
 
-def train(sample: list[tuple[str, int]], steps: int = 70, rate: float = 0.1, seed: int = 7) -> Model:
-    """Adam over all windows of the sample; embeddings and the linear layer learn together.
+def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, seed: int = 7) -> Model:
+    """Adam over averages of embeddings; embeddings and the linear layer learn together.
 
-    At first every window of a toxic text counts as toxic, by a share of its text's weight. Later only its most toxic one
-    does. With one class or no sample, a constant model that says 0 (or the only class) results.
+    At first a text is the average of all its words. Later it is its most toxic window of WINDOW words, and the averages of
+    clean texts go on teaching beside them. The classes weigh alike. With one class or no sample, a constant model that says 0
+    (or the only class) results.
     """
-    labels = np.array([y for _, y in sample], np.int64)
+    labels, n = np.array([y for _, y in sample], np.int64), len(sample)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 5.0 if len(labels) and labels[0] else -5.0)
-    encoded = pa.array([t for t, _ in sample], pa.large_string())
-    text, starts = spaced(*utf8(encoded))
+        return Model(np.zeros(BUCKETS), 5.0 if n and labels[0] else -5.0)
+    text, starts = spaced(*utf8(pa.array([t for t, _ in sample], pa.large_string())))
     first, end, row = words(text, starts)
     if not len(first):
         return Model(np.zeros(BUCKETS), -5.0)
     first, end, row, h = _unrepeated(text, first, end, row)
-    place, room, start, owner = _layout(row, len(sample))
-    # equal words share their n-grams
-    _, at, word = np.unique(h, return_index=True, return_inverse=True)
-    of_word, bucket = gram_pairs(text, first[at], end[at], BUCKETS)
-    order = np.argsort(of_word, kind="stable")
-    of_word, bucket = of_word[order], bucket[order].astype(np.int64)
-    used, bucket = np.unique(bucket, return_inverse=True)
-    spread = np.bincount(_pairs_of_texts(word, row, len(sample), of_word, bucket) // len(sample), minlength=len(used))
-    frequent = spread >= LEAST_TEXTS
-    grams = np.bincount(of_word, minlength=len(at))
-    kept = frequent[bucket]
+    place, room, start, owner = _layout(row, n)
+    _, at, word = np.unique(h, return_index=True, return_inverse=True)  # equal words share their n-grams
+    known = len(at)
+    of_word, bucket = _grams(text, first[at], end[at], h[at])
+    size = np.bincount(of_word, minlength=known).astype(np.float32)[:, None]
+    kept = _texts_of_buckets(row, word, n, of_word, bucket, known)[bucket] >= LEAST_TEXTS
     if not kept.any():
         return Model(np.zeros(BUCKETS), -5.0)
-    to_words = _Means(of_word[kept], bucket[kept], len(used), np.maximum(grams, 1))
-    to_windows = _Runs(place, room, start, word, len(at))
+    of_word, bucket = of_word[kept], bucket[kept]
+    used = np.unique(bucket)
+    bucket = np.searchsorted(used, bucket).astype(np.int32)
+    by_bucket = np.argsort(bucket, kind="stable")
+    word_of, sorted_bucket = of_word[by_bucket], bucket[by_bucket]
+    del by_bucket, kept
+    # each text's different words, and the share of its words that each is
+    pair, times = np.unique(row * np.int64(known) + word, return_counts=True)
+    d_row, d_word = pair // known, pair % known
+    share = (times / np.maximum(np.bincount(row, minlength=n), WINDOW)[d_row]).astype(np.float32)[:, None]
+    by_word = np.argsort(d_word, kind="stable")
+    slot = np.full(room, known, np.int64)
+    slot[place] = word
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    counts = np.diff(np.append(edges, len(owner)))
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((len(used), WIDTH)) * 0.1 * frequent[:, None]).astype(np.float32)
+    table = (rng.standard_normal((len(used), WIDTH)) * 0.1).astype(np.float32)
     layer = (rng.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, layer, bias)]
-    of_text = np.bincount(owner, minlength=len(sample))
-    y = labels[owner]
-    share = (1 / of_text[owner]).astype(np.float32)
-    balance = np.where(y == 1, 0.3 * (labels == 0).sum() / (labels == 1).sum(), 1.0).astype(np.float32)
-    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    balance = np.where(labels == 1, TOXIC_WEIGHT * (labels == 0).sum() / (labels == 1).sum(), 1.0).astype(np.float32)
+    one = np.eye(2, dtype=np.float32)[labels]
     for step in range(1, steps + 1):
-        vectors = to_words.forward(table)
-        hidden = to_windows.forward(vectors)
-        logits = hidden @ layer + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        if step > steps // 3:  # most toxic window of each text; every window of a clean one
-            top = np.maximum.reduceat(p[:, 1], edges)
-            best = p[:, 1] >= np.repeat(top, np.diff(np.append(edges, len(owner))))
-            sure = np.repeat(top, np.diff(np.append(edges, len(owner))))  # texts that look clean all over teach less: their label may be wrong
-            weight = np.where(y == 1, best * np.maximum(sure, 0.02), 0.2 * share + best).astype(np.float32)
-        else:
-            weight = share
-        gradient = p.copy()
-        gradient[np.arange(len(y)), y] -= 1
-        gradient *= (weight * balance / len(sample))[:, None]
-        g_layer, g_bias = hidden.T @ gradient, gradient.sum(axis=0)
-        g_table = to_words.backward(to_windows.backward(gradient @ layer.T)) * frequent[:, None]
-        for value, g, (m, v) in zip((table, layer, bias), (g_table, g_layer, g_bias), state):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
+        vectors = np.zeros((known + 1, WIDTH), np.float32)  # the last is no word
+        vectors[:-1] = _spread_sums(table, of_word, known, bucket) / size
+        gradients = [np.zeros_like(layer), np.zeros_like(bias)]
+
+        def back(hidden, truth, weight, gradients=gradients):
+            """Softmax of averages; adds to the gradients of layer and bias and returns that of the averages."""
+            logits = hidden @ layer + bias
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            error = (p / p.sum(axis=1, keepdims=True) - truth) * (weight(p[:, 1] / p.sum(axis=1)) / n)[:, None]
+            gradients[0] += hidden.T @ error
+            gradients[1] += error.sum(axis=0)
+            return error @ layer.T
+
+        whole = step <= steps // 3
+        g = back(_spread_sums(vectors[d_word] * share, d_row, n), one, lambda _: balance if whole else np.where(labels == 0, 0.2, 0).astype(np.float32))  # noqa: B023
+        g_words = _spread_sums((g[d_row] * share)[by_word], d_word[by_word], known + 1)
+        if not whole:
+            odds = (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
+            window = _run_sums(odds[slot])[start]
+            best = np.flatnonzero(window >= np.repeat(np.maximum.reduceat(window, edges), counts))
+            best = best[np.diff(owner[best], prepend=-1) != 0]
+            own, texts = slot[start[best][:, None] + np.arange(WINDOW)], owner[best]
+            # toxic texts that look clean all over teach less: their label may be wrong
+            g = back(vectors[own].sum(axis=1) / np.float32(WINDOW), one[texts], lambda p: np.where(labels[texts] == 1, np.maximum(p, 0.02), 1).astype(np.float32) * balance[texts])  # noqa: B023
+            np.add.at(g_words, own.ravel(), np.repeat(g / np.float32(WINDOW), WINDOW, axis=0))
+        g_table = _spread_sums(g_words[:-1] / size, sorted_bucket, len(used), word_of)
+        for value, gradient, (m, v) in zip((table, layer, bias), (g_table, *gradients), state):
+            m += 0.1 * (gradient - m)
+            v += 0.01 * (gradient * gradient - v)
             value -= rate * DECAY * value + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     odds = np.zeros(BUCKETS, np.float32)
     odds[used] = table @ (layer[:, 1] - layer[:, 0])
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
     Null and empty texts and texts without words get the model's offset, at most 0.5. Null ids and repeated rows pass through,
-    columns other than doc_id and text aren't read. A narrow map; the model (1 MB) goes to the workers by broadcast.
+    columns other than doc_id and text aren't read. A narrow map; the model (4 MB) goes to the workers by broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 

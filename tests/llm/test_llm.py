@@ -75,6 +75,19 @@ def test_suffix_dedup_equals_brute_force(spark, odd, none):
     assert {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op1_suffix"](spark, SF).collect()} == want
 
 
+def test_suffix_dedup_of_one_id_with_several_texts(spark):
+    long = prose(60)
+    rows = [(1, "short"), (1, long), (1, long + prose(30)), (2, prose(20) + long), (2, prose(20) + long), (3, "z" * 900), (4, "z" * 450), (4, "y" * 99)]
+    order = {r["text"]: r["h"] & (2**31 - 1) for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) h").collect()}
+    docs = sorted(set(rows), key=lambda r: (r[0], order[r[1]]))
+    want = brute_suffix([(k, t) for k, (_, t) in enumerate(docs)])
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *want[docs.index((i, t))]) for i, t in rows)
+    extra = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, _removed int, _doc int, base string")
+    kept = suffix.without_repeats(extra)
+    assert kept.columns == extra.columns and kept.count() == len(rows) and suffix.without_repeats(extra.limit(0)).count() == 0
+
+
 def test_merged_transforms_find_repeats_across_shards():
     strings = [bytes(rng.randrange(97, 100) for _ in range(rng.randint(100, 300))) for _ in range(40)]
     shared = bytes(rng.randrange(97, 123) for _ in range(130))
