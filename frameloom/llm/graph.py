@@ -12,21 +12,34 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: A node with more than this share of all edges' ends is a hub; there are at most as many hubs as its inverse.
+HUB = 1 / 500
+
+
+def _least(edges: DataFrame, ends: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u. Hubs, of which there are 1 / HUB at most, are met by broadcast, so that no task
+    gets all edges of one."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > ends * HUB).select("u", "m"))
+    met = edges.join(hubs, "u")
+    return met.unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= ends * HUB).select("u", "m"), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b: long); component is its smallest reachable node.
 
     Large star and small star in turn until nothing changes: of the order of log squared rounds. Each round is written to the
-    shared folder, so that a lost executor costs a read. Hubs are met by partial minima and by skew joins.
+    shared folder, so that a lost executor costs a read.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "edges")
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = _least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = written(large, "large")
+        met = _least(large, before[0])
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
         after = _state(e)
         if after == before:

@@ -3,11 +3,12 @@
 1. Equal sets are one point. Points are blocked by signatures: three (small sets: two) neighbours in the order of the hashes.
    Where |x and y| >= 0.8 |x or y|, each element that only one of them has breaks at most three neighbourhoods of x, so the first
    0.6 |x| + 1 of them can't all be broken. Linked points hence share a signature, and stand in one component of the signature graph.
-2. Within a component the join is done by pivots: distances to a pivot give its links; the triangle inequality leaves those points
+2. Each component but the smallest is split into Voronoi regions of several pivots, recursively. Boundary points are replicated
+   to every region whose pivot isn't farther than the nearest by more than 0.4, unless linked to that pivot itself.
+3. Within a region the join is done by pivots too: distances to a pivot give its links; the triangle inequality leaves those points
    to look at whose distances to it differ by 0.2 at most; a point all of whose such neighbours are already in its component is done.
-3. A component too large for a task is first split into Voronoi regions of several pivots, recursively. Boundary points are
-   replicated to every region whose pivot isn't farther than the nearest by more than 0.4, unless linked to that pivot itself.
-   A region that doesn't shrink is joined by pairs of blocks.
+4. A region that doesn't shrink is dense: its pivots link most of its points. If it is too large for a task, only the points
+   outside its main component are compared with all others, so that its copies grow in proportion to it.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from frameloom.llm.shingles import shingle_sets
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
-#: Shingles of a region that one task joins at most, and pivots of a split.
-REGION_SHINGLES, PIVOTS = 4_000_000, 16
-#: Splits in a row, after which regions that are still too large are joined by pairs of blocks too.
+#: Shingles of a region from which on it is split, those that one task joins at most if it doesn't shrink, and pivots of a split.
+REGION_SHINGLES, TASK_SHINGLES, PIVOTS = 1 << 14, 1 << 22, 16
+#: Splits in a row, after which what is still too large counts as dense.
 LEVELS = 4
 #: Sets of up to SMALL elements use pairs of neighbours, sets of more than LARGE triples, those between both.
 LARGE, SMALL = 32, 40
@@ -149,11 +150,14 @@ class Points:
         return out
 
 
-def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect exactly what all links of the points connect; sets are not empty."""
+def join_region(sets: list[np.ndarray], percent: int = PERCENT, main: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect exactly what all links of the points connect; sets are not empty. Points of main are connected already."""
     points, n, links = Points(sets), len(sets), []
     label, alive, radius = np.arange(n), np.arange(n), 1 - percent / 100
-    while len(alive) > 1:
+    if main is not None and main.any():
+        label[main] = np.flatnonzero(main)[0]
+        alive = np.concatenate([alive[~main], alive[main]])
+    while len(alive) > 1 and (label[alive] != label[alive[0]]).any():
         p = int(alive[0])
         size = points.size[alive]
         lawful = (100 * np.minimum(size, points.size[p]) >= percent * np.maximum(size, points.size[p]))
@@ -195,11 +199,11 @@ def _groups(batches, width: int):
 
 
 def _join_all(batches):
-    """Rows (region, rep, tokens) sorted by region: links (a, b)."""
-    for rows in _groups(batches, 3):
+    """Rows (region, rep, tokens, main) sorted by region: links (a, b)."""
+    for rows in _groups(batches, 4):
         if len(rows) < 2:
             continue
-        links = join_region([np.frombuffer(t, np.uint64) for *_, t in rows])
+        links = join_region([np.frombuffer(t, np.uint64) for _, _, t, _ in rows], main=np.array([m for *_, m in rows], bool))
         yield pa.RecordBatch.from_arrays([pa.array([rows[a][1] for a, _ in links], pa.int64()), pa.array([rows[b][1] for _, b in links], pa.int64())], ["a", "b"])
 
 
@@ -225,37 +229,89 @@ def _assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["region", "rep", "tokens", "pivot", "part"])
 
 
-def _voronoi(points: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Split regions (region, rep, tokens) until each has at most `limit` shingles: those regions, and links found on the way."""
-    ready, links, level = None, None, 0
+def _near_pivots(points: DataFrame, chosen: DataFrame, big: DataFrame, limit: int) -> DataFrame:
+    """_assign of all points of the regions of big (region, total) against the chosen pivots, in salted groups of about limit shingles."""
+    salts = big.select("region", F.ceil(F.col("total") / limit).cast("long").alias("salts"))
+    parts = points.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    pivots = written(chosen.join(salts, "region").select("region", "rep", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")), "pivots")
+    went = parts.select("region", "salt", "rep", "tokens").groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt"))
+    return written(went.applyInPandas(_assign, "region long, rep long, tokens binary, pivot long, part int"), "voronoi")
+
+
+def _size(points: DataFrame, *by: str) -> DataFrame:
+    return points.groupBy(*by).agg(F.sum(F.octet_length("tokens") / 8).alias("total"), F.count("*").alias("n"))
+
+
+def _hashed_first(points: DataFrame, seed: int) -> DataFrame:
+    """points with k, their number in the order of a hash in their region (a region's first ones, so that a task keeps few)."""
+    return points.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")))
+
+
+def _dense(points: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (region, rep, tokens, main) of regions that pivots don't part, and links found on the way.
+
+    The pairs within a region's main component need no look. Its other points are few where pivots have linked most; until they
+    fit one block, some of them become pivots for the whole region, after which all their links are known. Then every block of
+    main points meets all of them.
+    """
+    ready, done = None, points.select("region", "rep").limit(0)
+    while True:
+        found = components(links)
+        named = points.join(found, points["rep"] == found["node"], "left").select("region", "rep", "tokens", F.coalesce("component", "rep").alias("label"))
+        largest = named.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+        named = written(named.join(largest, "region").withColumn("main", F.col("label") == F.col("largest")).join(done.withColumn("known", F.lit(True)), ["region", "rep"], "left"), "named")
+        rest = named.where("not main and known is null")
+        sized = _size(named, "region").select("region", "total").join(_size(rest, "region").select("region", F.col("total").alias("rest")), "region", "left")
+        sized = written(sized, "sized")
+        over = sized.where(F.col("rest") > limit)
+        small = named.join(sized.where(F.col("rest") <= limit), "region")  # nothing is left to do where all are main
+        blocks = F.ceil(F.col("total") / limit).cast("long")
+        asked = small.where("not main and known is null").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        other = small.where("main or known").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks))
+        # a known point has no link left to find, but for those within the main component it may stand beside others
+        out = asked.unionByName(other).select(F.xxhash64("region", "block", F.lit("dense")).alias("region"), "rep", "tokens", "main")
+        ready = out if ready is None else ready.unionByName(out)
+        if not over.limit(1).count():
+            return ready, links
+        points = written(named.join(over.select("region"), "region", "left_semi").select("region", "rep", "tokens"), "denser")
+        first = _hashed_first(rest.join(over.select("region"), "region", "left_semi").select("region", "rep", "tokens"), 3)
+        chosen = written(first.withColumn("sum", F.sum(F.octet_length("tokens") / 8).over(Window.partitionBy("region").orderBy("k"))).where((F.col("sum") <= limit) | (F.col("k") == 1)).select("region", "rep", "tokens"), "chosen")
+        near = _near_pivots(points, chosen, over, limit).where("part < 0")
+        links = written(links.unionByName(near.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).distinct(), "links")
+        done = written(done.unionByName(chosen.select("region", "rep")), "done")
+
+
+def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Split regions (region, rep, tokens) until each has at most `limit` shingles: those regions, and links found on the way.
+
+    A region that hardly shrinks is left as it is up to `most` shingles, and else goes to _dense.
+    """
+    spark = points.sparkSession
+    ready, level = None, 0
+    links = spark.createDataFrame([], "a long, b long")
     while True:
-        sized = points.groupBy("region").agg(F.sum(F.octet_length("tokens") / 8).alias("total"), F.count("*").alias("n"))
+        sized = written(_size(points, "region"), "sized")
         big = sized.where((F.col("total") > limit) & (F.col("n") > 2))
-        small = points.join(big, "region", "left_anti")
+        small = points.join(sized.where(~((F.col("total") > limit) & (F.col("n") > 2))).select("region"), "region", "left_semi").withColumn("main", F.lit(False))
         ready = small if ready is None else ready.unionByName(small)
         if not big.limit(1).count():
             return ready, links
-        parts = points.join(big.withColumn("salts", F.ceil(F.col("total") / limit).cast("long")), "region").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-        first = Window.partitionBy("region").orderBy(F.xxhash64("rep", F.lit(level)), "rep")
-        chosen = parts.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PIVOTS)
-        pivots = written(chosen.select("region", "rep", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")), "pivots")
-        went = parts.select("region", "salt", "rep", "tokens").groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt"))
-        went = written(went.applyInPandas(_assign, "region long, rep long, tokens binary, pivot long, part int"), "voronoi")
-        found = went.where("part < 0").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        split = went.where("part >= 0")
-        grown = split.groupBy("region", "part").agg(F.sum(F.octet_length("tokens") / 8).alias("now")).groupBy("region").agg(F.max("now").alias("now")).join(big, "region")
-        # a region of which a part hardly shrank is dealt into blocks instead, and every pair of its blocks becomes a region
-        dense = grown.where((F.col("now") > limit) & ((F.col("now") > 0.8 * F.col("total")) | F.lit(level + 1 >= LEVELS))).select("region", F.ceil(2 * F.col("total") / limit).cast("long").alias("blocks"))
-        dense = written(dense, "dense")
-        blocked = points.join(dense, "region").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")))
-        pairs = blocked.select("region", "rep", "tokens", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        ready = ready.unionByName(pairs.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "rep", "tokens"))
-        points = written(split.join(dense, "region", "left_anti").select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "rep", "tokens"), "regions")
+        chosen = _hashed_first(points.join(big.select("region"), "region", "left_semi"), level).where(F.col("k") <= PIVOTS).drop("k")
+        went = _near_pivots(points, chosen, big, limit)
+        links = links.unionByName(went.where("part < 0").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        split = went.where("part >= 0").select("region", "rep", "tokens", "part")
+        grown = _size(split, "region", "part").groupBy("region").agg(F.max("total").alias("now")).join(big, "region")
+        # a region of which a part hardly shrank
+        same = written(grown.where((F.col("now") > limit) & ((F.col("now") > 0.8 * F.col("total")) | F.lit(level + 1 >= LEVELS))).select("region", "total"), "same")
+        ready = ready.unionByName(points.join(same.where(F.col("total") <= most).select("region"), "region", "left_semi").withColumn("main", F.lit(False)))
+        if same.where(F.col("total") > most).limit(1).count():
+            blocks, links = _dense(points.join(same.where(F.col("total") > most).select("region"), "region", "left_semi"), written(links.distinct(), "links"), most)
+            ready = ready.unionByName(blocks)
+        points = written(split.join(same, "region", "left_anti").select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "rep", "tokens"), "regions")
         level += 1
 
 
-def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int = TASK_SHINGLES) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Null, empty and blank texts have no shingle and are linked with nothing. Repeated rows stay; a doc_id that occurs with
@@ -273,9 +329,9 @@ def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES) -> DataFra
     # merged at every size: a side that grows with the documents isn't to be broadcast when it happens to be small
     points = members.hint("merge").join(texts.where("doc_id is not null"), members["rep"] == texts["doc_id"]).select("region", "rep", "text").mapInArrow(_tokens, "region long, rep long, tokens binary")
     points = written(points.where(F.octet_length("tokens") > 0), "points")
-    regions, links = _voronoi(points, limit)
-    found = regions.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_join_all, "a long, b long")
-    found = components(found if links is None else found.unionByName(links))
+    regions, links = _voronoi(points, limit, most)
+    found = regions.select("region", "rep", "tokens", "main").repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_join_all, "a long, b long")
+    found = components(found.unionByName(links))
     known = reps.select("set_id", "rep").join(found, reps["rep"] == found["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return sets.drop("key").join(known, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -119,8 +119,8 @@ def brute_jaccard(rows):
     return {i: (len(sets[i]), link[i]) for i in sets}
 
 
-@pytest.mark.parametrize("limit", [jaccard.REGION_SHINGLES, 1500])
-def test_jaccard_components_equal_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "most"), [(jaccard.REGION_SHINGLES, jaccard.TASK_SHINGLES), (400, 100_000), (600, 900)])
+def test_jaccard_components_equal_brute_force(spark, limit, most):
     seed = prose(60).split()
     rows = []
     for k in range(90):  # a large group of near copies, of which some are too far from most
@@ -130,7 +130,7 @@ def test_jaccard_components_equal_brute_force(spark, limit):
         rows.append((k, " ".join(w)))
     rows += [(200 + k, prose(n)) for k, n in enumerate([1, 4, 5, 6, 8, 9, 30, 40, 200])] + [(300 + k, t) for k, (_, t) in enumerate(rows[:5])]
     rows += [(400, None), (401, ""), (402, "a b c d e f g h"), (403, "a b c d e f g h i"), (404, "A B c d")]
-    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limit)
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limit, most)
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == brute_jaccard(rows)
 
 
