@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns that place() adds to a signal.
+PLACE = ["first_byte", "last_byte", "right_shift", "spare_bits"]
+_HALF = 36
 
-def raw_value(data: Column, start: Column, length: Column, order: Column, signed: Column) -> Column:
-    """Bits of a signal as a long (unsigned ones of 64 bits wrap); null where the frame is too short.
 
-    order 0: Intel, start is the least significant bit. Order 1: Motorola, start is the most significant bit in sawtooth
-    numbering. Whole bytes are taken together: a signal spans nine bytes at most, so there are nine terms, whatever its width.
+def place(signals: DataFrame) -> DataFrame:
+    """Add what bits() needs of each signal (start_bit, bit_length, byte_order), once a signal and not once a frame.
+
+    Order 0: Intel, start is the least significant bit. Order 1: Motorola, start is the most significant bit in sawtooth
+    numbering. A signal spans nine bytes at most: they are taken as one number of 72 bits, and right_shift is counted in that.
     """
-    big = (8 * F.floor(start / 8) + 7 - start % 8).cast("int")  # places from the first bit sent
-    first_bit = F.when(order == 0, start).otherwise(big).cast("int")
-    first, last = F.floor(first_bit / 8).cast("int"), F.floor((first_bit + length - 1) / 8).cast("int")
-    low = F.lit(0).cast("long")
-    for k in range(9):
-        value = F.conv(F.hex(F.substr(data, first + k + 1, F.lit(1))), 16, 10).cast("long")
-        up = F.when(order == 0, 8 * k - start % 8).otherwise(length - 8 * (k + 1) + big % 8).cast("int")
-        moved = F.when(up >= 0, F.call_function("shiftleft", value, F.least(up, F.lit(63)))).otherwise(F.call_function("shiftrightunsigned", value, F.least(-up, F.lit(63))))
-        low = low.bitwiseOR(F.when((first + k <= last) & (up < 64), moved).otherwise(0))
-    spare = (64 - length).cast("int")
-    cut = F.call_function("shiftleft", low, spare)
-    out = F.when(signed == 1, F.call_function("shiftright", cut, spare)).otherwise(F.call_function("shiftrightunsigned", cut, spare))
-    return F.when((last < F.octet_length(data)) & length.between(1, 64) & (start >= 0), out)
+    start, length, motorola = F.col("start_bit"), F.col("bit_length"), F.col("byte_order") == 1
+    sent = F.when(motorola, 8 * F.floor(start / 8) + 7 - start % 8).otherwise(start)  # place from the first bit sent
+    good = length.between(1, 64) & (start >= 0)
+    return signals.withColumns({
+        "first_byte": F.when(good, F.floor(sent / 8)).cast("int"),
+        "last_byte": F.when(good, F.floor((sent + length - 1) / 8)).cast("int"),
+        "right_shift": F.when(motorola, 2 * _HALF - sent % 8 - length).otherwise(start % 8).cast("int"),
+        "spare_bits": (64 - length).cast("int"),
+    })
+
+
+def bits(data: Column, first: Column, last: Column, shift: Column, spare: Column, order: Column, signed: Column) -> Column:
+    """Bits of a signal as a long (unsigned ones of 64 bits wrap); null where the frame is too short."""
+    digits = F.rpad(F.hex(F.substr(data, first + 1, F.lit(9))), 18, "0")
+    turned = F.concat(*[F.substring(digits, k, 2) for k in range(17, 0, -2)])
+    number = F.when(order == 1, digits).otherwise(turned)
+    high, low = (F.conv(F.substring(number, k, 9), 16, 10).cast("long") for k in (1, 10))
+    left, right = lambda x, n: F.call_function("shiftleft", x, n), lambda x, n: F.call_function("shiftrightunsigned", x, n)
+    moved = F.when(shift < _HALF, left(high, _HALF - shift).bitwiseOR(right(low, shift))).otherwise(right(high, shift - _HALF))
+    cut = left(moved, spare)
+    out = F.when(signed == 1, F.call_function("shiftright", cut, spare)).otherwise(right(cut, spare))
+    return F.when(last < F.octet_length(data), out)
 
 
 def physical_value(raw: Column, scale: Column, offset: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from frameloom.functions.signals import physical_value, raw_value
+from frameloom.functions.signals import PLACE, bits, physical_value, place
 from frameloom.operators.frames import signal_changes
 
 #: Rows of a database up to which it is broadcast; a larger one is joined by shuffle.
@@ -14,24 +15,58 @@ BROADCAST_ROWS = 200_000
 
 def sized(table: DataFrame) -> DataFrame:
     """Broadcast a table whose size has been looked at."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table.hint("merge")
+
+
+def _ordered(table: DataFrame) -> DataFrame:
+    """The order in which a database's rows were loaded: its load_order, else that of the rows."""
+    return table if "load_order" in table.columns else table.withColumn("load_order", F.monotonically_increasing_id())
+
+
+def last_signals(signals: DataFrame) -> DataFrame:
+    """One row per identifier and signal: of messages that claim one identifier the last loaded counts (message_order, if there is
+    one), and of repeated signals the last."""
+    rows = _ordered(signals)
+    if "message_order" in rows.columns:
+        rows = rows.withColumn("_last", F.max("message_order").over(Window.partitionBy("can_id"))).where("message_order <=> _last").drop("_last")
+    best = Window.partitionBy("can_id", "signal_id").orderBy(F.desc("load_order"))
+    return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "load_order")
 
 
 def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None) -> DataFrame:
-    """A row per frame and signal of its message; frames without a message and signals beyond a frame's end give none."""
+    """A row per frame and signal of its message; frames without a message and signals beyond a frame's end give none.
+
+    With mux_signal and mux_value among the columns of signals, a signal is there only in frames whose signal mux_signal has that
+    raw value. Where the bits are is worked out once a signal, before the join.
+    """
     if max_signals is not None:
         signals = signals.where(F.col("signal_id") < max_signals)
-    joined = frames.join(sized(signals), "can_id")
-    raw = raw_value(F.col("data"), F.col("start_bit"), F.col("bit_length"), F.col("byte_order"), F.col("is_signed"))
+    placed = place(last_signals(signals))
+    muxed = {"mux_signal", "mux_value"} <= set(signals.columns)
+    if muxed:
+        own = [*PLACE, "byte_order", "is_signed"]
+        other = placed.select("can_id", F.col("signal_id").alias("mux_signal"), *(F.col(c).alias(f"mux_{c}") for c in own))
+        placed = placed.join(other, ["can_id", "mux_signal"], "left")
+    joined = frames.join(sized(placed), "can_id")
+    if muxed:
+        joined = joined.where(F.col("mux_signal").isNull() | (bits(F.col("data"), *(F.col(f"mux_{c}") for c in own)) == F.col("mux_value")))
+    raw = bits(F.col("data"), *(F.col(c) for c in [*PLACE, "byte_order", "is_signed"]))
     out = joined.withColumn("raw_value", raw).where("raw_value is not null").withColumn("phys_value", physical_value(F.col("raw_value"), F.col("scale"), F.col("offset")))
     return signal_changes(out.select("log_id", "dbc_id", "row_idx", "timestamp", "can_id", "signal_id", "signal_name", "raw_value", "phys_value"))
 
 
+def decode_frame(frame: DataFrame, signals: DataFrame) -> DataFrame:
+    """The samples of single frames (can_id, data), without a log around them."""
+    rows = frame.select(F.lit("").alias("log_id"), F.monotonically_increasing_id().alias("row_idx"), F.lit(0.0).alias("timestamp"), "can_id", "data")
+    return decode(rows, signals).select("can_id", "signal_id", "signal_name", "raw_value", "phys_value")
+
+
 def message_names(frames: DataFrame, messages: DataFrame | None) -> DataFrame:
-    """message_name: UNKNOW without a database, NOT_FOUND for identifiers that it lacks. Of messages with one identifier the last name wins."""
+    """message_name: UNKNOW without a database, NOT_FOUND for identifiers that it lacks. Of messages with one identifier the last
+    loaded wins."""
     if messages is None:
         return frames.withColumn("message_name", F.lit("UNKNOW"))
-    names = messages.groupBy("can_id").agg(F.max("message_name").alias("message_name"))
+    names = _ordered(messages).groupBy("can_id").agg(F.max_by("message_name", "load_order").alias("message_name"))
     return frames.join(sized(names), "can_id", "left").withColumn("message_name", F.coalesce("message_name", F.lit("NOT_FOUND")))
 
 

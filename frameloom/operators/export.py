@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import csv
 from datetime import datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameloom.functions.lexer import direction_name, spaced_hex
+from frameloom.operators import store
+from frameloom.operators.decode import sized
 from frameloom.operators.query import apply_query
-from frameloom.schemas import LogQuery
+from frameloom.schemas import CHUNK_ROWS, LogQuery, new_id
 
 # Fixed values of the export format.
 HEADER = ["Time", "Channel", "CAN ID", "Message Name", "Direction", "DLC", "Data"]
@@ -23,7 +23,7 @@ def export_rows(frames: DataFrame) -> DataFrame:
     """Frames (with message_name) as text columns, in order of their identifier's first row, then of rows."""
     group = F.min("row_idx").over(Window.partitionBy("log_id", "can_id"))
     return frames.select(
-        group.alias("group_row"), "row_idx", "can_id",
+        "log_id", group.alias("group_row"), "row_idx", "can_id",
         F.format_string("%.6f", "timestamp").alias("time"), "channel", F.concat(F.lit("0x"), F.hex("can_id")).alias("can_id_text"),
         F.coalesce("message_name", F.lit("")).alias("message_name"), direction_name(F.col("direction")).alias("direction"),
         F.col("data_len").cast("string").alias("dlc"), spaced_hex(F.col("data")).alias("data"),
@@ -32,37 +32,43 @@ def export_rows(frames: DataFrame) -> DataFrame:
 
 def write_flat_csv(frames: DataFrame, path: str) -> None:
     """The same rows as a plain CSV folder, written by all tasks."""
-    export_rows(frames).drop("group_row", "row_idx", "can_id").write.option("header", True).mode("overwrite").csv(path)
+    export_rows(frames).drop("log_id", "group_row", "row_idx", "can_id").write.option("header", True).mode("overwrite").csv(path)
 
 
-def write_log_csv(key: str, frames: DataFrame, decoded: DataFrame | None = None, path: str | None = None) -> str | None:
-    """One CSV file with a block per identifier; frames stream to the driver, a partition at a time. None if there are none."""
+def _cells(values: Column) -> Column:
+    """An array of texts as a line of CSV."""
+    return F.array_join(F.transform(values, lambda v: F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)), ",")
+
+
+def csv_lines(frames: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """(log_id, group_row, row_idx, place, value): lines of the export, a block per identifier.
+
+    A block has the header, the names of its first frame's signals, and two lines a frame: its fields and its raw values. Blank
+    lines stand behind each block.
+    """
     rows = export_rows(frames)
     if decoded is not None:
-        samples = decoded.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("signal_name", F.col("raw_value").cast("string")))).alias("samples"))  # of one frame
-        rows = rows.join(samples, "row_idx", "left")
+        one = F.map_from_entries(F.collect_list(F.struct("signal_name", F.col("raw_value").cast("string"))))  # of one frame
+        rows = rows.join(decoded.groupBy("log_id", "row_idx").agg(one.alias("samples")), ["log_id", "row_idx"], "left")
     else:
         rows = rows.withColumn("samples", F.lit(None).cast("map<string,string>"))
-    target, current, names = None, None, []
-    for r in rows.orderBy("group_row", "row_idx").toLocalIterator():
-        if target is None:
-            path = path or f"{key}_{datetime.now():%Y%m%d_%H%M%S}.csv"
-            Path(path).parent.mkdir(parents=True, exist_ok=True)
-            target = open(path, "w", newline="", encoding="utf-8")  # noqa: SIM115
-            out = csv.writer(target)
-        values = r["samples"] or {}
-        if r["can_id"] != current:
-            if current is not None:
-                out.writerows([[]] * BLANK_ROWS)
-            current, names = r["can_id"], sorted(values)
-            out.writerow(HEADER)
-            out.writerow(names)
-        out.writerow([r["time"], r["channel"], r["can_id_text"], r["message_name"], r["direction"], r["dlc"], r["data"]])
-        out.writerow([values.get(n, "") for n in names])
-    if target is None:
+    named = rows.groupBy("log_id", "can_id").agg(F.sort_array(F.map_keys(F.min_by(F.coalesce("samples", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")), "row_idx"))).alias("names"), F.max("row_idx").alias("last_row"))
+    rows = rows.join(sized(named), ["log_id", "can_id"])
+    fields = _cells(F.array("time", "channel", "can_id_text", "message_name", "direction", "dlc", "data"))
+    values = _cells(F.transform("names", lambda n: F.coalesce(F.try_element_at("samples", n), F.lit(""))))
+    none = F.array().cast("array<string>")
+    head = F.when(F.col("row_idx") == F.col("group_row"), F.array(F.lit(",".join(HEADER)), _cells(F.col("names")))).otherwise(none)
+    tail = F.when(F.col("row_idx") == F.col("last_row"), F.array_repeat(F.lit(""), BLANK_ROWS)).otherwise(none)
+    return rows.select("log_id", "group_row", "row_idx", F.posexplode(F.concat(head, F.array(fields, values), tail)).alias("place", "value"))
+
+
+def write_log_csv(key: str, frames: DataFrame, decoded: DataFrame | None = None, path: str | None = None) -> str | None:
+    """Write csv_lines of one log as a folder of parts that follow one another; its path, or None if there are no frames."""
+    if not frames.limit(1).count():
         return None
-    out.writerows([[]] * BLANK_ROWS)
-    target.close()
+    path = path or f"{key}_{datetime.now():%Y%m%d_%H%M%S}.csv"
+    order = ["log_id", "group_row", "row_idx", "place"]
+    csv_lines(frames, decoded).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.option("lineSep", "\r\n").mode("overwrite").text(path)
     return path
 
 
@@ -94,7 +100,24 @@ def text_lines(frames: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(base), "log_id", "left").select("log_id", "row_idx", line.alias("value"))
 
 
-def convert(frames: DataFrame, path: str, max_lines: int = 10_000_000) -> str:
-    """Write text_lines as files of at most max_lines lines, by all tasks, in row order within each file."""
-    text_lines(frames).repartitionByRange("log_id", "row_idx").sortWithinPartitions("log_id", "row_idx").select("value").write.option("maxRecordsPerFile", max_lines).mode("overwrite").text(path)
-    return path
+def convert(frames: DataFrame, path: str, name: str = "log", max_bytes: int = 9999 << 20) -> str:
+    """Write text_lines as files NAME_partN.asc of about max_bytes below path, N from 1 in row order; the last file's path.
+
+    A file ends with the line that reaches max_bytes. Bytes are summed within each range of rows, then over the ranges.
+    """
+    spark = frames.sparkSession
+    aside = f"{path.rstrip('/')}/_parts-{new_id()}"
+    lines = text_lines(frames).withColumn("range", F.floor(F.col("row_idx") / CHUNK_ROWS)).withColumn("size", (F.octet_length("value") + 1).cast("long"))
+    ranges = lines.groupBy("log_id", "range").agg(F.sum("size").alias("own"))
+    earlier = ranges.select("log_id", "range", F.coalesce(F.sum("own").over(Window.orderBy("log_id", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # a row per range
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("log_id", "range").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = lines.join(F.broadcast(earlier), ["log_id", "range"]).withColumn("part", (F.floor((F.col("earlier") + before) / max_bytes) + 1).cast("int"))
+    parts.repartition("part").sortWithinPartitions("part", "log_id", "row_idx").select("part", "value").write.partitionBy("part").text(aside)
+    fs, folder = store._fs(spark, aside)
+    last = ""
+    for status in sorted((x.getPath() for x in fs.globStatus(store._fs(spark, f"{aside}/part=*/*.txt")[1]) or []), key=lambda p: int(p.getParent().getName()[5:])):
+        last = f"{path.rstrip('/')}/{name}_part{status.getParent().getName()[5:]}.asc"
+        store._delete(spark, last)
+        fs.rename(status, store._fs(spark, last)[1])
+    fs.delete(folder, True)
+    return last

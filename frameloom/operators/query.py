@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameloom.functions.lexer import normal_channel
-from frameloom.schemas import PAGE_SIZE, LogQuery, direction_code
+from frameloom.schemas import CHUNK_ROWS, PAGE_SIZE, LogQuery, direction_code
 
 
 def apply_query(frames: DataFrame, query: LogQuery) -> DataFrame:
@@ -51,20 +51,29 @@ def read_latest(frames: DataFrame, n: int, capacity: int) -> DataFrame:
     return frames.orderBy(F.desc("row_idx")).limit(min(n, capacity)).orderBy("row_idx")
 
 
+def _chunk() -> Column:
+    """Posting lists are cut where row_idx passes a multiple of CHUNK_ROWS, so that no cell grows with a log."""
+    return F.floor(F.col("row_idx") / CHUNK_ROWS).alias("chunk")
+
+
 def can_id_index(frames: DataFrame) -> DataFrame:
-    """Posting lists per identifier. Lists hold an identifier's rows of one log; for counts alone use the count columns."""
-    own = F.sort_array(F.collect_list(F.struct("row_idx", "timestamp")))
-    return frames.groupBy("log_id", "can_id").agg(F.count("*").alias("n_rows"), F.sum("changed").alias("n_changed"), own.alias("own"), F.sort_array(F.collect_list(F.when(F.col("changed") == 1, F.col("row_idx")))).alias("changed_rows")).select("log_id", "can_id", "n_rows", "n_changed", F.col("own.row_idx").alias("rows"), "changed_rows", F.col("own.timestamp").alias("timestamps"))
+    """Posting lists per identifier and chunk of rows: rows, timestamps and changed rows, with their counts."""
+    own = F.sort_array(F.collect_list(F.struct("row_idx", "timestamp")))  # CHUNK_ROWS at most
+    lists = frames.groupBy("log_id", "can_id", _chunk()).agg(F.count("*").alias("n_rows"), F.sum("changed").alias("n_changed"), own.alias("own"), F.sort_array(F.collect_list(F.when(F.col("changed") == 1, F.col("row_idx")))).alias("changed_rows"))
+    return lists.select("log_id", "can_id", "chunk", "n_rows", "n_changed", F.col("own.row_idx").alias("rows"), "changed_rows", F.col("own.timestamp").alias("timestamps"))
 
 
 def channel_index(frames: DataFrame) -> DataFrame:
-    """Rows per normalised channel, with codes in order of first appearance."""
-    per = frames.withColumn("channel", normal_channel(F.col("channel"))).groupBy("log_id", "channel").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"), F.sort_array(F.collect_list("row_idx")).alias("rows"))
-    return per.withColumn("code", F.row_number().over(Window.partitionBy("log_id").orderBy("first_row")) - 1)
+    """Posting lists per normalised channel and chunk of rows, with the channels' codes in order of first appearance."""
+    named = frames.withColumn("channel", normal_channel(F.col("channel")))
+    lists = named.groupBy("log_id", "channel", _chunk()).agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"), F.sort_array(F.collect_list("row_idx")).alias("rows"))
+    codes = named.groupBy("log_id", "channel").agg(F.min("row_idx").alias("first_row")).select("log_id", "channel", (F.row_number().over(Window.partitionBy("log_id").orderBy("first_row")) - 1).alias("code"))  # a row per channel
+    return lists.join(codes, ["log_id", "channel"])
 
 
 def direction_index(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("log_id", F.when(F.col("direction") == 0, 0).otherwise(1).alias("direction")).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list("row_idx")).alias("rows"))
+    """Posting lists per direction and chunk of rows."""
+    return frames.groupBy("log_id", F.when(F.col("direction") == 0, 0).otherwise(1).alias("direction"), _chunk()).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list("row_idx")).alias("rows"))
 
 
 def signal_filter_page(frames: DataFrame, decoded: DataFrame, wanted: dict[int, list[int]], match_mode: str = "or", first_line: int = 0, page_size: int = 100) -> DataFrame:

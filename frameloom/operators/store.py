@@ -2,48 +2,82 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frameloom.operators.frames import derive
+from frameloom.schemas import FRAME, ServiceError, new_id
 
 #: Rows of a file at most.
 FILE_ROWS = 1_000_000
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by log and sorted by row, so that pages and identifiers prune row groups."""
-    frames.repartition("log_id").sortWithinPartitions("log_id", "row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", FILE_ROWS).mode(mode).parquet(path)
+    """Partitioned by log and sorted by row, so that pages and identifiers prune row groups. A log is written by many tasks, each of
+    a range of its rows."""
+    frames.repartitionByRange("log_id", "row_idx").sortWithinPartitions("log_id", "row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", FILE_ROWS).mode(mode).parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    df = df.withColumn("log_id", F.col("log_id").cast("string"))
+    """The frames table or one log of it. Log ids are text, also where they look like numbers."""
+    found = spark.read.parquet(path)
+    fields = [f.jsonValue() | {"type": "string"} if f.name == "log_id" else f.jsonValue() for f in found.schema.fields]
+    df = spark.read.schema(T.StructType.fromJson({"type": "struct", "fields": fields})).parquet(path)
     return df if log_id is None else df.where(F.col("log_id") == log_id)
 
 
 def updated(frames: DataFrame, updates: DataFrame) -> DataFrame:
-    """Frames with the rows of updates (log_id, row_idx and any columns of frames) put in place, derived columns anew."""
-    changes = [c for c in updates.columns if c not in ("log_id", "row_idx")]
-    new = updates.select("log_id", "row_idx", *(F.col(c).alias(f"_{c}") for c in changes))
+    """Frames with the rows of updates (log_id, row_idx and any columns of frames) put in place, derived columns anew.
+
+    What an update holds counts, also a null. Of several updates of a row the last one does (update_order, if there is such a
+    column, else the order of rows).
+    """
+    changes = [c for c in updates.columns if c not in ("log_id", "row_idx", "update_order")]
+    rows = updates if "update_order" in updates.columns else updates.withColumn("update_order", F.monotonically_increasing_id())
+    new = rows.groupBy("log_id", "row_idx").agg(F.max_by(F.struct(*changes), "update_order").alias("_new")) if changes else rows.select("log_id", "row_idx").distinct().withColumn("_new", F.lit(None))
     joined = frames.join(new, ["log_id", "row_idx"], "left")
-    rows = joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in changes else F.col(c) for c in frames.columns))
-    return derive(rows.drop("last_timestamp", "changed"))
+    put = joined.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in frames.columns))
+    return derive(put.drop("last_timestamp", "changed"))
 
 
 def update_entries(spark: SparkSession, path: str, updates: DataFrame) -> bool:
-    """Rewrite the logs that updates touch: written aside, then moved over the old partitions. No update: False."""
-    ids = [r[0] for r in updates.select("log_id").distinct().collect()]
+    """Rewrite the logs that updates touch. No update: False.
+
+    New partitions are written into a folder of this call, then each old one is renamed aside, the new one put in its place and
+    the old one deleted; recover() puts back what a crash left aside.
+    """
+    ids = [r[0] for r in updates.select(F.col("log_id").cast("string")).distinct().collect()]
     if not ids:
         return False
-    aside = f"{path.rstrip('/')}._update"
-    write_frames(updated(read_frames(spark, path).where(F.col("log_id").isin(ids)), updates), aside, "overwrite")
+    aside = f"{path.rstrip('/')}._update-{new_id()}"
+    write_frames(updated(read_frames(spark, path).where(F.col("log_id").isin(ids)), updates.withColumn("log_id", F.col("log_id").cast("string"))), aside, "overwrite")
     for log_id in ids:
-        _move(spark, f"{aside}/log_id={log_id}", f"{path}/log_id={log_id}")
+        target, old = f"{path}/log_id={log_id}", f"{path.rstrip('/')}._old-{log_id}"
+        _delete(spark, old)
+        if exists(spark, target):
+            _rename(spark, target, old)
+        _rename(spark, f"{aside}/log_id={log_id}", target)
+        _delete(spark, old)
     _delete(spark, aside)
     return True
 
 
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Put back logs that an update had renamed aside when it crashed; which they were."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}._old-*")
+    found = []
+    for status in fs.globStatus(p) or []:
+        log_id = status.getPath().getName().split("._old-", 1)[1]
+        if not exists(spark, f"{path}/log_id={log_id}"):
+            fs.rename(status.getPath(), _fs(spark, f"{path}/log_id={log_id}")[1])
+            found.append(log_id)
+    return found
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -54,10 +88,10 @@ def _delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
+def _rename(spark: SparkSession, source: str, target: str) -> None:
     fs, p = _fs(spark, source)
-    _delete(spark, target)
-    fs.rename(p, _fs(spark, target)[1])
+    if not fs.rename(p, _fs(spark, target)[1]):
+        raise ServiceError(f"{source} can't be renamed to {target}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,10 +99,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def recorded_frames(records: DataFrame) -> DataFrame:
+    """A recorded log as frames: rows numbered from 0 in the order they were written, line numbers from 1, derived columns anew.
+
+    Numbers of recorded entries have no gap, so that the first one is all that has to be known.
+    """
+    first = records.groupBy("log_id").agg(F.min("row_idx").alias("_first"))  # a row per log
+    rows = records.join(F.broadcast(first), "log_id").withColumn("row_idx", F.col("row_idx") - F.col("_first"))
+    return derive(rows.withColumn("line_number", F.col("row_idx") + 1).select(*(c for c in FRAME.names if c not in ("last_timestamp", "changed"))))
+
+
 def save_record(spark: SparkSession, source: str, target: str, log_id: str) -> bool:
-    """Copy a recorded log to another table; again is the same."""
-    if not exists(spark, f"{target}/log_id={log_id}/_SUCCESS"):
-        read_frames(spark, source, log_id).drop("log_id").write.mode("overwrite").parquet(f"{target}/log_id={log_id}")
+    """Copy a recorded log to the frames table, with the table's columns; again is the same."""
+    done = f"{target}/log_id={log_id}"
+    if not exists(spark, done):
+        aside = f"{target.rstrip('/')}._save-{new_id()}"
+        records = read_frames(spark, source, log_id)
+        write_frames(recorded_frames(records) if "line_number" not in records.columns else records, aside, "overwrite")
+        _fs(spark, target)[0].mkdirs(_fs(spark, target)[1])
+        _rename(spark, f"{aside}/log_id={log_id}", done)
+        _delete(spark, aside)
     return True
 
 
@@ -87,3 +137,18 @@ def remove_decoded(spark: SparkSession, path: str, log_id: str | None = None, db
     for status in found:
         fs.delete(status.getPath(), True)
     return len(found)
+
+
+_OWN_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ServiceError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _OWN_SCRATCH:
+            _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="frameloom-"))
+        root = _OWN_SCRATCH[0]
+    return root.rstrip("/")

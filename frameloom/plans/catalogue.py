@@ -11,7 +11,7 @@ from frameloom.functions import lexer as L
 from frameloom.operators import decode as D
 from frameloom.operators import export, frames, query, store
 from frameloom.plans.dialects import detect, parse
-from frameloom.schemas import SIGNAL, LogQuery
+from frameloom.schemas import LogQuery
 
 LOG = "events"
 _KIND = "CASE event_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN ' Can3 ' WHEN 3 THEN '' ELSE 'CAN1' END"
@@ -74,11 +74,11 @@ _frames_query("filter_direction", lambda f: query.apply_query(f, LogQuery(direct
 _frames_query("filter_changed", lambda f: query.apply_query(f, LogQuery(changed_only=True)), "WHERE changed = 1")
 _frames_query("filter_time", lambda f: query.apply_query(f, LogQuery(time_range=(86400.0, 864000.0))), 'WHERE "timestamp" BETWEEN 86400 AND 864000')
 _page("page_filtered", LogQuery(can_ids=tuple(range(256, 300)), channels=("1", "2", "can3"), directions=("Rx", 1), changed_only=True, time_range=(0.0, 2e6)), 10, 109, "can_id BETWEEN 256 AND 299 AND normal IN ('1', '2', 'can3') AND changed = 1 AND \"timestamp\" BETWEEN 0 AND 2e6")
-_add("idx_canid", f"""WITH {_BASE} SELECT can_id, count(*) AS n_rows, sum(changed)::BIGINT AS n_changed, list(row_idx ORDER BY row_idx) AS rows,
-  coalesce(list(row_idx ORDER BY row_idx) FILTER (WHERE changed = 1), []) AS changed_rows, list("timestamp" ORDER BY row_idx) AS timestamps FROM f GROUP BY can_id""", lambda s, d: query.can_id_index(full(s, d)).drop("log_id"))
-_add("idx_channel", f"""WITH {_BASE}, g AS (SELECT normal AS channel, count(*) AS n_rows, min(row_idx) AS first_row, list(row_idx ORDER BY row_idx) AS rows FROM f GROUP BY normal)
-  SELECT *, (row_number() OVER (ORDER BY first_row) - 1)::INTEGER AS code FROM g""", lambda s, d: query.channel_index(full(s, d)).drop("log_id"))
-_add("idx_direction", f"WITH {_BASE} SELECT direction, count(*) AS n_rows, list(row_idx ORDER BY row_idx) AS rows FROM f GROUP BY direction", lambda s, d: query.direction_index(full(s, d)).drop("log_id"))
+_add("idx_canid", f"""WITH {_BASE} SELECT can_id, row_idx // 100000 AS chunk, count(*) AS n_rows, sum(changed)::BIGINT AS n_changed, list(row_idx ORDER BY row_idx) AS rows,
+  coalesce(list(row_idx ORDER BY row_idx) FILTER (WHERE changed = 1), []) AS changed_rows, list("timestamp" ORDER BY row_idx) AS timestamps FROM f GROUP BY can_id, chunk""", lambda s, d: query.can_id_index(full(s, d)).drop("log_id"))
+_add("idx_channel", f"""WITH {_BASE}, g AS (SELECT normal AS channel, row_idx // 100000 AS chunk, count(*) AS n_rows, min(row_idx) AS first_row, list(row_idx ORDER BY row_idx) AS rows FROM f GROUP BY ALL)
+  SELECT g.*, c.code FROM g JOIN (SELECT normal, (row_number() OVER (ORDER BY min(row_idx)) - 1)::INTEGER AS code FROM f GROUP BY normal) c ON g.channel = c.normal""", lambda s, d: query.channel_index(full(s, d)).drop("log_id"))
+_add("idx_direction", f"WITH {_BASE} SELECT direction, row_idx // 100000 AS chunk, count(*) AS n_rows, list(row_idx ORDER BY row_idx) AS rows FROM f GROUP BY ALL", lambda s, d: query.direction_index(full(s, d)).drop("log_id"))
 _add("log_metadata", f'WITH {_BASE} SELECT arg_min("timestamp", row_idx) AS first_timestamp, arg_max("timestamp", row_idx) AS last_timestamp FROM f', lambda s, d: query.first_last_timestamp(full(s, d)).drop("log_id"))
 _add("fetch_count", f"WITH {_BASE} SELECT count(*) AS n_frames, count(*) * 107 AS bytes_written FROM f", lambda s, d: query.fetch_count(full(s, d)))
 _frames_query("read_latest", lambda f: query.read_latest(f, 500, 7812), "ORDER BY row_idx DESC LIMIT 500")
@@ -120,16 +120,26 @@ def _detected(s: SparkSession, d: str) -> DataFrame:
 _add("parse_detect", f"WITH {_BASE} SELECT CASE WHEN row_idx % 3 = 0 THEN 'CANOE' ELSE 'FILTER' END AS dialect, count(*) AS n, sum(can_id)::BIGINT AS ids FROM f GROUP BY 1", _detected)
 
 
-def signals(spark: SparkSession) -> DataFrame:
-    """The same five signals for the identifiers 257 to 264."""
-    rows = []
-    for can_id in range(257, 265):
-        for k, (name, start, length, order, signed, scale, offset) in enumerate([("be_all", 7, 16, 1, 0, 0.5, -3.0), ("be_nibble", 3, 4, 1, 1, 1.0, 0.0), ("le_all", 0, 16, 0, 0, 2.0, 1.0), ("le_high", 12, 4, 0, 0, 0.0, 0.0), ("le_signed", 8, 5, 0, 1, 0.25, 10.0)]):
-            rows.append(("d", can_id, k, name, start, length, order, signed, 0, scale, offset))
-    return spark.createDataFrame(rows, SIGNAL)
+def _signal_rows(frames_: DataFrame, specs: list[tuple]) -> DataFrame:
+    """The given signals for every identifier of the frames. For each third one an older message is there too, which must lose."""
+    fields = "signal_id, signal_name, start_bit, bit_length, byte_order, is_signed, scale, offset, mux_signal, mux_value".split(", ")
+    rows = ", ".join("named_struct(" + ", ".join(f"'{f}', {v!r}" if v is not None else f"'{f}', CAST(NULL AS INT)" for f, v in zip(fields, spec)) + ")" for spec in specs)
+    each = frames_.select("can_id").distinct().select("can_id", F.explode(F.expr("IF(can_id % 3 = 0, array(0, 1), array(1))")).alias("message_order"))
+    return each.selectExpr("'d' AS dbc_id", "can_id", "message_order", f"inline(array({rows}))").selectExpr("*", "0 AS has_choices").selectExpr("* EXCEPT (start_bit, offset, mux_value)", "IF(message_order = 0, 0, start_bit) AS start_bit", "CAST(IF(message_order = 0, 99, offset) AS DOUBLE) AS offset", "CAST(mux_value AS BIGINT) AS mux_value")
 
 
-_SIGNALS = f"""{_BASE}, p AS (SELECT *, v // 256 AS b0, v % 256 AS b1 FROM f WHERE can_id BETWEEN 257 AND 264),
+_SPECS = [
+    (0, "be_all", 7, 16, 1, 0, 0.5, -3.0, None, None), (1, "be_nibble", 3, 4, 1, 1, 1.0, 0.0, None, None), (2, "le_all", 0, 16, 0, 0, 2.0, 1.0, None, None),
+    (3, "le_high", 12, 4, 0, 0, 0.0, 0.0, None, None), (4, "le_signed", 8, 5, 0, 1, 0.25, 10.0, None, None),
+]
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same five signals for every identifier of the frames."""
+    return _signal_rows(base(spark, sf_dir), _SPECS)
+
+
+_SIGNALS = f"""{_BASE}, p AS (SELECT *, v // 256 AS b0, v % 256 AS b1 FROM f),
  x AS (SELECT row_idx, can_id, "timestamp", unnest([
    {{'signal_id': 0, 'signal_name': 'be_all', 'raw': b0 * 256 + b1, 's': 0.5::DOUBLE, 'o': -3.0::DOUBLE}},
    {{'signal_id': 1, 'signal_name': 'be_nibble', 'raw': CASE WHEN (b0 & 15) >= 8 THEN (b0 & 15) - 16 ELSE b0 & 15 END, 's': 1.0::DOUBLE, 'o': 0.0::DOUBLE}},
@@ -141,7 +151,7 @@ _SIGNALS = f"""{_BASE}, p AS (SELECT *, v // 256 AS b0, v % 256 AS b1 FROM f WHE
 
 
 def decoded(s: SparkSession, d: str) -> DataFrame:
-    return D.decode(full(s, d), signals(s))
+    return D.decode(full(s, d), signals(s, d))
 
 
 def _decoded_query(name: str, ids: str) -> None:
@@ -163,12 +173,32 @@ _add("signal_filter_and", f"WITH {_SIGNALS} SELECT {_SHOWN} FROM f WHERE row_idx
 _add("decode_progress", f"WITH {_SIGNALS} SELECT count(*) AS written, least(100.0, 100.0 * count(*) / 10000)::DOUBLE AS percent FROM z", lambda s, d: D.progress(decoded(s, d), 10000))
 
 
-def messages(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([("d", i, f"Msg{i}", 2, 5) for i in range(256, 300)], "dbc_id string, can_id long, message_name string, msg_length int, signal_count int")
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    """Frames of 64 bytes, eight times the event's time in microseconds, with signals of up to 64 bits; the last is there only if
+    the one before it is 3."""
+    rows = base(s, d).withColumns({"data": F.unhex(F.repeat(F.lpad(F.hex("us"), 16, "0"), 8)), "data_len": F.lit(64)})
+    specs = [(0, "be64", 71, 64, 1, 0, 1.0, 0.0, None, None), (1, "be60", 67, 60, 1, 0, 0.001, 0.0, None, None), (2, "le48", 144, 48, 0, 0, 1.0, -1.0, None, None), (3, "be_odd", 501, 13, 1, 1, 1.0, 0.0, None, None), (4, "switch", 504, 2, 0, 0, 1.0, 0.0, None, None), (5, "muxed", 496, 8, 0, 1, 1.0, 0.0, 4, 3), (6, "beyond", 508, 5, 0, 0, 1.0, 0.0, None, None)]
+    return D.decode(rows, _signal_rows(rows, specs)).select("row_idx", "can_id", "signal_name", "raw_value", "phys_value")
+
+
+_add("decode_wide", f"""WITH {_BASE}, x AS (SELECT row_idx, can_id, us, [(us >> (8 * (7 - k))) & 255 for k in range(0, 8)] AS b FROM f),
+  y AS (SELECT row_idx, can_id, us, unnest([
+    {{'n': 'be64', 'raw': us, 's': 1.0::DOUBLE, 'o': 0.0::DOUBLE}}, {{'n': 'be60', 'raw': us & ((1::BIGINT << 60) - 1), 's': 0.001::DOUBLE, 'o': 0.0::DOUBLE}},
+    {{'n': 'le48', 'raw': b[3] + (b[4] << 8) + (b[5] << 16) + (b[6] << 24) + (b[7] << 32) + (b[8] << 40), 's': 1.0::DOUBLE, 'o': -1.0::DOUBLE}},
+    {{'n': 'be_odd', 'raw': ((us >> 1) & 8191) - CASE WHEN (us >> 1) & 4096 > 0 THEN 8192 ELSE 0 END, 's': 1.0::DOUBLE, 'o': 0.0::DOUBLE}},
+    {{'n': 'switch', 'raw': us & 3, 's': 1.0::DOUBLE, 'o': 0.0::DOUBLE}},
+    {{'n': 'muxed', 'raw': CASE WHEN us & 3 = 3 THEN b[7] - CASE WHEN b[7] > 127 THEN 256 ELSE 0 END END, 's': 1.0::DOUBLE, 'o': 0.0::DOUBLE}}]) AS g FROM x)
+  SELECT row_idx, can_id, g.n AS signal_name, g.raw::BIGINT AS raw_value, g.raw::DOUBLE * g.s + g.o AS phys_value FROM y WHERE g.raw IS NOT NULL""", _wide)
+
+
+def messages(s: SparkSession, d: str) -> DataFrame:
+    """A message for all identifiers but every seventh; every fifth has another one that was loaded later."""
+    each = base(s, d).select("can_id").distinct().where("can_id % 7 <> 0").selectExpr("can_id", "explode(IF(can_id % 5 = 0, array(0, 1), array(0))) AS load_order")
+    return each.selectExpr("'d' AS dbc_id", "can_id", "concat(IF(load_order = 0, 'Msg', 'Alt'), can_id) AS message_name", "2 AS msg_length", "5 AS signal_count", "load_order")
 
 
-_NAME = "CASE WHEN can_id BETWEEN 256 AND 299 THEN 'Msg' || can_id ELSE 'NOT_FOUND' END"
-_add("message_names", f"WITH {_BASE} SELECT row_idx, can_id, {_NAME} AS message_name FROM f", lambda s, d: D.message_names(full(s, d), messages(s)).select("row_idx", "can_id", "message_name"))
+_NAME = "CASE WHEN can_id % 7 = 0 THEN 'NOT_FOUND' WHEN can_id % 5 = 0 THEN 'Alt' || can_id ELSE 'Msg' || can_id END"
+_add("message_names", f"WITH {_BASE} SELECT row_idx, can_id, {_NAME} AS message_name FROM f", lambda s, d: D.message_names(full(s, d), messages(s, d)).select("row_idx", "can_id", "message_name"))
 _add("message_unknown", f"WITH {_BASE} SELECT row_idx, 'UNKNOW' AS message_name FROM f", lambda s, d: D.message_names(full(s, d), None).select("row_idx", "message_name"))
 
 
@@ -181,6 +211,6 @@ _add("update_entries", f"""WITH {_BASE}, u AS (SELECT * REPLACE (CASE WHEN row_i
   n AS (SELECT * REPLACE (coalesce((lag(data_hex) OVER (PARTITION BY can_id ORDER BY row_idx) <> data_hex)::INTEGER, 0) AS changed) FROM u) SELECT {_SHOWN} FROM n""", _updates)
 _HEX = "left(data_hex, 2) || ' ' || right(data_hex, 2)"
 _add("blf_text", f"""WITH {_BASE}, z AS (SELECT arg_min("timestamp", row_idx) AS base FROM f WHERE "timestamp" <> 0)
-  SELECT row_idx, rpad(printf('%.6f', "timestamp" - base), 12, ' ') || 'CAN     2 ' || CASE WHEN direction = 0 THEN 'Rx ' ELSE 'Tx ' END || lpad(printf('%X', can_id), 10, ' ') || '    ' || rpad({_NAME}, 40, ' ') || '2   ' || {_HEX} AS value FROM f, z""", lambda s, d: export.text_lines(D.message_names(full(s, d), messages(s))).drop("log_id"))
+  SELECT row_idx, rpad(printf('%.6f', "timestamp" - base), 12, ' ') || 'CAN     2 ' || CASE WHEN direction = 0 THEN 'Rx ' ELSE 'Tx ' END || lpad(printf('%X', can_id), 10, ' ') || '    ' || rpad({_NAME}, 40, ' ') || '2   ' || {_HEX} AS value FROM f, z""", lambda s, d: export.text_lines(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
 _add("export_rows", f"""WITH {_BASE} SELECT min(row_idx) OVER (PARTITION BY can_id) AS group_row, row_idx, can_id, printf('%.6f', "timestamp") AS time, channel, '0x' || printf('%X', can_id) AS can_id_text,
-  {_NAME} AS message_name, CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END AS direction, '2' AS dlc, {_HEX} AS data FROM f""", lambda s, d: export.export_rows(D.message_names(full(s, d), messages(s))))
+  {_NAME} AS message_name, CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END AS direction, '2' AS dlc, {_HEX} AS data FROM f""", lambda s, d: export.export_rows(D.message_names(full(s, d), messages(s, d))).drop("log_id"))

@@ -13,6 +13,7 @@ VALID_LENGTHS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64]
 CAPPED_ID = 8192
 CHANNEL_CHARS = 15
 PAGE_SIZE = 10_000
+CHUNK_ROWS = 100_000
 ENTRY_BYTES = 107
 RING_CAPACITY = 7812
 
@@ -22,7 +23,7 @@ RECORD = T.StructType([
 ])
 FRAME = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("row_idx", T.LongType()), T.StructField("line_number", T.LongType()), *RECORD.fields, T.StructField("last_timestamp", T.DoubleType()), T.StructField("changed", T.IntegerType())])
 MESSAGE = "dbc_id string, can_id long, message_name string, msg_length int, signal_count int"
-SIGNAL = "dbc_id string, can_id long, signal_id int, signal_name string, start_bit int, bit_length int, byte_order int, is_signed int, has_choices int, scale double, offset double"
+SIGNAL = "dbc_id string, can_id long, signal_id int, signal_name string, start_bit int, bit_length int, byte_order int, is_signed int, has_choices int, scale double, offset double, mux_signal int, mux_value long"
 
 
 class ParserStatus(IntEnum):
@@ -37,9 +38,9 @@ class DecodeStatus(IntEnum):
 
 
 class RecorderState(IntEnum):
-    WAIT_RING = 1
-    WRITE_BATCH = 2
-    PAUSED = 3
+    WRITE_BATCH = 1
+    PAUSED = 2
+    WAIT_RING = 3
     STOPPED = 4
 
 

@@ -1,63 +1,92 @@
-"""Text logs: line numbers across splits, one dialect per file, row numbers, derived columns."""
+"""Text logs: line numbers across splits, a dialect per file, row numbers, derived columns."""
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frameloom.operators.decode import BROADCAST_ROWS, sized
 from frameloom.operators.frames import derive
-from frameloom.plans.dialects import detect, parse
+from frameloom.plans.dialects import DIALECTS, detect, prepared
+from frameloom.schemas import ServiceError
 
 FIELDS = ["timestamp", "can_id", "direction", "data_len", "data", "channel"]
+#: Lines at the head of a file that detection looks at first; only files without a frame there are looked at whole.
+HEAD_LINES = 2_000
+_FRAMES = "log_id string, row_idx long, line_number long, timestamp double, can_id long, direction int, data_len int, data binary, channel string, last_timestamp double, changed int"
+
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (where it starts), id, line. Ids of a split's lines follow one another. Only a line feed ends a line."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    return raw.withColumn("id", F.monotonically_increasing_id())
 
-def _numbered(df: DataFrame, keep: Column, name: str) -> DataFrame:
-    """A running number per file of the rows to keep: local numbers within each split plus the counts of earlier splits.
 
-    Splits are ordered by where they start, not by partition number. Only one row per split is gathered and broadcast.
-    """
-    kept = df.where(keep)
-    per = kept.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    base = per.withColumn("base", F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))).select("file", "split", "low", F.coalesce("base", F.lit(0)).alias("base"))
-    return kept.join(F.broadcast(base), ["file", "split"]).withColumn(name, F.col("base") + F.col("id") - F.col("low")).drop("base", "low")
+def _before(per_split: DataFrame, *counts: str) -> DataFrame:
+    """For a row per split: its counts replaced by their sums over the splits before, in the order of splits within each file."""
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return per_split.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_number (from 1), line. Only a line feed ends a line."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
-    return _numbered(raw.withColumn("id", F.monotonically_increasing_id()), F.lit(True), "n").select("file", "split", (F.col("n") + 1).alias("line_number"), "line")
+    """file, split, line_number (from 1), line. Lines are counted per split; no line moves."""
+    raw = _raw(spark, path)
+    base = _before(raw.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("low")), "n")
+    return raw.join(F.broadcast(base), ["file", "split"]).select("file", "split", (F.col("n") + F.col("id") - F.col("low") + 1).alias("line_number"), "line")
+
+
+def _first_dialects(raw: DataFrame) -> DataFrame:
+    found = detect(raw, F.col("line")).where("found is not null")
+    return found.groupBy("file").agg(F.min_by(F.col("found.dialect"), F.struct("split", "id")).alias("dialect"))
 
 
-def detect_dialects(lines: DataFrame) -> DataFrame:
-    """(file, dialect): that of each file's first line that any dialect takes."""
-    found = detect(lines, F.col("line")).where("found is not null")
-    return found.groupBy("file").agg(F.min_by(F.col("found.dialect"), "line_number").alias("dialect"))
+def detect_dialects(raw: DataFrame) -> DataFrame:
+    """(file, dialect): that of each file's first line that any dialect takes. Heads are looked at first, as all dialects parse
+    every line that is looked at."""
+    head = raw.where("split = 0")
+    low = head.groupBy("file").agg(F.min("id").alias("low"))  # a row per file
+    found = _first_dialects(head.join(F.broadcast(low), "file").where(F.col("id") < F.col("low") + HEAD_LINES)).cache()
+    files = raw.select("file").distinct()
+    late = files.join(found, "file", "left_anti").cache()
+    if late.limit(1).count():
+        found = found.unionByName(_first_dialects(raw.join(sized(late), "file", "left_semi")))
+    return found
 
 
 def parse_log(spark: SparkSession, path: str, log_id: str, dialect: str | None = None, with_changed: bool = True, limit_ids: bool = True) -> DataFrame:
     """Frames of one log: row_idx in line order, last_timestamp and changed.
 
-    A first job finds each file's dialect, so that the parse itself is one projection per dialect present, over the files in it.
+    A first job finds each file's dialect in its head. A second one counts lines and frames per split, by the same projection as
+    the parse itself; what it leaves, a row per split, is broadcast. The parse is a scan without a shuffle up to derive().
     with_changed=False leaves changed at 0.
     """
-    lines = read_lines(spark, path)
+    raw = _raw(spark, path)
     if dialect is None:
-        files = detect_dialects(lines).cache()  # a row per file
+        files = detect_dialects(raw).cache()  # a row per file
         present = [r[0] for r in files.select("dialect").distinct().orderBy("dialect").collect()]
         if not present:
-            return spark.createDataFrame([], "log_id string, row_idx long, line_number long, timestamp double, can_id long, direction int, data_len int, data binary, channel string, last_timestamp double, changed int")
-        parts = [(d, lines.join(files.where(F.col("dialect") == d).select("file"), "file", "left_semi")) for d in present]
+            return spark.createDataFrame([], _FRAMES)
+        if files.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            raise ServiceError(f"{path} has more than {BROADCAST_ROWS} files; parse it in parts")
+        raw = raw.join(F.broadcast(files), "file", "left")  # without moving lines
     else:
-        parts = [(dialect, lines)]
-    shown = [parse(part, F.col("line"), d).where("frame is not null").select("file", "split", "line_number", "frame.*") for d, part in parts]
-    parsed = functools.reduce(DataFrame.unionByName, shown)
-    per = parsed.groupBy("file", "split").agg(F.count("*").alias("n"))
-    base = per.select("file", "split", F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per split
-    rank = F.row_number().over(Window.partitionBy("file", "split").orderBy("line_number")) - 1
-    rows = parsed.withColumn("rank", rank).join(F.broadcast(base), ["file", "split"]).select(F.lit(log_id).alias("log_id"), (F.col("base") + F.col("rank")).alias("row_idx"), "line_number", *FIELDS)
+        present, raw = [dialect], raw.withColumn("dialect", F.lit(dialect))
+    wide, x = prepared(raw, F.col("line"))
+    frame = F.coalesce(*[F.when(F.col("dialect") == d, DIALECTS[d](x)) for d in present])
+    parsed = wide.select("file", "split", "id", frame.alias("frame"))
+    counted = parsed.groupBy("file", "split").agg(F.count("*").alias("lines"), F.count("frame").alias("frames"), F.min("id").alias("low"))
+    # lines count on over the splits of a file, frames over all files in the order of their names; a task that reads several
+    # splits numbers its frames throughout
+    frames = F.sum("frames").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
+    task = F.shiftright("low", 33)
+    own = F.sum("frames").over(Window.partitionBy(task).orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    base = _before(counted.withColumns({"before": F.coalesce(frames, F.lit(0)), "first": F.shiftleft(task, 33) + F.coalesce(own, F.lit(0))}), "lines")
+    kept = parsed.where("frame is not null").withColumn("place", F.monotonically_increasing_id())
+    rows = kept.join(F.broadcast(base), ["file", "split"]).select(
+        F.lit(log_id).alias("log_id"), (F.col("before") + F.col("place") - F.col("first")).alias("row_idx"),
+        (F.col("lines") + F.col("id") - F.col("low") + 1).alias("line_number"), *(f"frame.{f}" for f in FIELDS),
+    )
     out = derive(rows, limit_ids=limit_ids)
     return out if with_changed else out.withColumn("changed", F.lit(0))
 

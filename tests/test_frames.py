@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from frameloom.functions.signals import physical_value, raw_value
+from frameloom.functions.signals import PLACE, bits, physical_value, place
 from frameloom.operators import decode, export, frames, query, store
 from frameloom.plans import catalogue
-from frameloom.schemas import LogQuery, direction_code
+from frameloom.schemas import SIGNAL, LogQuery, RecorderState, direction_code
 from frameloom.service import DecodeCompletedEvent, Engine, ParserStatusEvent
 from frameloom.sources import dbc, files
 from frameloom.streaming import ring
@@ -80,8 +80,8 @@ def test_bits_equal_brute_force(spark):
             want = value - (1 << length) if signed and value >> (length - 1) else value
             want = want - (1 << 64) if want >= 1 << 63 else want
         rows.append((data, start, length, order, signed, want))
-    df = spark.createDataFrame(rows, "data binary, start int, length int, ord int, signed int, want long")
-    got = df.withColumn("got", raw_value(*(F.col(c) for c in ("data", "start", "length", "ord", "signed"))))
+    df = spark.createDataFrame(rows, "data binary, start_bit int, bit_length int, byte_order int, is_signed int, want long")
+    got = place(df).withColumn("got", bits(F.col("data"), *(F.col(c) for c in [*PLACE, "byte_order", "is_signed"])))
     assert got.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
     assert df.limit(1).select(physical_value(F.lit(3), F.lit(0.0), F.lit(None).cast("double"))).first()[0] == 3.0
 
@@ -107,8 +107,8 @@ VAL_ 418 Abe 0 "off" 1 "on" ;
 def test_database_and_decode(spark):
     messages, signals = dbc.parse_dbc(DBC)
     assert messages == [(418, "MsgA", 2, 2)]
-    assert signals == [(418, 0, "Abe", 8, 8, 0, 1, 1, 1.0, 0.0), (418, 1, "Zed", 7, 8, 1, 0, 0, 0.5, 1.0)]
-    model = spark.createDataFrame([("d", *s) for s in signals], "dbc_id string, can_id long, signal_id int, signal_name string, start_bit int, bit_length int, byte_order int, is_signed int, has_choices int, scale double, offset double")
+    assert signals == [(418, 0, "Abe", 8, 8, 0, 1, 1, 1.0, 0.0, None, None), (418, 1, "Zed", 7, 8, 1, 0, 0, 0.5, 1.0, None, None)]
+    model = spark.createDataFrame([("d", *s) for s in signals], SIGNAL)
     got = decode.decode(_frames(spark), model)
     assert sorted((r["row_idx"], r["signal_name"], r["raw_value"], r["phys_value"], r["changed"]) for r in got.collect()) == [(0, "Zed", 170, 86.0, 0), (2, "Zed", 170, 86.0, 0), (3, "Abe", 0, 0.0, 0), (3, "Zed", 170, 86.0, 0)]
     assert decode.ambiguous_ids(spark.createDataFrame([(1,), (1,), (2,)], "can_id long")).collect() == [(1, "Unresolved")]
