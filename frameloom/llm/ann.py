@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -18,8 +19,8 @@ CENTROIDS = 128
 FIT_ROWS = 8192
 #: Cells are visited in order until they hold this share of all different vectors.
 SHARE = 0.4
-#: Vectors and queries that meet in one task's matrix product.
-BIN_ROWS, QUERY_ROWS = 8192, 4096
+#: Vectors of a bin of cells at most: what a task holds while the queries that visit the bin stream past.
+BIN_ROWS = 1024
 
 
 def _kmeans(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -64,8 +65,7 @@ def _vectors(column: pd.Series) -> np.ndarray:
 
 def valid(embeddings: DataFrame) -> DataFrame:
     """vec_id and vector (array of double): rows with an id and a vector that is neither null, empty nor zero and has no null or
-    non-finite component. A vec_id with several vectors keeps the smallest. Vectors of another length than the most common
-    (the longer, if tied) take no part, as they have no inner product with the others."""
+    non-finite component. A vec_id with several vectors keeps the smallest."""
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0")
@@ -76,20 +76,37 @@ def valid(embeddings: DataFrame) -> DataFrame:
 def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROIDS, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by `every`.
 
-    Equal vectors are one entry with their k + 1 smallest ids, as no other copy can be among the k nearest of any query.
-    An empty table gives an empty result. The driver holds the centroids and a count per cell, both bounded by centroids
-    squared. Vectors are dealt to bins of at most about BIN_ROWS, a large cell over several, and queries to blocks, so no
-    task's matrix product grows with the data.
+    Vectors of different lengths have no inner product: those of each length are searched among themselves, by an index of their
+    own. An empty table gives an empty result. With share 1 every cell is visited, which makes the search exact.
     """
-    spark = embeddings.sparkSession
     rows = valid(embeddings)
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    d = sizes[0]["d"]
-    rows = rows.where(F.size("vector") == d)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).select("vector").collect()], np.float64)
+    lengths = [r[0] for r in rows.select(F.size("vector").alias("d")).distinct().orderBy("d").collect()]
+    found = [_search(rows.where(F.size("vector") == d), d, every, k, centroids, share) for d in lengths]
+    return functools.reduce(DataFrame.unionByName, found) if found else embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _best(q: np.ndarray, v: np.ndarray, allowed: np.ndarray, ids: list, query: int, k: int) -> list[tuple[float, int]]:
+    """The k best (-score, id) of one query among the allowed vectors; only these are multiplied."""
+    if len(allowed) > k + 1:
+        rough = v[allowed] @ q
+        cut = np.partition(rough, -(k + 1))[-(k + 1)]
+        allowed = allowed[rough >= cut - 1e-9 * (1 + abs(cut))]
+    score = np.zeros(len(allowed))
+    for j in range(len(q)):  # one order of summation, whatever the bin
+        score += q[j] * v[allowed, j]
+    return heapq.nsmallest(k, [(-s, x) for s, row in zip(score.tolist(), allowed) for x in ids[row] if x != query])
+
+
+def _search(rows: DataFrame, d: int, every: int, k: int, centroids: int, share: float) -> DataFrame:
+    """search() of vectors of length d.
+
+    Equal vectors are one entry with their k + 1 smallest ids, as no other copy can be among the k nearest of any query. The
+    driver holds the centroids and a count per cell, both bounded by centroids squared. Each entry goes to one bin of at most
+    about BIN_ROWS entries (a large cell has several); each query to the bins of the cells it visits. A task holds one bin and
+    streams its queries, of which it multiplies each with the entries of its own cells alone.
+    """
+    spark = rows.sparkSession
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").collect()], np.float64)
     half = (d + 1) // 2
     left, right = _kmeans(sample[:, :half], centroids), _kmeans(sample[:, half:], centroids) if d > half else np.zeros((1, 0))
     model = spark.sparkContext.broadcast((left, right))
@@ -104,7 +121,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
                 yield pd.DataFrame({"vector": [row.tobytes() for row in v], "cell": x * len(b) + y, "ids": pdf["ids"]})
 
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    entries = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
     index = entries.mapInPandas(assign, "vector binary, cell long, ids array<long>")
     held = np.zeros(len(left) * len(right), np.int64)
     for cell, n in index.groupBy("cell").count().collect():
@@ -121,9 +138,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
         if fill + held[cell] > BIN_ROWS:
             used, fill = used + 1, 0
         first[cell], fill = used, fill + held[cell]
-    n_queries = rows.where(F.col("vec_id") % every == 0).count()
-    blocks = max(1, -(-n_queries // QUERY_ROWS))
     places = spark.sparkContext.broadcast((held, first, count, need))
+    table = "bin long, asks boolean, query_id long, vector binary, cells binary, ids array<long>"
 
     def visit(batches):
         a, b = model.value
@@ -136,47 +152,42 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int =
                 for cell in cells_in_order(v, a, b, held, need):
                     for at in range(first[cell], first[cell] + count[cell]):
                         bins.setdefault(int(at), []).append(cell)
-                out += [(at, vec_id, v.tobytes(), np.array(cells, np.int32).tobytes()) for at, cells in bins.items()]
-            yield pd.DataFrame(out, columns=["bin", "query_id", "vector", "cells"])
+                out += [(at, True, vec_id, v.tobytes(), np.array(cells, np.int32).tobytes(), None) for at, cells in bins.items()]
+            yield pd.DataFrame(out, columns=["bin", "asks", "query_id", "vector", "cells", "ids"])
 
     def deal(batches):
         _, first, count, _ = places.value
         for pdf in batches:
             cell = pdf["cell"].to_numpy()
             salt = np.array([x[0] for x in pdf["ids"]], np.int64) % count[cell] if len(pdf) else cell
-            yield pdf.assign(bin=first[cell] + salt)
+            yield pd.DataFrame({"bin": first[cell] + salt, "asks": False, "query_id": 0, "vector": pdf["vector"], "cells": [np.int32(c).tobytes() for c in cell], "ids": pdf["ids"]})
 
-    # by a hash: Spark leaves out a repartition by the aggregate's own key, and merges the aggregate's small partitions into one task
-    queries = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInPandas(visit, "bin long, query_id long, vector binary, cells binary").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dealt = index.mapInPandas(deal, "vector binary, cell long, ids array<long>, bin long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    n_cells = len(held)
-
-    def rerank(key, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(vectors) and len(asked):
-            v = np.frombuffer(b"".join(vectors["vector"]), np.float64).reshape(-1, d)
-            cell, ids = vectors["cell"].to_numpy(), vectors["ids"].tolist()
-            for at in range(0, len(asked), 256):
-                part = asked.iloc[at : at + 256]
-                q = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(-1, d)
-                scores = q @ v.T
-                for i, (query, cells) in enumerate(zip(part["query_id"], part["cells"])):
+    def rerank(batches):
+        """Rows sorted by bin, its entries before the queries that it is asked."""
+        n_cells, current, entries, v = len(places.value[0]), None, [], None
+        for pdf in batches:
+            out = []
+            for at, asks, query, vector, cells, ids in zip(pdf["bin"], pdf["asks"], pdf["query_id"], pdf["vector"], pdf["cells"], pdf["ids"]):
+                if at != current:
+                    current, entries, v = at, [], None
+                if not asks:
+                    entries.append((vector, cells, [int(x) for x in ids]))
+                    continue
+                if v is None and entries:
+                    v = np.frombuffer(b"".join(x for x, _, _ in entries), np.float64).reshape(-1, d)
+                    cell = np.frombuffer(b"".join(x for _, x, _ in entries), np.int32)
+                if v is not None:
                     seen = np.zeros(n_cells, bool)
                     seen[np.frombuffer(cells, np.int32)] = True
-                    allowed = np.flatnonzero(seen[cell])
-                    if len(allowed) > k + 1:
-                        cut = np.partition(scores[i, allowed], -(k + 1))[-(k + 1)]
-                        allowed = allowed[scores[i, allowed] >= cut - 1e-9 * (1 + abs(cut))]
-                    exact = np.zeros(len(allowed))
-                    for j in range(d):  # one order of summation, whatever the block
-                        exact += q[i, j] * v[allowed, j]
-                    found = [(-s, x) for s, row in zip(exact.tolist(), allowed) for x in ids[row] if x != query]
-                    found = heapq.nsmallest(k, found)
+                    found = _best(np.frombuffer(vector, np.float64), v, np.flatnonzero(seen[cell]), [x for _, _, x in entries], int(query), k)
                     if found:
-                        out.append((query, [x for _, x in found], [-s for s, _ in found]))
-        return pd.DataFrame(out, columns=["query_id", "vec", "score"])
+                        out.append((int(query), [x for _, x in found], [-s for s, _ in found]))
+            yield pd.DataFrame(out, columns=["query_id", "vec", "score"])
 
-    near = dealt.groupBy("bin", "block").cogroup(queries.groupBy("bin", "block")).applyInPandas(rerank, "query_id long, vec array<long>, score array<double>")
+    # by a hash: Spark leaves out a repartition by the aggregate's own key, and merges the aggregate's small partitions into one task
+    asked = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInPandas(visit, table)
+    dealt = index.mapInPandas(deal, table).unionByName(asked).repartition("bin").sortWithinPartitions("bin", "asks")
+    near = dealt.mapInPandas(rerank, "query_id long, vec array<long>, score array<double>")
     flat = near.select("query_id", F.inline(F.arrays_zip(F.col("vec").alias("vec"), F.col("score").alias("score")))).toDF("query_id", "vec_id", "score")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

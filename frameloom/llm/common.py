@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,9 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.operators.store import scratch
+
 #: Bytes of text that one numpy step takes at a time.
 SLICE_BYTES = 2 << 20
-_OWN_ROOT: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +26,12 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN_ROOT:
-            _OWN_ROOT.append(tempfile.mkdtemp(prefix="frameloom-"))
-        root = _OWN_ROOT[0]
-    return root.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder."""
+    return scratch(spark)
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/frameloom/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
@@ -41,15 +40,15 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     A lost executor then costs a read, not the stages before. The table outlives the query; clear() removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/frameloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that written() left below the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/frameloom")
+    """Delete the tables that written() left for this application below the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

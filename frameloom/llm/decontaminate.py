@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -221,6 +223,17 @@ class Index:
         return [(r, item, int(origin[starts[r] + first]) - int(places[r]), last(r, end) - int(places[r]), edits, size) for (r, item), (first, end, edits, size) in sorted(found.items())]
 
 
+_KEPT: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]]) -> Index:
+    """The index of a block, made once per worker process; one is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Index(items)
+    return _KEPT[key]
+
+
 def _blocks(benchmark: DataFrame):
     """The items in blocks of about BLOCK_BYTES, one after another, so that the driver never holds more."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -243,8 +256,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def go(batches, shared=shared):
-            index = Index(shared.value)
+        def go(batches, shared=shared, key=uuid.uuid4().hex):
+            index = _index(key, shared.value)
             for part in slices(batches):
                 found = index.search(*utf8(part.column(1)))
                 if found:
@@ -262,8 +275,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def go(batches, shared=shared):
-            index = Index(shared.value)
+        def go(batches, shared=shared, key=uuid.uuid4().hex):
+            index = _index(key, shared.value)
             for part in slices(batches, place):
                 stay = np.ones(part.num_rows, bool)
                 stay[[x[0] for x in index.search(*utf8(part.column(place)))]] = False

@@ -15,21 +15,30 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "agpl": "licensed under the gnu affero general public license",
     "apache": "licensed under the apache license version",
+    "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "boost": "distributed under the boost software license version",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "cc-by-nc": "licensed under cc by nc",
     "cc-by-sa": "licensed under cc by sa",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license",
     "gpl": "this work is licensed under the gnu general public license version",
+    "gpl-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl": "licensed under the gnu lesser general public license",
     "mit": "released under the mit license",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "mpl": "this source code form is subject to the terms of the mozilla public license",
     "reserved": "copyright all rights reserved",
+    "unlicense": "this is free and unencumbered software released into the public domain",
 }
 #: A block matches if it holds this share of a template's different words.
 CONTAINMENT = 0.8
 #: What isn't part of a word, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Ends of blocks: line ends, and sentence ends before white space.
-BLOCK_END = r"\n|[.!?][ \n]"
+#: Ends of blocks: blank lines, and sentence ends before white space. A single line end is a blank, as notices are wrapped.
+BLOCK_END = r"\n[ \t]*\n|[.!?][ \n]"
 
 
 def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -37,7 +46,10 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def _plain(text: Column) -> Column:
-    """Words joined by single blanks. lower() may also change letters beyond A-Z; none of those then is or leaves a separator."""
+    """Words joined by single blanks, A-Z in lower case. lower() may also change letters beyond A-Z, which stay parts of words; the
+    two of them that it would turn into ASCII letters are replaced before."""
+    for letter in ("\u0130", "\u212a"):
+        text = F.replace(text, F.lit(letter), F.lit("\ufffd"))
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
 
@@ -52,7 +64,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     empty label strings and score 0. Repeated rows stay, null ids pass through, other columns aren't read.
 
     One pass over the texts leaves, per document, the base columns, the template words that it holds and its promising blocks
-    as sets of template words. That small table is written to the shared folder. Word frequencies over all documents (a row
+    as sets of template words, if it holds as many of these as any template needs. That small table is written to the shared folder. Word frequencies over all documents (a row
     per template word, so bounded) order every set; the join is on words of template prefixes.
     """
     sets = template_words(templates)
@@ -70,16 +82,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
         lasts.append(F.when(held, n_words - _blanks(F.substring_index(framed, f" {phrase} ", -1)) - len(phrase.split())))
         labels.append(F.when(held, F.lit(label)))
     seen = F.array_intersect(F.split("plain", " "), vocabulary)
-    promising = F.lit(False)
-    for label, words in sets.items():
-        promising = promising | (F.size(F.array_intersect("seen", F.array(*[F.lit(w) for w in words]))) >= need[label])
     blocks = F.filter(
         F.transform(F.split("text", BLOCK_END), lambda b: F.array_intersect(F.split(_plain(b), " "), vocabulary)),
         lambda b: F.size(b) >= min(need.values()),
     )
     kept = written(
         base.withColumns({"seen": seen})
-        .withColumn("blocks", F.when(promising, blocks))
+        .withColumn("blocks", F.when(F.size("seen") >= min(need.values()), blocks))
         .select(
             F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), sum(counts[1:], counts[0]).cast("long").alias("n_base"),
             F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"), "seen", "blocks",
@@ -138,7 +147,7 @@ def oracle() -> str:
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents),
         t(label, words, need) AS (VALUES {values}),
         p AS ({places}),
-        b AS (SELECT r, list_distinct({words("block")}) AS w FROM (SELECT r, unnest(regexp_split_to_array(text, '\\n|[.!?][ \\n]')) AS block FROM d)),
+        b AS (SELECT r, list_distinct({words("block")}) AS w FROM (SELECT r, unnest(regexp_split_to_array(text, '{BLOCK_END}')) AS block FROM d)),
         m AS (SELECT r, label, max(len(list_intersect(w, words))::DOUBLE / len(words)) AS share FROM b, t WHERE len(list_intersect(w, words)) >= need GROUP BY r, label),
         pa AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY r),
         la AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION SELECT r, label FROM m) GROUP BY r),

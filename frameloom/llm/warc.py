@@ -1,4 +1,4 @@
-r"""WARC archives as a chunked record table: no payload is ever held by one row unless it is small.
+r"""WARC archives as a chunked record table: archives and what is read from them hold no payload in one row unless it is small.
 
 Every record is a row of text and the archive is those rows, so Spark's own text writer and reader make and split the files on
 any store. A payload of more than CHUNK bytes becomes a response segment and continuation segments, the standard's own form of
@@ -15,8 +15,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from frameloom.llm.common import shared_root
+from frameloom.llm.common import own_folder
 
 #: Payload bytes of a segment at most.
 CHUNK = 64 << 10
@@ -51,25 +52,30 @@ def _records(pages: DataFrame, least_revisit: int) -> DataFrame:
         .join(salted, ["digest", "salt"])
         .where(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
         .select("page_id", "digest", "keeper")
-        .distinct()
+        .distinct()  # a page that occurs several times
     )
-    found = rows.alias("r").join(revisits.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.digest") == F.col("v.digest")), "left")
-    return found.select("r.page_id", "r.url", "r.html", "r.digest", "r.n_bytes", "v.keeper")
+    # null identifiers have a key of their own, so that the join's partitions serve the window too
+    key = [F.coalesce("page_id", F.lit(0)).alias("key"), F.col("page_id").isNull().alias("no_page")]
+    found = rows.select("*", *key).join(revisits.select(*key, "digest", "keeper"), ["key", "no_page", "digest"], "left")
+    copy = F.row_number().over(Window.partitionBy("key", "no_page", "digest").orderBy("url")) - 1
+    return found.select("page_id", "url", "html", "digest", "n_bytes", "keeper", copy.alias("copy"))
 
 
 def write(pages: DataFrame, path: str, chunk: int = CHUNK, least_revisit: int = 0) -> None:
     """Write an archive record for each page (page_id, url, html); payload: the html in UTF-8, null as empty.
 
     Of pages with equal payloads of at least least_revisit bytes that with the largest page_id is a response and the others
-    revisit it. A page that occurs several times with one payload is one record. A null page_id never is the response of others.
+    revisit it. Each row is a record, also where a page occurs several times with one payload; copies of the response are
+    responses too. A null page_id never is the response of others.
     """
-    def identity(page: Column, digest: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
+    def identity(page: Column, digest: Column, copy: Column) -> Column:
+        return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.when(copy > 0, F.concat(F.lit(":"), copy)).otherwise(""), F.lit(">"))
 
-    rows = _records(pages, least_revisit).withColumns({"b32": base32(F.col("digest")), "id": identity(F.col("page_id"), F.col("digest"))})
+    rows = _records(pages, least_revisit).withColumns({"b32": base32(F.col("digest")), "id": identity(F.col("page_id"), F.col("digest"), F.col("copy"))})
     # bytes are cut, not characters: a segment may end within one
     responses = rows.where("keeper is null").select("id", "url", "b32", "n_bytes", "html")
-    pieces = F.split(F.coalesce("html", F.lit("")), r"(?<=W)(?=ARC/1\.1)")
+    text = F.coalesce("html", F.lit(""))
+    pieces = F.when(text.contains("WARC/1.1"), F.split(text, r"(?<=W)(?=ARC/1\.1)")).otherwise(F.array(text))
     parts = F.flatten(
         F.transform(
             F.transform(pieces, lambda x: x.cast("binary")),
@@ -95,7 +101,7 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK, least_revisit: int =
         F.concat(
             F.lit(VERSION + "WARC-Type: revisit\r\nWARC-Record-ID: "), "id",
             F.lit("\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " "),
-            F.lit("\r\nWARC-Refers-To: "), identity(F.col("keeper"), F.col("digest")), F.lit("\r\nWARC-Payload-Digest: sha1:"), "b32",
+            F.lit("\r\nWARC-Refers-To: "), identity(F.col("keeper"), F.col("digest"), F.lit(0)), F.lit("\r\nWARC-Payload-Digest: sha1:"), "b32",
             F.lit("\r\nPayload-Length: "), F.col("n_bytes"),
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Length: 0" + END),
         ).alias("value")
@@ -166,7 +172,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("kind") == "revisit", F.col("said_digest")).otherwise(base32(F.sha1("block"))).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         F.when(F.col("kind") == "revisit", F.regexp_extract("refers", r"urn:page:(-?\d+):", 1).cast("long")).alias("refers_to"),
-    ).dropDuplicates(["record_id"])
+    )
     parted = rows.where("not whole").select("record_id", "chunk", "block").repartition("record_id").sortWithinPartitions("record_id", "chunk")
     joined = parted.mapInArrow(_digests, "record_id string, payload_bytes long, payload_digest string").select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     page = F.regexp_extract("record_id", r"urn:page:(-?\d+):", 1)
@@ -176,6 +182,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, chunk: int = CHUNK, least_revisit: int = 0) -> DataFrame:
     """write() to the shared folder, then read()."""
     spark = pages.sparkSession
-    path = f"{shared_root(spark)}/frameloom/warc-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, chunk, least_revisit)
     return read(spark, path)
