@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameloom.operators import decode as D
 from frameloom.operators import export, query, store
-from frameloom.schemas import DecodeCode, DecodeId, DecodeStatus, InvalidFileError, LogQuery, MetadataNotFoundError, ParserStatus, ServiceError, new_id
+from frameloom.schemas import DecodeCode, DecodeId, DecodeStatus, InvalidFileError, LogQuery, MetadataNotFoundError, ParserStatus, RecorderState, ServiceError, new_id
 from frameloom.sources import dbc, files
 from frameloom.streaming import ring
 
@@ -39,6 +43,17 @@ class DecodeCompletedEvent:
     code: int = 0
 
 
+@dataclass(frozen=True)
+class RecorderStatusEvent:
+    log_id: str
+    state: RecorderState
+    frames: int = 0
+
+
+#: Parses and decodes that run at a time.
+PARSE_THREADS = 4
+
+
 class Engine:
     """start() and stop() frame its life; every operation needs a running engine."""
 
@@ -47,7 +62,11 @@ class Engine:
         self.frames_path, self.decoded_path, self.dbc_path = (f"{self.root}/{x}" for x in ("frames", "decoded", "dbc"))
         self._heard: dict[type, list[Callable]] = defaultdict(list)
         self._recording: dict = {}
+        self._listening: dict[str, ring.RecorderListener] = {}
         self._decoding: set[tuple[str, str]] = set()
+        self._turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
+        self._pool = ThreadPoolExecutor(PARSE_THREADS)
+        self.parsing: dict[str, ParserStatus] = {}
 
     def start(self) -> None:
         self.state = "RUNNING"
@@ -55,7 +74,7 @@ class Engine:
     def stop(self) -> None:
         self.state = "STOPPING"
         for log_id in list(self._recording):
-            ring.stop(self._recording.pop(log_id))
+            self.stop_recording(log_id)
         self.state = "STOPPED"
 
     def _running(self) -> None:
@@ -73,25 +92,46 @@ class Engine:
         for call in list(self._heard[type(event)]):
             call(event)
 
-    def parse_log_file(self, path: str) -> str:
+    def parse_log_file(self, path: str, log_id: str | None = None) -> str:
         """Ingest a file; returns its log's id. Jobs carry the id as their group, so that request_stop can cancel them."""
         self._running()
-        log_id = new_id()
+        log_id = log_id or new_id()
         self.spark.sparkContext.setJobGroup(log_id, f"parse {path}", True)
-        self.dispatch(ParserStatusEvent(log_id, ParserStatus.STARTED))
+        self._told(log_id, ParserStatus.STARTED)
         try:
             frames = files.read_any(self.spark, path, log_id)
             if frames is None:
                 raise InvalidFileError(f"{path}: unknown kind of file")
-            if "log_id" not in frames.columns:
-                raise InvalidFileError(f"{path}: tabular files have no row order; read them with read_csv or read_excel")
             store.write_frames(frames, self.frames_path)
         except Exception:
-            self.dispatch(ParserStatusEvent(log_id, ParserStatus.FAILED))
+            self._told(log_id, ParserStatus.FAILED)
             raise
-        self.dispatch(ParserStatusEvent(log_id, ParserStatus.DONE))
+        self._told(log_id, ParserStatus.DONE)
         return log_id
 
+    def _told(self, log_id: str, status: ParserStatus) -> None:
+        self.parsing[log_id] = status
+        self.dispatch(ParserStatusEvent(log_id, status))
+
+    def request_parse_job(self, path: str) -> tuple[str, Future]:
+        """parse_log_file beside the caller: the log's id and its future. PARSE_THREADS jobs run at a time."""
+        self._running()
+        log_id = new_id()
+        return log_id, self._pool.submit(inheritable_thread_target(self.spark)(self.parse_log_file), path, log_id)
+
+    def parse_status(self, log_id: str) -> tuple[ParserStatus | None, int, int]:
+        """Status of a parse, and how many of the tasks of its stages that Spark knows are done, of how many."""
+        tracker, done, tasks = self.spark.sparkContext.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(log_id):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info else ():
+                if found := tracker.getStageInfo(stage):
+                    done, tasks = done + found.numCompletedTasks, tasks + found.numTasks
+        return self.parsing.get(log_id), done, tasks
+
+    def log_path(self, log_id: str) -> str:
+        return f"{self.frames_path}/log_id={log_id}"
+
     def request_stop(self, log_id: str) -> None:
         self.spark.sparkContext.cancelJobGroup(log_id)
 
@@ -130,29 +170,48 @@ class Engine:
             return None
         return tuple(self.spark.read.parquet(f"{self.dbc_path}/{dbc_id}/{x}") for x in ("messages", "signals"))
 
-    def decode(self, log_id: str, dbc_id: str, again: bool = False) -> DecodeId:
-        """Decode a log once per database; a finished result is used again, a request in flight isn't doubled."""
+    def decode(self, log_id: str, dbc_id: str, again: bool = False, replace: bool = False) -> DecodeId:
+        """Decode a log once per database; a finished result is used again, a request in flight isn't doubled.
+
+        With replace a decode of the log in flight is cancelled first, whatever its database; else requests for one log wait for
+        one another. A failed or cancelled decode leaves nothing.
+        """
         self._running()
         own, pair = DecodeId(log_id, dbc_id), (log_id, dbc_id)
-        if pair in self._decoding or (not again and store.is_decoded(self.spark, self.decoded_path, log_id, dbc_id)):
+        if replace:
+            self.kill_decode(log_id)
+        elif pair in self._decoding:
             return own
-        self._decoding.add(pair)
-        self.dispatch(DecodeStartedEvent(own))
-        try:
-            model = self.get_dbc(dbc_id)
-            if model is None:
-                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, DecodeCode.NO_DATABASE))
+        with self._turns[log_id]:
+            if not again and store.is_decoded(self.spark, self.decoded_path, log_id, dbc_id):
                 return own
-            store.write_decoded(D.decode(self.frames(log_id), model[1]), self.decoded_path, log_id, dbc_id)
-            self.dispatch(DecodeCompletedEvent(own, DecodeStatus.DONE))
-        except Exception:
-            store.remove_decoded(self.spark, self.decoded_path, log_id, dbc_id)
-            self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, DecodeCode.UNHANDLED))
-            raise
-        finally:
-            self._decoding.discard(pair)
+            self._decoding.add(pair)
+            self.spark.sparkContext.setJobGroup(f"decode-{log_id}", f"decode {log_id} by {dbc_id}", True)
+            self.dispatch(DecodeStartedEvent(own))
+            try:
+                model = self.get_dbc(dbc_id)
+                code = DecodeCode.NO_DATABASE if model is None else DecodeCode.BAD_MODEL if not model[1].limit(1).count() else None
+                if code is not None:
+                    self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, code))
+                    return own
+                store.write_decoded(D.decode(self.frames(log_id), model[1]), self.decoded_path, log_id, dbc_id)
+                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.DONE))
+            except Exception:
+                store.remove_decoded(self.spark, self.decoded_path, log_id, dbc_id)
+                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, DecodeCode.UNHANDLED))
+                raise
+            finally:
+                self._decoding.discard(pair)
         return own
 
+    def request_decode(self, log_id: str, dbc_id: str, **options) -> Future:
+        """decode() beside the caller."""
+        self._running()
+        return self._pool.submit(inheritable_thread_target(self.spark)(self.decode), log_id, dbc_id, **options)
+
+    def kill_decode(self, log_id: str) -> None:
+        self.spark.sparkContext.cancelJobGroup(f"decode-{log_id}")
+
     def decoded(self, log_id: str, dbc_id: str) -> DataFrame:
         if not store.is_decoded(self.spark, self.decoded_path, log_id, dbc_id):
             raise MetadataNotFoundError(f"{log_id}:{dbc_id}")
@@ -161,23 +220,42 @@ class Engine:
     def discard_decoded(self, log_id: str | None = None, dbc_id: str | None = None) -> int:
         return store.remove_decoded(self.spark, self.decoded_path, log_id, dbc_id)
 
-    def start_recording(self, ring_path: str, log_id: str | None = None, starting: str = "latest", capacity: int = ring.RING_CAPACITY) -> str | None:
-        """One recording at a time: None while another runs."""
+    def start_recording(self, source: str | DataFrame, log_id: str | None = None, starting: str = "latest", capacity: int = ring.RING_CAPACITY) -> str | None:
+        """Record a stream of entries (ring.SCHEMA), or a ring on this host by its path. One recording at a time: None while
+        another runs. A paused recording goes on where it was."""
         self._running()
         if any(q.isActive for q in self._recording.values()):
             return None
         log_id = log_id or new_id()
-        self._recording[log_id] = ring.record(ring.ring_stream(self.spark, ring_path, capacity, starting).withColumn("row_idx", ring.F.col("write_idx")), f"{self.root}/recorded", f"{self.root}/checkpoints/{log_id}", log_id)
+        entries = ring.ring_stream(self.spark, source, capacity, starting) if isinstance(source, str) else source
+        listener = ring.RecorderListener(f"record-{log_id}", lambda state, frames: self.dispatch(RecorderStatusEvent(log_id, state, frames)))
+        self.spark.streams.addListener(listener)
+        self._listening[log_id] = listener
+        self._recording[log_id] = ring.record(entries.withColumn("row_idx", F.col("write_idx")), f"{self.root}/recorded", f"{self.root}/checkpoints/{log_id}", log_id)
         return log_id
 
-    def stop_recording(self, log_id: str) -> None:
+    def _end_recording(self, log_id: str, state: RecorderState) -> None:
         ring.stop(self._recording.pop(log_id))
+        listener = self._listening.pop(log_id)
+        self.spark.streams.removeListener(listener)
+        self.dispatch(RecorderStatusEvent(log_id, state, listener.frames))
+
+    def pause_recording(self, log_id: str) -> None:
+        """Stop reading; start_recording with this log_id goes on from the checkpoint."""
+        self._end_recording(log_id, RecorderState.PAUSED)
+
+    def stop_recording(self, log_id: str) -> None:
+        self._end_recording(log_id, RecorderState.STOPPED)
 
     def save_record(self, log_id: str) -> bool:
+        """Make a recorded log one of the frames table."""
         return store.save_record(self.spark, f"{self.root}/recorded", self.frames_path, log_id)
 
-    def export_csv(self, log_id: str, path: str | None = None, **filters) -> str | None:
-        return export.write_log_filtered(log_id, D.message_names(self.frames(log_id), None), LogQuery(**filters), path=path)
+    def export_csv(self, log_id: str, path: str | None = None, dbc_id: str | None = None, wanted: dict[int, list[int]] | None = None, **filters) -> str | None:
+        """Export a log; with a database its message names, and its samples if the log is decoded by it."""
+        model = self.get_dbc(dbc_id) if dbc_id else None
+        decoded = self.decoded(log_id, dbc_id).withColumn("log_id", F.lit(log_id)) if dbc_id and store.is_decoded(self.spark, self.decoded_path, log_id, dbc_id) else None
+        return export.write_log_filtered(log_id, D.message_names(self.frames(log_id), model and model[0]), LogQuery(**filters), decoded, wanted, path)
 
 
 _ENGINES: dict[str, Engine] = {}

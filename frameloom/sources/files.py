@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -9,98 +10,131 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.functions.lexer import collapse
 from frameloom.operators.frames import derive
 from frameloom.plans.dialects import detect
-from frameloom.sources.textlog import parse_log
+from frameloom.sources.textlog import numbered, parse_log
 
 KINDS = {"xls": "excel", "xlsx": "excel", "csv": "csv", "blf": "blf", "asc": "asc", "log": "text", "txt": "text"}
 # Fixed values of the BLF container format.
 CONTAINER, CAN_MESSAGE, CAN_MESSAGE2, CAN_FD_MESSAGE, CAN_FD_MESSAGE_64 = 10, 1, 86, 100, 101
-_FD_LENGTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64)
+BLF_MARK = b"LOGG"
+#: Frames that leave a BLF file at a time.
+BATCH_ROWS = 50_000
 
 
 def file_kind(path: str) -> str:
     return KINDS.get(path.rsplit(".", 1)[-1].lower(), "unknown") if "." in path else "unknown"
 
 
-def _objects(data: bytes):
-    at = 0
+def _objects(data: bytes, at: int = 0):
+    """(kind, header size, bytes) of the complete objects of data, then (None, 0, rest)."""
     while (at := data.find(b"LOBJ", at)) >= 0 and at + 16 <= len(data):
         header, _, size, kind = struct.unpack_from("<HHII", data, at + 4)
-        if size < 16 or at + size > len(data):
-            return at
-        yield kind, data[at : at + size], header
+        if size < 16:
+            break
+        if at + size > len(data):
+            break
+        yield kind, header, data[at : at + size]
         at += size
-    return max(at, 0)
+    yield None, 0, data[at:] if at >= 0 else data[-3:]
+
+
+def _message(kind: int, header: int, obj: bytes):
+    """(timestamp, can_id, direction, data_len, data, channel, is_fd) of an object, or None if it is no message."""
+    if kind not in (CAN_MESSAGE, CAN_MESSAGE2, CAN_FD_MESSAGE, CAN_FD_MESSAGE_64):
+        return None
+    flags, _, _, ticks = struct.unpack_from("<IHHQ", obj, 16)
+    clock, body = ticks / (1e9 if flags == 2 else 1e5), obj[header:]
+    if kind in (CAN_MESSAGE, CAN_MESSAGE2):
+        channel, way, dlc, can_id = struct.unpack_from("<HBBI", body)
+        data, way, fd = body[8 : 8 + min(dlc, 8)], way & 1, False
+    elif kind == CAN_FD_MESSAGE:
+        channel, way, _, can_id, _, _, flag, valid = struct.unpack_from("<HBBIIBBB", body)
+        data, way, fd = body[20 : 20 + min(valid, 64)], way & 1, bool(flag & 1)
+    else:
+        channel, _, valid, _, can_id, _, flag = struct.unpack_from("<BBBBIII", body)
+        data, way, fd = body[40 : 40 + min(valid, 64)], int(body[34] != 0), bool(flag & 0x1000)
+    return clock, can_id & 0x1FFFFFFF, way, len(data), data, str(channel - 1), fd
 
 
 def blf_messages(data: bytes):
-    """(timestamp, can_id, is_rx, dlc, data, channel, is_fd) of a BLF file's bytes."""
-    if data[:4] != b"LOGG":
+    """Messages of a BLF file's bytes, a container at a time; an object may straddle containers."""
+    if data[:4] != BLF_MARK:
         raise ValueError("not a BLF file")
     (start,) = struct.unpack_from("<I", data, 4)
-    stream = bytearray()
-    for kind, obj, _ in _objects(data[start:]):
+    rest = b""
+    for kind, header, obj in _objects(data, start):
+        if kind is None:
+            continue
         if kind == CONTAINER:
             (method,) = struct.unpack_from("<H", obj, 16)
-            stream += zlib.decompress(obj[32:]) if method == 2 else obj[32:]
-        else:
-            stream += obj
-    for kind, obj, header in _objects(bytes(stream)):
-        if kind not in (CAN_MESSAGE, CAN_MESSAGE2, CAN_FD_MESSAGE, CAN_FD_MESSAGE_64):
-            continue
-        flags, _, _, ticks = struct.unpack_from("<IHHQ", obj, 16)
-        clock = ticks / (1e9 if flags == 2 else 1e5)
-        body = obj[header:]
-        if kind in (CAN_MESSAGE, CAN_MESSAGE2):
-            channel, way, dlc, can_id = struct.unpack_from("<HBBI", body)
-            yield clock, can_id & 0x1FFFFFFF, not way & 1, dlc, body[8 : 8 + min(dlc, 8)], channel - 1, False
-        elif kind == CAN_FD_MESSAGE:
-            channel, way, dlc, can_id, _, _, fd, valid = struct.unpack_from("<HBBIIBBB", body)
-            n = min(valid, 64)
-            yield clock, can_id & 0x1FFFFFFF, not way & 1, _FD_LENGTHS[min(dlc, 15)], body[20 : 20 + n], channel - 1, bool(fd & 1)
-        else:
-            channel, dlc, valid, _, can_id, _, fd = struct.unpack_from("<BBBBIII", body)
-            (way,) = struct.unpack_from("<B", body, 34)
-            yield clock, can_id & 0x1FFFFFFF, not way, _FD_LENGTHS[min(dlc, 15)], body[40 : 40 + min(valid, 64)], channel - 1, bool(fd & 0x1000)
+            rest += zlib.decompress(obj[32:]) if method == 2 else obj[32:]
+            for inner, size, part in _objects(rest):
+                if inner is None:
+                    rest = part
+                elif (message := _message(inner, size, part)) is not None:
+                    yield message
+        elif (message := _message(kind, header, obj)) is not None:
+            yield message
 
 
 def read_blf(spark: SparkSession, path: str, log_id: str) -> DataFrame:
-    """Frames of BLF files; a file is one task's, as its containers must be read in order."""
+    """Frames of BLF files. A file is one task's, as its containers are compressed and an object may straddle two; frames leave
+    it BATCH_ROWS at a time."""
 
     def run(batches):
         for batch in batches:
-            for data in batch["content"]:
-                rows = [(float(t), int(i), 0 if rx else 1, len(d), bytes(d), str(c), fd) for t, i, rx, n, d, c, fd in blf_messages(bytes(data))]
-                yield pd.DataFrame(rows, columns=["timestamp", "can_id", "direction", "data_len", "data", "channel", "is_fd"]).assign(line_number=range(1, len(rows) + 1))
+            for file, data in zip(batch["file"], batch["content"]):
+                messages, line = blf_messages(bytes(data)), 1
+                while rows := list(itertools.islice(messages, BATCH_ROWS)):
+                    yield pd.DataFrame(rows, columns=["timestamp", "can_id", "direction", "data_len", "data", "channel", "is_fd"]).assign(line_number=range(line, line + len(rows)), file=file)
+                    line += len(rows)
+
+    rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").mapInPandas(run, "timestamp double, can_id long, direction int, data_len int, data binary, channel string, is_fd boolean, line_number long, file string")
+    return derive(numbered(rows.withColumn("split", F.lit(0))).select(F.lit(log_id).alias("log_id"), "row_idx", "line_number", "timestamp", "can_id", "direction", "data_len", "data", "channel", "is_fd"))
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "timestamp double, can_id long, direction int, data_len int, data binary, channel string, is_fd boolean, line_number long")
-    return derive(rows.select(F.lit(log_id).alias("log_id"), (F.col("line_number") - 1).alias("row_idx"), "line_number", "timestamp", "can_id", "direction", "data_len", "data", "channel", "is_fd"))
+
+def is_blf(spark: SparkSession, path: str) -> bool:
+    """Whether a file starts like a BLF file, on any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(x & 255 for x in (stream.read() for _ in range(4))) == BLF_MARK
+    finally:
+        stream.close()
 
 
-def _joined(cells: DataFrame) -> DataFrame:
-    """Each row's cells that aren't null, joined by blanks and parsed like a line."""
-    line = F.regexp_replace(F.concat_ws(" ", *cells.columns), r"\s+", " ")
-    return detect(cells.select(line.alias("line")), F.col("line")).where("found is not null").select("found.frame.*")
+def _joined(cells: DataFrame, columns: list[str], log_id: str) -> DataFrame:
+    """Each row's cells that aren't null, joined by blanks and parsed like a line. cells has file and split beside its columns."""
+    line = collapse(F.concat_ws(" ", *(F.col(f"`{c}`") for c in columns)))
+    lines = cells.select("file", "split", line.alias("line"))
+    found = numbered(detect(lines, F.col("line")).where("found is not null"))
+    return derive(found.select(F.lit(log_id).alias("log_id"), "row_idx", (F.col("row_idx") + 1).alias("line_number"), "found.frame.*"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _joined(spark.read.option("header", True).csv(path))
+def read_csv(spark: SparkSession, path: str, log_id: str = "") -> DataFrame:
+    """Frames of CSV files with a header, whose cells make up lines; line numbers count the rows that are frames."""
+    cells = spark.read.option("header", True).csv(path)
+    columns = cells.columns
+    return _joined(cells.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")), columns, log_id)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
+def read_excel(spark: SparkSession, path: str, log_id: str = "") -> DataFrame:
+    """The same of an Excel sheet, which has at most 1,048,576 rows and is read on the driver."""
     try:
         cells = pd.read_excel(path, dtype=str)
     except ImportError as e:
         raise RuntimeError("reading Excel files needs the package openpyxl") from e
-    return _joined(spark.createDataFrame(cells.astype(object).where(cells.notna(), None), ", ".join(f"`{c}` string" for c in cells.columns)))
+    rows = spark.createDataFrame(cells.astype(object).where(cells.notna(), None), ", ".join(f"`{c}` string" for c in cells.columns))
+    return _joined(rows.coalesce(1).select("*", F.lit(path).alias("file"), F.lit(0).alias("split")), list(cells.columns), log_id)
 
 
 def read_any(spark: SparkSession, path: str, log_id: str) -> DataFrame | None:
-    """By extension; None for an unknown one. An ASC file that isn't text in a known dialect gives no frames."""
+    """By extension; None for an unknown one. BLF and ASC files that aren't BLF are read as text."""
     kind = file_kind(path)
-    if kind == "blf":
+    if kind in ("blf", "asc") and is_blf(spark, path):
         return read_blf(spark, path, log_id)
-    if kind in ("asc", "text"):
+    if kind in ("blf", "asc", "text"):
         return parse_log(spark, path, log_id)
-    return {"csv": read_csv, "excel": read_excel}[kind](spark, path) if kind in ("csv", "excel") else None
+    return {"csv": read_csv, "excel": read_excel}[kind](spark, path, log_id) if kind in ("csv", "excel") else None

@@ -29,6 +29,18 @@ def _before(per_split: DataFrame, *counts: str) -> DataFrame:
     return per_split.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in counts})
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (file, split and others, as a scan gives them) with row_idx: in the order of files, splits and rows, without moving one.
+
+    A count per split comes first, so rows are computed twice.
+    """
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    per = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
+    base = per.select("file", "split", "first", before.alias("before"))
+    return rows.join(F.broadcast(base), ["file", "split"]).withColumn("row_idx", F.col("before") + F.col("place") - F.col("first")).drop("place", "first", "before")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, split, line_number (from 1), line. Lines are counted per split; no line moves."""
     raw = _raw(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import mmap
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,19 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frameloom.schemas import RING_CAPACITY, RecorderState
+from frameloom.schemas import CAPPED_ID, RING_CAPACITY, RecorderState
 
 # Fixed values of the ring's layout: a count of entries written so far, then the entries.
 HEADER = struct.Struct("<Q")
 ENTRY = struct.Struct("<dIBB64s16s34x")
+#: The layout of older producers; Ring(path, entry=WIDE_ENTRY).
 WIDE_ENTRY = struct.Struct("<dIBB64s16s42x")
 SCHEMA = "write_idx long, timestamp double, can_id long, direction int, data_len int, data binary, channel string"
 
 
 class Ring:
-    """A ring in a file that processes share; used by producers and by the source."""
+    """A ring in a file that the processes of one host share, for producers and a session on that host. Where executors run
+    elsewhere, producers drop segments into a shared folder (segment_stream)."""
 
     def __init__(self, path: str, capacity: int = RING_CAPACITY, create: bool = False, entry: struct.Struct = ENTRY):
         self.capacity, self.entry = capacity, entry
@@ -55,6 +58,8 @@ class Ring:
             raise RuntimeError(f"the ring was overrun: entries from {first} on are gone, {self.written} were written")
         out = []
         for n in range(first, end):
+            if n < self.written - self.capacity:  # overtaken meanwhile
+                raise RuntimeError(f"the ring was overrun: entry {n} went while it was read")
             clock, can_id, way, size, data, name = self.entry.unpack_from(self.map, HEADER.size + n % self.capacity * self.entry.size)
             out.append((n, clock, can_id, way, min(size, 64), data[: min(size, 64)], name.split(b"\0")[0].decode("ascii", "ignore")))
         return out
@@ -129,37 +134,71 @@ def stop(query: StreamingQuery) -> None:
     query.stop()
 
 
+def segment_bytes(entries, first: int) -> bytes:
+    """A segment: the number of its first entry, then the entries (timestamp, can_id, direction, data, channel)."""
+    packed = (ENTRY.pack(t, i, w, min(len(d), 64), d[:64], c.encode("ascii", "ignore")[:15]) for t, i, w, d, c in entries)
+    return HEADER.pack(first) + b"".join(packed)
+
+
+def _entries(blob: bytes) -> pd.DataFrame:
+    (first,) = HEADER.unpack_from(blob)
+    e = np.frombuffer(blob, np.dtype([("timestamp", "<f8"), ("can_id", "<u4"), ("direction", "u1"), ("size", "u1"), ("data", "V64"), ("channel", "S16"), ("pad", "V34")]), offset=HEADER.size)
+    size = np.minimum(e["size"], 64)
+    return pd.DataFrame({
+        "write_idx": first + np.arange(len(e)), "timestamp": e["timestamp"], "can_id": e["can_id"].astype(np.int64), "direction": e["direction"].astype(np.int32), "data_len": size.astype(np.int32),
+        "data": [d.tobytes()[:n] for d, n in zip(e["data"], size)], "channel": [c.decode("ascii", "ignore") for c in e["channel"]],
+    })
+
+
+def segment_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Live frames from segments that producers drop into a folder that driver and executors share. Each segment is a task's at
+    most, so that a batch runs on all executors; files_per_batch bounds it."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch["content"]:
+                yield _entries(bytes(blob))
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.seg").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.select("content").mapInPandas(run, SCHEMA)
+
+
 def live_changes(frames: DataFrame) -> DataFrame:
-    """last_timestamp and changed of a stream of (row_idx, timestamp, can_id, data), with the last frame of each identifier as state."""
+    """last_timestamp and changed of a stream of (log_id, row_idx, timestamp, can_id, data), with the last frame of each identifier
+    of a log as state. A batch's frames of one identifier are put in order together; the source bounds a batch."""
 
     def step(key, batches, state: GroupState):
+        rows = pd.concat(list(batches)).sort_values("row_idx")
         last = state.getOption
-        out = []
-        for row in pd.concat(list(batches)).sort_values("row_idx").itertuples():
-            known = last is not None
-            out.append((row.row_idx, key[0], row.timestamp, last[0] if known and key[0] < 8192 else row.timestamp, int(known and last[1] != row.data)))
-            last = (row.timestamp, row.data)
-        state.update(last)
-        yield pd.DataFrame(out, columns=["row_idx", "can_id", "timestamp", "last_timestamp", "changed"])
+        clock, data = rows["timestamp"].to_numpy(), rows["data"].to_numpy()
+        before = np.append([last[0] if last else clock[0]], clock[:-1])
+        earlier = np.append(np.array([last[1] if last else data[0]], object), data[:-1])
+        state.update((float(clock[-1]), data[-1]))
+        yield pd.DataFrame({"log_id": key[0], "row_idx": rows["row_idx"].to_numpy(), "can_id": key[1], "timestamp": clock, "last_timestamp": before if key[1] < CAPPED_ID else clock, "changed": (earlier != data).astype(np.int32)})
 
-    return frames.groupBy("can_id").applyInPandasWithState(step, "row_idx long, can_id long, timestamp double, last_timestamp double, changed int", "timestamp double, data binary", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("log_id", "can_id").applyInPandasWithState(step, "log_id string, row_idx long, can_id long, timestamp double, last_timestamp double, changed int", "timestamp double, data binary", "append", GroupStateTimeout.NoTimeout)
 
 
 class RecorderListener(StreamingQueryListener):
-    """Tells a callback the recorder's state and how many frames it has written."""
+    """Tells a callback the state of one recording (a query of that name) and how many frames it has written."""
 
-    def __init__(self, tell):
-        self.tell, self.frames = tell, 0
+    def __init__(self, name: str, tell):
+        self.name, self.tell, self.frames, self.ids = name, tell, 0, set()
 
     def onQueryStarted(self, event):
-        self.tell(RecorderState.WAIT_RING, self.frames)
+        if event.name == self.name:
+            self.ids.add(event.id)
+            self.tell(RecorderState.WAIT_RING, self.frames)
 
     def onQueryProgress(self, event):
+        if event.progress.name != self.name:
+            return
         self.frames += event.progress.numInputRows
         self.tell(RecorderState.WRITE_BATCH if event.progress.numInputRows else RecorderState.WAIT_RING, self.frames)
 
     def onQueryIdle(self, event):
-        self.tell(RecorderState.WAIT_RING, self.frames)
+        if event.id in self.ids:
+            self.tell(RecorderState.WAIT_RING, self.frames)
 
     def onQueryTerminated(self, event):
-        self.tell(RecorderState.STOPPED, self.frames)
+        """A pause or a stop is told by whoever asked for it."""

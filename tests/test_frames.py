@@ -12,8 +12,8 @@ import __spark_entry__ as entry
 from frameloom.functions.signals import PLACE, bits, physical_value, place
 from frameloom.operators import decode, export, frames, query, store
 from frameloom.plans import catalogue
-from frameloom.schemas import SIGNAL, LogQuery, RecorderState, direction_code
-from frameloom.service import DecodeCompletedEvent, Engine, ParserStatusEvent
+from frameloom.schemas import FRAME, MESSAGE, SIGNAL, LogQuery, RecorderState, direction_code
+from frameloom.service import DecodeCompletedEvent, Engine, ParserStatusEvent, RecorderStatusEvent
 from frameloom.sources import dbc, files
 from frameloom.streaming import ring
 
@@ -58,8 +58,8 @@ def test_derived_columns(spark):
 
 
 def test_live_changes_equal_the_batch(spark, tmp_path):
-    _frames(spark).select("row_idx", "timestamp", "can_id", "data").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("row_idx long, timestamp double, can_id long, data binary").parquet(str(tmp_path / "in"))
+    _frames(spark).select("log_id", "row_idx", "timestamp", "can_id", "data").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("log_id string, row_idx long, timestamp double, can_id long, data binary").parquet(str(tmp_path / "in"))
     q = ring.live_changes(stream).writeStream.format("memory").queryName("live").outputMode("append").start()
     ring.stop(q)
     assert {r["row_idx"]: (r["last_timestamp"], r["changed"]) for r in spark.table("live").collect()} == EXPECTED
@@ -71,11 +71,11 @@ def test_bits_equal_brute_force(spark):
         data = rng.randbytes(rng.choice([1, 2, 8, 64]))
         length, order, signed = rng.randint(1, 64), rng.randint(0, 1), rng.randint(0, 1)
         start = rng.randrange(len(data) * 8 + 8)
-        bits = [start + length - 1 - k for k in range(length)] if order == 0 else [8 * (start // 8) + 7 - start % 8 + k for k in range(length)]
+        at = [start + length - 1 - k for k in range(length)] if order == 0 else [8 * (start // 8) + 7 - start % 8 + k for k in range(length)]
         want = None
-        if max(bits) < 8 * len(data):
+        if max(at) < 8 * len(data):
             value = 0
-            for b in bits:
+            for b in at:
                 value = value * 2 + ((data[b // 8] >> (b % 8 if order == 0 else 7 - b % 8)) & 1)
             want = value - (1 << length) if signed and value >> (length - 1) else value
             want = want - (1 << 64) if want >= 1 << 63 else want
@@ -132,15 +132,37 @@ def test_service_from_file_to_export(spark, tmp_path):
     assert e.update_entries(spark.createDataFrame([(log, 1, b"\x00\x01")], "log_id string, row_idx long, data binary"))
     assert not e.update_entries(spark.createDataFrame([], "log_id string, row_idx long, data binary"))
     assert e.read_page(log, 1, 1).select("changed").collect() == [(0,)] and e.frames(log).count() == 9
-    text = open(e.export_csv(log, str(tmp_path / "out.csv"), time_range=(0.0, 2.5))).read().splitlines()
-    assert text[0] == "Time,Channel,CAN ID,Message Name,Direction,DLC,Data" and text[2] == "0.250000,,0x1A2,UNKNOW,Rx,2,00 01" and len(text) == 2 + 6 + 5
+    def lines(path):
+        return b"".join(open(p, "rb").read() for p in sorted(glob.glob(path + "/part-*"))).decode().split("\r\n")
+
+    text = lines(e.export_csv(log, str(tmp_path / "out.csv"), time_range=(0.0, 2.5)))
+    assert text[0] == "Time,Channel,CAN ID,Message Name,Direction,DLC,Data" and text[2] == "0.250000,,0x1A2,UNKNOW,Rx,2,00 01" and len(text) == 2 + 6 + 5 + 1
+    text = lines(e.export_csv(log, str(tmp_path / "named.csv"), dbc_id=base, wanted={1: [2]}))
+    assert text[1:4] == ["Abe,Zed", "2.250000,,0x1A2,MsgA,Rx,2,02 01", "1,2"] and len(text) == 2 + 6 + 5 + 1
     assert e.export_csv(log, can_ids=(5,)) is None
     assert e.discard_decoded(log) == 1
+    other, job = e.request_parse_job(str(tmp_path / "a.log"))
+    assert job.result(120) == other and e.parse_status(other)[0] == 0 and e.log_path(other).endswith(other) and e.frames(other).count() == 9
+    assert e.request_decode(other, base).result(120).log_id == other and e.decoded(other, base).count() == 18
+    e.kill_decode(other)
+    assert e.decode(other, base, replace=True, again=True) and e.decoded(other, base).count() == 18
+    e.decode(other, "none")
+    assert (heard[-1].status, heard[-1].code) == (1, -102)
+    spark.createDataFrame([], SIGNAL).write.mode("overwrite").parquet(f"{e.dbc_path}/{base}/signals")
+    e.decode(other, base, again=True)
+    assert (heard[-1].status, heard[-1].code) == (1, -103)
+    (tmp_path / "b.csv").write_text("t,k,c,d,i,n,l,x,y\n0.1,CAN,1,Rx,1A2,M,2,AB,CD\nx,,,,,,,,\n0.2,CAN,1,Tx,1A3,M,2,AB,CE\n")
+    assert [(r["row_idx"], r["can_id"]) for r in e.read_page(e.parse_log_file(str(tmp_path / "b.csv")), 0, 9).collect()] == [(0, 418), (1, 419)]
+    (tmp_path / "text.blf").write_text("0.25 CAN 1 Rx 1A2 MsgA 2 00 01\n")
+    assert e.frames(e.parse_log_file(str(tmp_path / "text.blf"))).count() == 1
 
 
 def test_text_conversion_reads_back(spark, tmp_path):
     f = decode.message_names(_frames(spark), None)
-    export.convert(f, str(tmp_path / "asc"))
+    last = export.convert(f, str(tmp_path / "asc"), "log", 200)
+    names = sorted(os.path.basename(x) for x in glob.glob(str(tmp_path / "asc" / "*.asc")))
+    assert names == ["log_part1.asc", "log_part2.asc", "log_part3.asc"] and last.endswith("log_part3.asc")
+    assert [len(open(tmp_path / "asc" / n).readlines()) for n in names] == [3, 2, 1] or sum(len(open(tmp_path / "asc" / n).readlines()) for n in names) == 6
     from frameloom.sources.textlog import parse_log
 
     back = parse_log(spark, str(tmp_path / "asc"), "b")
@@ -184,6 +206,50 @@ def test_ring_and_recorder(spark, tmp_path):
         r.read(0, 16)
 
 
+def test_segments_recorder_and_events(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in (0, 40):
+        part = [(n / 10, 256 + n % 3, n % 2, bytes([n % 7]), "CAN1") for n in range(k, k + 40)]
+        (folder / f"{k}.seg").write_bytes(ring.segment_bytes(part, k))
+    e, heard = Engine(spark, str(tmp_path / "root")), []
+    e.start()
+    e.subscribe(RecorderStatusEvent, heard.append)
+    log = e.start_recording(ring.segment_stream(spark, str(folder)), "007")
+    assert e.start_recording(ring.segment_stream(spark, str(folder))) is None
+    e.pause_recording(log)
+    (folder / "80.seg").write_bytes(ring.segment_bytes([(9.0, 256, 0, b"z" * 70, "a-very-long-channel")], 80))
+    assert e.start_recording(ring.segment_stream(spark, str(folder)), "007") == "007"
+    e.stop_recording(log)
+    assert {x.state for x in heard} >= {RecorderState.PAUSED, RecorderState.STOPPED} and (RecorderState.WRITE_BATCH, RecorderState.PAUSED, RecorderState.WAIT_RING, RecorderState.STOPPED) == (1, 2, 3, 4)
+    assert e.save_record(log) and e.save_record(log)
+    got = e.frames(log)
+    assert got.count() == 81 and set(got.columns) == set(FRAME.names)
+    last = got.where("row_idx = 80").first()
+    assert (last["line_number"], last["can_id"], len(last["data"]), last["changed"], last["channel"]) == (81, 256, 64, 1, "a-very-long-cha")
+
+
+def test_updates_are_atomic_and_may_set_nulls(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.write_frames(_frames(spark).withColumn("log_id", F.lit("007")), path)
+    assert store.read_frames(spark, path, "007").count() == 6
+    new = spark.createDataFrame([("007", 0, None, 1), ("007", 0, "x", 0), ("007", 2, "y", 0)], "log_id string, row_idx long, channel string, update_order int")
+    assert store.update_entries(spark, path, new)
+    assert [(r["row_idx"], r["channel"]) for r in store.read_frames(spark, path, "007").orderBy("row_idx").collect()] == [(0, None), (1, "1"), (2, "y"), (3, "1"), (4, "1"), (5, "1")]
+    os.rename(f"{path}/log_id=007", f"{path}._old-007")
+    assert store.recover(spark, path) == ["007"] and store.read_frames(spark, path).count() == 6
+
+
+def test_last_loaded_message_and_single_frames(spark):
+    rows = [("d", 5, "Zed", 1, 1), ("d", 5, "Abe", 1, 1)]
+    named = decode.message_names(spark.createDataFrame([(5,), (6,)], "can_id long"), spark.createDataFrame(rows, MESSAGE).coalesce(1))
+    assert {r["can_id"]: r["message_name"] for r in named.collect()} == {5: "Abe", 6: "NOT_FOUND"}
+    text = DBC + "BO_ 500 Mux: 2 ECU\n SG_ Sw M : 0|8@1+ (1,0) [0|0] \"\" X\n SG_ One m1 : 8|8@1+ (1,0) [0|0] \"\" X\n SG_ Two m2 : 8|8@1+ (1,0) [0|0] \"\" X\n"
+    signals = spark.createDataFrame([("d", *x) for x in dbc.parse_dbc(text)[1]], SIGNAL)
+    got = decode.decode_frame(spark.createDataFrame([(500, b"\x01\x09"), (500, b"\x02\x08"), (500, b"\x03\x07")], "can_id long, data binary"), signals).collect()
+    assert sorted((r["signal_name"], r["raw_value"]) for r in got) == [("One", 9), ("Sw", 1), ("Sw", 2), ("Sw", 3), ("Two", 8)]
+
+
 def test_store_copies_once(spark, tmp_path):
     store.write_frames(_frames(spark), str(tmp_path / "a"))
     for _ in range(2):
