@@ -37,7 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = written(large, "large")
         met = _least(large, before[0])
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")

@@ -32,6 +32,8 @@ RADIUS = 1 - PERCENT / 100
 REGION_SHINGLES, TASK_SHINGLES, PIVOTS = 1 << 14, 1 << 22, 16
 #: Splits in a row, after which what is still too large counts as dense.
 LEVELS = 4
+#: A region shrinks if none of its parts has more than this share of it, and all of them together not twice of it.
+SHRUNK = 0.6
 #: Sets of up to SMALL elements use pairs of neighbours, sets of more than LARGE triples, those between both.
 LARGE, SMALL = 32, 40
 _ID = np.uint64(0x9E3779B97F4A7C15)
@@ -184,11 +186,16 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT, main: np.ndarray
     return links
 
 
+def _view(cell: pa.Scalar):
+    return cell.as_buffer()
+
+
 def _groups(batches, width: int):
     """Runs of equal first columns of sorted record batches, as lists of rows."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(width))):
+        # binary cells stay where they are in the batch
+        for row in zip(*(map(_view, batch.column(i)) if pa.types.is_binary(batch.column(i).type) else batch.column(i).to_pylist() for i in range(width))):
             if row[0] != key and held:
                 yield held
                 held = []
@@ -300,9 +307,10 @@ def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataF
         went = _near_pivots(points, chosen, big, limit)
         links = links.unionByName(went.where("part < 0").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         split = went.where("part >= 0").select("region", "rep", "tokens", "part")
-        grown = _size(split, "region", "part").groupBy("region").agg(F.max("total").alias("now")).join(big, "region")
-        # a region of which a part hardly shrank
-        same = written(grown.where((F.col("now") > limit) & ((F.col("now") > 0.8 * F.col("total")) | F.lit(level + 1 >= LEVELS))).select("region", "total"), "same")
+        grown = _size(split, "region", "part").groupBy("region").agg(F.max("total").alias("now"), F.sum("total").alias("all")).join(big, "region")
+        # a region of which a part hardly shrank, or whose parts are mostly boundary points
+        still = (F.col("now") > SHRUNK * F.col("total")) | (F.col("all") > 2 * F.col("total")) | F.lit(level + 1 >= LEVELS)
+        same = written(grown.where((F.col("now") > limit) & still).select("region", "total"), "same")
         ready = ready.unionByName(points.join(same.where(F.col("total") <= most).select("region"), "region", "left_semi").withColumn("main", F.lit(False)))
         if same.where(F.col("total") > most).limit(1).count():
             blocks, links = _dense(points.join(same.where(F.col("total") > most).select("region"), "region", "left_semi"), written(links.distinct(), "links"), most)
