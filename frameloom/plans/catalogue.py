@@ -11,7 +11,9 @@ from frameloom.functions import lexer as L
 from frameloom.operators import decode as D
 from frameloom.operators import export, frames, query, store
 from frameloom.plans.dialects import detect, parse
-from frameloom.schemas import LogQuery
+from frameloom.schemas import LogQuery, new_id
+from frameloom.sources import dbc, files, textlog
+from frameloom.streaming import ring
 
 LOG = "events"
 _KIND = "CASE event_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN ' Can3 ' WHEN 3 THEN '' ELSE 'CAN1' END"
@@ -214,3 +216,174 @@ _add("blf_text", f"""WITH {_BASE}, z AS (SELECT arg_min("timestamp", row_idx) AS
   SELECT row_idx, rpad(printf('%.6f', "timestamp" - base), 12, ' ') || 'CAN     2 ' || CASE WHEN direction = 0 THEN 'Rx ' ELSE 'Tx ' END || lpad(printf('%X', can_id), 10, ' ') || '    ' || rpad({_NAME}, 40, ' ') || '2   ' || {_HEX} AS value FROM f, z""", lambda s, d: export.text_lines(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
 _add("export_rows", f"""WITH {_BASE} SELECT min(row_idx) OVER (PARTITION BY can_id) AS group_row, row_idx, can_id, printf('%.6f', "timestamp") AS time, channel, '0x' || printf('%X', can_id) AS can_id_text,
   {_NAME} AS message_name, CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END AS direction, '2' AS dlc, {_HEX} AS data FROM f""", lambda s, d: export.export_rows(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
+
+
+# Queries that write a log, a table or a stream into the shared folder and read it back.
+
+
+def _folder(s: SparkSession, tag: str) -> str:
+    return f"{store.scratch(s)}/frameloom-catalogue/{tag}-{new_id()}"
+
+
+def _line(kind: str):
+    """An event as a line of a dialect."""
+    clock = F.format_string("%d.%06d", F.floor(F.col("us") / 1000000), F.col("us") % 1000000)
+    way, data = L.direction_name(F.col("direction")), L.spaced_hex(F.col("data"))
+    if kind == "CANOE":
+        return F.concat(clock, F.lit(" CANFD 1 "), way, F.lit(" "), F.hex("can_id"), F.lit(" MsgA 1 0 2 2 "), data)
+    return F.concat(clock, F.lit(" CAN 1 "), way, F.lit(" "), F.hex("can_id"), F.lit(" MsgA 2 "), data)
+
+
+def _written_log(rows: DataFrame, path: str, kind: str) -> None:
+    """Lines in row order over several files, with a comment after every tenth line."""
+    lines = rows.withColumn("line", F.explode(F.when(F.col("row_idx") % 10 == 0, F.array(_line(kind), F.lit("// note"))).otherwise(F.array(_line(kind)))))
+    lines.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select("line").write.text(path)
+
+
+def _ingested(name: str, where: str = "true", **options) -> None:
+    changed = "0" if options.get("with_changed") is False else "coalesce((lag(data_hex) OVER w <> data_hex)::INTEGER, 0)"
+
+    def run(s, d):
+        path = _folder(s, name)
+        _written_log(base(s, d), path, "CANOE")
+        out = textlog.parse_log(s, path, "007", **options)
+        return out.select("row_idx", "log_id", "timestamp", "can_id", "direction", "data_len", F.hex("data").alias("data_hex"), "channel", "last_timestamp", "changed")
+
+    seconds = _SECONDS
+    last = 'coalesce(lag(t) OVER w, t)' if options.get("limit_ids") is False else 'CASE WHEN can_id >= 8192 THEN t ELSE coalesce(lag(t) OVER w, t) END'
+    _add(name, f"""WITH {_BASE}, g AS (SELECT *, {seconds} AS t FROM f)
+      SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, '007' AS log_id, t AS "timestamp", can_id, direction, data_len, data_hex, '1' AS channel, {last} AS last_timestamp, {changed} AS changed
+      FROM g WINDOW w AS (PARTITION BY can_id ORDER BY row_idx)""", run)
+
+
+_ingested("ingest_text")
+_ingested("ingest_known_dialect", dialect="CANOE")
+_ingested("ingest_unchanged", with_changed=False)
+_ingested("ingest_all_ids", limit_ids=False)
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "mixed")
+    for part, kind in ((0, "CANOE"), (1, "FILTER")):
+        _written_log(base(s, d).where(f"row_idx % 2 = {part}"), f"{path}/{part}", kind)
+    return textlog.parse_log(s, f"{path}/*", "m").select("row_idx", "timestamp", "can_id", F.hex("data").alias("data_hex"), "channel")
+
+
+_add("ingest_folder_mixed", f"""WITH {_BASE} SELECT row_number() OVER (ORDER BY row_idx % 2, row_idx) - 1 AS row_idx, {_SECONDS} AS "timestamp", can_id, data_hex, CASE WHEN row_idx % 2 = 0 THEN '1' ELSE '' END AS channel FROM f""", _mixed)
+
+
+def _numbers(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "numbers")
+    base(s, d).withColumn("file", F.col("row_idx") % 3).repartition("file").sortWithinPartitions("file", "row_idx").select("file", _line("FILTER").alias("value")).write.partitionBy("file").text(path)
+    return textlog.read_lines(s, f"{path}/*").select(F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("long").alias("file"), "line_number", "line")
+
+
+_add("read_lines", f"""WITH {_BASE} SELECT row_idx % 3 AS file, row_number() OVER (PARTITION BY row_idx % 3 ORDER BY row_idx) AS line_number,
+  printf('%d.%06d', us // 1000000, us % 1000000) || ' CAN 1 ' || CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END || ' ' || printf('%X', can_id) || ' MsgA 2 ' || {_HEX} AS line FROM f""", _numbers)
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "csv")
+    rows = base(s, d).select("row_idx", F.split(_line("FILTER"), " ").alias("c"))
+    rows.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select(*(F.get("c", F.lit(k)).alias(f"c{k}") for k in range(9))).write.option("header", True).csv(path)
+    return files.read_csv(s, path, "c").select("row_idx", "timestamp", "can_id", "direction", F.hex("data").alias("data_hex"), "changed")
+
+
+_add("ingest_csv", f"""WITH {_BASE} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, {_SECONDS} AS "timestamp", can_id, direction, data_hex, changed FROM f""", _csv)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Two logs, one of which looks like a number; one is updated in place, with a null among the updates."""
+    path = _folder(s, "frames")
+    each = base(s, d).drop("us").withColumn("log_id", F.when(F.col("row_idx") % 2 == 0, "007").otherwise("7"))
+    store.write_frames(frames.derive(each), path)
+    new = each.where("row_idx % 6 = 0").select("log_id", "row_idx", F.when(F.col("row_idx") % 12 == 0, F.lit("new")).alias("channel"))
+    store.update_entries(s, path, new)
+    return store.read_frames(s, path, "007").select("log_id", "row_idx", "can_id", "channel", "changed")
+
+
+_add("store_roundtrip", f"""WITH {_BASE} SELECT '007' AS log_id, row_idx, can_id, CASE WHEN row_idx % 12 = 0 THEN 'new' WHEN row_idx % 6 = 0 THEN NULL ELSE channel END AS channel,
+  coalesce((lag(data_hex) OVER (PARTITION BY can_id ORDER BY row_idx) <> data_hex)::INTEGER, 0) AS changed FROM f WHERE row_idx % 2 = 0""", _stored)
+
+
+def _decoded_store(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "decoded")
+    store.write_decoded(decoded(s, d), path, LOG, "d")
+    store.write_decoded(decoded(s, d).limit(1), path, LOG, "gone")
+    gone, there = store.remove_decoded(s, path, dbc_id="gone"), store.is_decoded(s, path, LOG, "d") and not store.is_decoded(s, path, LOG, "gone")
+    return s.read.parquet(f"{path}/dbc_id=d/log_id={LOG}").groupBy("signal_name").agg(F.count("*").alias("n"), F.sum("raw_value").alias("total"), F.lit(gone).alias("gone"), F.lit(int(there)).alias("there"))
+
+
+_add("decode_store", f"WITH {_SIGNALS} SELECT signal_name, count(*) AS n, sum(raw_value)::BIGINT AS total, 1 AS gone, 1 AS there FROM z GROUP BY signal_name", _decoded_store)
+
+
+def _entries(s: SparkSession, d: str, tag: str) -> DataFrame:
+    """The events as a stream of entries, some files a batch."""
+    path = _folder(s, tag)
+    base(s, d).selectExpr("row_idx AS write_idx", "timestamp", "can_id", "direction", "data_len", "data", "channel").repartitionByRange(4, "write_idx").write.parquet(path)
+    return s.readStream.schema(ring.SCHEMA).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def _recorded(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "recorded")
+    rows = _entries(s, d, "entries").withColumn("row_idx", F.col("write_idx"))
+    ring.record(rows, f"{path}/live", f"{path}/state", f"r{new_id()}", {"availableNow": True}).awaitTermination()
+    log_id = s.read.parquet(f"{path}/live").select("log_id").first()[0]
+    store.save_record(s, f"{path}/live", f"{path}/frames", log_id)
+    return _show(store.read_frames(s, f"{path}/frames", log_id))
+
+
+_add("record_stream", f"""WITH {_BASE}, z AS (SELECT min(row_idx) AS low FROM f) SELECT * REPLACE (row_idx - low AS row_idx, row_idx - low + 1 AS line_number) FROM (SELECT {_SHOWN}, low FROM f, z)""".replace("SELECT * REPLACE", "SELECT * EXCLUDE (low) REPLACE"), _recorded)
+
+
+def _live(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "live")
+    rows = _entries(s, d, "live-in").select(F.lit(LOG).alias("log_id"), F.col("write_idx").alias("row_idx"), "timestamp", "can_id", "data")
+    ring.live_changes(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").select("row_idx", "can_id", "last_timestamp", "changed")
+
+
+_add("live_changes", f"WITH {_BASE} SELECT row_idx, can_id, last_timestamp, changed FROM f", _live)
+
+
+def _converted(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "asc")
+    export.convert(full(s, d).withColumn("message_name", F.lit("M")), path, "log", 100_000)
+    return s.read.text(path).groupBy(F.regexp_extract(F.col("_metadata.file_name"), "log_part([0-9]+).asc", 1).cast("int").alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+
+_add("blf_parts", f"""WITH {_BASE}, z AS (SELECT arg_min("timestamp", row_idx) AS base FROM f WHERE "timestamp" <> 0),
+  l AS (SELECT row_idx, strlen(rpad(printf('%.6f', "timestamp" - base), 12, ' ')) + 8 + 2 + 3 + 10 + 4 + 40 + 3 + 1 + 5 + 1 AS size FROM f, z),
+  p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+  SELECT (before // 100000 + 1)::INTEGER AS part, count(*) AS n, sum(size)::BIGINT AS bytes FROM p GROUP BY 1""", _converted)
+_add("export_lines", f"""WITH {_BASE}, g AS (SELECT *, min(row_idx) OVER (PARTITION BY can_id) AS group_row, max(row_idx) OVER (PARTITION BY can_id) AS last_row FROM f),
+  l AS (SELECT group_row, row_idx, row_idx = group_row AS head, printf('%.6f', "timestamp") || ',' || channel || ',0x' || printf('%X', can_id) || ',' || {_NAME} || ',' || CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END || ',2,' || {_HEX} AS text, last_row FROM g)
+  SELECT group_row, row_idx, (0)::INTEGER AS place, 'Time,Channel,CAN ID,Message Name,Direction,DLC,Data' AS value FROM l WHERE head UNION ALL SELECT group_row, row_idx, 1, '' FROM l WHERE head
+  UNION ALL SELECT group_row, row_idx, CASE WHEN head THEN 2 ELSE 0 END, text FROM l UNION ALL SELECT group_row, row_idx, CASE WHEN head THEN 3 ELSE 1 END, '' FROM l
+  UNION ALL SELECT group_row, row_idx, CASE WHEN head THEN 4 ELSE 2 END + k, '' FROM l, (SELECT unnest(range(0, 5))::INTEGER AS k) WHERE row_idx = last_row""", lambda s, d: export.csv_lines(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
+_add("ambiguous_ids", f"WITH {_BASE} SELECT DISTINCT can_id, 'Unresolved' AS message_name FROM f WHERE can_id % 5 = 0 AND can_id % 7 <> 0", lambda s, d: D.ambiguous_ids(messages(s, d)))
+_add("pairs_differ", f"WITH {_SIGNALS}, a AS (SELECT DISTINCT can_id, signal_id FROM z) SELECT can_id, signal_id, CASE WHEN signal_id = 0 THEN 'gone' ELSE 'new' END AS side FROM a WHERE signal_id < 2", lambda s, d: D.pairs_differ(D.signal_pairs(decoded(s, d)).where("signal_id <> 0"), D.signal_pairs(decoded(s, d)).where("signal_id <> 1")))
+_add("lexer_values", f"""WITH {_BASE} SELECT row_idx, [0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64][1 + greatest(0, least(15, row_idx % 20 - 2))] AS fd_length, data_hex || repeat('00', 62) AS clamped, trim(channel) || ' x' AS collapsed,
+  can_id || ':' || (row_idx % 4) AS signal_key FROM f""", lambda s, d: base(s, d).select("row_idx", L.fd_length((F.col("row_idx") % 20 - 2).cast("int")).alias("fd_length"), F.hex(L.clamped(F.col("data"))).alias("clamped"), F.concat(L.collapse(F.concat("channel", F.lit("  \t "))), F.lit(" x")).alias("collapsed"), L.signal_key(F.col("can_id"), F.col("row_idx") % 4).alias("signal_key")))
+
+_DBC = """BO_ 257 MsgA: 8 ECU
+ SG_ Zed : 7|16@0+ (0.5,-3) [0|0] "" X
+ SG_ Abe : 8|5@1- (0.25,10) [0|0] "" X
+ CAT_DEF_ 1 a b;
+BO_ 2566848544 Long: 64 ECU
+ SG_ Switch M : 0|8@1+ (1,0) [0|0] "" X
+ SG_ Part m2 : 8|8@1+ (1,0) [0|0] "" X
+VAL_ 257 Abe 0 "off" 1 "on" ;
+"""
+
+
+def _database(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "dbc")
+    s.createDataFrame([(_DBC,)], "value string").coalesce(1).write.text(path)
+    found, own = dbc.read_dbc(s, path, "d")
+    return own.join(found.select("can_id", "message_name", "msg_length"), "can_id").select("can_id", "message_name", "msg_length", "signal_id", "signal_name", "start_bit", "bit_length", "byte_order", "is_signed", "has_choices", "scale", "offset", "mux_signal", "mux_value")
+
+
+_add("parse_dbc", """SELECT * FROM (VALUES (257::BIGINT, 'MsgA', 8, 0, 'Abe', 8, 5, 0, 1, 1, 0.25::DOUBLE, 10.0::DOUBLE, NULL::INTEGER, NULL::BIGINT), (257, 'MsgA', 8, 1, 'Zed', 7, 16, 1, 0, 0, 0.5, -3.0, NULL, NULL),
+  (419364896, 'Long', 64, 0, 'Part', 8, 8, 0, 0, 0, 1.0, 0.0, 1, 2), (419364896, 'Long', 64, 1, 'Switch', 0, 8, 0, 0, 0, 1.0, 0.0, NULL, NULL))
+  t(can_id, message_name, msg_length, signal_id, signal_name, start_bit, bit_length, byte_order, is_signed, has_choices, scale, "offset", mux_signal, mux_value)""", _database)
