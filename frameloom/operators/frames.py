@@ -6,27 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.schemas import CAPPED_ID
+from frameloom.schemas import CAPPED_ID, CHUNK_ROWS
 
 
-def derive(frames: DataFrame, limit_ids: bool = True) -> DataFrame:
+def with_before(rows: DataFrame, keys: list[str], columns: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add `before`: a struct of the columns of the row before (by row_idx) with the same keys, or null.
+
+    Rows are dealt out by keys and chunk of chunk_rows row numbers, so that a key that holds a third of a log is many tasks'.
+    What a chunk ends with is carried to the key's next one, by a small table of a row per key and chunk that is on the same
+    partitions.
+    """
+    part = [*keys, "_chunk"]
+    dealt = rows.withColumn("_chunk", F.floor(F.col("row_idx") / chunk_rows))
+    own = dealt.withColumn("_own", F.lag(F.struct(*columns)).over(Window.partitionBy(*part).orderBy("row_idx")))
+    ends = dealt.groupBy(*part).agg(F.max_by(F.struct(*columns), "row_idx").alias("_end"))
+    carried = ends.select(*part, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carried")).where("_carried is not null")
+    return own.join(carried, part, "left").withColumn("before", F.coalesce("_own", "_carried")).select(*rows.columns, "before")
+
+
+def derive(frames: DataFrame, limit_ids: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add last_timestamp and changed, both from the frame before of the same identifier in its log.
 
     The first frame of an identifier has its own timestamp and no change. With limit_ids identifiers from 8192 on always have
-    their own timestamp. One shuffle by (log_id, can_id) serves both columns.
+    their own timestamp.
     """
-    before = Window.partitionBy("log_id", "can_id").orderBy("row_idx")
-    last = F.coalesce(F.lag("timestamp").over(before), "timestamp")
-    return frames.withColumns({
-        "last_timestamp": F.when(F.col("can_id") >= CAPPED_ID, F.col("timestamp")).otherwise(last) if limit_ids else last,
-        "changed": F.coalesce((F.lag("data").over(before) != F.col("data")).cast("int"), F.lit(0)),
-    })
+    rows = with_before(frames, ["log_id", "can_id"], ["timestamp", "data"], chunk_rows)
+    last = F.coalesce("before.timestamp", "timestamp")
+    return rows.select(
+        *frames.columns, (F.when(F.col("can_id") >= CAPPED_ID, F.col("timestamp")).otherwise(last) if limit_ids else last).alias("last_timestamp"),
+        F.coalesce((F.col("before.data") != F.col("data")).cast("int"), F.lit(0)).alias("changed"),
+    )
 
 
-def signal_changes(decoded: DataFrame) -> DataFrame:
+def signal_changes(decoded: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Set changed where a signal's raw value differs from its sample before; the first is unchanged."""
-    before = Window.partitionBy("log_id", "can_id", "signal_id").orderBy("row_idx")
-    return decoded.withColumn("changed", F.coalesce((F.lag("raw_value").over(before) != F.col("raw_value")).cast("int"), F.lit(0)))
+    rows = with_before(decoded, ["log_id", "can_id", "signal_id"], ["raw_value"], chunk_rows)
+    return rows.select(*decoded.columns, F.coalesce((F.col("before.raw_value") != F.col("raw_value")).cast("int"), F.lit(0)).alias("changed"))
 
 
 def live(records: DataFrame) -> DataFrame:

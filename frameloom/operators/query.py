@@ -32,10 +32,25 @@ def read_page(frames: DataFrame, first: int, last: int) -> DataFrame:
     return frames.where(F.col("row_idx").between(first, last))
 
 
+def page_of(rows: DataFrame, first: int, last: int, deep: int = CHUNK_ROWS) -> DataFrame:
+    """Rows first to last, both included, in the order of logs and rows.
+
+    Up to `deep` rows each task keeps last + 1 rows. Beyond, rows are counted per chunk first, and only the chunks that hold the
+    page are numbered.
+    """
+    if last < deep:
+        return rows.orderBy("log_id", "row_idx").offset(first).limit(last - first + 1)
+    dealt = rows.withColumn("chunk", F.floor(F.col("row_idx") / CHUNK_ROWS))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("log_id", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per chunk
+    held = dealt.groupBy("log_id", "chunk").agg(F.count("*").alias("n")).withColumn("before", before).where((F.col("before") <= last) & (F.col("before") + F.col("n") > first))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("log_id", "chunk").orderBy("row_idx")) - 1
+    page = dealt.join(held.drop("n"), ["log_id", "chunk"]).withColumn("number", number).where(F.col("number").between(first, last))
+    return page.select(*rows.columns).orderBy("log_id", "row_idx")
+
+
 def read_page_filtered(frames: DataFrame, query: LogQuery, first: int = 0, last: int = PAGE_SIZE - 1) -> DataFrame:
-    """Rows first to last, both included, of those that pass, in row order; an offset and limit over the sorted rest, so each
-    task keeps last + 1 rows at most."""
-    return apply_query(frames, query).orderBy("log_id", "row_idx").offset(first).limit(last - first + 1)
+    """Rows first to last, both included, of those that pass, in row order."""
+    return page_of(apply_query(frames, query), first, last)
 
 
 def fetch_count(frames: DataFrame) -> DataFrame:
@@ -84,4 +99,5 @@ def signal_filter_page(frames: DataFrame, decoded: DataFrame, wanted: dict[int,
     hits = decoded.where(test)
     if match_mode == "and":
         hits = hits.groupBy("log_id", "row_idx").agg(F.count_distinct("signal_id").alias("n")).where(F.col("n") == len(wanted))
-    return frames.join(hits.select("log_id", "row_idx"), ["log_id", "row_idx"], "left_semi").orderBy("log_id", "row_idx").offset(first_line).limit(page_size)
+    found = frames.join(hits.select("log_id", "row_idx"), ["log_id", "row_idx"], "left_semi")
+    return page_of(found, first_line, first_line + page_size - 1)

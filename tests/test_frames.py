@@ -57,6 +57,15 @@ def test_derived_columns(spark):
     assert {r["row_idx"]: (r["last_timestamp"], r["changed"]) for r in _frames(spark).collect()} == EXPECTED
 
 
+def test_chunks_carry_the_frame_before(spark):
+    rows = _frames(spark).drop("last_timestamp", "changed")
+    for size in (1, 2, 3):
+        got = {r["row_idx"]: (r["last_timestamp"], r["changed"]) for r in frames.derive(rows, chunk_rows=size).collect()}
+        assert got == EXPECTED
+    base = catalogue.full(spark, SF)
+    assert query.page_of(base, 20, 60, deep=1).collect() == query.page_of(base, 20, 60).collect() and query.page_of(base.limit(5), 7, 9, deep=1).count() == 0
+
+
 def test_live_changes_equal_the_batch(spark, tmp_path):
     _frames(spark).select("log_id", "row_idx", "timestamp", "can_id", "data").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("log_id string, row_idx long, timestamp double, can_id long, data binary").parquet(str(tmp_path / "in"))
