@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -81,6 +83,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[places[0] : places[-1]], places - places[0]
 
 
+def trim() -> None:
+    """Give what a fit has freed back to the system, as far as the C library can."""
+    gc.collect()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def smallest(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """The n rows with the smallest hash of doc_id, so that a sample doesn't depend on partitioning."""
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)

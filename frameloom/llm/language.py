@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.llm.common import fold, slices, utf8
+from frameloom.llm.common import fold, slices, trim, utf8
 from frameloom.llm.grams import gram_pairs, gram_sums, spaced, word_hashes, words
 
 PARTS, HELD = 4, 2
@@ -169,7 +169,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).orderBy("k", "lang").limit(per_language * MAX_LANGUAGES).select("doc_id", "lang")
     # per_language * MAX_LANGUAGES small rows at most
     rows = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).collect()
-    return train(sorted((r["text"], r["lang"]) for r in rows))
+    model = train(sorted((r["text"], r["lang"]) for r in rows))
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

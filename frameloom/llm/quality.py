@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import fold, slices, smallest, texts_of, utf8
+from frameloom.llm.common import fold, slices, smallest, texts_of, trim, utf8
 from frameloom.llm.grams import spaced, word_hashes, words
 
 PARTS, HELD = 5, 0
@@ -110,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = docs.where(F.length("text").between(1, MAX_CHARS) & (fold("doc_id", PARTS) != HELD)).select("doc_id").distinct()
     trusted = smallest(ids.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), POSITIVES)
     positive, unlabelled = (sorted(r["text"] for r in texts_of(docs, x, MAX_CHARS).collect()) for x in (trusted, smallest(ids, UNLABELLED, 1)))
-    return train(positive, unlabelled)
+    model = train(positive, unlabelled)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import fold, labelled_sample, slices, utf8
+from frameloom.llm.common import fold, labelled_sample, slices, trim, utf8
 from frameloom.llm.grams import gram_pairs, mix, spaced, word_hashes, words
 
 #: Words whose embeddings are summed and divided by this number; a document is as toxic as its most toxic window.
@@ -70,12 +70,17 @@ def _spread_sums(values: np.ndarray, groups: np.ndarray, n: int, item: np.ndarra
     return out
 
 
-def _grams(text, first, end, h) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of every n-gram of the words and of each word as a whole, sorted by word."""
-    of_word, bucket = gram_pairs(text, first, end, BUCKETS)
-    of_word, bucket = np.concatenate([of_word.astype(np.int32), np.arange(len(h), dtype=np.int32)]), np.concatenate([bucket.astype(np.int32), _whole(h).astype(np.int32)])
-    order = np.argsort(of_word, kind="stable")
-    return of_word[order], bucket[order]
+def _grams(text, first, end, h, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every n-gram of the words and of each word as a whole, sorted by word; some words at a time."""
+    owners, buckets = [], []
+    for at in range(0, len(h), step):
+        own, bucket = gram_pairs(text, first[at : at + step], end[at : at + step], BUCKETS)
+        whole = _whole(h[at : at + step])
+        own, bucket = np.concatenate([own, np.arange(len(whole))]), np.concatenate([bucket.astype(np.int32), whole.astype(np.int32)])
+        order = np.argsort(own, kind="stable")
+        owners.append((own[order] + at).astype(np.int32))
+        buckets.append(bucket[order])
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def _whole(h: np.ndarray) -> np.ndarray:
@@ -145,7 +150,9 @@ def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, see
         return Model(np.zeros(BUCKETS), -5.0)
     of_word, bucket = of_word[kept], bucket[kept]
     used = np.unique(bucket)
-    bucket = np.searchsorted(used, bucket).astype(np.int32)
+    place_of = np.zeros(BUCKETS, np.int32)
+    place_of[used] = np.arange(len(used))
+    bucket = place_of[bucket]
     by_bucket = np.argsort(bucket, kind="stable")
     word_of, sorted_bucket = of_word[by_bucket], bucket[by_bucket]
     del by_bucket, kept
@@ -203,7 +210,9 @@ def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, see
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn from at most per_class rows and CLASS_BYTES of either class, of the folds other than HELD."""
-    return train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, CLASS_BYTES))
+    model = train(labelled_sample(docs, labels, "toxic", PARTS, HELD, per_class, CLASS_BYTES))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -219,6 +219,133 @@ def test_quality_and_toxicity_scores(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(odd_docs())
 
 
+def plain_words(text):
+    """Words of letters, digits and bytes beyond ASCII, A-Z and accented capitals in lower case."""
+    low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "").encode()
+    return [w.decode("utf-8", "replace") for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", low)]
+
+
+def test_language_query_equals_words_one_by_one(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").collect()
+    model = language.fit(spark.read.parquet(SF + "/documents.parquet"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op2_language"](spark, SF).collect()}
+    a = np.exp(model.transitions.astype(float))
+    for r in sorted(docs, key=lambda r: len(r["text"] or ""))[:120:3]:
+        own = []
+        for w in plain_words(r["text"]):
+            text, starts = language.spaced(*utf8(pa.array([w])))
+            own.append(model.emissions(text, *language.words(text, starts)[:2])[0])
+        if not own or not re.search(r"[^\W\d_]", r["text"]):
+            assert got[r["doc_id"]][0] == "und"
+            continue
+        e = np.exp(np.array(own, float))
+        f = [np.exp(model.start) * e[0]]
+        for x in e[1:]:
+            f.append((f[-1] / f[-1].sum()) @ a * x)
+        b = [np.ones(len(a))]
+        for x in e[:0:-1]:
+            b.append(a @ (x * b[-1]))
+            b[-1] /= b[-1].sum()
+        m = np.array(f) * np.array(b[::-1])
+        mean = (m / m.sum(1, keepdims=True)).mean(0)
+        assert got[r["doc_id"]][0] == model.languages[int(mean.argmax())] and abs(got[r["doc_id"]][1] - mean.max()) < 1e-3
+
+
+def test_toxicity_query_equals_windows_one_by_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op9_toxicity"](spark, SF).collect()}
+    seen = {}
+
+    def value(w):
+        if w not in seen:
+            text, starts = toxicity.spaced(*utf8(pa.array([w])))
+            first, end, _ = toxicity.words(text, starts)
+            bucket = toxicity._grams(text, first, end, toxicity.word_hashes(text, first, end))[1]
+            seen[w] = float(model.weights[bucket].mean())
+        return seen[w]
+
+    for r in sorted(docs.collect(), key=lambda r: len(r["text"] or ""))[:120:3]:
+        w = plain_words(r["text"])
+        w = [x for k, x in enumerate(w) if not k or x != w[k - 1]]
+        top = max((sum(map(value, w[k : k + 8])) / 8 for k in range(max(1, len(w) - 7))), default=None) if w else None
+        want = min(model.bias, 0) if top is None else top + model.bias
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(want, -30, 30)))) < 1e-3
+
+
+def test_quality_query_equals_counts_one_by_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_quality"](spark, SF).collect()}
+    groups = [range(97, 123), range(65, 91), range(48, 58), [32], [10, 13], range(128, 256), [33, 63], [46, 44, 59, 58], [124], [35, 36, 37, 38, 42]]
+    for r in docs.collect()[::5]:
+        b, w = (r["text"] or "").encode(), plain_words(r["text"])
+        size, n = max(1, len(b)), max(1, len(w))
+        kinds = [sum(x in g for x in b) / size for g in groups]
+        kinds = [1 - sum(kinds) if b else 0.0, *kinds]
+        low = [64 if 65 <= x < 91 else 48 if 48 <= x < 58 else x for x in b]
+        pairs = np.zeros(quality.PAIRS)
+        for x, y in zip(low, low[1:]):
+            pairs[((x * 257 + y) * 0x9E3779B1 & 0xFFFFFFFF) >> 23] += 1 / size
+        distinct = len(set(w)) / n
+        other = [distinct, distinct * np.log1p(n) / 8, sum(x == y for x, y in zip(w, w[1:])) / n, sum(len(x.encode("utf-8")) for x in w) / n / 10, np.log1p(size) / 10, kinds[2] / (kinds[1] + kinds[2] + 0.01)]
+        x = (np.concatenate([np.sqrt(np.maximum(kinds, 0)), other, np.sqrt(pairs)]) - model.mean) / model.spread
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))) < 1e-3, r["doc_id"]
+
+
+def test_leaks_query_equals_full_alignment(spark):
+    """Every short document against every item: the best semi-global alignment of the item's passages says which are held."""
+    docs = [r for r in spark.read.parquet(SF + "/documents.parquet").collect() if r["text"]]
+    items = [r for r in spark.read.parquet(SF + "/benchmark.parquet").collect() if r["text"]]
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op7_decontamination"](spark, SF).collect()}
+    plain = lambda t: " ".join(plain_words(t)).encode()
+    held = sorted({d for d, _ in got})[:6]
+    some = [r for r in docs if r["doc_id"] in held] + sorted((r for r in docs if r["doc_id"] not in held), key=lambda r: len(r["text"]))[40:46]
+    texts = [np.frombuffer(plain(r["text"]), np.uint8) for r in some]
+    line = np.concatenate([np.append(t, 0) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    step = np.arange(len(line) + 1)
+    want = set()
+    for item in items[:: max(1, len(items) // 10)] + [i for i in items if any(i["item_id"] == x for d, x in got if d in held)][:6]:
+        whole = plain(item["text"])
+        parts = [whole] if len(whole) <= 512 else [whole[k : k + 512] for k in range(0, len(whole) - 256, 256)]
+        parts += [whole[k : k + 96] for k in [*range(0, len(whole) - 96, 24), len(whole) - 96]] if len(whole) > 96 else []
+        for part in parts:
+            budget = min(int(0.06 * len(part)), max(0, len(part) - 10) // 10)
+            cost = np.zeros(len(line) + 1, int)
+            for byte in part:
+                best = np.minimum(cost[1:] + 1, cost[:-1] + (line != byte))
+                cost = np.minimum.accumulate(np.concatenate([[cost[0] + 1], best]) - step) + step
+            want |= {(some[k]["doc_id"], item["item_id"]) for k in set(owner[np.flatnonzero(cost[1:] <= budget)])}
+    tried = {x for _, x in want} | {i["item_id"] for i in items[:: max(1, len(items) // 10)]}
+    assert want and {(d, x) for d, x in got if d in {r["doc_id"] for r in some} and x in tried} == want
+
+
+def test_toxicity_beats_saying_no(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op9_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(sf + "/labels.parquet"), "doc_id").join(spark.read.parquet(sf + "/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    share = lambda rows: sum(r["predicted"] for r in rows) / len(rows)
+    toxic, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    assert (share(toxic) + 1 - share(clean)) / 2 >= 0.8 and share(clean) <= 0.07  # saying no always gives 0.5
+    by = {lang: share([r for r in toxic if r["lang"] == lang]) for lang in ("en", "de", "fr", "es")}
+    assert by["en"] >= 0.8 and min(by.values()) > 0.2, by
+
+
+def test_pipeline_of_odd_repeated_and_no_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(SF + "/documents.parquet").limit(60).collect()
+    rows = [tuple(r) for r in docs] + [(None, docs[0]["text"], None, None, None), (900001, None, "en", "s", 0), (900002, "", "en", "s", 0), tuple(docs[3]), (900003, docs[3]["text"] + " more", "en", "s", 9)]
+    for name, some in (("odd", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            table = spark.read.parquet(f"{SF}/{t}.parquet")
+            (table if some else table.limit(0)).write.parquet(f"{at}/{t}.parquet")
+        out = p.run(spark, at).collect()
+        assert (len(out) > 50 and {900001, 900002, None} <= {r["doc_id"] for r in out} and 900003 not in {r["doc_id"] for r in out}) if some else out == []
+
+
 def test_toxicity_of_windows_rare_grams_and_long_texts(spark):
     model = toxicity.train([("you are a stupid idiot here now", 1), ("what a nice warm day we have", 0)] * 60)
     calm = "what a nice warm day we have".split()
