@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from frameloom.llm.common import slices
 
 NONE = np.int32(2**31 - 1)
-#: From so many symbols on, a row is merged with a heap, as a padded matrix takes quadratic time there.
+#: From so many symbols on, a row is a bucket of its own and merges many pairs of the least rank in a round.
 LONG_ROW = 2048
 #: Words whose ids are kept in a worker; then the store starts anew.
 KEPT_WORDS = 300_000
@@ -146,35 +145,34 @@ class Codec:
             ranks[left, best[left] - 1] = self.pairs.find(ids[left, best[left] - 1], ids[left, best[left]])
 
     def _long(self, word: bytes) -> bytes:
+        """A bucket of one long row: a round merges the pairs of the least rank from the left, without overlap, up to the first
+        that makes a pair of a lower rank, and closes the gaps. Merging one a round would take the same pairs in the same order."""
         ids = self.byte_ids[np.frombuffer(word, np.uint8)]
-        n = len(ids)
-        first = self.pairs.find(ids[:-1], ids[1:])
-        heap = [(int(r), int(i)) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        ids, current = ids.tolist(), first.tolist() + [int(NONE)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        known: dict[tuple[int, int], int] = {}
-
-        def rank(a: int, b: int) -> int:
-            if (a, b) not in known:
-                known[a, b] = int(self.pairs.find(np.array([a], np.int32), np.array([b], np.int32))[0])
-            return known[a, b]
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if current[i] != r or ids[i] < 0:
-                continue
-            j = after[i]
-            ids[i], ids[j], current[j] = r, -1, int(NONE)
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for p, q in ((i, k), (before[i], i)):
-                if p >= 0:
-                    current[p] = rank(ids[p], ids[q]) if q < n else int(NONE)
-                    if current[p] != NONE:
-                        heapq.heappush(heap, (current[p], p))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks):
+            low = ranks.min()
+            if low == NONE:
+                break
+            hit = np.flatnonzero(ranks == low)
+            run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)  # pairs of one rank side by side overlap: every other one merges
+            hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+            # a pair's neighbours when its turn comes: to the left the token of the pair before, to the right what stands there now
+            ends = np.concatenate([[-1], ids, [-1]])
+            before, behind = ends[hit], ends[np.minimum(hit + 3, len(ends) - 1)]
+            before[1:][np.diff(hit) == 2] = low
+            token = np.full(len(hit), low, np.int32)
+            lower = np.flatnonzero((self.pairs.find(before.astype(np.int32), token) < low) | (self.pairs.find(token, behind.astype(np.int32)) < low))
+            hit = hit[: lower[0] + 1] if len(lower) else hit
+            ids[hit] = low
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            ids = ids[stay]
+            at = hit - np.arange(len(hit))  # where the merged tokens stand now
+            ranks = ranks[stay[1:]] if len(ids) > 1 else ranks[:0]
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(ids) - 1)]
+            ranks[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]

@@ -163,6 +163,15 @@ def test_bpe_equals_the_library_and_round_trips(spark, odd, none):
         assert (r["ids"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (ids, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert bpe.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
     codec = bpe._codec(open(path, "rb").read(), public_tokenizers.PATTERN)
+    # ranks out of order: a merge makes a pair that comes before other merges of its rank
+    odd_ranks = {bytes([b]): b for b in range(256)} | {w: 256 + k for k, w in enumerate([b"abc", b"ca", b"bc", b"ab", b"bcbc", b"cabc", b"bca", b"aa", b"aab", b"aabc", b"cbc", b"bcb"])}
+    small = bpe.Codec(b"\n".join(base64.b64encode(t) + b" " + str(k).encode() for t, k in odd_ranks.items()), public_tokenizers.PATTERN)
+    for n in range(1, 200):
+        w = "".join(rng.choice("abc") for _ in range(n)).encode()
+        assert small._long(w) == small._matrix([w], n)[0], w
+    for w in ("a" * 2049, "ab" * 3000, "".join(rng.choice("aab") for _ in range(9000)), "".join(rng.choice("etaoin shrdlu") for _ in range(5000)), "é漢" * 1500):
+        assert np.frombuffer(codec._long(w.encode()), "<u4").tolist() == np.frombuffer(codec._matrix([w.encode()], len(w.encode()))[0], "<u4").tolist()
+    assert [np.frombuffer(codec._long(w.encode()), "<u4").tolist() for w in ("a", "ab", "aaaa")] == [np.frombuffer(x, "<u4").tolist() for x in codec._matrix([b"a", b"ab", b"aaaa"], 4)]
     mixed = ["".join(rng.choice("abc  \n\x1c\x85éß漢😀'sl19!") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["xyz" * 1500]
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(mixed)] == [own.encode_ordinary(t) for t in mixed]
 
