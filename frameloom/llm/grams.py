@@ -8,17 +8,19 @@ import numpy as np
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER[65:91] += 32#: What is no part of a word becomes a blank, so that a word's n-grams don't depend on the marks beside it.
+PLAIN = np.where(WORD, LOWER, 32).astype(np.uint8)
+
 _SEEDS = np.random.default_rng(20240101).integers(1, 2**32, 16, dtype=np.uint32) | np.uint32(1)
 _WORD_SEEDS = np.random.default_rng(20240102).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def spaced(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts with one space around each, and where each text starts (and the end)."""
+    """Lower-cased texts, blanks for what is no part of a word and one around each, and where each text starts (and the end)."""
     n = len(places) - 1
     out = np.full(len(data) + n + 1, 32, np.uint8)
     row = np.repeat(np.arange(1, n + 1), np.diff(places))
-    out[np.arange(len(data)) + row] = LOWER[data]
+    out[np.arange(len(data)) + row] = PLAIN[data]
     # capital letters with an accent, two bytes in UTF-8
     wide = np.flatnonzero(out[:-1] == 0xC3) + 1
     wide = wide[(out[wide] >= 0x80) & (out[wide] <= 0x9E) & (out[wide] != 0x97)]
