@@ -188,9 +188,28 @@ def _search(rows: DataFrame, d: int, every: int, k: int, centroids: int, share:
     asked = rows.where(F.col("vec_id") % every == 0).repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInPandas(visit, table)
     dealt = index.mapInPandas(deal, table).unionByName(asked).repartition("bin").sortWithinPartitions("bin", "asks")
     near = dealt.mapInPandas(rerank, "query_id long, vec array<long>, score array<double>")
-    flat = near.select("query_id", F.inline(F.arrays_zip(F.col("vec").alias("vec"), F.col("score").alias("score")))).toDF("query_id", "vec_id", "score")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(_merged(k), "query_id long, rank int, vec_id long, score double")
+
+
+def _merged(k: int):
+    """Rows (query_id, vec, score) sorted by query: the k best of each, of which no more than k are held."""
+
+    def rows(query, best):
+        return [(query, rank, vec, -score) for rank, (score, vec) in enumerate(best, 1)]
+
+    def run(batches):
+        current, best = None, []
+        for pdf in batches:
+            out = []
+            for query, vec, score in zip(pdf["query_id"].tolist(), pdf["vec"], pdf["score"]):
+                if query != current:
+                    out += rows(current, best)
+                    current, best = query, []
+                best = heapq.nsmallest(k, [*best, *((-s, int(x)) for x, s in zip(vec, score))])
+            yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+        yield pd.DataFrame(rows(current, best), columns=["query_id", "rank", "vec_id", "score"])
+
+    return run
 
 
 def exact(embeddings: DataFrame, every: int = 20, k: int = 20) -> dict[int, list[tuple[int, float]]]:
