@@ -38,6 +38,14 @@ def derive(frames: DataFrame, limit_ids: bool = True, chunk_rows: int = CHUNK_RO
     )
 
 
+def derive_shown(frames: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The variant of line views: last_timestamp for all identifiers (a time of 0.0 before counts as none), last_raw_data in
+    hexadecimal digits (empty at first), and changed, which is false where that is empty."""
+    rows = with_before(frames, ["log_id", "can_id"], ["timestamp", "data"], chunk_rows)
+    last, raw = F.nullif("before.timestamp", F.lit(0.0)), F.coalesce(F.hex("before.data"), F.lit(""))
+    return rows.select(*frames.columns, F.coalesce(last, "timestamp").alias("last_timestamp"), raw.alias("last_raw_data"), ((raw != "") & (raw != F.hex("data"))).alias("changed"))
+
+
 def signal_changes(decoded: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Set changed where a signal's raw value differs from its sample before; the first is unchanged."""
     rows = with_before(decoded, ["log_id", "can_id", "signal_id"], ["raw_value"], chunk_rows)

@@ -69,6 +69,9 @@ _add("frames_base", f'WITH {_BASE} SELECT row_idx, line_number, "timestamp", can
 _add("frames_changed", f"WITH {_BASE} SELECT row_idx, can_id, changed FROM f", lambda s, d: full(s, d).select("row_idx", "can_id", "changed"))
 _add("frames_last_ts", f"WITH {_BASE} SELECT row_idx, can_id, last_timestamp FROM f", lambda s, d: full(s, d).select("row_idx", "can_id", "last_timestamp"))
 _add("frames_live", f'WITH {_BASE} SELECT row_idx, "timestamp" AS last_timestamp, 0 AS changed FROM f', lambda s, d: frames.live(base(s, d)).select("row_idx", "last_timestamp", "changed"))
+_add("frames_shown", f"""WITH {_BASE} SELECT row_idx, can_id, coalesce(nullif(lag("timestamp") OVER w, 0.0), "timestamp") AS last_timestamp, coalesce(lag(data_hex) OVER w, '') AS last_raw_data, coalesce(lag(data_hex) OVER w <> data_hex, false) AS changed
+  FROM f WINDOW w AS (PARTITION BY can_id ORDER BY row_idx)""", lambda s, d: frames.derive_shown(base(s, d)).select("row_idx", "can_id", "last_timestamp", "last_raw_data", "changed"))
+_frames_query("page_deep", lambda f: query.page_of(query.apply_query(f, LogQuery(directions=("rx",))), 100, 199, deep=0), "WHERE direction = 0 ORDER BY row_idx LIMIT 100 OFFSET 100")
 _frames_query("page_read", lambda f: query.read_page(f, 100, 299), "WHERE row_idx BETWEEN 100 AND 299")
 _frames_query("filter_canid", lambda f: query.apply_query(f, LogQuery(can_ids=(257, 262, 419364864))), "WHERE can_id IN (257, 262, 419364864)")
 _frames_query("filter_channel", lambda f: query.apply_query(f, LogQuery(channels=("CAN3", "1", ""))), "WHERE normal IN ('can3', '1', 'unknown')")

@@ -69,6 +69,9 @@ class Engine:
         self.parsing: dict[str, ParserStatus] = {}
 
     def start(self) -> None:
+        """Put back what a crash in an update left aside, then take requests."""
+        self.state = "STARTING"
+        store.recover(self.spark, self.frames_path)
         self.state = "RUNNING"
 
     def stop(self) -> None:
@@ -204,6 +207,10 @@ class Engine:
                 self._decoding.discard(pair)
         return own
 
+    def decode_all(self, pairs: list[tuple[str, str]]) -> list[DecodeId]:
+        """Decode pairs of log and database in their order, each once."""
+        return [self.decode(*pair) for pair in dict.fromkeys(pairs)]
+
     def request_decode(self, log_id: str, dbc_id: str, **options) -> Future:
         """decode() beside the caller."""
         self._running()

@@ -113,3 +113,11 @@ def parse_line(spark: SparkSession, line: str):
     """The record of one line, or None."""
     rows = parse_text(spark, line).collect()
     return rows[0] if rows else None
+
+
+def run_worker(spark: SparkSession, path: str, log_id: str, *_ignored, **__ignored) -> DataFrame:
+    """An older name of parse_log, whose further arguments are ignored."""
+    return parse_log(spark, path, log_id)
+
+
+run_worker_2pass = run_worker

@@ -154,6 +154,7 @@ def test_service_from_file_to_export(spark, tmp_path):
     assert job.result(120) == other and e.parse_status(other)[0] == 0 and e.log_path(other).endswith(other) and e.frames(other).count() == 9
     assert e.request_decode(other, base).result(120).log_id == other and e.decoded(other, base).count() == 18
     e.kill_decode(other)
+    assert len(e.decode_all([(other, base), (log, base), (other, base)])) == 2
     assert e.decode(other, base, replace=True, again=True) and e.decoded(other, base).count() == 18
     e.decode(other, "none")
     assert (heard[-1].status, heard[-1].code) == (1, -102)
