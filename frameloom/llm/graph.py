@@ -12,20 +12,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-#: A node with more than this share of all edges' ends is a hub; there are at most as many hubs as its inverse.
-HUB = 1 / 500
+#: A node with more than this share of all edges' ends, and more than HUB_EDGES, is a hub; there are at most as many hubs as the
+#: share's inverse. Up to HUB_EDGES (some MB) a task may well have all edges of a node.
+HUB, HUB_EDGES = 1 / 500, 1_000_000
 
 
-def _least(edges: DataFrame, ends: int) -> DataFrame:
-    """edges (u, v) with m, the least v of each u. Hubs, of which there are 1 / HUB at most, are met by broadcast, so that no task
-    gets all edges of one."""
+def _least(edges: DataFrame, ends: int, hub_edges: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u. Hubs are met by broadcast, so that no task gets all edges of one."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > ends * HUB).select("u", "m"))
+    if ends <= hub_edges:
+        return edges.join(least.select("u", "m"), "u")
+    many = max(ends * HUB, hub_edges)
+    hubs = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
     met = edges.join(hubs, "u")
-    return met.unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= ends * HUB).select("u", "m"), "u"))
+    return met.unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(node, component) of every node of edges (a, b: long); component is its smallest reachable node.
 
     Large star and small star in turn until nothing changes: of the order of log squared rounds. Each round is written to the
@@ -36,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        met = _least(large, before[0])
+        large = _least(both, 2 * before[0], hub_edges).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met = _least(large, before[0], hub_edges)
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
         after = _state(e)

@@ -145,8 +145,9 @@ def test_jaccard_odd_rows(odd, none):
 
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
+    for hub_edges in (10**6, 5):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), hub_edges).collect()}
+        assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
 
 
 def test_bpe_equals_the_library_and_round_trips(spark, odd, none):
