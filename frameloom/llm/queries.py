@@ -72,7 +72,29 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op7_decontamination, op8_licenses, op9_toxicity, op10_ann)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.fim import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.mainhtml import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameloom.llm.conversations import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix, op2_language, op3_bpe, op4_quality, op5_warc, op6_jaccard, op7_decontamination, op8_licenses, op9_toxicity, op10_ann, op11_fim, op12_html, op13_conversations)
+}
+
 
 def _licenses() -> str:
     from frameloom.llm.licenses import oracle
@@ -80,6 +102,12 @@ def _licenses() -> str:
     return oracle()
 
 
+def _fim() -> str:
+    from frameloom.llm.fim import ORACLE
+
+    return ORACLE
+
+
 ORACLES = {
     "op5_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -93,4 +121,5 @@ ORACLES = {
         FROM d JOIN k USING (h)
     """,
     "op8_licenses": _licenses(),
+    "op11_fim": _fim(),
 }
