@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from frameloom.schemas import CHANNEL_CHARS, VALID_LENGTHS
 
 MAX_TOKENS = 256
-_HEX2 = "^[0-9A-Fa-f]{2}$"
 
 
 def tokens(line: Column) -> Column:
@@ -37,32 +36,46 @@ def can_id(token: Column) -> Column:
     return F.when(digits.rlike("^[0-9A-Fa-f]+$"), F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long"))
 
 
-def direction_index(t: Column) -> Column:
-    """Place (from 0) of the first Rx or Tx, or null."""
-    return F.least(index_of(t, "rx"), index_of(t, "tx"))
+def spaced(t: Column) -> Column:
+    """Tokens in lower case with one blank before, between and behind them: places are looked up in it by plain searches, which are
+    much cheaper than functions over arrays."""
+    return F.concat(F.lit(" "), F.lower(F.array_join(t, " ")), F.lit(" "))
+
+
+def _blanks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def direction_index(line: Column) -> Column:
+    """Place (from 0) of the first Rx or Tx in spaced tokens, or null."""
+    return F.least(index_of(line, "rx"), index_of(line, "tx"))
 
 
 def direction_at(t: Column, index: Column) -> Column:
     return F.when(F.lower(F.get(t, index)) == "rx", 0).when(F.lower(F.get(t, index)) == "tx", 1)
 
 
-def index_of(t: Column, name: str) -> Column:
-    at = F.array_position(F.transform(t, F.lower), name.lower())
-    return F.when(at > 0, (at - 1).cast("int"))
+def index_of(line: Column, name: str) -> Column:
+    """Place of the first token of that name in spaced tokens, or null."""
+    at = F.instr(line, f" {name.lower()} ")
+    return F.when(at > 0, _blanks(F.substr(line, F.lit(1), at)) - 1)
 
 
-def _first(t: Column, start: Column, test) -> Column:
-    last = F.size(t) - 2
-    return F.when(start <= last, F.get(F.filter(F.sequence(start, last), test), F.lit(0)))
+def _first(line: Column, n: Column, start: Column, pattern: str) -> Column:
+    """Place of the first of n spaced tokens from start on, but the last one, where the pattern (with the blank before) matches."""
+    rest = F.concat(F.lit(" "), F.call_function("substring_index", line, F.lit(" "), start - n - 1))
+    at = F.regexp_instr(rest, F.lit(pattern))
+    return F.when(start <= n - 2, F.when(at > 0, start + _blanks(F.substr(rest, F.lit(1), at)) - 1))
 
 
-def length_index(t: Column, start: Column) -> Column:
+def length_index(line: Column, n: Column, start: Column) -> Column:
     """First place from start on of a valid length of one or two digits with a hexadecimal byte behind it."""
-    return _first(t, start, lambda i: F.get(t, i).rlike("^[0-9]{1,2}$") & F.get(t, i).try_cast("int").isin(VALID_LENGTHS) & F.get(t, i + 1).rlike(_HEX2))
+    lengths = "|".join(("0?[0-8]", *(str(v) for v in VALID_LENGTHS if v > 8)))
+    return _first(line, n, start, f" (?:{lengths})(?= [0-9a-f]{{2}} )")
 
 
-def digits_index(t: Column, start: Column) -> Column:
-    return _first(t, start, lambda i: F.get(t, i).rlike("^[0-9]*$"))
+def digits_index(line: Column, n: Column, start: Column) -> Column:
+    return _first(line, n, start, r" [0-9]+(?= [^ ])")
 
 
 def valid_length(n: Column) -> Column:
@@ -71,8 +84,8 @@ def valid_length(n: Column) -> Column:
 
 def payload(t: Column, index: Column, n: Column) -> Column:
     """The n bytes behind place index, or null if there are fewer or one isn't two hexadecimal digits."""
-    part = F.slice(t, index + 2, n)
-    return F.when((F.size(part) == n) & F.array_join(part, " ").rlike("^([0-9A-Fa-f]{2}( |$))*$"), F.unhex(F.array_join(part, "")))
+    part = F.array_join(F.slice(t, index + 2, n), " ")
+    return F.when((F.length(part) == F.greatest(F.lit(0), 3 * n - 1)) & part.rlike("^(?:[0-9A-Fa-f]{2}(?: |$))*$"), F.unhex(F.replace(part, F.lit(" "), F.lit(""))))
 
 
 def channel(token: Column) -> Column:

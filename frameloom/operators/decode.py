@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from frameloom.functions.signals import PLACE, bits, physical_value, place
 from frameloom.operators.frames import signal_changes
+from frameloom.operators.stage import tuned
 
 #: Rows of a database up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -33,12 +34,14 @@ def last_signals(signals: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "load_order")
 
 
-def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None) -> DataFrame:
+def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None, once: bool = False) -> DataFrame:
     """A row per frame and signal of its message; frames without a message and signals beyond a frame's end give none.
 
     With mux_signal and mux_value among the columns of signals, a signal is there only in frames whose signal mux_signal has that
-    raw value. Where the bits are is worked out once a signal, before the join.
+    raw value. Where the bits are is worked out once a signal, before the join. With `once` samples are staged, so that they are
+    decoded once, for whoever reads all of them; a filter on signals doesn't reach below that.
     """
+    tuned(frames.sparkSession)
     if max_signals is not None:
         signals = signals.where(F.col("signal_id") < max_signals)
     placed = place(last_signals(signals))
@@ -52,7 +55,7 @@ def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None
         joined = joined.where(F.col("mux_signal").isNull() | (bits(F.col("data"), *(F.col(f"mux_{c}") for c in own)) == F.col("mux_value")))
     raw = bits(F.col("data"), *(F.col(c) for c in [*PLACE, "byte_order", "is_signed"]))
     out = joined.withColumn("raw_value", raw).where("raw_value is not null").withColumn("phys_value", physical_value(F.col("raw_value"), F.col("scale"), F.col("offset")))
-    return signal_changes(out.select("log_id", "dbc_id", "row_idx", "timestamp", "can_id", "signal_id", "signal_name", "raw_value", "phys_value"))
+    return signal_changes(out.select("log_id", "dbc_id", "row_idx", "timestamp", "can_id", "signal_id", "signal_name", "raw_value", "phys_value"), once=once)
 
 
 def decode_frame(frame: DataFrame, signals: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameloom.functions.lexer import direction_name, spaced_hex
-from frameloom.operators import store
+from frameloom.operators import stage
 from frameloom.operators.decode import sized
 from frameloom.operators.query import apply_query
 from frameloom.schemas import CHUNK_ROWS, LogQuery, new_id
@@ -21,9 +21,9 @@ BLANK_ROWS = 5
 
 def export_rows(frames: DataFrame) -> DataFrame:
     """Frames (with message_name) as text columns, in order of their identifier's first row, then of rows."""
-    group = F.min("row_idx").over(Window.partitionBy("log_id", "can_id"))
-    return frames.select(
-        "log_id", group.alias("group_row"), "row_idx", "can_id",
+    firsts = frames.groupBy("log_id", "can_id").agg(F.min("row_idx").alias("group_row"))  # a row per identifier
+    return frames.join(firsts, ["log_id", "can_id"]).select(
+        "log_id", "group_row", "row_idx", "can_id",
         F.format_string("%.6f", "timestamp").alias("time"), "channel", F.concat(F.lit("0x"), F.hex("can_id")).alias("can_id_text"),
         F.coalesce("message_name", F.lit("")).alias("message_name"), direction_name(F.col("direction")).alias("direction"),
         F.col("data_len").cast("string").alias("dlc"), spaced_hex(F.col("data")).alias("data"),
@@ -83,21 +83,28 @@ def write_log_filtered(key: str, frames: DataFrame, query: LogQuery, decoded: Da
     return write_log_csv(key, rows, decoded, path)
 
 
+def _padded(text: Column, n: int) -> Column:
+    """Blanks behind a text up to n characters; a longer text stays whole."""
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(0), n - F.length(text))))
+
+
 def text_lines(frames: DataFrame) -> DataFrame:
     """Frames (with message_name; is_fd if there is one, else by length) as lines that the CANOE and FILTER dialects read.
 
-    Times count from the log's first that isn't zero.
+    Fields have a least width and a blank behind it. Times count from the log's first that isn't zero; frames before that one
+    have theirs, zero.
     """
-    base = frames.where("timestamp <> 0").groupBy("log_id").agg(F.min_by("timestamp", "row_idx").alias("base"))  # a row per log
+    base = frames.where("timestamp <> 0").groupBy("log_id").agg(F.min_by(F.struct("row_idx", "timestamp"), "row_idx").alias("base"))  # a row per log
     fd = F.col("is_fd") if "is_fd" in frames.columns else F.col("data_len") > 8
+    since = F.col("timestamp") - F.when(F.col("row_idx") >= F.col("base.row_idx"), F.col("base.timestamp")).otherwise(0.0)
+    number = F.hex("can_id")
     line = F.concat(
-        F.rpad(F.format_string("%.6f", F.col("timestamp") - F.coalesce("base", F.lit(0.0))), 12, " "),
-        F.rpad(F.when(fd, "CANFD").otherwise("CAN"), 8, " "),
-        F.when(F.trim("channel") == "0", "1").otherwise("2"), F.lit(" "), F.rpad(direction_name(F.col("direction")), 3, " "),
-        F.lpad(F.hex("can_id"), 10, " "), F.lit("    "), F.rpad(F.coalesce("message_name", F.lit("NOT_FOUND")), 40, " "),
-        F.rpad(F.col("data_len").cast("string"), 3, " "), F.lit(" "), spaced_hex(F.col("data")),
+        _padded(F.format_string("%.6f", F.coalesce(since, "timestamp")), 12), F.lit(" "), _padded(F.when(fd, "CANFD").otherwise("CAN"), 8), F.lit(" "),
+        F.when(F.trim("channel") == "0", "1").otherwise("2"), F.lit(" "), _padded(direction_name(F.col("direction")), 3), F.lit(" "),
+        F.repeat(F.lit(" "), F.greatest(F.lit(0), 10 - F.length(number))), number, F.lit("    "), _padded(F.coalesce("message_name", F.lit("NOT_FOUND")), 40), F.lit(" "),
+        _padded(F.col("data_len").cast("string"), 3), F.lit(" "), spaced_hex(F.col("data")),
     )
-    return frames.join(F.broadcast(base), "log_id", "left").select("log_id", "row_idx", line.alias("value"))
+    return frames.join(base, "log_id", "left").select("log_id", "row_idx", line.alias("value"))
 
 
 def convert(frames: DataFrame, path: str, name: str = "log", max_bytes: int = 9999 << 20) -> str:
@@ -111,13 +118,13 @@ def convert(frames: DataFrame, path: str, name: str = "log", max_bytes: int = 99
     ranges = lines.groupBy("log_id", "range").agg(F.sum("size").alias("own"))
     earlier = ranges.select("log_id", "range", F.coalesce(F.sum("own").over(Window.orderBy("log_id", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # a row per range
     before = F.coalesce(F.sum("size").over(Window.partitionBy("log_id", "range").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = lines.join(F.broadcast(earlier), ["log_id", "range"]).withColumn("part", (F.floor((F.col("earlier") + before) / max_bytes) + 1).cast("int"))
+    parts = lines.join(earlier, ["log_id", "range"]).withColumn("part", (F.floor((F.col("earlier") + before) / max_bytes) + 1).cast("int"))
     parts.repartition("part").sortWithinPartitions("part", "log_id", "row_idx").select("part", "value").write.partitionBy("part").text(aside)
-    fs, folder = store._fs(spark, aside)
+    fs, folder = stage._fs(spark, aside)
     last = ""
-    for status in sorted((x.getPath() for x in fs.globStatus(store._fs(spark, f"{aside}/part=*/*.txt")[1]) or []), key=lambda p: int(p.getParent().getName()[5:])):
+    for status in sorted((x.getPath() for x in fs.globStatus(stage._fs(spark, f"{aside}/part=*/*.txt")[1]) or []), key=lambda p: int(p.getParent().getName()[5:])):
         last = f"{path.rstrip('/')}/{name}_part{status.getParent().getName()[5:]}.asc"
-        store._delete(spark, last)
-        fs.rename(status, store._fs(spark, last)[1])
+        stage._delete(spark, last)
+        fs.rename(status, stage._fs(spark, last)[1])
     fs.delete(folder, True)
     return last

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameloom.operators.frames import derive
-from frameloom.schemas import FRAME, ServiceError, new_id
+from frameloom.operators.stage import _delete, _fs, _rename, exists, scratch  # noqa: F401
+from frameloom.schemas import FRAME, new_id
 
 #: Rows of a file at most.
 FILE_ROWS = 1_000_000
@@ -41,7 +39,7 @@ def updated(frames: DataFrame, updates: DataFrame) -> DataFrame:
     new = rows.groupBy("log_id", "row_idx").agg(F.max_by(F.struct(*changes), "update_order").alias("_new")) if changes else rows.select("log_id", "row_idx").distinct().withColumn("_new", F.lit(None))
     joined = frames.join(new, ["log_id", "row_idx"], "left")
     put = joined.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in frames.columns))
-    return derive(put.drop("last_timestamp", "changed"))
+    return derive(put.drop("last_timestamp", "changed"), once=True)
 
 
 def update_entries(spark: SparkSession, path: str, updates: DataFrame) -> bool:
@@ -78,27 +76,6 @@ def recover(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _delete(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.delete(p, True))
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, p = _fs(spark, source)
-    if not fs.rename(p, _fs(spark, target)[1]):
-        raise ServiceError(f"{source} can't be renamed to {target}")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def recorded_frames(records: DataFrame) -> DataFrame:
     """A recorded log as frames: rows numbered from 0 in the order they were written, line numbers from 1, derived columns anew.
 
@@ -137,18 +114,3 @@ def remove_decoded(spark: SparkSession, path: str, log_id: str | None = None, db
     for status in found:
         fs.delete(status.getPath(), True)
     return len(found)
-
-
-_OWN_SCRATCH: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ServiceError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _OWN_SCRATCH:
-            _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="frameloom-"))
-        root = _OWN_SCRATCH[0]
-    return root.rstrip("/")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import lexer as L
 from frameloom.operators import decode as D
-from frameloom.operators import export, frames, query, store
+from frameloom.operators import export, frames, query, stage, store
 from frameloom.plans.dialects import detect, parse
 from frameloom.schemas import LogQuery, new_id
 from frameloom.sources import dbc, files, textlog
@@ -215,8 +215,9 @@ def _updates(s: SparkSession, d: str) -> DataFrame:
 _add("update_entries", f"""WITH {_BASE}, u AS (SELECT * REPLACE (CASE WHEN row_idx % 7 = 0 THEN 'FFFF' ELSE data_hex END AS data_hex) FROM f),
   n AS (SELECT * REPLACE (coalesce((lag(data_hex) OVER (PARTITION BY can_id ORDER BY row_idx) <> data_hex)::INTEGER, 0) AS changed) FROM u) SELECT {_SHOWN} FROM n""", _updates)
 _HEX = "left(data_hex, 2) || ' ' || right(data_hex, 2)"
-_add("blf_text", f"""WITH {_BASE}, z AS (SELECT arg_min("timestamp", row_idx) AS base FROM f WHERE "timestamp" <> 0)
-  SELECT row_idx, rpad(printf('%.6f', "timestamp" - base), 12, ' ') || 'CAN     2 ' || CASE WHEN direction = 0 THEN 'Rx ' ELSE 'Tx ' END || lpad(printf('%X', can_id), 10, ' ') || '    ' || rpad({_NAME}, 40, ' ') || '2   ' || {_HEX} AS value FROM f, z""", lambda s, d: export.text_lines(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
+_TEXT = f"""printf('%-12s %-8s %s %-3s %10s    %-40s %-3d %s', printf('%.6f', "timestamp" - CASE WHEN row_idx >= low THEN base ELSE 0 END), 'CAN', '2', CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END, printf('%X', can_id), name, 2, {_HEX})"""
+_ZERO = """z AS (SELECT min(row_idx) AS low, arg_min("timestamp", row_idx) AS base FROM f WHERE "timestamp" <> 0)"""
+_add("blf_text", f"WITH {_BASE}, {_ZERO} SELECT row_idx, {_TEXT} AS value FROM (SELECT *, {_NAME} AS name FROM f), z", lambda s, d: export.text_lines(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
 _add("export_rows", f"""WITH {_BASE} SELECT min(row_idx) OVER (PARTITION BY can_id) AS group_row, row_idx, can_id, printf('%.6f', "timestamp") AS time, channel, '0x' || printf('%X', can_id) AS can_id_text,
   {_NAME} AS message_name, CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END AS direction, '2' AS dlc, {_HEX} AS data FROM f""", lambda s, d: export.export_rows(D.message_names(full(s, d), messages(s, d))).drop("log_id"))
 
@@ -225,7 +226,7 @@ _add("export_rows", f"""WITH {_BASE} SELECT min(row_idx) OVER (PARTITION BY can_
 
 
 def _folder(s: SparkSession, tag: str) -> str:
-    return f"{store.scratch(s)}/frameloom-catalogue/{tag}-{new_id()}"
+    return f"{stage.scratch(s)}/frameloom-catalogue/{tag}-{new_id()}"
 
 
 def _line(kind: str):
@@ -355,10 +356,22 @@ def _converted(s: SparkSession, d: str) -> DataFrame:
     return s.read.text(path).groupBy(F.regexp_extract(F.col("_metadata.file_name"), "log_part([0-9]+).asc", 1).cast("int").alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
 
 
-_add("blf_parts", f"""WITH {_BASE}, z AS (SELECT arg_min("timestamp", row_idx) AS base FROM f WHERE "timestamp" <> 0),
-  l AS (SELECT row_idx, strlen(rpad(printf('%.6f', "timestamp" - base), 12, ' ')) + 8 + 2 + 3 + 10 + 4 + 40 + 3 + 1 + 5 + 1 AS size FROM f, z),
+_add("blf_parts", f"""WITH {_BASE}, {_ZERO}, l AS (SELECT row_idx, strlen({_TEXT}) + 1 AS size FROM (SELECT *, 'M' AS name FROM f), z),
   p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
   SELECT (before // 100000 + 1)::INTEGER AS part, count(*) AS n, sum(size)::BIGINT AS bytes FROM p GROUP BY 1""", _converted)
+
+
+def _read_back(s: SparkSession, d: str) -> DataFrame:
+    """Every frame as a line of text with a long message name, parsed as a log again. Frames stand in the order of time, as a line
+    has no sign."""
+    path = _folder(s, "back")
+    rows = base(s, d).withColumn("row_idx", F.col("us") + 1)
+    export.convert(rows.drop("us").withColumn("message_name", F.concat(F.lit("Message_with_a_name_of_over_forty_characters_"), "can_id")), path, "log", 200_000)
+    return textlog.parse_log(s, path, "b").select("row_idx", "timestamp", "can_id", "direction", F.hex("data").alias("data_hex"))
+
+
+_add("blf_read_back", f"""WITH {_BASE}, z AS (SELECT min(us) AS base FROM f WHERE us > 0), g AS (SELECT *, CASE WHEN us > 0 THEN us - base ELSE us END AS t, row_number() OVER (ORDER BY us) - 1 AS n FROM f, z)
+  SELECT n AS row_idx, (t // 1000000)::DOUBLE + (t % 1000000)::DOUBLE / 1000000.0::DOUBLE AS "timestamp", can_id, direction, data_hex FROM g""", _read_back)
 _add("export_lines", f"""WITH {_BASE}, g AS (SELECT *, min(row_idx) OVER (PARTITION BY can_id) AS group_row, max(row_idx) OVER (PARTITION BY can_id) AS last_row FROM f),
   l AS (SELECT group_row, row_idx, row_idx = group_row AS head, printf('%.6f', "timestamp") || ',' || channel || ',0x' || printf('%X', can_id) || ',' || {_NAME} || ',' || CASE WHEN direction = 0 THEN 'Rx' ELSE 'Tx' END || ',2,' || {_HEX} AS text, last_row FROM g)
   SELECT group_row, row_idx, (0)::INTEGER AS place, 'Time,Channel,CAN ID,Message Name,Direction,DLC,Data' AS value FROM l WHERE head UNION ALL SELECT group_row, row_idx, 1, '' FROM l WHERE head

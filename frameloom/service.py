@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators import decode as D
-from frameloom.operators import export, query, store
+from frameloom.operators import export, query, stage, store
 from frameloom.schemas import DecodeCode, DecodeId, DecodeStatus, InvalidFileError, LogQuery, MetadataNotFoundError, ParserStatus, RecorderState, ServiceError, new_id
 from frameloom.sources import dbc, files
 from frameloom.streaming import ring
@@ -140,7 +140,7 @@ class Engine:
 
     def frames(self, log_id: str) -> DataFrame:
         self._running()
-        if not store.exists(self.spark, f"{self.frames_path}/log_id={log_id}"):
+        if not stage.exists(self.spark, f"{self.frames_path}/log_id={log_id}"):
             raise MetadataNotFoundError(log_id)
         return store.read_frames(self.spark, self.frames_path, log_id)
 
@@ -169,7 +169,7 @@ class Engine:
         return dbc_id
 
     def get_dbc(self, dbc_id: str) -> tuple[DataFrame, DataFrame] | None:
-        if not store.exists(self.spark, f"{self.dbc_path}/{dbc_id}"):
+        if not stage.exists(self.spark, f"{self.dbc_path}/{dbc_id}"):
             return None
         return tuple(self.spark.read.parquet(f"{self.dbc_path}/{dbc_id}/{x}") for x in ("messages", "signals"))
 
