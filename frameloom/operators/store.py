@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameloom.operators.frames import derive
-from frameloom.operators.stage import _delete, _fs, _rename, exists, scratch  # noqa: F401
-from frameloom.schemas import FRAME, new_id
+from frameloom.operators.stage import _delete, _fs, _read_text, _rename, _write_text, exists, scratch, staged  # noqa: F401
+from frameloom.schemas import FRAME, ServiceError, new_id
 
 #: Rows of a file at most.
 FILE_ROWS = 1_000_000
@@ -42,38 +42,83 @@ def updated(frames: DataFrame, updates: DataFrame) -> DataFrame:
     return derive(put.drop("last_timestamp", "changed"), once=True)
 
 
+def _deltas(frames: DataFrame, updates: DataFrame) -> DataFrame:
+    """The rows of frames that updates change, as they are afterwards: those named, and the next ones of their identifiers, whose
+    derived columns follow from them. Only frames of identifiers that an updated row has or gets take part."""
+    named = frames.join(updates.select("log_id", "row_idx").distinct(), ["log_id", "row_idx"], "left_semi").select("log_id", "can_id")
+    new = updates.select("log_id", F.col("can_id").cast("long").alias("can_id")).where("can_id IS NOT NULL") if "can_id" in updates.columns else named
+    ids = staged(named.unionByName(new).distinct(), "updated-ids")
+    # an update that gives a row another identifier needs the row among those of both
+    taking = frames.join(ids, ["log_id", "can_id"], "left_semi")
+    after = updated(taking, updates)
+    before = taking.select("log_id", "row_idx", F.struct(*taking.columns).alias("_old"))
+    same = F.struct(*(F.col(c) for c in taking.columns)).eqNullSafe(F.col("_old"))
+    return after.join(before, ["log_id", "row_idx"]).where(~same).drop("_old")
+
+
 def update_entries(spark: SparkSession, path: str, updates: DataFrame) -> bool:
-    """Rewrite the logs that updates touch. No update: False.
+    """Put updates in place; files that hold no row which changes stay as they are. No update: False.
 
-    New partitions are written into a folder of this call, then each old one is renamed aside, the new one put in its place and
-    the old one deleted; recover() puts back what a crash left aside.
+    What changes is worked out from the identifiers that are touched, and staged. Each file with such a row (FILE_ROWS rows at most)
+    is written anew by one task, hidden in its folder; a journal then says which files take whose place, and they are swapped one
+    by one. recover() finishes a swap that a crash has cut short.
     """
-    ids = [r[0] for r in updates.select(F.col("log_id").cast("string")).distinct().collect()]
-    if not ids:
+    updates = staged(updates.withColumn("log_id", F.col("log_id").cast("string")), "updates")
+    if not updates.limit(1).count():
         return False
-    aside = f"{path.rstrip('/')}._update-{new_id()}"
-    write_frames(updated(read_frames(spark, path).where(F.col("log_id").isin(ids)), updates.withColumn("log_id", F.col("log_id").cast("string"))), aside, "overwrite")
-    for log_id in ids:
-        target, old = f"{path}/log_id={log_id}", f"{path.rstrip('/')}._old-{log_id}"
-        _delete(spark, old)
-        if exists(spark, target):
-            _rename(spark, target, old)
-        _rename(spark, f"{aside}/log_id={log_id}", target)
-        _delete(spark, old)
+    whole = read_frames(spark, path)
+    # the updates' logs prune the scan's partitions at run time
+    frames = whole.join(updates.select("log_id").distinct(), "log_id", "left_semi").select(*whole.columns)
+    deltas = staged(_deltas(frames, updates), "deltas")
+    located = whole.select("log_id", "row_idx", F.col("_metadata.file_path").alias("_file")).join(deltas.select("log_id", "row_idx"), ["log_id", "row_idx"], "left_semi")
+    files = [r[0] for r in located.select("_file").distinct().orderBy("_file").collect()]  # names of the files that change
+    if not files:
+        return True
+    aside, numbers = f"{path.rstrip('/')}._update-{new_id()}", spark.createDataFrame(list(enumerate(files)), "_number int, _file string")
+    old = read_frames(spark, path).select("*", F.col("_metadata.file_path").alias("_file")).join(numbers, "_file").drop("_file")
+    put = [c for c in whole.columns if c not in ("log_id", "row_idx")]
+    joined = old.join(deltas.select("log_id", "row_idx", F.struct(*put).alias("_new")), ["log_id", "row_idx"], "left")
+    rows = joined.select("_number", "row_idx", *(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in put))
+    rows.select("_number", *(c for c in whole.columns if c != "log_id")).repartition("_number").sortWithinPartitions("_number", "row_idx").write.partitionBy("_number").parquet(aside)
+    swaps = []
+    for number, file in enumerate(files):
+        (made,) = _fs(spark, aside)[0].globStatus(_fs(spark, f"{aside}/_number={number}/part-*")[1])
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(file))
+        hidden = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".new-part-{number:05d}-{new_id()}.parquet")
+        if not _fs(spark, aside)[0].rename(made.getPath(), hidden):
+            raise ServiceError(f"{made.getPath()} can't be renamed to {hidden}")
+        swaps.append(f"{place.toUri()}\t{hidden.toUri()}")
+    journal = f"{path.rstrip('/')}._journal-{new_id()}"
+    _write_text(spark, f"{journal}.part", "\n".join(swaps))
+    _rename(spark, f"{journal}.part", journal)
     _delete(spark, aside)
+    _swap(spark, journal)
     return True
 
 
-def recover(spark: SparkSession, path: str) -> list[str]:
-    """Put back logs that an update had renamed aside when it crashed; which they were."""
-    fs, p = _fs(spark, f"{path.rstrip('/')}._old-*")
-    found = []
-    for status in fs.globStatus(p) or []:
-        log_id = status.getPath().getName().split("._old-", 1)[1]
-        if not exists(spark, f"{path}/log_id={log_id}"):
-            fs.rename(status.getPath(), _fs(spark, f"{path}/log_id={log_id}")[1])
-            found.append(log_id)
-    return found
+def _swap(spark: SparkSession, journal: str) -> None:
+    """Do what a journal says, from wherever it was left."""
+    fs, _ = _fs(spark, journal)
+    new = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(uri))
+    for line in _read_text(spark, journal).split("\n"):
+        place, hidden = map(new, line.split("\t"))
+        if fs.exists(hidden):
+            fs.delete(place, False)
+            if not fs.rename(hidden, new(f"{hidden.getParent().toUri()}/{hidden.getName()[5:]}")):
+                raise ServiceError(f"{hidden} can't be made visible")
+    _delete(spark, journal)
+
+
+def recover(spark: SparkSession, path: str) -> int:
+    """Finish swaps of files that a crash cut short; how many updates these were."""
+    fs, pattern = _fs(spark, f"{path.rstrip('/')}._journal-*")
+    found = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
+    for journal in found:
+        if journal.endswith(".part"):  # no file has been swapped yet
+            _delete(spark, journal)
+        else:
+            _swap(spark, journal)
+    return len(found)
 
 
 def recorded_frames(records: DataFrame) -> DataFrame:

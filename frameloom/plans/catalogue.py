@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import lexer as L
 from frameloom.operators import decode as D
-from frameloom.operators import export, frames, query, stage, store
+from frameloom.operators import export, frames, index, query, stage, store
 from frameloom.plans.dialects import detect, parse
 from frameloom.schemas import LogQuery, new_id
 from frameloom.sources import dbc, files, textlog
@@ -78,7 +78,9 @@ _frames_query("filter_channel", lambda f: query.apply_query(f, LogQuery(channels
 _frames_query("filter_direction", lambda f: query.apply_query(f, LogQuery(directions=(" tx ",))), "WHERE direction = 1")
 _frames_query("filter_changed", lambda f: query.apply_query(f, LogQuery(changed_only=True)), "WHERE changed = 1")
 _frames_query("filter_time", lambda f: query.apply_query(f, LogQuery(time_range=(86400.0, 864000.0))), 'WHERE "timestamp" BETWEEN 86400 AND 864000')
-_page("page_filtered", LogQuery(can_ids=tuple(range(256, 300)), channels=("1", "2", "can3"), directions=("Rx", 1), changed_only=True, time_range=(0.0, 2e6)), 10, 109, "can_id BETWEEN 256 AND 299 AND normal IN ('1', '2', 'can3') AND changed = 1 AND \"timestamp\" BETWEEN 0 AND 2e6")
+_PAGE = LogQuery(can_ids=tuple(range(256, 300)), channels=("1", "2", "can3"), directions=("Rx", 1), changed_only=True, time_range=(0.0, 2e6))
+_PAGE_WHERE = "can_id BETWEEN 256 AND 299 AND normal IN ('1', '2', 'can3') AND changed = 1 AND \"timestamp\" BETWEEN 0 AND 2e6"
+_page("page_filtered", _PAGE, 10, 109, _PAGE_WHERE)
 _add("idx_canid", f"""WITH {_BASE} SELECT can_id, row_idx // 100000 AS chunk, count(*) AS n_rows, sum(changed)::BIGINT AS n_changed, list(row_idx ORDER BY row_idx) AS rows,
   coalesce(list(row_idx ORDER BY row_idx) FILTER (WHERE changed = 1), []) AS changed_rows, list("timestamp" ORDER BY row_idx) AS timestamps FROM f GROUP BY can_id, chunk""", lambda s, d: query.can_id_index(full(s, d)).drop("log_id"))
 _add("idx_channel", f"""WITH {_BASE}, g AS (SELECT normal AS channel, row_idx // 100000 AS chunk, count(*) AS n_rows, min(row_idx) AS first_row, list(row_idx ORDER BY row_idx) AS rows FROM f GROUP BY ALL)
@@ -310,6 +312,34 @@ _add("store_roundtrip", f"""WITH {_BASE} SELECT '007' AS log_id, row_idx, can_id
   coalesce((lag(data_hex) OVER (PARTITION BY can_id ORDER BY row_idx) <> data_hex)::INTEGER, 0) AS changed FROM f WHERE row_idx % 2 = 0""", _stored)
 
 
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """The page of page_filtered, by intersecting the posting lists beside a written log."""
+    path = _folder(s, "indexed")
+    store.write_frames(full(s, d), path)
+    index.write_indexes(s, path, LOG)
+    return _show(index.page_indexed(s, path, LOG, _PAGE, 10, 109))
+
+
+_add("page_indexed", f"WITH {_BASE} SELECT {_SHOWN} FROM f WHERE {_PAGE_WHERE} ORDER BY row_idx LIMIT 100 OFFSET 10", _indexed)
+
+
+def _updated_in_place(s: SparkSession, d: str) -> DataFrame:
+    """Every 997th row gets other bytes, a null channel, and every second of these another identifier; the log is written in files of
+    1,000 rows, of which those without a change stay."""
+    path = _folder(s, "in-place")
+    rows = full(s, d)
+    rows.repartitionByRange(4, "log_id", "row_idx").sortWithinPartitions("log_id", "row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", 1000).parquet(path)
+    new = base(s, d).where("row_idx % 997 = 0").selectExpr("log_id", "row_idx", "unhex('FFFF') AS data", "CAST(NULL AS STRING) AS channel", "IF(row_idx % 2 = 0, 256L + row_idx % 150, can_id) AS can_id")
+    store.update_entries(s, path, new)
+    return _show(store.read_frames(s, path))
+
+
+_add("update_in_place", f"""WITH {_BASE}, u AS (SELECT * REPLACE (CASE WHEN row_idx % 997 = 0 THEN 'FFFF' ELSE data_hex END AS data_hex, CASE WHEN row_idx % 997 <> 0 THEN channel END AS channel,
+    CASE WHEN row_idx % 1994 = 0 THEN 256 + row_idx % 150 ELSE can_id END AS can_id) FROM f),
+  n AS (SELECT * REPLACE (coalesce((lag(data_hex) OVER w <> data_hex)::INTEGER, 0) AS changed, CASE WHEN can_id >= 8192 THEN "timestamp" ELSE coalesce(lag("timestamp") OVER w, "timestamp") END AS last_timestamp)
+    FROM u WINDOW w AS (PARTITION BY can_id ORDER BY row_idx)) SELECT {_SHOWN} FROM n""", _updated_in_place)
+
+
 def _decoded_store(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "decoded")
     store.write_decoded(decoded(s, d), path, LOG, "d")

@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import threading
+import time
+import warnings
 from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators import decode as D
-from frameloom.operators import export, query, stage, store
+from frameloom.operators import export, index, query, stage, store
 from frameloom.schemas import DecodeCode, DecodeId, DecodeStatus, InvalidFileError, LogQuery, MetadataNotFoundError, ParserStatus, RecorderState, ServiceError, new_id
 from frameloom.sources import dbc, files
 from frameloom.streaming import ring
 
 
+@dataclass(frozen=True)
+class ServiceStateEvent:
+    state: str
+
+
 @dataclass(frozen=True)
 class ParserStatusEvent:
     log_id: str
@@ -36,11 +44,32 @@ class DecodeStartedEvent:
     decode_id: DecodeId
 
 
+@dataclass(frozen=True)
+class DecodeProgressEvent:
+    """Percent of the tasks of a running decode that are done."""
+
+    decode_id: DecodeId
+    percent: int
+
+
+@dataclass(frozen=True)
+class DecodeSignalsEvent:
+    """The pairs of identifier and signal that a decode has samples of, as a table that is read when asked for."""
+
+    decode_id: DecodeId
+    pairs: DataFrame
+
+
 @dataclass(frozen=True)
 class DecodeCompletedEvent:
+    """written and changed count samples, as the write itself has seen them; a result that was there already is reused."""
+
     decode_id: DecodeId
     status: DecodeStatus
     code: int = 0
+    written: int = 0
+    changed: int = 0
+    reused: bool = False
 
 
 @dataclass(frozen=True)
@@ -52,6 +81,12 @@ class RecorderStatusEvent:
 
 #: Parses and decodes that run at a time.
 PARSE_THREADS = 4
+#: Seconds between two looks at a running decode.
+LOOK_SECONDS = 0.25
+#: Kinds of event, and the statuses that stand for some of them when subscribing.
+EVENTS = (ServiceStateEvent, ParserStatusEvent, DbcLoadedEvent, DecodeStartedEvent, DecodeProgressEvent, DecodeSignalsEvent, DecodeCompletedEvent, RecorderStatusEvent)
+STANDS_FOR = {ParserStatus: ParserStatusEvent, DecodeStatus: DecodeCompletedEvent, RecorderState: RecorderStatusEvent}
+_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
 
 
 class Engine:
@@ -61,6 +96,7 @@ class Engine:
         self.spark, self.root, self.state = spark, root.rstrip("/"), "STOPPED"
         self.frames_path, self.decoded_path, self.dbc_path = (f"{self.root}/{x}" for x in ("frames", "decoded", "dbc"))
         self._heard: dict[type, list[Callable]] = defaultdict(list)
+        self._log: list[tuple[float, str, str, str, str, str]] = []
         self._recording: dict = {}
         self._listening: dict[str, ring.RecorderListener] = {}
         self._decoding: set[tuple[str, str]] = set()
@@ -69,47 +105,82 @@ class Engine:
         self.parsing: dict[str, ParserStatus] = {}
 
     def start(self) -> None:
-        """Put back what a crash in an update left aside, then take requests."""
-        self.state = "STARTING"
+        """Finish what a crash in an update has left, then take requests."""
+        self._become("STARTING")
         store.recover(self.spark, self.frames_path)
-        self.state = "RUNNING"
+        self._become("RUNNING")
 
     def stop(self) -> None:
-        self.state = "STOPPING"
+        self._become("STOPPING")
         for log_id in list(self._recording):
             self.stop_recording(log_id)
-        self.state = "STOPPED"
+        self._become("STOPPED")
+
+    def _become(self, state: str) -> None:
+        self.state = state
+        self.dispatch(ServiceStateEvent(state))
 
     def _running(self) -> None:
         if self.state != "RUNNING":
             raise ServiceError("the engine is not running")
 
     def subscribe(self, kind: type, call: Callable) -> None:
+        """Hear events of a kind, of the kind that a status stands for, or (object) of all kinds. Other kinds are warned of."""
+        kind = STANDS_FOR.get(kind, kind)
+        if kind not in EVENTS and kind is not object:
+            warnings.warn(f"there are no events of the kind {kind!r}", stacklevel=2)
+            return
         self._heard[kind].append(call)
 
     def unsubscribe(self, kind: type, call: Callable) -> None:
+        kind = STANDS_FOR.get(kind, kind)
         if call in self._heard[kind]:
             self._heard[kind].remove(call)
 
+    def unsubscribe_all(self) -> None:
+        self._heard.clear()
+
     def dispatch(self, event) -> None:
-        for call in list(self._heard[type(event)]):
+        own = getattr(event, "decode_id", None)
+        log_id, dbc_id = (own.log_id, own.dbc_id) if own else (getattr(event, "log_id", ""), getattr(event, "dbc_id", "") or "")
+        state = getattr(event, "status", getattr(event, "state", getattr(event, "percent", "")))
+        detail = "reused" if getattr(event, "reused", False) else str(getattr(event, "code", "") or "")
+        self._log.append((time.time(), type(event).__name__, log_id, dbc_id, getattr(state, "name", str(state)), detail))
+        for call in [*self._heard[type(event)], *self._heard[object]]:
             call(event)
 
+    def events(self) -> DataFrame:
+        """All events so far: time, kind, log_id, dbc_id, state, detail."""
+        return self.spark.createDataFrame(self._log, "time double, kind string, log_id string, dbc_id string, state string, detail string")
+
+    @contextmanager
+    def _group(self, name: str, text: str):
+        """Jobs of this thread carry the name as their group, until it ends; then what was set before counts again."""
+        context = self.spark.sparkContext
+        before = {key: context.getLocalProperty(key) for key in _GROUP}
+        context.setJobGroup(name, text, True)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                context.setLocalProperty(key, value)
+
     def parse_log_file(self, path: str, log_id: str | None = None) -> str:
-        """Ingest a file; returns its log's id. Jobs carry the id as their group, so that request_stop can cancel them."""
+        """Ingest a file and index it; returns its log's id. Jobs carry the id as their group, so that request_stop can cancel them."""
         self._running()
         log_id = log_id or new_id()
-        self.spark.sparkContext.setJobGroup(log_id, f"parse {path}", True)
-        self._told(log_id, ParserStatus.STARTED)
-        try:
-            frames = files.read_any(self.spark, path, log_id)
-            if frames is None:
-                raise InvalidFileError(f"{path}: unknown kind of file")
-            store.write_frames(frames, self.frames_path)
-        except Exception:
-            self._told(log_id, ParserStatus.FAILED)
-            raise
-        self._told(log_id, ParserStatus.DONE)
+        with self._group(log_id, f"parse {path}"):
+            self._told(log_id, ParserStatus.STARTED)
+            try:
+                frames = files.read_any(self.spark, path, log_id)
+                if frames is None:
+                    raise InvalidFileError(f"{path}: unknown kind of file")
+                store.write_frames(frames, self.frames_path)
+                index.write_indexes(self.spark, self.frames_path, log_id)
+            except Exception:
+                self._told(log_id, ParserStatus.FAILED)
+                raise
+            self._told(log_id, ParserStatus.DONE)
         return log_id
 
     def _told(self, log_id: str, status: ParserStatus) -> None:
@@ -124,13 +195,16 @@ class Engine:
 
     def parse_status(self, log_id: str) -> tuple[ParserStatus | None, int, int]:
         """Status of a parse, and how many of the tasks of its stages that Spark knows are done, of how many."""
+        return (self.parsing.get(log_id), *self._tasks(log_id))
+
+    def _tasks(self, group: str) -> tuple[int, int]:
         tracker, done, tasks = self.spark.sparkContext.statusTracker(), 0, 0
-        for job in tracker.getJobIdsForGroup(log_id):
+        for job in tracker.getJobIdsForGroup(group):
             info = tracker.getJobInfo(job)
             for stage in info.stageIds if info else ():
                 if found := tracker.getStageInfo(stage):
                     done, tasks = done + found.numCompletedTasks, tasks + found.numTasks
-        return self.parsing.get(log_id), done, tasks
+        return done, tasks
 
     def log_path(self, log_id: str) -> str:
         return f"{self.frames_path}/log_id={log_id}"
@@ -148,11 +222,23 @@ class Engine:
         return query.read_page(self.frames(log_id), first, last).orderBy("row_idx")
 
     def read_page_filtered(self, log_id: str, first: int, last: int, **filters) -> DataFrame:
-        return query.read_page_filtered(self.frames(log_id), LogQuery(**filters), first, last)
+        """By the log's indexes where there are any and the page is one of theirs, else by a scan."""
+        frames, wanted = self.frames(log_id), LogQuery(**filters)
+        if last - first < index.CHUNK_ROWS and index.has_indexes(self.spark, self.frames_path, log_id):
+            return index.page_indexed(self.spark, self.frames_path, log_id, wanted, first, last)
+        return query.read_page_filtered(frames, wanted, first, last)
 
     def update_entries(self, updates: DataFrame) -> bool:
+        """Put updates in place. Indexes of the logs that are touched go first and are built anew, so that no page is read by old ones."""
         self._running()
-        return store.update_entries(self.spark, self.frames_path, updates)
+        logs = [r[0] for r in updates.select(F.col("log_id").cast("string")).distinct().collect()]
+        for log_id in logs:
+            index.drop_indexes(self.spark, self.frames_path, log_id)
+        done = store.update_entries(self.spark, self.frames_path, updates)
+        for log_id in logs:
+            if stage.exists(self.spark, self.log_path(log_id)):
+                index.write_indexes(self.spark, self.frames_path, log_id)
+        return done
 
     def parse_dbc_file(self, path: str) -> str | None:
         """Load a database; a failure is an event with no id, as is told to subscribers."""
@@ -185,28 +271,49 @@ class Engine:
             self.kill_decode(log_id)
         elif pair in self._decoding:
             return own
-        with self._turns[log_id]:
+        with self._turns[log_id], self._group(f"decode-{log_id}", f"decode {log_id} by {dbc_id}"):
             if not again and store.is_decoded(self.spark, self.decoded_path, log_id, dbc_id):
+                self.dispatch(DecodeSignalsEvent(own, D.signal_pairs(self.decoded(log_id, dbc_id))))
+                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.DONE, reused=True))
                 return own
             self._decoding.add(pair)
-            self.spark.sparkContext.setJobGroup(f"decode-{log_id}", f"decode {log_id} by {dbc_id}", True)
             self.dispatch(DecodeStartedEvent(own))
+            done = threading.Event()
+            looker = threading.Thread(target=self._look, args=(own, done), daemon=True)
             try:
                 model = self.get_dbc(dbc_id)
                 code = DecodeCode.NO_DATABASE if model is None else DecodeCode.BAD_MODEL if not model[1].limit(1).count() else None
                 if code is not None:
                     self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, code))
                     return own
-                store.write_decoded(D.decode(self.frames(log_id), model[1]), self.decoded_path, log_id, dbc_id)
-                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.DONE))
+                looker.start()
+                counts = Observation()
+                samples = D.decode(self.frames(log_id), model[1], once=True).observe(counts, F.count(F.lit(1)).alias("written"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"))
+                store.write_decoded(samples, self.decoded_path, log_id, dbc_id)
+                done.set()
+                looker.join()
+                self.dispatch(DecodeProgressEvent(own, 100))
+                self.dispatch(DecodeSignalsEvent(own, D.signal_pairs(self.decoded(log_id, dbc_id))))
+                self.dispatch(DecodeCompletedEvent(own, DecodeStatus.DONE, 0, counts.get["written"], counts.get["changed"]))
             except Exception:
                 store.remove_decoded(self.spark, self.decoded_path, log_id, dbc_id)
                 self.dispatch(DecodeCompletedEvent(own, DecodeStatus.FAILED, DecodeCode.UNHANDLED))
                 raise
             finally:
+                done.set()
                 self._decoding.discard(pair)
         return own
 
+    def _look(self, own: DecodeId, done: threading.Event) -> None:
+        """Tell the percent of a running decode's tasks whenever it has grown; no job of its own."""
+        told = 0
+        while not done.wait(LOOK_SECONDS):
+            ready, tasks = self._tasks(f"decode-{own.log_id}")
+            percent = min(99, 100 * ready // tasks) if tasks else 0
+            if percent > told:
+                told = percent
+                self.dispatch(DecodeProgressEvent(own, percent))
+
     def decode_all(self, pairs: list[tuple[str, str]]) -> list[DecodeId]:
         """Decode pairs of log and database in their order, each once."""
         return [self.decode(*pair) for pair in dict.fromkeys(pairs)]
