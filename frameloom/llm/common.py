@@ -118,4 +118,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
                 chosen.append((r["doc_id"], y))
     ids = docs.sparkSession.createDataFrame(chosen, known.select("doc_id", "_y").schema)
     texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(ids), "doc_id")
-    return sorted(((r["text"], r["_y"]) for r in texts.collect()), key=lambda x: x[1])
+    return sorted(((r["text"], r["_y"]) for r in texts.collect()), key=lambda x: (x[1], x[0]))  # whatever the partitioning

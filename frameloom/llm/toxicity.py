@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import fold, labelled_sample, slices, trim, utf8
 from frameloom.llm.grams import gram_pairs, mix, spaced, word_hashes, words
 
-#: Words whose embeddings are summed and divided by this number; a document is as toxic as its most toxic window.
-WINDOW = 8
+#: A text's embeddings are averaged over so many words at least, so that one odd word is no verdict.
+LEAST_WORDS = 8
 BUCKETS, WIDTH = 1 << 20, 8
 #: N-grams of fewer training texts than this learn nothing: they would only recall their texts. The same for a sample of any size.
 LEAST_TEXTS = 4
-#: Share of each parameter that a step takes back, by the step's rate.
-DECAY = 0.1
+#: Standard errors by which an n-gram must stand in a larger share of the toxic texts of a sample than of the clean ones to learn. The
+#: others, tens of thousands beside some hundreds, would let the average learn its texts by heart.
+SIGNIFICANT = 4.5
+#: What averages are multiplied by before the softmax: the words that matter are a few in a hundred.
+GAIN = 30.0
 PER_CLASS = 800
-#: Weight of the toxic texts of a sample against that of the clean ones.
-TOXIC_WEIGHT = 0.6
 #: Bytes of training text of a class at most, whatever a single text's length; texts are scored whole.
 CLASS_BYTES = 2_400_000
 PARTS, HELD = 5, 0
@@ -33,29 +34,6 @@ def _unrepeated(text, first, end, row):
     return first[new], end[new], row[new], h[new]
 
 
-def _layout(row: np.ndarray, rows: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """Room for WINDOW words a text at least: the place of each word, the number of places, the place where each window starts and its row.
-
-    Every word that a whole window can start at starts one; a text of fewer words has one window. Texts without words have none.
-    """
-    count = np.bincount(row, minlength=rows)
-    room = np.where(count > 0, np.maximum(count, WINDOW), 0)
-    begin = np.cumsum(room) - room
-    many = np.where(count > 0, room - WINDOW + 1, 0)
-    owner = np.repeat(np.arange(rows), many)
-    start = np.arange(len(owner)) + (begin - (np.cumsum(many) - many))[owner]
-    return np.arange(len(row)) + (begin - (np.cumsum(count) - count))[row], int(room.sum()), start, owner
-
-
-def _run_sums(x: np.ndarray) -> np.ndarray:
-    """Sums of WINDOW rows from each row on; a sum depends on its own rows alone."""
-    size = 1
-    while size < WINDOW:
-        x = x[:-size] + x[size:]
-        size *= 2
-    return x
-
-
 def _spread_sums(values: np.ndarray, groups: np.ndarray, n: int, item: np.ndarray | None = None, rows: int = 1 << 19) -> np.ndarray:
     """Sums of the rows of values (of values[item]) by sorted group numbers, about `rows` at a time; groups without rows have zeros."""
     out = np.zeros((n, *values.shape[1:]), np.float32)
@@ -87,18 +65,26 @@ def _whole(h: np.ndarray) -> np.ndarray:
     return (mix(h + np.uint64(77)) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
 
-def _texts_of_buckets(row, word, texts: int, of_word, bucket, words_known: int) -> np.ndarray:
-    """In how many texts each bucket occurs, a text at a time."""
-    spread = np.zeros(BUCKETS, np.int32)
-    of_text, begin = np.searchsorted(row, np.arange(texts + 1)), np.searchsorted(of_word, np.arange(words_known + 1))
-    for a, b in zip(of_text[:-1], of_text[1:]):
+def _texts_of_buckets(row, word, labels: np.ndarray, of_word, bucket, words_known: int) -> np.ndarray:
+    """In how many texts of each label each bucket occurs, a text at a time."""
+    spread = np.zeros((2, BUCKETS), np.int32)
+    of_text, begin = np.searchsorted(row, np.arange(len(labels) + 1)), np.searchsorted(of_word, np.arange(words_known + 1))
+    for a, b, label in zip(of_text[:-1], of_text[1:], labels):
         own = np.unique(word[a:b])
         many = begin[own + 1] - begin[own]
         place = np.arange(int(many.sum())) + np.repeat(begin[own] - (np.cumsum(many) - many), many)
-        spread[np.unique(bucket[place])] += 1
+        spread[label, np.unique(bucket[place])] += 1
     return spread
 
 
+def _significant(spread: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Buckets that occur in a larger share of toxic texts than of clean ones, by SIGNIFICANT standard errors, and in LEAST_TEXTS."""
+    clean, toxic = np.bincount(labels, minlength=2)
+    share = spread.sum(axis=0) / len(labels)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / clean + 1 / toxic))
+    return (spread[1] / toxic - spread[0] / clean >= SIGNIFICANT * error) & (spread.sum(axis=0) >= LEAST_TEXTS)
+
+
 class Model:
     """weights: the softmax's log odds of each bucket's embedding; bias: its offset."""
 
@@ -106,31 +92,27 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def scores(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Probability of label 1 per text; a text without words is scored like an average of nothing."""
+        """Probability of label 1 per text; a text without words is scored like an average of nothing, at most 0.5."""
         rows = len(places) - 1
         text, starts = spaced(data, places)
         first, end, row = words(text, starts)
-        top = np.full(rows, min(self.bias, 0.0))
+        odds = np.full(rows, min(self.bias, 0.0))
         if len(first):
             first, end, row, h = _unrepeated(text, first, end, row)
             _, at, back = np.unique(h, return_index=True, return_inverse=True)
             total, count = gram_pairs(text, first[at], end[at], BUCKETS, weights=self.weights)
             value = ((total + self.weights[_whole(h[at])]) / (count + 1))[back]
-            place, room, start, owner = _layout(row, rows)
-            laid = np.zeros(room)
-            laid[place] = value
-            mean = _run_sums(laid)[start] / WINDOW
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            top[owner[edges]] = np.maximum.reduceat(mean, edges) + self.bias
-        return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
+            many = np.bincount(row, minlength=rows)
+            mean = np.bincount(row, weights=value, minlength=rows) / np.maximum(many, LEAST_WORDS)
+            odds = np.where(many > 0, GAIN * mean + self.bias, odds)
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, seed: int = 7) -> Model:
     """Adam over averages of embeddings; embeddings and the linear layer learn together.
 
-    At first a text is the average of all its words. Later it is its most toxic window of WINDOW words, and the averages of
-    clean texts go on teaching beside them. The classes weigh alike. With one class or no sample, a constant model that says 0
-    (or the only class) results.
+    A text is the average of its words, a word that of its significant n-grams over the number of all it has. The classes weigh alike.
+    With one class, no sample or no significant n-gram, a constant model that says 0 (or the only class) results.
     """
     labels, n = np.array([y for _, y in sample], np.int64), len(sample)
     if len(set(labels.tolist())) < 2:
@@ -140,12 +122,11 @@ def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, see
     if not len(first):
         return Model(np.zeros(BUCKETS), -5.0)
     first, end, row, h = _unrepeated(text, first, end, row)
-    place, room, start, owner = _layout(row, n)
     _, at, word = np.unique(h, return_index=True, return_inverse=True)  # equal words share their n-grams
     known = len(at)
     of_word, bucket = _grams(text, first[at], end[at], h[at])
     size = np.bincount(of_word, minlength=known).astype(np.float32)[:, None]
-    kept = _texts_of_buckets(row, word, n, of_word, bucket, known)[bucket] >= LEAST_TEXTS
+    kept = _significant(_texts_of_buckets(row, word, labels, of_word, bucket, known), labels)[bucket]
     if not kept.any():
         return Model(np.zeros(BUCKETS), -5.0)
     of_word, bucket = of_word[kept], bucket[kept]
@@ -159,50 +140,28 @@ def train(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.1, see
     # each text's different words, and the share of its words that each is
     pair, times = np.unique(row * np.int64(known) + word, return_counts=True)
     d_row, d_word = pair // known, pair % known
-    share = (times / np.maximum(np.bincount(row, minlength=n), WINDOW)[d_row]).astype(np.float32)[:, None]
+    share = (GAIN * times / np.maximum(np.bincount(row, minlength=n), LEAST_WORDS)[d_row]).astype(np.float32)[:, None]
     by_word = np.argsort(d_word, kind="stable")
-    slot = np.full(room, known, np.int64)
-    slot[place] = word
-    edges = np.flatnonzero(np.diff(owner, prepend=-1))
-    counts = np.diff(np.append(edges, len(owner)))
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((len(used), WIDTH)) * 0.1).astype(np.float32)
+    table = (rng.standard_normal((len(used), WIDTH)) * 0.01).astype(np.float32)
     layer = (rng.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, layer, bias)]
-    balance = np.where(labels == 1, TOXIC_WEIGHT * (labels == 0).sum() / (labels == 1).sum(), 1.0).astype(np.float32)
+    balance = np.where(labels == 1, (labels == 0).sum() / (labels == 1).sum(), 1.0).astype(np.float32)
     one = np.eye(2, dtype=np.float32)[labels]
     for step in range(1, steps + 1):
-        vectors = np.zeros((known + 1, WIDTH), np.float32)  # the last is no word
-        vectors[:-1] = _spread_sums(table, of_word, known, bucket) / size
-        gradients = [np.zeros_like(layer), np.zeros_like(bias)]
-
-        def back(hidden, truth, weight, gradients=gradients):
-            """Softmax of averages; adds to the gradients of layer and bias and returns that of the averages."""
-            logits = hidden @ layer + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            error = (p / p.sum(axis=1, keepdims=True) - truth) * (weight(p[:, 1] / p.sum(axis=1)) / n)[:, None]
-            gradients[0] += hidden.T @ error
-            gradients[1] += error.sum(axis=0)
-            return error @ layer.T
-
-        whole = step <= steps // 3
-        g = back(_spread_sums(vectors[d_word] * share, d_row, n), one, lambda _: balance if whole else np.where(labels == 0, 0.2, 0).astype(np.float32))  # noqa: B023
-        g_words = _spread_sums((g[d_row] * share)[by_word], d_word[by_word], known + 1)
-        if not whole:
-            odds = (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64)
-            window = _run_sums(odds[slot])[start]
-            best = np.flatnonzero(window >= np.repeat(np.maximum.reduceat(window, edges), counts))
-            best = best[np.diff(owner[best], prepend=-1) != 0]
-            own, texts = slot[start[best][:, None] + np.arange(WINDOW)], owner[best]
-            # toxic texts that look clean all over teach less: their label may be wrong
-            g = back(vectors[own].sum(axis=1) / np.float32(WINDOW), one[texts], lambda p: np.where(labels[texts] == 1, np.maximum(p, 0.02), 1).astype(np.float32) * balance[texts])  # noqa: B023
-            np.add.at(g_words, own.ravel(), np.repeat(g / np.float32(WINDOW), WINDOW, axis=0))
-        g_table = _spread_sums(g_words[:-1] / size, sorted_bucket, len(used), word_of)
-        for value, gradient, (m, v) in zip((table, layer, bias), (g_table, *gradients), state):
+        vectors = _spread_sums(table, of_word, known, bucket) / size
+        hidden = _spread_sums(vectors[d_word] * share, d_row, n)
+        logits = hidden @ layer + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        error = (p / p.sum(axis=1, keepdims=True) - one) * (balance / n)[:, None]
+        g = error @ layer.T
+        g_words = _spread_sums((g[d_row] * share)[by_word], d_word[by_word], known)
+        g_table = _spread_sums(g_words / size, sorted_bucket, len(used), word_of)
+        for value, gradient, (m, v) in zip((table, layer, bias), (g_table, hidden.T @ error, error.sum(axis=0)), state):
             m += 0.1 * (gradient - m)
             v += 0.01 * (gradient * gradient - v)
-            value -= rate * DECAY * value + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     odds = np.zeros(BUCKETS, np.float32)
     odds[used] = table @ (layer[:, 1] - layer[:, 0])
     return Model(odds, bias[1] - bias[0])

@@ -261,7 +261,7 @@ def test_language_query_equals_words_one_by_one(spark):
         assert got[r["doc_id"]][0] == model.languages[int(mean.argmax())] and abs(got[r["doc_id"]][1] - mean.max()) < 1e-3
 
 
-def test_toxicity_query_equals_windows_one_by_one(spark):
+def test_toxicity_query_equals_words_one_by_one(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     got = {r["doc_id"]: r["score"] for r in QUERIES["op9_toxicity"](spark, SF).collect()}
@@ -278,8 +278,7 @@ def test_toxicity_query_equals_windows_one_by_one(spark):
     for r in sorted(docs.collect(), key=lambda r: len(r["text"] or ""))[:120:3]:
         w = plain_words(r["text"])
         w = [x for k, x in enumerate(w) if not k or x != w[k - 1]]
-        top = max((sum(map(value, w[k : k + 8])) / 8 for k in range(max(1, len(w) - 7))), default=None) if w else None
-        want = min(model.bias, 0) if top is None else top + model.bias
+        want = min(model.bias, 0) if not w else 30 * sum(map(value, w)) / max(8, len(w)) + model.bias
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(want, -30, 30)))) < 1e-3
 
 
@@ -338,7 +337,7 @@ def test_toxicity_beats_saying_no(spark):
     toxic, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
     assert (share(toxic) + 1 - share(clean)) / 2 >= 0.8 and share(clean) <= 0.07  # saying no always gives 0.5
     by = {lang: share([r for r in toxic if r["lang"] == lang]) for lang in ("en", "de", "fr", "es")}
-    assert by["en"] >= 0.8 and min(by.values()) > 0.2, by
+    assert by["en"] >= 0.8 and min(by.values()) > 0.4, by
 
 
 def test_pipeline_of_odd_repeated_and_no_rows(spark, odd, none, tmp_path):
@@ -356,19 +355,19 @@ def test_pipeline_of_odd_repeated_and_no_rows(spark, odd, none, tmp_path):
         assert (len(out) > 50 and {900001, 900002, None} <= {r["doc_id"] for r in out} and 900003 not in {r["doc_id"] for r in out}) if some else out == []
 
 
-def test_toxicity_of_windows_rare_grams_and_long_texts(spark):
+def test_toxicity_of_places_rare_grams_and_long_texts(spark):
     model = toxicity.train([("you are a stupid idiot here now", 1), ("what a nice warm day we have", 0)] * 60)
     calm = "what a nice warm day we have".split()
     texts = [" ".join([*(calm * 3)[:k], "stupid", "idiot", *(calm * 3)[: 20 - k]]) for k in range(21)]
     alone = model.scores(*utf8(pa.array(["stupid idiot", "nice warm day"])))
     got = model.scores(*utf8(pa.array(texts)))
-    assert np.ptp(got[8:13]) < 0.05 and alone[0] > 0.5 > alone[1]
+    assert np.ptp(got) < 1e-3 and alone[0] > 0.5 > alone[1]  # it doesn't matter where in a text its words stand
     values = np.zeros(toxicity.BUCKETS) + 1.0
     one, other = (toxicity.Model(values, -0.5).scores(*utf8(pa.array([t]))) for t in ("a b c d e f g h", "a b c d e f g h i"))
-    assert abs(one[0] - other[0]) < 1e-9  # a whole window of nine words, not halves
+    assert abs(one[0] - other[0]) < 1e-9  # an average, not a sum
     r = random.Random(3)
     sample = [(" ".join(r.choice(WORDS) for _ in range(12)), int(k < 600)) for k in range(1200)]
-    for k in range(8):  # an insult of 8 in 1,208 texts
+    for k in range(40):  # an insult of 40 in 1,240 texts
         sample.append(("zurriago gaznapiro", 1))
     bad, good = toxicity.train(sample).scores(*utf8(pa.array(["zurriago gaznapiro", "w1 w2 w3"])))
     assert bad > 0.5 and bad > good
