@@ -380,6 +380,21 @@ def _live(s: SparkSession, d: str) -> DataFrame:
 _add("live_changes", f"WITH {_BASE} SELECT row_idx, can_id, last_timestamp, changed FROM f", _live)
 
 
+def _live_late(s: SparkSession, d: str) -> DataFrame:
+    """Entries in an order of their own, in batches of a file; an end mark in the last file lets all go."""
+    path = _folder(s, "late")
+    rows = base(s, d).select(F.lit(LOG).alias("log_id"), "row_idx", "timestamp", "can_id", "data")
+    end = rows.agg(F.lit(LOG).alias("log_id"), (F.max("row_idx") + 4_000_000).alias("row_idx"), F.lit(0.0).alias("timestamp"), F.lit(None).cast("long").alias("can_id"), F.lit(None).cast("binary").alias("data"))
+    rows.repartition(6, F.xxhash64("row_idx")).write.parquet(f"{path}/in")
+    end.write.mode("append").parquet(f"{path}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ring.live_changes(stream, lateness=3_000_000).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(ring._LIVE).parquet(f"{path}/out").select("row_idx", "can_id", "last_timestamp", "changed")
+
+
+_add("live_changes_late", f"WITH {_BASE} SELECT row_idx, can_id, last_timestamp, changed FROM f", _live_late)
+
+
 def _converted(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "asc")
     export.convert(full(s, d).withColumn("message_name", F.lit("M")), path, "log", 100_000)

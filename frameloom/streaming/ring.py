@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import mmap
+import pickle
 import struct
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frameloom.schemas import CAPPED_ID, RING_CAPACITY, RecorderState
+from frameloom.operators import stage
+from frameloom.schemas import CAPPED_ID, RING_CAPACITY, RecorderState, ServiceError
 
 # Fixed values of the ring's layout: a count of entries written so far, then the entries.
 HEADER = struct.Struct("<Q")
@@ -150,33 +154,144 @@ def _entries(blob: bytes) -> pd.DataFrame:
     })
 
 
-def segment_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _segments(reader, folder: str) -> DataFrame:
+    """producer (the folder that a segment is in), first and n (its entries' numbers), and what the file source gives."""
+    little = F.concat(*(F.substring(F.hex(F.substring("content", 1, HEADER.size)), k, 2) for k in range(2 * HEADER.size - 1, 0, -2)))
+    files = reader.format("binaryFile").schema(_FILE).option("pathGlobFilter", "*.seg").option("recursiveFileLookup", True).load(folder)
+    return files.select("*", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("producer"), F.conv(little, 16, 10).cast("long").alias("first"), ((F.col("length") - HEADER.size) / ENTRY.size).cast("long").alias("n"))
+
+
+def latest_entry(spark: SparkSession, folder: str) -> tuple[int, datetime | None]:
+    """The number behind the newest entry of a folder of segments, and when the newest segment was written."""
+    n, at = _segments(spark.read, folder).agg(F.max(F.col("first") + F.col("n")), F.max("modificationTime")).first()
+    return n or 0, at
+
+
+def segment_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000, starting: str = "earliest", state: str | None = None, repeats_within: str | None = None) -> DataFrame:
     """Live frames from segments that producers drop into a folder that driver and executors share. Each segment is a task's at
-    most, so that a batch runs on all executors; files_per_batch bounds it."""
+    most, so that a batch runs on all executors; files_per_batch bounds it.
+
+    starting="latest" leaves out what stood in the folder at the start, as a reader of a ring does; segments older than the newest
+    aren't read at all. With a folder `state` that start is kept there, so that a later call goes on from the same entry. With
+    repeats_within (such as "1 day") a segment that a producer drops again within that time is read once.
+    """
 
     def run(batches):
         for batch in batches:
             for blob in batch["content"]:
                 yield _entries(bytes(blob))
 
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.seg").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return files.select("content").mapInPandas(run, SCHEMA)
+    files, least = _segments(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder), 0
+    if starting == "latest":
+        known = f"{state.rstrip('/')}/start" if state else None
+        if known and stage.exists(spark, known):
+            least, at = json.loads(stage._read_text(spark, known))
+        else:
+            least, at = latest_entry(spark, folder)
+            at = at and at.timestamp()
+            if known:
+                stage._write_text(spark, known, json.dumps([least, at]))
+        if at is not None:
+            files = files.where(F.col("modificationTime") >= F.timestamp_seconds(F.lit(at)))
+    if repeats_within:
+        files = files.withWatermark("modificationTime", repeats_within).dropDuplicatesWithinWatermark(["producer", "first", "n"])
+    return files.select("content").mapInPandas(run, SCHEMA).where(F.col("write_idx") >= least)
+
+
+def segment_gaps(spark: SparkSession, folder: str, patience: int = 100, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of what is amiss with the numbers of each producer's segments: (producer, kind, first, n).
+
+    kind lost: entries that no segment brought, once `patience` segments behind them have come (one that is only late is none);
+    repeated: entries that came again. Only the heads of segments take part; a producer's state is the next number and the segments
+    that wait for one before them, patience at most.
+    """
+
+    def step(key, batches, state: GroupState):
+        expected, waiting = json.loads(state.getOption[0]) if state.exists else (None, [])
+        out = []
+        for first, n in sorted({(int(a), int(b)) for batch in batches for a, b in zip(batch["first"], batch["n"])}):
+            if (expected is not None and first < expected) or any(a < first + n and first < b for a, b in waiting):
+                out.append((key[0], "repeated", first, n))
+                continue
+            waiting.append((first, first + n))
+        waiting = sorted(map(tuple, waiting))
+        while waiting:
+            if expected is None or waiting[0][0] == expected:
+                expected = waiting.pop(0)[1]
+            elif len(waiting) > patience:
+                out.append((key[0], "lost", expected, waiting[0][0] - expected))
+                expected = waiting.pop(0)[1]
+            else:
+                break
+        state.update((json.dumps([expected, waiting]),))
+        yield pd.DataFrame(out, columns=["producer", "kind", "first", "n"])
+
+    heads = _segments(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder).select("producer", "first", "n")
+    return heads.groupBy("producer").applyInPandasWithState(step, "producer string, kind string, first long, n long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_changes(frames: DataFrame) -> DataFrame:
+def watch_gaps(spark: SparkSession, folder: str, checkpoint: str, patience: int = 100, trigger: dict | None = None) -> StreamingQuery:
+    """A query beside a recording that fails as soon as entries are lost."""
+
+    def look(batch: DataFrame, _):
+        lost = batch.where("kind = 'lost'").orderBy("producer", "first").first()
+        if lost:
+            raise ServiceError(f"{lost['producer']} has lost {lost['n']} entries from {lost['first']} on")
+
+    return segment_gaps(spark, folder, patience).writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+_LIVE = "log_id string, row_idx long, can_id long, timestamp double, last_timestamp double, changed int"
+
+
+def _changes(key, rows: pd.DataFrame, last) -> pd.DataFrame:
+    """Rows of one identifier in order, with what the row before says; last: (timestamp, data) of the one before all, if any."""
+    clock, data = rows["timestamp"].to_numpy(), rows["data"].to_numpy()
+    before = np.append([last[0] if last else clock[0]], clock[:-1])
+    earlier = np.append(np.array([last[1] if last else data[0]], object), data[:-1])
+    return pd.DataFrame({"log_id": key[0], "row_idx": rows["row_idx"].to_numpy(), "can_id": key[1], "timestamp": clock, "last_timestamp": before if key[1] < CAPPED_ID else clock, "changed": (earlier != data).astype(np.int32)})
+
+
+def live_changes(frames: DataFrame, lateness: int | None = None) -> DataFrame:
     """last_timestamp and changed of a stream of (log_id, row_idx, timestamp, can_id, data), with the last frame of each identifier
-    of a log as state. A batch's frames of one identifier are put in order together; the source bounds a batch."""
+    of a log as state. A batch's frames of one identifier are put in order together; the source bounds a batch.
+
+    Without lateness rows are taken to come in order from batch to batch. With it, rows may come up to so many row numbers late: they
+    wait in the state until the greatest number seen is that far ahead (a watermark over row numbers), and leave in order; a row that
+    is later still is dropped by the watermark, and Spark counts it (numRowsDroppedByWatermark). An end mark, a row without can_id and
+    with a number beyond all others by the lateness, lets the last ones go.
+    """
 
     def step(key, batches, state: GroupState):
         rows = pd.concat(list(batches)).sort_values("row_idx")
-        last = state.getOption
-        clock, data = rows["timestamp"].to_numpy(), rows["data"].to_numpy()
-        before = np.append([last[0] if last else clock[0]], clock[:-1])
-        earlier = np.append(np.array([last[1] if last else data[0]], object), data[:-1])
-        state.update((float(clock[-1]), data[-1]))
-        yield pd.DataFrame({"log_id": key[0], "row_idx": rows["row_idx"].to_numpy(), "can_id": key[1], "timestamp": clock, "last_timestamp": before if key[1] < CAPPED_ID else clock, "changed": (earlier != data).astype(np.int32)})
-
-    return frames.groupBy("log_id", "can_id").applyInPandasWithState(step, "log_id string, row_idx long, can_id long, timestamp double, last_timestamp double, changed int", "timestamp double, data binary", "append", GroupStateTimeout.NoTimeout)
+        out = _changes(key, rows, state.getOption)
+        state.update((float(rows["timestamp"].iloc[-1]), rows["data"].iloc[-1]))
+        yield out
+
+    def patient(key, batches, state: GroupState):
+        last, held = ((state.get[0], state.get[1]) if state.get[0] is not None else None, pickle.loads(state.get[2])) if state.exists else (None, [])
+        if key[1] is None or pd.isna(key[1]):
+            return
+        if not state.hasTimedOut:
+            held += [row for batch in batches for row in zip(batch["row_idx"], batch["timestamp"], batch["data"])]
+        held.sort(key=lambda row: row[0])
+        known = state.getCurrentWatermarkMs()
+        ready = [row for row in held if (row[0] + 1) * 1000 <= known]
+        held = held[len(ready) :]
+        if ready:
+            yield _changes(key, pd.DataFrame(ready, columns=["row_idx", "timestamp", "data"]), last)
+            last = (float(ready[-1][1]), ready[-1][2])
+        state.update((*(last or (None, None)), pickle.dumps(held)))
+        if held:
+            state.setTimeoutTimestamp((int(held[0][0]) + 1) * 1000)
+
+    if lateness is None:
+        return frames.groupBy("log_id", "can_id").applyInPandasWithState(step, _LIVE, "timestamp double, data binary", "append", GroupStateTimeout.NoTimeout)
+    timed = frames.withColumn("_at", F.timestamp_seconds(F.col("row_idx") + 1)).withWatermark("_at", f"{lateness} seconds")
+    return timed.groupBy("log_id", "can_id").applyInPandasWithState(patient, _LIVE, "timestamp double, data binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class RecorderListener(StreamingQueryListener):
