@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.functions.signals import PLACE, bits, physical_value, place
+from frameloom.functions.signals import PLACE, bits_of, physical_value, place, words
 from frameloom.operators.frames import signal_changes
 from frameloom.operators.stage import tuned
+from frameloom.schemas import ServiceError
 
 #: Rows of a database up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Switches above a signal at most.
+MUX_DEPTH = 8
 
 
 def sized(table: DataFrame) -> DataFrame:
@@ -34,12 +37,36 @@ def last_signals(signals: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "load_order")
 
 
+def _conditions(placed: DataFrame) -> DataFrame:
+    """placed signals with _conds: for each switch up the tree of a signal where its bits are and the ranges that its value must be in.
+
+    A signal that names a switch which isn't there has a condition without a place, which no frame meets.
+    """
+    bounds = F.array(F.struct(F.col("mux_value").alias("low"), F.col("mux_value").alias("high")))
+    ranges = F.coalesce("mux_ranges", bounds) if "mux_ranges" in placed.columns else bounds
+    own = placed.withColumn("_ranges", ranges)
+    at = F.struct(*PLACE, "byte_order", "is_signed")
+    parents = own.select("can_id", F.col("signal_id").alias("_next"), at.alias("_at"), F.col("mux_signal").alias("_up"), F.col("_ranges").alias("_up_ranges"), F.lit(True).alias("_there"))
+    none = F.array().cast(f"array<struct<{', '.join(f'{c}:int' for c in [*PLACE, 'byte_order', 'is_signed'])}, ranges:array<struct<low:long, high:long>>>>")
+    out = own.withColumn("_conds", none).withColumn("_next", F.col("mux_signal"))
+    for _ in range(MUX_DEPTH):
+        joined = out.join(parents, ["can_id", "_next"], "left")
+        here = F.struct(*(F.col(f"_at.{c}").cast("int").alias(c) for c in [*PLACE, "byte_order", "is_signed"]), F.col("_ranges").alias("ranges"))
+        conds = F.when(F.col("_next").isNull(), F.col("_conds")).otherwise(F.concat("_conds", F.array(here)))
+        out = joined.withColumns({"_conds": conds, "_ranges": F.col("_up_ranges")}).withColumn("_next", F.col("_up")).select(*placed.columns, "_conds", "_ranges", "_next")
+        if not out.where("_next IS NOT NULL").limit(1).count():
+            return out.drop("_ranges", "_next")
+    raise ServiceError(f"switches are nested more than {MUX_DEPTH} deep")
+
+
 def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None, once: bool = False) -> DataFrame:
     """A row per frame and signal of its message; frames without a message and signals beyond a frame's end give none.
 
-    With mux_signal and mux_value among the columns of signals, a signal is there only in frames whose signal mux_signal has that
-    raw value. Where the bits are is worked out once a signal, before the join. With `once` samples are staged, so that they are
-    decoded once, for whoever reads all of them; a filter on signals doesn't reach below that.
+    With mux_signal and mux_value (or mux_ranges) among the columns of signals, a signal is there only in frames whose signal
+    mux_signal has that raw value (or one in these ranges) and is there itself. With value_type raw values stand for IEEE numbers of
+    32 (1) or 64 bits (2). Where the bits are is worked out once a signal, and a frame's words once a frame, before the join. With
+    `once` samples are staged, so that they are decoded once, for whoever reads all of them; a filter on signals doesn't reach below
+    that.
     """
     tuned(frames.sparkSession)
     if max_signals is not None:
@@ -47,14 +74,19 @@ def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None
     placed = place(last_signals(signals))
     muxed = {"mux_signal", "mux_value"} <= set(signals.columns)
     if muxed:
-        own = [*PLACE, "byte_order", "is_signed"]
-        other = placed.select("can_id", F.col("signal_id").alias("mux_signal"), *(F.col(c).alias(f"mux_{c}") for c in own))
-        placed = placed.join(other, ["can_id", "mux_signal"], "left")
-    joined = frames.join(sized(placed), "can_id")
+        placed = _conditions(placed)
+    worded = frames.withColumns({"_words": words(F.col("data")), "_bytes": F.octet_length("data")})
+    joined = worded.join(sized(placed), "can_id")
     if muxed:
-        joined = joined.where(F.col("mux_signal").isNull() | (bits(F.col("data"), *(F.col(f"mux_{c}") for c in own)) == F.col("mux_value")))
-    raw = bits(F.col("data"), *(F.col(c) for c in [*PLACE, "byte_order", "is_signed"]))
-    out = joined.withColumn("raw_value", raw).where("raw_value is not null").withColumn("phys_value", physical_value(F.col("raw_value"), F.col("scale"), F.col("offset")))
+
+        def met(c):
+            value = bits_of(F.col("_words"), F.col("_bytes"), *(c[x] for x in [*PLACE, "byte_order", "is_signed"]))
+            return F.coalesce(F.exists(c["ranges"], lambda r: value.between(r["low"], r["high"])), F.lit(False))
+
+        joined = joined.where(F.when(F.size("_conds") == 0, True).otherwise(F.forall("_conds", met)))
+    raw = bits_of(F.col("_words"), F.col("_bytes"), *(F.col(c) for c in [*PLACE, "byte_order", "is_signed"]))
+    kind = F.col("value_type") if "value_type" in signals.columns else None
+    out = joined.withColumn("raw_value", raw).where("raw_value is not null").withColumn("phys_value", physical_value(F.col("raw_value"), F.col("scale"), F.col("offset"), kind))
     return signal_changes(out.select("log_id", "dbc_id", "row_idx", "timestamp", "can_id", "signal_id", "signal_name", "raw_value", "phys_value"), once=once)
 
 

@@ -427,24 +427,56 @@ _add("pairs_differ", f"WITH {_SIGNALS}, a AS (SELECT DISTINCT can_id, signal_id
 _add("lexer_values", f"""WITH {_BASE} SELECT row_idx, [0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64][1 + greatest(0, least(15, row_idx % 20 - 2))] AS fd_length, data_hex || repeat('00', 62) AS clamped, trim(channel) || ' x' AS collapsed,
   can_id || ':' || (row_idx % 4) AS signal_key FROM f""", lambda s, d: base(s, d).select("row_idx", L.fd_length((F.col("row_idx") % 20 - 2).cast("int")).alias("fd_length"), F.hex(L.clamped(F.col("data"))).alias("clamped"), F.concat(L.collapse(F.concat("channel", F.lit("  \t "))), F.lit(" x")).alias("collapsed"), L.signal_key(F.col("can_id"), F.col("row_idx") % 4).alias("signal_key")))
 
-_DBC = """BO_ 257 MsgA: 8 ECU
- SG_ Zed : 7|16@0+ (0.5,-3) [0|0] "" X
- SG_ Abe : 8|5@1- (0.25,10) [0|0] "" X
- CAT_DEF_ 1 a b;
-BO_ 2566848544 Long: 64 ECU
- SG_ Switch M : 0|8@1+ (1,0) [0|0] "" X
- SG_ Part m2 : 8|8@1+ (1,0) [0|0] "" X
-VAL_ 257 Abe 0 "off" 1 "on" ;
-"""
-
-
-def _database(s: SparkSession, d: str) -> DataFrame:
+def _database_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A database file with a message of six signals for every identifier of the events, written from these and read back."""
     path = _folder(s, "dbc")
-    s.createDataFrame([(_DBC,)], "value string").coalesce(1).write.text(path)
-    found, own = dbc.read_dbc(s, path, "d")
-    return own.join(found.select("can_id", "message_name", "msg_length"), "can_id").select("can_id", "message_name", "msg_length", "signal_id", "signal_name", "start_bit", "bit_length", "byte_order", "is_signed", "has_choices", "scale", "offset", "mux_signal", "mux_value")
+    number = "IF(can_id >= 2048, can_id + 2147483648L, can_id)"
+    lines = [
+        "'BO_ ', n, ' Msg', can_id, ': 64 ECU'", "' SG_ Switch M : 56|8@1+ (1,0) [0|0] \"\" X'", "' SG_ Inner m1M : 48|8@1+ (1,0) [0|0] \"\" X'", "' SG_ Deep m2 : 8|16@1- (0.5,-3) [0|0] \"\" X'",
+        "' SG_ Plain m', can_id % 3, ' : 7|12@0+ (2,1) [0|0] \"\" X'", "' SG_ Single : 64|32@1- (1,0) [0|0] \"\" X'", "' SG_ Double : 96|64@1- (2,0.5) [0|0] \"\" X'", "' CAT_DEF_ 1 a b;'",
+        "'SIG_VALTYPE_ ', n, ' Single : 1;'", "'SIG_VALTYPE_ ', n, ' Double : 2;'", "'SG_MUL_VAL_ ', n, ' Inner Switch 1-3, 7-9;'", "'SG_MUL_VAL_ ', n, ' Deep Inner 0-99;'", "'VAL_ ', n, ' Plain 0 \"off\" 1 \"on\" ;'",
+    ]
+    text = base(s, d).select("can_id").distinct().selectExpr("can_id", f"{number} AS n").selectExpr("can_id", f"posexplode(array({', '.join(f'concat({x})' for x in lines)}))")
+    text.coalesce(1).sortWithinPartitions("can_id", "pos").select("col").write.text(path)
+    return dbc.read_dbc(s, path, "d")
 
 
-_add("parse_dbc", """SELECT * FROM (VALUES (257::BIGINT, 'MsgA', 8, 0, 'Abe', 8, 5, 0, 1, 1, 0.25::DOUBLE, 10.0::DOUBLE, NULL::INTEGER, NULL::BIGINT), (257, 'MsgA', 8, 1, 'Zed', 7, 16, 1, 0, 0, 0.5, -3.0, NULL, NULL),
-  (419364896, 'Long', 64, 0, 'Part', 8, 8, 0, 0, 0, 1.0, 0.0, 1, 2), (419364896, 'Long', 64, 1, 'Switch', 0, 8, 0, 0, 0, 1.0, 0.0, NULL, NULL))
-  t(can_id, message_name, msg_length, signal_id, signal_name, start_bit, bit_length, byte_order, is_signed, has_choices, scale, "offset", mux_signal, mux_value)""", _database)
+def _database(s: SparkSession, d: str) -> DataFrame:
+    found, own = _database_of(s, d)
+    shown = own.withColumn("mux_ranges", F.to_json("mux_ranges"))
+    return shown.join(found.select("can_id", "message_name", "msg_length", "signal_count"), "can_id").drop("dbc_id")
+
+
+_add("parse_dbc", f"""WITH {_BASE}, m AS (SELECT DISTINCT can_id FROM f), r(signal_id, signal_name, start_bit, bit_length, byte_order, is_signed, has_choices, scale, "offset", mux_signal, mux_value, value_type, mux_ranges) AS (VALUES
+  (0, 'Deep', 8, 16, 0, 1, 0, 0.5::DOUBLE, -3.0::DOUBLE, 2, 0::BIGINT, 0, '[{{"low":0,"high":99}}]'), (1, 'Double', 96, 64, 0, 1, 0, 2.0, 0.5, NULL, NULL, 2, NULL), (2, 'Inner', 48, 8, 0, 0, 0, 1.0, 0.0, 5, 1, 0, '[{{"low":1,"high":3}},{{"low":7,"high":9}}]'),
+  (3, 'Plain', 7, 12, 1, 0, 1, 2.0, 1.0, 5, -1, 0, NULL), (4, 'Single', 64, 32, 0, 1, 0, 1.0, 0.0, NULL, NULL, 1, NULL), (5, 'Switch', 56, 8, 0, 0, 0, 1.0, 0.0, NULL, NULL, 0, NULL))
+  SELECT can_id, 'Msg' || can_id AS message_name, 64 AS msg_length, 6 AS signal_count, r.* REPLACE (CASE WHEN signal_id = 3 THEN can_id % 3 ELSE mux_value END AS mux_value) FROM m, r""", _database)
+
+
+def _decoded_database(s: SparkSession, d: str) -> DataFrame:
+    """Frames of 20 bytes: seven of the event's number, a switch, its value as a number of 32 bits that is exact, and one of 64 bits."""
+    value, n = "floor(value / 25)", "event_id"
+    hex32 = f"lpad(hex(CAST(CASE WHEN {value} = 0 THEN 0 ELSE (127 + floor(log2({value}))) * 8388608 + ({value} / pow(2, floor(log2({value}))) - 1) * 8388608 END AS BIGINT)), 8, '0')"
+    swapped = lambda h: f"concat(substr({h}, 7, 2), substr({h}, 5, 2), substr({h}, 3, 2), substr({h}, 1, 2))"
+    # 1 + k / 2^20 times 2 to the (n % 40 - 20), and its sign: the bits by hand
+    hex64 = f"lpad(hex(shiftleft(CAST({n} % 2 AS BIGINT), 63) | shiftleft(1003 + {n} % 40, 52) | shiftleft({n} % 1048576, 32)), 16, '0')"
+    turned = f"concat({', '.join(f'substr({hex64}, {k}, 2)' for k in range(15, 0, -2))})"
+    events = s.read.parquet(f"{d}/events.parquet")
+    rows = events.selectExpr(
+        f"'{LOG}' AS log_id", "event_id AS row_idx", "0D AS timestamp", f"{_ID} AS can_id",
+        f"unhex(concat(lpad(hex({n} % 65536), 4, '0'), lpad(hex({n} * 7 % 65536), 4, '0'), '0000', lpad(hex({n} % 120), 2, '0'), lpad(hex({n} % 11), 2, '0'), {swapped(hex32)}, {turned})) AS data",
+    )
+    return D.decode(rows, _database_of(s, d)[1], once=True).select("row_idx", "can_id", "signal_name", "raw_value", "phys_value")
+
+
+_add("decode_database", f"""WITH e AS (SELECT event_id AS n, ({_ID})::BIGINT AS can_id, floor(value / 25)::DOUBLE AS v FROM events),
+  b AS (SELECT *, (n % 65536) // 256 AS b0, (n % 65536) % 256 AS b1, (n * 7 % 65536) // 256 AS b2, n % 120 AS inside, n % 11 AS switch,
+    CASE WHEN n % 2 = 1 THEN -1 ELSE 1 END * (1 + (n % 1048576) / 1048576.0::DOUBLE) * pow(2.0::DOUBLE, n % 40 - 20) AS wide,
+    CASE WHEN v = 0 THEN 0 ELSE (127 + floor(log2(v))) * 8388608 + (v / pow(2, floor(log2(v))) - 1) * 8388608 END::BIGINT AS bits,
+    (1003 + n % 40)::BIGINT * 4503599627370496 + (n % 1048576)::BIGINT * 4294967296 AS wide_bits FROM e),
+  x AS (SELECT n, can_id, switch, inside, unnest([
+    {{'k': 'Switch', 'raw': switch::BIGINT, 'p': switch::DOUBLE, 'ok': true}}, {{'k': 'Inner', 'raw': inside::BIGINT, 'p': inside::DOUBLE, 'ok': switch BETWEEN 1 AND 3 OR switch BETWEEN 7 AND 9}},
+    {{'k': 'Deep', 'raw': (b1 + b2 * 256 - CASE WHEN b2 > 127 THEN 65536 ELSE 0 END)::BIGINT, 'p': (b1 + b2 * 256 - CASE WHEN b2 > 127 THEN 65536 ELSE 0 END) * 0.5::DOUBLE - 3, 'ok': inside <= 99 AND (switch BETWEEN 1 AND 3 OR switch BETWEEN 7 AND 9)}},
+    {{'k': 'Plain', 'raw': (b0 * 16 + b1 // 16)::BIGINT, 'p': (b0 * 16 + b1 // 16) * 2.0::DOUBLE + 1, 'ok': switch = can_id % 3}},
+    {{'k': 'Single', 'raw': bits, 'p': v, 'ok': true}}, {{'k': 'Double', 'raw': wide_bits - CASE WHEN n % 2 = 1 THEN 9223372036854775807 + 1::HUGEINT ELSE 0 END, 'p': wide * 2 + 0.5, 'ok': true}}]) AS g FROM b)
+  SELECT n AS row_idx, can_id, g.k AS signal_name, g.raw::BIGINT AS raw_value, g.p::DOUBLE AS phys_value FROM x WHERE g.ok""", _decoded_database)

@@ -23,7 +23,7 @@ RECORD = T.StructType([
 ])
 FRAME = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("row_idx", T.LongType()), T.StructField("line_number", T.LongType()), *RECORD.fields, T.StructField("last_timestamp", T.DoubleType()), T.StructField("changed", T.IntegerType())])
 MESSAGE = "dbc_id string, can_id long, message_name string, msg_length int, signal_count int"
-SIGNAL = "dbc_id string, can_id long, signal_id int, signal_name string, start_bit int, bit_length int, byte_order int, is_signed int, has_choices int, scale double, offset double, mux_signal int, mux_value long"
+SIGNAL = "dbc_id string, can_id long, signal_id int, signal_name string, start_bit int, bit_length int, byte_order int, is_signed int, has_choices int, scale double, offset double, mux_signal int, mux_value long, value_type int, mux_ranges array<struct<low: long, high: long>>"
 
 
 class ParserStatus(IntEnum):

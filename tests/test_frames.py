@@ -116,7 +116,7 @@ VAL_ 418 Abe 0 "off" 1 "on" ;
 def test_database_and_decode(spark):
     messages, signals = dbc.parse_dbc(DBC)
     assert messages == [(418, "MsgA", 2, 2)]
-    assert signals == [(418, 0, "Abe", 8, 8, 0, 1, 1, 1.0, 0.0, None, None), (418, 1, "Zed", 7, 8, 1, 0, 0, 0.5, 1.0, None, None)]
+    assert signals == [(418, 0, "Abe", 8, 8, 0, 1, 1, 1.0, 0.0, None, None, 0, None), (418, 1, "Zed", 7, 8, 1, 0, 0, 0.5, 1.0, None, None, 0, None)]
     model = spark.createDataFrame([("d", *s) for s in signals], SIGNAL)
     got = decode.decode(_frames(spark), model)
     assert sorted((r["row_idx"], r["signal_name"], r["raw_value"], r["phys_value"], r["changed"]) for r in got.collect()) == [(0, "Zed", 170, 86.0, 0), (2, "Zed", 170, 86.0, 0), (3, "Abe", 0, 0.0, 0), (3, "Zed", 170, 86.0, 0)]
