@@ -319,17 +319,23 @@ def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataF
         level += 1
 
 
+#: Shingles of the documents a bucket of signatures on average: a task holds one bucket at a time, whatever the number of partitions.
+BUCKET_SHINGLES = 16 << 20
+
+
 def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int = TASK_SHINGLES) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-    Null, empty and blank texts have no shingle and are linked with nothing. Repeated rows stay; a doc_id that occurs with
+    Sets are compared by 64-bit hashes of their shingles: exact up to a collision of two of these. Null, empty and blank texts have
+    no shingle and are linked with nothing. Repeated rows stay; a doc_id that occurs with
     several texts stands for all of them. Null ids take no part and get a null component. Other columns aren't read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_id binary, key long"), "sets")
     reps = sets.where("set_id is not null and doc_id is not null").groupBy("set_id", "key").agg(F.min("doc_id").alias("rep"))
-    buckets = 4 * shuffle_parts(spark)
+    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(4 * shuffle_parts(spark), -(-shingles // BUCKET_SHINGLES))
     signed = texts.where("doc_id is not null").mapInArrow(_sign(buckets), "bucket long, keys binary, counts binary, sigs binary")
     edges = signed.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "a long, b long")
     blocks = components(edges)
@@ -345,6 +351,7 @@ def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they were, without those that are linked, also indirectly, to one of smaller doc_id."""
+    """The rows of docs, all columns as they were, without those that are linked, also indirectly, to one of smaller doc_id. Rows that
+    share the smallest doc_id of a group all stay, as they are one document."""
     dropped = similar_components(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

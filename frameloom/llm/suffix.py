@@ -424,12 +424,17 @@ def _base(text: str) -> Column:
     return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)), PLACE_BITS)
 
 
+#: Bytes of text a bucket on average: a task holds one bucket at a time, whatever the number of partitions.
+BUCKET_BYTES = 64 << 20
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, blobs): per document the runs of windows that also start earlier, by pairs of first byte (with _base) and windows."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _base("text").alias("base"))
-    records = texts.mapInArrow(_records(4 * parts), TAGGED)
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    records = texts.mapInArrow(_records(max(4 * parts, -(-n_bytes // BUCKET_BYTES))), TAGGED)
     asked = records.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide, TAGGED)
     asked = written(asked, "requests")
     grouped = asked.where("bucket >= 0").groupBy("doc").agg(F.collect_list(F.struct("bucket", "blob")).alias("asked"))  # of one document
