@@ -16,7 +16,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked near duplicates stays, that of the smallest doc_id; texts without words are linked with nothing, rows without an id stay."""
+    """Of each group of linked near duplicates the document with the smallest doc_id stays (all rows of that id); texts without words are linked with nothing, rows without an id stay."""
     from frameloom.llm.jaccard import without_near_duplicates
 
     return without_near_duplicates(docs)
