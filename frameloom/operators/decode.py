@@ -9,10 +9,12 @@ from pyspark.sql.window import Window
 from frameloom.functions.signals import PLACE, bits_of, physical_value, place, words
 from frameloom.operators.frames import signal_changes
 from frameloom.operators.stage import tuned
-from frameloom.schemas import ServiceError
+from frameloom.schemas import CHUNK_ROWS, ServiceError
 
 #: Rows of a database up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Copies of a larger table.
+SALTS = 16
 #: Switches above a signal at most.
 MUX_DEPTH = 8
 
@@ -22,6 +24,19 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table.hint("merge")
 
 
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows (with row_idx) with a table of few rows a key.
+
+    Up to BROADCAST_ROWS the table is broadcast. A larger one is dealt out SALTS times, and rows by keys and chunk of row numbers, so
+    that a key that holds a third of the rows is many tasks'.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.floor(F.col("row_idx") / CHUNK_ROWS), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def _ordered(table: DataFrame) -> DataFrame:
     """The order in which a database's rows were loaded: its load_order, else that of the rows."""
     return table if "load_order" in table.columns else table.withColumn("load_order", F.monotonically_increasing_id())
@@ -76,7 +91,7 @@ def decode(frames: DataFrame, signals: DataFrame, max_signals: int | None = None
     if muxed:
         placed = _conditions(placed)
     worded = frames.withColumns({"_words": words(F.col("data")), "_bytes": F.octet_length("data")})
-    joined = worded.join(sized(placed), "can_id")
+    joined = meet(worded, placed, ["can_id"])
     if muxed:
 
         def met(c):
@@ -102,7 +117,7 @@ def message_names(frames: DataFrame, messages: DataFrame | None) -> DataFrame:
     if messages is None:
         return frames.withColumn("message_name", F.lit("UNKNOW"))
     names = _ordered(messages).groupBy("can_id").agg(F.max_by("message_name", "load_order").alias("message_name"))
-    return frames.join(sized(names), "can_id", "left").withColumn("message_name", F.coalesce("message_name", F.lit("NOT_FOUND")))
+    return meet(frames, names, ["can_id"], "left").withColumn("message_name", F.coalesce("message_name", F.lit("NOT_FOUND")))
 
 
 def ambiguous_ids(messages: DataFrame) -> DataFrame:

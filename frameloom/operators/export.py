@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from frameloom.functions.lexer import direction_name, spaced_hex
 from frameloom.operators import stage
-from frameloom.operators.decode import sized
 from frameloom.operators.query import apply_query
 from frameloom.schemas import CHUNK_ROWS, LogQuery, new_id
 
@@ -21,7 +20,8 @@ BLANK_ROWS = 5
 
 def export_rows(frames: DataFrame) -> DataFrame:
     """Frames (with message_name) as text columns, in order of their identifier's first row, then of rows."""
-    firsts = frames.groupBy("log_id", "can_id").agg(F.min("row_idx").alias("group_row"))  # a row per identifier
+    # a row per identifier: Spark broadcasts it by the size that it turns out to have, or splits the join's hot keys
+    firsts = frames.groupBy("log_id", "can_id").agg(F.min("row_idx").alias("group_row"))
     return frames.join(firsts, ["log_id", "can_id"]).select(
         "log_id", "group_row", "row_idx", "can_id",
         F.format_string("%.6f", "timestamp").alias("time"), "channel", F.concat(F.lit("0x"), F.hex("can_id")).alias("can_id_text"),
@@ -53,7 +53,7 @@ def csv_lines(frames: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
     else:
         rows = rows.withColumn("samples", F.lit(None).cast("map<string,string>"))
     named = rows.groupBy("log_id", "can_id").agg(F.sort_array(F.map_keys(F.min_by(F.coalesce("samples", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")), "row_idx"))).alias("names"), F.max("row_idx").alias("last_row"))
-    rows = rows.join(sized(named), ["log_id", "can_id"])
+    rows = rows.join(named, ["log_id", "can_id"])  # as firsts
     fields = _cells(F.array("time", "channel", "can_id_text", "message_name", "direction", "dlc", "data"))
     values = _cells(F.transform("names", lambda n: F.coalesce(F.try_element_at("samples", n), F.lit(""))))
     none = F.array().cast("array<string>")

@@ -95,6 +95,20 @@ def test_bits_equal_brute_force(spark):
     assert df.limit(1).select(physical_value(F.lit(3), F.lit(0.0), F.lit(None).cast("double"))).first()[0] == 3.0
 
 
+def test_large_tables_meet_hot_keys_by_salt(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("'a' AS log_id", "id AS row_idx", "id / 4D AS timestamp", "CAST(IF(id % 3 = 0, id % 7, 1) AS LONG) AS can_id", "X'0A0B' AS data", "0 AS direction", "2 AS data_len", "'1' AS channel")
+    signals = spark.createDataFrame([("d", c, k, f"s{k}", 8 * k + 7, 8, 1, 0, 0, 1.0, 0.0, None, None, 0, None) for c in range(5) for k in range(2)], SIGNAL)
+    named = spark.createDataFrame([(c, f"M{c}") for c in range(5)], "can_id long, message_name string")
+
+    def both():
+        return sorted(map(tuple, decode.decode(rows, signals).collect())), sorted(map(tuple, export.export_rows(decode.message_names(rows, named)).collect()))
+
+    small = both()
+    monkeypatch.setattr(decode, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(decode, "CHUNK_ROWS", 100)
+    assert both() == small and len(small[0]) > 900
+
+
 def test_filters_and_directions(spark):
     f = _frames(spark)
     assert [direction_code(x) for x in (" RX", "tx ", 1)] == [0, 1, 1]
