@@ -39,6 +39,8 @@ MARKS = frozenset(
 )
 #: Marks that stand for a page's own parts, so that they count in a class only as a whole (an article-header is no header).
 PAGE_PARTS = frozenset(("header", "site-header", "page-header", "site-footer", "page-footer"))
+#: Words beside a mark that say it is not this element, but one near it (has-sidebar, no-comments).
+NEIGHBOURS = frozenset("has have no not with without below above toggles".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
@@ -54,7 +56,7 @@ def _marked(attributes: str) -> bool:
             return True
         for word in value.split():
             parts = _JOINT.split(word)
-            if word in PAGE_PARTS or parts[0] in MARKS or parts[-1] in MARKS:
+            if NEIGHBOURS.isdisjoint(parts) and (word in PAGE_PARTS or parts[0] in MARKS or parts[-1] in MARKS):
                 return True
     return bool(_STYLE_NONE.search(attributes))
 

@@ -82,6 +82,7 @@ def test_main_text_of_pages_without_an_article_element():
         ("<article><header><h1>T</h1><p>by me</p></header><p>x <b>y</b>z</p><aside>q</aside><article class='comment'>c</article><footer>f</footer></article><p>out</p>", "T\n\nx yz"),
         ("<article><p>a &am b</p><p><a href=1>only a link</a></p><!-- <p>gone</p> --><p>&#233;&eacute;&#x4e2d;</p>", "a &am b\n\nonly a link\n\néé中"),
         ("<nav>m</nav><div class=ad>buy<article><h1>H</h1></article>", "H"), ("<script>never closed <p>x</p>", ""), ("<p title='<p>q</p>'>v</p>", "v"), ("a < b and c > d", "a < b and c > d"),
+        ("<div class='content has-sidebar'><p>Text.</p></div><div class='left-sidebar'>gone</div><div class='no-comments'>Kept too.</div>", "Text.\n\nKept too."),
         ("<body><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><div><p>" + "word " * 40 + "</p></div></body>", ("word " * 40).strip()),
     ],
 )
