@@ -62,7 +62,11 @@ def _describe(batches):
 
 
 def _sign(buckets: int):
-    """Per slice and bucket one row: point keys, how many signatures each has there, and the signatures, five bytes each."""
+    """Per slice and bucket one row: point keys, how many signatures each has there, and the signatures, five bytes each.
+
+    Points of a slice that share a signature are joined at once (a negative bucket, with the edges of a forest), and only the first
+    of them travels with it: of a signature that very many points share, a bucket gets one a slice.
+    """
 
     def run(batches):
         for part in slices(batches, limit=4 << 20):
@@ -73,12 +77,19 @@ def _sign(buckets: int):
             signed = [signatures(s) for s in points.values()]
             sig = np.concatenate(signed)
             own = np.repeat(np.arange(len(keys)), [len(x) for x in signed])
+            order = np.argsort(sig, kind="stable")
+            sig, own = sig[order], own[order]
+            new = np.append(True, sig[1:] != sig[:-1])
+            lead = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            root = _forest(np.unique(np.stack([lead[~new], own[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64), len(keys))
+            joined = np.flatnonzero(root != np.arange(len(keys)))
+            rows = [(-1 - int(keys[0]) % buckets, keys[joined].tobytes(), keys[root[joined]].tobytes(), b"")] if len(joined) else []
+            sig, own = sig[new], own[new]
             bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((own, bucket))
             sig, own, bucket = sig[order], own[order], bucket[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             five = sig.view(np.uint8).reshape(-1, 8)[:, :5]
-            rows = []
             for a, b in zip(starts, [*starts[1:], len(sig)]):
                 who, count = np.unique(own[a:b], return_counts=True)
                 rows.append((int(bucket[a]), keys[who].tobytes(), count.astype(np.uint32).tobytes(), five[a:b].tobytes()))
@@ -118,10 +129,13 @@ def _meet(held: list[tuple[bytes, bytes, bytes]]):
 
 
 def _candidates(batches):
-    """Rows sorted by bucket: edges of a forest that joins the points of each signature of a bucket."""
+    """Rows sorted by bucket: edges of a forest that joins the points of each signature of a bucket; those of slices as they are."""
     bucket, held = None, []
     for batch in batches:
         for b, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if b < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row[:2]], ["a", "b"])
+                continue
             if b != bucket and held:
                 yield _meet(held)
                 held = []
@@ -321,6 +335,8 @@ def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataF
 
 #: Shingles of the documents a bucket of signatures on average: a task holds one bucket at a time, whatever the number of partitions.
 BUCKET_SHINGLES = 16 << 20
+#: Sets of more than 1 / COMMON of all rows, of which there are fewer than COMMON, find their component by broadcast.
+COMMON = 1000
 
 
 def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int = TASK_SHINGLES) -> DataFrame:
@@ -333,9 +349,9 @@ def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_id binary, key long"), "sets")
-    reps = sets.where("set_id is not null and doc_id is not null").groupBy("set_id", "key").agg(F.min("doc_id").alias("rep"))
-    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(4 * shuffle_parts(spark), -(-shingles // BUCKET_SHINGLES))
+    reps = sets.where("set_id is not null and doc_id is not null").groupBy("set_id", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    shingles, rows = sets.agg(F.sum("n_shingles"), F.count("*")).first()
+    buckets = max(4 * shuffle_parts(spark), -(-(shingles or 0) // BUCKET_SHINGLES))
     signed = texts.where("doc_id is not null").mapInArrow(_sign(buckets), "bucket long, keys binary, counts binary, sigs binary")
     edges = signed.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "a long, b long")
     blocks = components(edges)
@@ -346,8 +362,14 @@ def similar_components(docs: DataFrame, limit: int = REGION_SHINGLES, most: int
     regions, links = _voronoi(points, limit, most)
     found = regions.select("region", "rep", "tokens", "main").repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_join_all, "a long, b long")
     found = components(found.unionByName(links))
-    known = reps.select("set_id", "rep").join(found, reps["rep"] == found["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("key").join(known, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    known = reps.select("set_id", "rep", "copies").join(found, reps["rep"] == found["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), "copies")
+    known = written(known, "known")
+    common = F.broadcast(known.where(F.col("copies") * COMMON > rows).drop("copies"))
+    rare = known.where(F.col("copies") * COMMON <= rows).drop("copies")
+    sets = sets.drop("key")
+    asked = sets.where("set_id is not null and doc_id is not null")  # others are linked with nothing
+    named = asked.join(common, "set_id").unionByName(asked.join(common, "set_id", "left_anti").join(rare, "set_id")).unionByName(sets.where("set_id is null or doc_id is null").withColumn("component_id", F.col("doc_id")))
+    return named.select("doc_id", "n_shingles", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
