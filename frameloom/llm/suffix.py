@@ -5,6 +5,8 @@
    an earlier run as a whole is a repeat as a whole, wherever it occurs, and a run alone with its minimizer holds no repeat.
 2. The other runs' bytes are fetched. In each bucket they are trimmed to windows whose rolling hash occurs twice, equal strings
    collapse to their earliest place, and the strings are dealt to shards.
+   A minimizer with very many runs (counted before) would be one task's: its runs are split into their windows, which meet by
+   their own hashes, each different window once a slice.
 3. Each shard gets its Burrows-Wheeler transform. The transforms are merged by refining their interleave: each round deals the
    interleave out by the symbol before each suffix, four bytes at a time, which orders it by four bytes more. Boundaries that
    appear on the way are the common prefixes; after 25 rounds what isn't parted shares 100 bytes: the repeated intervals.
@@ -40,6 +42,14 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return h if span == width else np.minimum(h[: len(h) - (width - span)], h[width - span :])
 
 
+def _powers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of powers before each byte and inverse powers: (sum at the end - sum at the start) * inverse at the start is a string's hash."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(n, _PRIME, np.uint64)), out=total[1:])
+    return total, np.cumprod(np.full(n, np.uint64(pow(int(_PRIME), -1, 2**64)), np.uint64))
+
+
 def runs(data: np.ndarray, places: np.ndarray):
     """Runs of windows: document, first window, number of windows, minimizer, hash of the run's bytes, and whether its
     minimizer occurs in it more than once, without which it can't repeat itself."""
@@ -66,11 +76,8 @@ def runs(data: np.ndarray, places: np.ndarray):
         size = np.minimum(np.repeat(edge + size, cut) - first, RUN)
         edge = first
     # hash of the bytes, from sums of powers over the whole slice
-    total = np.zeros(n + 1, np.uint64)
-    power = np.cumprod(np.full(n, _PRIME, np.uint64))
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    total, inverse = _powers(data)
     end = edge + size + WINDOW - 1
-    inverse = np.cumprod(np.full(n, np.uint64(pow(int(_PRIME), -1, 2**64)), np.uint64))
     content = mix((total[end] - total[edge]) * inverse[edge] + size.astype(np.uint64))
     key = least[edge]
     width = size + WINDOW - Q
@@ -81,6 +88,8 @@ def runs(data: np.ndarray, places: np.ndarray):
 
 
 RECORD = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<u2"), ("again", "?")])
+#: A record with its first byte in the slice.
+PLACED = np.dtype([*((f, RECORD[f].str) for f in RECORD.names), ("at", "<i8")])
 PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<u2")])
 
 
@@ -100,9 +109,13 @@ def _later(records: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray):
-    """One row per document: its removed runs of windows."""
-    order = np.argsort(doc, kind="stable")
+    """One row per document: its removed runs of windows, of which adjacent ones are one."""
+    order = np.lexsort((start, doc))
     doc, start, size = doc[order].astype(np.int64), start[order].astype(np.int64), size[order].astype(np.int64)
+    if len(doc):
+        edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])))
+        last = np.append(edge[1:], len(doc)) - 1
+        doc, start, size = doc[edge], start[edge], start[last] + size[last] - start[edge]
     at = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else []
     return [(int(doc[a]), np.stack([start[a:b], size[a:b]], 1).tobytes()) for a, b in zip(at, [*at[1:], len(doc)])]
 
@@ -115,22 +128,110 @@ _TAGGED = ([pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "doc",
 TAGGED = "bucket long, doc long, blob binary, text binary"
 
 
-def _records(buckets: int):
+#: Bytes of text a cell of minimizers on average, and runs (different ones of a slice) from which on a cell may be hot.
+CELL_BYTES, HOT_RUNS = 8 << 20, 1 << 12
+#: Counts that travel together.
+CELL_ROW = 1 << 12
+
+
+def _cell(key: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _counts(bits: int):
+    """Runs per cell of minimizers, each once a slice: rows of CELL_ROW counts, one at most per task and row."""
+
+    def go(batches):
+        total = np.zeros(1 << bits, np.uint32)
+        for part in slices(batches, column=0, limit=3 << 19):
+            _, _, _, key, content, _ = runs(*utf8(part.column(0)))
+            _, first = np.unique(mix(key + content * _PRIME), return_index=True)
+            cell, many = np.unique(_cell(key[first], bits), return_counts=True)
+            total[cell] += many.astype(np.uint32)
+        table = total.reshape(-1, CELL_ROW)
+        some = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([table[k].tobytes() for k in some], pa.binary())], ["row", "counts"])
+
+    return go
+
+
+def _over(limit: int):
+    """Rows of counts, sorted by row: of each a bit per cell, whether the sum is over the limit; rows without one are left out."""
+
+    def go(batches):
+        for row, held in _sums(batches):
+            if (held > limit).any():
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([np.packbits(held > limit).tobytes()], pa.binary())], ["row", "counts"])
+
+    return go
+
+
+def _sums(batches):
+    row, held = None, None
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if k != row:
+                if held is not None:
+                    yield row, held
+                row, held = k, np.zeros(CELL_ROW, np.int64)
+            held += np.frombuffer(counts, np.uint32)
+    if held is not None:
+        yield row, held
+
+
+def hot_cells(texts: DataFrame, n_bytes: int) -> tuple[int, np.ndarray]:
+    """Bits of a cell's number, and whether each cell of minimizers has more runs than four times the average (and HOT_RUNS).
+
+    All texts are counted. The driver gets a bit per cell, at most one per CELL_BYTES of text and 65,536 at least, so no text
+    or minimizer.
+    """
+    bits = max(16, (n_bytes // CELL_BYTES).bit_length())
+    limit = max(HOT_RUNS, 8 * n_bytes // (WINDOW - Q + 2) >> bits)  # a run begins at every 43rd byte of a text on average
+    counts = texts.select("text").mapInArrow(_counts(bits), "row long, counts binary")
+    over = counts.repartition(shuffle_parts(texts.sparkSession), "row").sortWithinPartitions("row").mapInArrow(_over(limit), "row long, counts binary")
+    hot = np.zeros((1 << bits) // CELL_ROW * (CELL_ROW // 8), np.uint8).reshape(-1, CELL_ROW // 8)
+    for r in over.collect():
+        hot[r["row"]] = np.frombuffer(r["counts"], np.uint8)
+    return bits, hot.ravel()
+
+
+def _split(r: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The windows of runs of hot minimizers, each a run with a key of its own, so that they part into as many groups as there are texts."""
+    total, inverse = _powers(data)
+    size = r["size"].astype(np.int64)
+    own, at = np.repeat(np.arange(len(r)), size), _expand(r["at"], size)
+    out = r[own]
+    out["start"] += at - out["at"]
+    out["at"] = at
+    out["content"] = mix((total[at + WINDOW] - total[at]) * inverse[at] + np.uint64(1))
+    out["key"] = mix(out["key"] + out["content"] * _PRIME)
+    out["size"], out["again"] = 1, False
+    return out
+
+
+def _records(buckets: int, bits: int, hot):
     """Per slice and bucket a row of records; runs that repeat one of the slice as a whole leave as spans
-    (negative bucket) at once."""
+    (negative bucket) at once. Runs of hot minimizers are split into their windows."""
 
     def go(batches):
+        known = np.unpackbits(hot.value).astype(bool)
         for part in slices(batches, limit=3 << 19):
             data, places = utf8(part.column(1))
             doc, start, size, key, content, again = runs(data, places)
-            r = np.zeros(len(doc), RECORD)
+            r = np.zeros(len(doc), PLACED)
             ids, base = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
-            for name, values in zip(RECORD.names, (key, content, ids[doc], start + base[doc], size, again)):
+            for name, values in zip(PLACED.names, (key, content, ids[doc], start + base[doc], size, again, start + places[doc])):
                 r[name] = values
             r, first = _first_of(r)
-            later = _later(r, first)
-            rows = [(-1 - d % buckets, d, b, None) for d, b in _spans(r["doc"][later], r["start"][later], r["size"][later])]
+            later = [r[_later(r, first)]]
             r = r[np.unique(first)]
+            split = known[_cell(r["key"], bits)]
+            if split.any():
+                windows, first = _first_of(_split(r[split], data))
+                later.append(windows[_later(windows, first)])
+                r = np.concatenate([r[~split], windows[np.unique(first)]])
+            later = np.concatenate(later)
+            rows = [(-1 - d % buckets, d, b, None) for d, b in _spans(later["doc"], later["start"], later["size"])]
             bucket = ((r["key"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((r["start"], r["doc"], bucket))
             r, bucket = r[order], bucket[order]
@@ -322,11 +423,7 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, sh
 
 def _twice(piece: np.ndarray, data: np.ndarray, start: np.ndarray):
     """Trim runs to windows whose hash occurs twice under one minimizer: key, doc, start, bytes' place and size of what is left."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    power = np.cumprod(np.full(n, _PRIME, np.uint64))
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    inverse = np.cumprod(np.full(n, np.uint64(pow(int(_PRIME), -1, 2**64)), np.uint64))
+    total, inverse = _powers(data)
     size = piece["size"].astype(np.int64)
     at = _expand(start, size)
     own = np.repeat(np.arange(len(piece)), size)
@@ -434,7 +531,8 @@ def removed(docs: DataFrame) -> DataFrame:
     parts = shuffle_parts(spark)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _base("text").alias("base"))
     n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    records = texts.mapInArrow(_records(max(4 * parts, -(-n_bytes // BUCKET_BYTES))), TAGGED)
+    bits, hot = hot_cells(texts, n_bytes)
+    records = texts.mapInArrow(_records(max(4 * parts, -(-n_bytes // BUCKET_BYTES)), bits, spark.sparkContext.broadcast(hot)), TAGGED)
     asked = records.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide, TAGGED)
     asked = written(asked, "requests")
     grouped = asked.where("bucket >= 0").groupBy("doc").agg(F.collect_list(F.struct("bucket", "blob")).alias("asked"))  # of one document

@@ -88,6 +88,21 @@ def test_suffix_dedup_of_one_id_with_several_texts(spark):
     assert kept.columns == extra.columns and kept.count() == len(rows) and suffix.without_repeats(extra.limit(0)).count() == 0
 
 
+def test_hot_minimizers_are_split_into_windows(spark, odd, monkeypatch):
+    line = "a line of nearly a hundred bytes that two thirds of all texts hold between words of their own"
+    rows = [(k, f"{prose(30)} {line} {prose(30)}" if k % 3 else prose(60)) for k in range(60)] + [(90, line * 9), (91, prose(9) + line * 4)]
+    rows += [(100 + k, t) for k, (_, t) in enumerate(rows[:9])] + [(i, t) for i, t, *_ in odd_docs() if i and i != 3 and t and len(t) > 99]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_suffix(rows)
+    for limit in (1 << 12, 12, 0):  # none, the line's, all
+        monkeypatch.setattr(suffix, "HOT_RUNS", limit)
+        bits, hot = suffix.hot_cells(docs, 1)
+        many = int(np.unpackbits(hot).sum())
+        assert (many == 0) if limit > 12 else (0 < many < 60) if limit else many > 100, (limit, many)
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix.dedup(docs).collect()} == want
+
+
 def test_merged_transforms_find_repeats_across_shards():
     strings = [bytes(rng.randrange(97, 100) for _ in range(rng.randint(100, 300))) for _ in range(40)]
     shared = bytes(rng.randrange(97, 123) for _ in range(130))
@@ -134,6 +149,15 @@ def test_jaccard_components_equal_brute_force(spark, limit, most):
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == brute_jaccard(rows)
 
 
+def test_jaccard_of_a_set_and_a_signature_that_many_share(spark, monkeypatch):
+    base, shared = prose(40), prose(60)
+    rows = [(k, base) for k in range(60)] + [(k, f"{shared} {prose(40)}") for k in range(60, 120)] + [(k, shared + " " + WORDS[k]) for k in range(120, 160)] + [(k, None if k % 2 else " ") for k in range(160, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for common in (10, 1):  # the base is met by broadcast, nothing is
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.similar_components(docs).collect()} == brute_jaccard(rows)
+
+
 def test_jaccard_odd_rows(odd, none):
     want = brute_jaccard([(r[0], r[1]) for r in odd_docs() if r[0] is not None])
     got = jaccard.similar_components(odd).collect()
