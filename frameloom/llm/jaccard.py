@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frameloom.llm.common import shuffle_parts, slices, written
+from frameloom.llm.common import shuffle_parts, slices, trim, written
 from frameloom.llm.grams import mix
 from frameloom.llm.graph import components
 from frameloom.llm.shingles import shingle_sets
@@ -69,7 +69,7 @@ def _sign(buckets: int):
     """
 
     def run(batches):
-        for part in slices(batches, limit=4 << 20):
+        for part in slices(batches):
             points = {_set_id(s): s for s in shingle_sets(part.column(1)) if len(s) > 3}
             if not points:
                 continue
@@ -81,7 +81,8 @@ def _sign(buckets: int):
             sig, own = sig[order], own[order]
             new = np.append(True, sig[1:] != sig[:-1])
             lead = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            root = _forest(np.unique(np.stack([lead[~new], own[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64), len(keys))
+            pairs = np.unique(lead[~new] * len(keys) + own[~new])
+            root = _forest(np.stack(np.divmod(pairs, len(keys)), 1), len(keys))
             joined = np.flatnonzero(root != np.arange(len(keys)))
             rows = [(-1 - int(keys[0]) % buckets, keys[joined].tobytes(), keys[root[joined]].tobytes(), b"")] if len(joined) else []
             sig, own = sig[new], own[new]
@@ -94,6 +95,7 @@ def _sign(buckets: int):
                 who, count = np.unique(own[a:b], return_counts=True)
                 rows.append((int(bucket[a]), keys[who].tobytes(), count.astype(np.uint32).tobytes(), five[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts", "sigs"])
+        trim()  # the worker lives on
 
     return run
 
@@ -101,7 +103,7 @@ def _sign(buckets: int):
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     """Root of each of n nodes."""
     parent = list(range(n))
-    for a, b in pairs.tolist():
+    for a, b in (pair for k in range(0, len(pairs), 1 << 14) for pair in pairs[k : k + (1 << 14)].tolist()):
         while parent[a] != a:
             parent[a] = a = parent[parent[a]]
         while parent[b] != b:
