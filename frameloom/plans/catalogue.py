@@ -406,11 +406,18 @@ _add("blf_parts", f"""WITH {_BASE}, {_ZERO}, l AS (SELECT row_idx, strlen({_TEXT
   SELECT (before // 100000 + 1)::INTEGER AS part, count(*) AS n, sum(size)::BIGINT AS bytes FROM p GROUP BY 1""", _converted)
 
 
+def _in_time(rows: DataFrame) -> DataFrame:
+    """rows with row_idx from 0 in the order of time, those of one time in the order of their old numbers."""
+    dealt = rows.repartitionByRange("us", "row_idx").sortWithinPartitions("us", "row_idx")
+    placed = dealt.select(F.lit("").alias("file"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("place"), *rows.columns)
+    return textlog.numbered(stage.staged(placed, "in-time")).select(*rows.columns)
+
+
 def _read_back(s: SparkSession, d: str) -> DataFrame:
     """Every frame as a line of text with a long message name, parsed as a log again. Frames stand in the order of time, as a line
     has no sign."""
     path = _folder(s, "back")
-    rows = base(s, d).withColumn("row_idx", F.col("us") + 1)
+    rows = _in_time(base(s, d))
     export.convert(rows.drop("us").withColumn("message_name", F.concat(F.lit("Message_with_a_name_of_over_forty_characters_"), "can_id")), path, "log", 200_000)
     return textlog.parse_log(s, path, "b").select("row_idx", "timestamp", "can_id", "direction", F.hex("data").alias("data_hex"))
 

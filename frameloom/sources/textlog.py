@@ -43,13 +43,19 @@ def _line_counts(raw: DataFrame) -> DataFrame:
     return _before(ids.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("id").alias("low")), "lines")
 
 
+def by_number(name: Column) -> Column:
+    """A name of which numbers sort by their value: NAME_part2 before NAME_part10."""
+    return F.regexp_replace(F.regexp_replace(name, "([0-9]+)", "0" * 20 + "$1"), "0*([0-9]{20,})", "$1")
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """rows (file, split, place and others) with row_idx: in the order of files, splits and places, which follow one another within a split.
 
-    A row per split is counted first, so that rows had better be staged.
+    Numbers in the names of files count by their value, as the parts of a converted log do. A row per split is counted first, so that
+    rows had better be staged.
     """
     per = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
+    before = F.coalesce(F.sum("n").over(Window.orderBy(by_number(F.col("file")), "file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
     base = per.select("file", "split", "first", before.alias("before"))
     return rows.join(sized(base), ["file", "split"]).withColumn("row_idx", F.col("before") + F.col("place") - F.col("first")).drop("place", "first", "before")
 

@@ -204,6 +204,20 @@ def test_text_conversion_reads_back(spark, tmp_path):
     assert sorted((r["can_id"], bytes(r["data"])) for r in back.collect()) == sorted((c, d) for _, c, _, d in ROWS)
 
 
+def test_parts_of_a_converted_log_are_read_in_the_order_of_their_numbers(spark, tmp_path):
+    from frameloom.sources.textlog import parse_log
+
+    rows = spark.range(400).selectExpr("'a' AS log_id", "id AS row_idx", "id + 1D AS timestamp", "256 + id AS can_id", "0 AS direction", "1 AS data_len", "X'05' AS data", "'1' AS channel", "'M' AS message_name")
+    export.convert(rows, str(tmp_path / "asc"), "log", 1000)
+    assert (tmp_path / "asc" / "log_part10.asc").exists()
+    assert [r["can_id"] for r in parse_log(spark, str(tmp_path / "asc"), "b").orderBy("row_idx").collect()] == list(range(256, 656))
+
+
+def test_frames_of_one_time_keep_their_order(spark):
+    rows = spark.range(300).selectExpr("299 - id AS row_idx", "(299 - id) % 3 AS us", "299 - id AS old").repartition(3)
+    assert [r["old"] for r in catalogue._in_time(rows).orderBy("row_idx").collect()] == [k for us in range(3) for k in range(us, 300, 3)]
+
+
 def test_blf_messages(spark, tmp_path):
     def obj(kind, ticks, body):
         size = 32 + len(body)
