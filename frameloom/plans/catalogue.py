@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,15 +381,32 @@ def _live(s: SparkSession, d: str) -> DataFrame:
 _add("live_changes", f"WITH {_BASE} SELECT row_idx, can_id, last_timestamp, changed FROM f", _live)
 
 
+#: Row numbers that an entry of live_changes_late comes late at most, those that its query waits for, and rows of a file.
+_LATE, _LATENESS, _LATE_FILE = 2_000_000, 3_000_000, 1_000_000
+
+
+def _late_entries(rows: DataFrame, path: str) -> None:
+    """rows as files in an order of their own, in which each is less than _LATE row numbers late; a file is the next batch's."""
+    placed = rows.withColumn("_at", F.col("row_idx") + F.pmod(F.xxhash64("row_idx"), F.lit(_LATE)))
+    placed.repartitionByRange(max(6, rows.count() // _LATE_FILE + 1), "_at").drop("_at").write.parquet(path)
+    # a stream takes files by their times, and tasks end in any order
+    fs, parts = stage._fs(rows.sparkSession, f"{path}/part-*")
+    found = sorted((x.getPath() for x in fs.globStatus(parts)), key=lambda p: int(p.getName().split("-")[1]))
+    for k, part in enumerate(found):
+        fs.setTimes(part, int(time.time() * 1000) - 1000 * (len(found) - k), -1)
+
+
 def _live_late(s: SparkSession, d: str) -> DataFrame:
     """Entries in an order of their own, in batches of a file; an end mark in the last file lets all go."""
     path = _folder(s, "late")
     rows = base(s, d).select(F.lit(LOG).alias("log_id"), "row_idx", "timestamp", "can_id", "data")
     end = rows.agg(F.lit(LOG).alias("log_id"), (F.max("row_idx") + 4_000_000).alias("row_idx"), F.lit(0.0).alias("timestamp"), F.lit(None).cast("long").alias("can_id"), F.lit(None).cast("binary").alias("data"))
-    rows.repartition(6, F.xxhash64("row_idx")).write.parquet(f"{path}/in")
+    _late_entries(rows, f"{path}/in")
     end.write.mode("append").parquet(f"{path}/in")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    ring.live_changes(stream, lateness=3_000_000).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    run = ring.live_changes(stream, lateness=_LATENESS).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    ring.none_dropped(run)
     return s.read.schema(ring._LIVE).parquet(f"{path}/out").select("row_idx", "can_id", "last_timestamp", "changed")
 
 

@@ -294,6 +294,12 @@ def live_changes(frames: DataFrame, lateness: int | None = None) -> DataFrame:
     return timed.groupBy("log_id", "can_id").applyInPandasWithState(patient, _LIVE, "timestamp double, data binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def none_dropped(query: StreamingQuery) -> None:
+    """An error if rows came later than live_changes waits for, in the batches that Spark still keeps the progress of."""
+    if n := sum(state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]):
+        raise ServiceError(f"{n} rows came later than the lateness and were dropped")
+
+
 class RecorderListener(StreamingQueryListener):
     """Tells a callback the state of one recording (a query of that name) and how many frames it has written."""
 

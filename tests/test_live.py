@@ -4,10 +4,13 @@ import os
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from frameloom.operators import frames
+from frameloom.plans import catalogue
+from frameloom.schemas import ServiceError
 from frameloom.streaming import ring
 
 NOW = {"availableNow": True}
@@ -79,3 +82,24 @@ def test_late_rows_get_what_the_batch_gives(spark, tmp_path):
     got = {r["row_idx"]: (r["last_timestamp"], r["changed"]) for r in spark.read.schema(ring._LIVE).parquet(str(tmp_path / "out")).collect()}
     want = frames.derive(spark.createDataFrame(rows, schema).withColumn("direction", F.lit(0)))
     assert got == {r["row_idx"]: (r["last_timestamp"], r["changed"]) for r in want.collect()}
+
+
+def test_late_entries_of_a_long_log_are_all_there(spark, tmp_path):
+    """Row numbers up to ten million, far beyond the lateness."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") * 10_000).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue._live_late(spark, str(tmp_path))
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(want.sql(catalogue.ORACLES["live_changes_late"]).fetchall())
+
+
+def test_rows_dropped_by_the_watermark_are_an_error(spark, tmp_path):
+    schema = "log_id string, row_idx long, timestamp double, can_id long, data binary"
+    for part, k in enumerate((500, 600, 1)):
+        spark.createDataFrame([("L", k, 1.0, 256, b"")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = ring.live_changes(stream, lateness=100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(**NOW).start()
+    q.awaitTermination()
+    with pytest.raises(ServiceError, match="1 rows came later"):
+        ring.none_dropped(q)
