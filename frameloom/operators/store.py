@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from frameloom.schemas import FRAME, ServiceError, new_id
 
 #: Rows of a file at most.
 FILE_ROWS = 1_000_000
+#: Files that are swapped at a time.
+SWAPS = 16
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "append") -> None:
@@ -60,8 +64,8 @@ def update_entries(spark: SparkSession, path: str, updates: DataFrame) -> bool:
     """Put updates in place; files that hold no row which changes stay as they are. No update: False.
 
     What changes is worked out from the identifiers that are touched, and staged. Each file with such a row (FILE_ROWS rows at most)
-    is written anew by one task, hidden in its folder; a journal then says which files take whose place, and they are swapped one
-    by one. recover() finishes a swap that a crash has cut short.
+    is written anew by one task, in a folder beside the table; a journal then says which files take whose place, and they are
+    swapped, with three calls of the file system a file. recover() finishes a swap that a crash has cut short.
     """
     updates = staged(updates.withColumn("log_id", F.col("log_id").cast("string")), "updates")
     if not updates.limit(1).count():
@@ -79,33 +83,45 @@ def update_entries(spark: SparkSession, path: str, updates: DataFrame) -> bool:
     put = [c for c in whole.columns if c not in ("log_id", "row_idx")]
     joined = old.join(deltas.select("log_id", "row_idx", F.struct(*put).alias("_new")), ["log_id", "row_idx"], "left")
     rows = joined.select("_number", "row_idx", *(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in put))
-    rows.select("_number", *(c for c in whole.columns if c != "log_id")).repartition("_number").sortWithinPartitions("_number", "row_idx").write.partitionBy("_number").parquet(aside)
-    swaps = []
-    for number, file in enumerate(files):
-        (made,) = _fs(spark, aside)[0].globStatus(_fs(spark, f"{aside}/_number={number}/part-*")[1])
-        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(file))
-        hidden = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".new-part-{number:05d}-{new_id()}.parquet")
-        if not _fs(spark, aside)[0].rename(made.getPath(), hidden):
-            raise ServiceError(f"{made.getPath()} can't be renamed to {hidden}")
-        swaps.append(f"{place.toUri()}\t{hidden.toUri()}")
+    put_in = rows.select("_number", *(c for c in whole.columns if c != "log_id")).repartition("_number").sortWithinPartitions("_number", "row_idx")
+    # version 2: tasks move what they have written; nobody looks at this folder before the job has ended
+    put_in.write.partitionBy("_number").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(aside)
+    fs, parts = _fs(spark, f"{aside}/_number=*/part-*")
+    made = sorted((x.getPath().toUri().toString() for x in fs.globStatus(parts)), key=_number)
+    if [_number(x) for x in made] != list(range(len(files))):
+        raise ServiceError(f"{aside} lacks some of {len(files)} files")
+    swaps = [f"{place}\t{new}\t{place.rsplit('/', 1)[0]}/part-{k:05d}-{new_id()}.parquet" for k, (place, new) in enumerate(zip(files, made))]
     journal = f"{path.rstrip('/')}._journal-{new_id()}"
     _write_text(spark, f"{journal}.part", "\n".join(swaps))
     _rename(spark, f"{journal}.part", journal)
-    _delete(spark, aside)
     _swap(spark, journal)
     return True
 
 
+def _number(made: str) -> int:
+    return int(made.rsplit("/", 2)[1].rsplit("=", 1)[1])
+
+
 def _swap(spark: SparkSession, journal: str) -> None:
-    """Do what a journal says, from wherever it was left."""
+    """Do what a journal says, from wherever it was left: a line has a file, the one that takes its place and the name it gets (without
+    it, the name of a hidden file behind its dot and mark). Files are swapped side by side, as a call of a file system waits."""
     fs, _ = _fs(spark, journal)
-    new = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(uri))
-    for line in _read_text(spark, journal).split("\n"):
-        place, hidden = map(new, line.split("\t"))
-        if fs.exists(hidden):
-            fs.delete(place, False)
-            if not fs.rename(hidden, new(f"{hidden.getParent().toUri()}/{hidden.getName()[5:]}")):
-                raise ServiceError(f"{hidden} can't be made visible")
+    uri, of = spark._jvm.java.net.URI, spark._jvm.org.apache.hadoop.fs.Path
+
+    def swap(line: str) -> str | None:
+        place, new, *name = line.split("\t")
+        source = of(uri.create(new))
+        if fs.exists(source):
+            folder, hidden = new.rsplit("/", 1)
+            fs.delete(of(uri.create(place)), False)
+            if not fs.rename(source, of(uri.create(name[0] if name else f"{folder}/{hidden[5:]}"))):
+                raise ServiceError(f"{new} can't be made visible")
+        return new.rsplit("/", 2)[0] if name else None
+
+    with ThreadPoolExecutor(SWAPS) as pool:
+        asides = {aside for aside in pool.map(swap, _read_text(spark, journal).split("\n")) if aside}
+    for aside in asides:
+        fs.delete(of(uri.create(aside)), True)
     _delete(spark, journal)
 
 

@@ -329,7 +329,7 @@ def _updated_in_place(s: SparkSession, d: str) -> DataFrame:
     1,000 rows, of which those without a change stay."""
     path = _folder(s, "in-place")
     rows = full(s, d)
-    rows.repartitionByRange(4, "log_id", "row_idx").sortWithinPartitions("log_id", "row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", 1000).parquet(path)
+    rows.repartitionByRange("log_id", "row_idx").sortWithinPartitions("log_id", "row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", 1000).option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
     new = base(s, d).where("row_idx % 997 = 0").selectExpr("log_id", "row_idx", "unhex('FFFF') AS data", "CAST(NULL AS STRING) AS channel", "IF(row_idx % 2 = 0, 256L + row_idx % 150, can_id) AS can_id")
     store.update_entries(s, path, new)
     return _show(store.read_frames(s, path))

@@ -306,6 +306,23 @@ def test_an_update_leaves_other_files_alone(spark, tmp_path):
     assert got == {20: (b"\x06", 0), 720: (b"\x05", 1), 1420: (b"\x05", 0)} and store.read_frames(spark, path).count() == 4000
 
 
+def test_an_update_asks_the_file_system_a_few_times_a_file(spark, tmp_path, monkeypatch):
+    """Folders aren't looked up file by file; a crash within the swap is finished, and nothing is left beside the table."""
+    path, calls = str(tmp_path / "t"), []
+    rows = spark.range(40).selectExpr("'L' AS log_id", "id AS row_idx", "id + 1 AS line_number", "id / 4D AS timestamp", "id AS can_id", "0 AS direction", "1 AS data_len", "X'05' AS data", "'1' AS channel")
+    frames.derive(rows).repartitionByRange(1, "row_idx").sortWithinPartitions("row_idx").write.partitionBy("log_id").option("maxRecordsPerFile", 2).parquet(path)
+    asked, swap = store._fs, store._swap
+    monkeypatch.setattr(store, "_fs", lambda *a: calls.append(a) or asked(*a))
+    monkeypatch.setattr(store, "_swap", lambda s, journal: stage._write_text(s, journal, stage._read_text(s, journal)))
+    assert store.update_entries(spark, path, rows.selectExpr("log_id", "row_idx", "X'06' AS data")) and len(calls) < 20
+    first = stage._read_text(spark, glob.glob(f"{path}._journal-*")[0]).split("\n")[0].split("\t")
+    os.remove("/" + first[0].split(":", 1)[1].lstrip("/"))  # a crash behind the deletion of the first old file
+    monkeypatch.setattr(store, "_swap", swap)
+    assert store.recover(spark, path) == 1 and [f for f in os.listdir(tmp_path) if not f.endswith(".crc")] == ["t"]
+    got = store.read_frames(spark, path)
+    assert len(glob.glob(f"{path}/log_id=L/*.parquet")) == 20 and sorted((r["row_idx"], bytes(r["data"])) for r in got.collect()) == [(k, b"\x06") for k in range(40)]
+
+
 @pytest.mark.parametrize(
     "q",
     [LogQuery(), LogQuery(can_ids=(418, 9000)), LogQuery(channels=("1",), directions=(0,)), LogQuery(changed_only=True), LogQuery(can_ids=(418,), changed_only=True, time_range=(0.2, 0.35)), LogQuery(time_range=(0.2, 0.5)), LogQuery(can_ids=(7,)), LogQuery(directions=("tx",)), LogQuery(channels=("2",), can_ids=(418,))],
