@@ -159,7 +159,8 @@ _SIGNALS = f"""{_BASE}, p AS (SELECT *, v // 256 AS b0, v % 256 AS b1 FROM f),
 
 
 def decoded(s: SparkSession, d: str) -> DataFrame:
-    return D.decode(full(s, d), signals(s, d))
+    """Samples of the frames, whose derived columns take no part."""
+    return D.decode(base(s, d), signals(s, d))
 
 
 def _decoded_query(name: str, ids: str) -> None:
@@ -344,7 +345,7 @@ _add("update_in_place", f"""WITH {_BASE}, u AS (SELECT * REPLACE (CASE WHEN row_
 def _decoded_store(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "decoded")
     store.write_decoded(decoded(s, d), path, LOG, "d")
-    store.write_decoded(decoded(s, d).limit(1), path, LOG, "gone")
+    store.write_decoded(s.read.parquet(f"{path}/dbc_id=d/log_id={LOG}").limit(1), path, LOG, "gone")  # of what is there, not decoded again
     gone, there = store.remove_decoded(s, path, dbc_id="gone"), store.is_decoded(s, path, LOG, "d") and not store.is_decoded(s, path, LOG, "gone")
     return s.read.parquet(f"{path}/dbc_id=d/log_id={LOG}").groupBy("signal_name").agg(F.count("*").alias("n"), F.sum("raw_value").alias("total"), F.lit(gone).alias("gone"), F.lit(int(there)).alias("there"))
 

@@ -350,6 +350,16 @@ def test_last_loaded_message_and_single_frames(spark):
     assert sorted((r["signal_name"], r["raw_value"]) for r in got) == [("One", 9), ("Sw", 1), ("Sw", 2), ("Sw", 3), ("Two", 8)]
 
 
+def test_decode_store_decodes_once_and_moves_no_frames_before(spark, monkeypatch):
+    plans, decoded = [], catalogue.decoded
+    monkeypatch.setattr(catalogue, "decoded", lambda s, d: plans.append(decoded(s, d)) or plans[-1])
+    got = {tuple(r) for r in catalogue.QUERIES["decode_store"](spark, SF).collect()}
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    assert got == set(want.sql(catalogue.ORACLES["decode_store"]).fetchall())
+    assert len(plans) == 1 and plans[0]._jdf.queryExecution().optimizedPlan().toString().count("Window [lag(") == 2  # samples and what chunks carry over
+
+
 def test_store_copies_once(spark, tmp_path):
     store.write_frames(_frames(spark), str(tmp_path / "a"))
     for _ in range(2):
