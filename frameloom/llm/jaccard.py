@@ -167,14 +167,44 @@ class Points:
         self.mark[own] = 0
         return out
 
+    def clusters(self, percent: int) -> list[np.ndarray]:
+        """Points parted so that links stay within a part; points without a possible partner are left out.
+
+        Two linked sets share one of the rarest elements of each: those of a set but ceil(percent / 100 of its size) - 1. So what
+        very many points share (a common passage) doesn't hold them together if it makes less than percent of their sets.
+        """
+        n, known, count = len(self.size), len(self.mark), np.bincount(self.element)
+        rank, single = np.empty(known, np.int64), int((count == 1).sum())
+        rank[np.argsort(count, kind="stable")] = np.arange(known)
+        rare, bounds = [], np.unique(np.searchsorted(self.start, np.arange(0, self.start[-1] + 1, 1 << 18)))
+        for a, b in zip(bounds, [*bounds[1:], n]):
+            size = self.size[a:b]
+            begin = np.cumsum(size) - size
+            key = np.sort(np.repeat(np.arange(a, b) * known, size) + rank[self.element[self.start[a] : self.start[a] + size.sum()]])
+            first = np.arange(len(key)) - np.repeat(begin, size) <= np.repeat(size + -(size * percent) // 100, size)
+            rare.append(key[first & (key % known >= single)])  # what only one set has can't be shared
+        own, element = np.divmod(np.concatenate(rare), known)
+        order = np.argsort(element, kind="stable")
+        own, element = own[order], element[order]
+        meet = np.flatnonzero(element[1:] == element[:-1])
+        root = _forest(np.stack(np.divmod(np.unique(own[meet] * n + own[meet + 1]), n), 1), n)
+        order = np.argsort(root, kind="stable")
+        return [c for c in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(c) > 1]
+
 
 def join_region(sets: list[np.ndarray], percent: int = PERCENT, main: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly what all links of the points connect; sets are not empty. Points of main are connected already."""
-    points, n, links = Points(sets), len(sets), []
-    label, alive, radius = np.arange(n), np.arange(n), 1 - percent / 100
+    points, label = Points(sets), np.arange(len(sets))
     if main is not None and main.any():
         label[main] = np.flatnonzero(main)[0]
-        alive = np.concatenate([alive[~main], alive[main]])
+    return [link for cluster in points.clusters(percent) for link in _join_cluster(points, cluster, label, percent)]
+
+
+def _join_cluster(points: Points, cluster: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """join_region for the points of a cluster; label: what is connected already."""
+    links, radius = [], 1 - percent / 100
+    at, count = np.unique(label[cluster], return_inverse=True, return_counts=True)[1:]
+    alive = cluster[np.argsort(count[at], kind="stable")]  # what is connected comes last
     while len(alive) > 1 and (label[alive] != label[alive[0]]).any():
         p = int(alive[0])
         size = points.size[alive]
@@ -185,7 +215,7 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT, main: np.ndarray
         group, at = np.unique(label[np.append(p, near)], return_index=True)
         links += [(p, int(near[k - 1])) for k, g in zip(at, group) if k and g != label[p]]  # one per component that is met
         if len(group) > 1:
-            label[np.isin(label, group)] = group[0]
+            label[cluster[np.isin(label[cluster], group)]] = group[0]
         distance = 1 - common / union
         keep = alive != p
         alive, distance = alive[keep], distance[keep]

@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import ann, bpe, decontaminate, jaccard, language, licenses, quality, suffix, toxicity, warc
-from frameloom.llm.common import fold, labelled_sample, utf8
+from frameloom.llm import ann, bpe, decontaminate, graph, jaccard, language, licenses, quality, suffix, toxicity, warc
+from frameloom.llm.common import fold, labelled_sample, utf8, written
 from frameloom.llm.graph import components
 from frameloom.llm.queries import ORACLES, QUERIES
 from frameloom.llm.shingles import shingle_sets
@@ -158,6 +158,32 @@ def test_jaccard_of_a_set_and_a_signature_that_many_share(spark, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.similar_components(docs).collect()} == brute_jaccard(rows)
 
 
+def test_jaccard_region_of_many_that_share_a_passage(monkeypatch):
+    # 400 sets that share 60 of 100 elements and aren't linked, 40 that are linked with one of them, 100 near copies
+    own = random.Random(6)
+
+    def fresh(n):
+        return [own.randrange(2**63) for _ in range(n)]
+
+    shared, base = fresh(60), fresh(100)
+    sets = [{*shared, *fresh(40)} for _ in range(400)]
+    sets += [{*sorted(sets[9 * k])[5:], *fresh(3)} for k in range(40)] + [{*base[k % 9 :], *fresh(2)} for k in range(100)]
+    order = own.sample(range(len(sets)), len(sets))
+    sets = [sets[k] for k in order]
+    calls, common = [], jaccard.Points.common
+    monkeypatch.setattr(jaccard.Points, "common", lambda self, p, alive: calls.append(len(alive)) or common(self, p, alive))
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    main = np.array([k >= 460 for k in order])
+    for joined in (None, main):
+        calls.clear()
+        got = jaccard.join_region([np.array(sorted(s), np.uint64) for s in sets], main=joined)
+        first = np.flatnonzero(main)[0]
+        given = [] if joined is None else [(int(first), int(k)) for k in np.flatnonzero(main)]
+        assert set(got) <= {*want, *((b, a) for a, b in want)}
+        assert (jaccard._forest(np.array(got + given), len(sets)) == jaccard._forest(np.array(want + given), len(sets))).all()
+        assert sum(calls) < 10 * len(sets)  # pivots for all pairs of the 400 would look at 80,000
+
+
 def test_jaccard_odd_rows(odd, none):
     want = brute_jaccard([(r[0], r[1]) for r in odd_docs() if r[0] is not None])
     got = jaccard.similar_components(odd).collect()
@@ -174,6 +200,24 @@ def test_components_of_a_long_path_and_a_star(spark):
         assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
 
 
+def test_a_round_of_components_costs_two_shuffles_and_few_files(spark, monkeypatch):
+    own, tables, parts = random.Random(6), [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(graph, "written", lambda df, tag: tables.append((df._jdf.queryExecution().executedPlan().toString(), written(df, tag))) or tables[-1][1])
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(own.randrange(500), own.randrange(500)) for _ in range(500)]
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges * 2, "a long, b long")).collect()}
+        files = [t.select("u", F.input_file_name().alias("f")).agg(F.countDistinct("f")).first()[0] for _, t in tables[1:]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    root = jaccard._forest(np.array(edges), 500)
+    assert got == {k: root[k] for k in {k for e in edges if e[0] != e[1] for k in e}}
+    assert len(tables) > 2 and all(plan.count("Exchange ") <= 2 for plan, _ in tables[1:])
+    assert max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_bpe_equals_the_library_and_round_trips(spark, odd, none):
     import public_tokenizers
     import tiktoken
