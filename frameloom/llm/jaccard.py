@@ -7,8 +7,10 @@
    to every region whose pivot isn't farther than the nearest by more than 0.4, unless linked to that pivot itself.
 3. Within a region the join is done by pivots too: distances to a pivot give its links; the triangle inequality leaves those points
    to look at whose distances to it differ by 0.2 at most; a point all of whose such neighbours are already in its component is done.
-4. A region that doesn't shrink is dense: its pivots link most of its points. If it is too large for a task, only the points
-   outside its main component are compared with all others, so that its copies grow in proportion to it.
+   Once pivots tell little, the points left are compared by bounds of their intersections, from the rarer elements they share.
+4. A component too large for a task is first parted by its sets' rarest elements, of which linked sets share one. A region that
+   doesn't shrink then is dense: its pivots link most of its points. If it is too large for a task, the points outside its main
+   component are compared with all others, in pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,11 +32,15 @@ from frameloom.llm.shingles import shingle_sets
 PERCENT = 80
 RADIUS = 1 - PERCENT / 100
 #: Shingles of a region from which on it is split, those that one task joins at most if it doesn't shrink, and pivots of a split.
-REGION_SHINGLES, TASK_SHINGLES, PIVOTS = 1 << 14, 1 << 22, 16
+REGION_SHINGLES, TASK_SHINGLES, PIVOTS = 1 << 14, 1 << 20, 16
 #: Splits in a row, after which what is still too large counts as dense.
 LEVELS = 4
 #: A region shrinks if none of its parts has more than this share of it, and all of them together not twice of it.
 SHRUNK = 0.6
+#: Pivots in a row that leave more than IDLE_SHARE of a cluster to look at, after which bounds are used; fewer than FEW points don't need them.
+IDLE, IDLE_SHARE, FEW = 4, 7 / 8, 64
+#: Elements that more than this share of a cluster has are common; what rarer ones two sets share is counted.
+CORE = 1 / 16
 #: Sets of up to SMALL elements use pairs of neighbours, sets of more than LARGE triples, those between both.
 LARGE, SMALL = 32, 40
 _ID = np.uint64(0x9E3779B97F4A7C15)
@@ -202,11 +209,12 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT, main: np.ndarray
 
 def _join_cluster(points: Points, cluster: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """join_region for the points of a cluster; label: what is connected already."""
-    links, radius = [], 1 - percent / 100
-    at, count = np.unique(label[cluster], return_inverse=True, return_counts=True)[1:]
-    alive = cluster[np.argsort(count[at], kind="stable")]  # what is connected comes last
+    links, radius, idle = [], 1 - percent / 100, 0
+    alive = _connected_last(cluster, label)
     while len(alive) > 1 and (label[alive] != label[alive[0]]).any():
-        p = int(alive[0])
+        if idle >= IDLE and len(alive) > FEW:
+            return links + _join_bounded(points, alive, label, percent)
+        before, p = len(alive), int(alive[0])
         size = points.size[alive]
         lawful = (100 * np.minimum(size, points.size[p]) >= percent * np.maximum(size, points.size[p]))
         common = points.common(p, alive)
@@ -229,6 +237,59 @@ def _join_cluster(points: Points, cluster: np.ndarray, label: np.ndarray, percen
         key = np.sort(own * 4.0 + distance)
         same = np.searchsorted(key, own * 4.0 + np.minimum(high, 2.0), "right") - np.searchsorted(key, own * 4.0 + np.maximum(low, -1.0), "left")
         alive = alive[every > same]
+        idle = idle + 1 if len(alive) > IDLE_SHARE * before else 0
+    return links
+
+
+def _connected_last(some: np.ndarray, label: np.ndarray) -> np.ndarray:
+    at, count = np.unique(label[some], return_inverse=True, return_counts=True)[1:]
+    return some[np.argsort(count[at], kind="stable")]
+
+
+def _join_bounded(points: Points, alive: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """_join_cluster for points that pivots don't prune: a point meets only those with which it may share enough.
+
+    The rarer elements that two sets share are counted by postings; of common ones they share at most what the one with fewer has.
+    So a point costs a few steps a point and its postings, and not all elements of all sets.
+    """
+    links, n, size = [], len(alive), points.size[alive]
+    begin = np.cumsum(size) - size
+    element = points.element[np.arange(int(size.sum())) + np.repeat(points.start[alive] - begin, size)]
+    own = np.repeat(np.arange(n), size)
+    count = np.bincount(element, minlength=len(points.mark))
+    common = count[element] > max(1, n * CORE)
+    core = np.bincount(own[common], minlength=n)
+    rare = ~common & (count[element] > 1)
+    own, element = own[rare], element[rare]
+    count = np.bincount(element, minlength=len(points.mark))
+    first, posting = np.cumsum(count) - count, own[np.argsort(element, kind="stable")]
+    at = np.searchsorted(own, np.arange(n + 1))
+    leads = np.argsort(size - core, kind="stable")[:IDLE]  # next to what all share: these connect most
+    left, known = np.ones(n, bool), label[alive]
+
+    def meet(k: int) -> None:
+        nonlocal known
+        left[k] = False
+        mine = element[at[k] : at[k + 1]]
+        many = count[mine]
+        shared = np.bincount(posting[np.arange(int(many.sum())) + np.repeat(first[mine] - (np.cumsum(many) - many), many)], minlength=n)
+        other = np.flatnonzero(left & (known != known[k]) & ((shared + np.minimum(core, core[k])) * (100 + percent) >= percent * (size + size[k])))
+        if not len(other):
+            return
+        both = points.common(int(alive[k]), alive[other])
+        other = other[100 * both >= percent * (size[other] + size[k] - both)]
+        group, one = np.unique(known[other], return_index=True)
+        links.extend((int(alive[k]), int(alive[j])) for j in other[one])  # one per component that is met
+        if len(group):
+            known = np.where(np.isin(known, group), known[k], known)
+
+    for k in leads:
+        meet(int(k))
+    for k in _connected_last(np.flatnonzero(left), known):
+        if not left.any() or (known[left] == known[np.argmax(left)]).all():
+            break
+        meet(int(k))
+    label[alive] = known
     return links
 
 
@@ -300,46 +361,64 @@ def _hashed_first(points: DataFrame, seed: int) -> DataFrame:
     return points.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")))
 
 
-def _dense(points: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks (region, rep, tokens, main) of regions that pivots don't part, and links found on the way.
-
-    The pairs within a region's main component need no look. Its other points are few where pivots have linked most; until they
-    fit one block, some of them become pivots for the whole region, after which all their links are known. Then every block of
-    main points meets all of them.
+def _elements(batches):
+    for batch in batches:
+        region, rep = (batch.column(k).to_numpy() for k in range(2))
+        size = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // 8
+        places = np.append(0, np.cumsum(size))
+        sets = [np.frombuffer(cell.as_buffer(), np.int64) for cell in batch.column(2)]
+        bounds = np.unique(np.searchsorted(places, np.arange(0, places[-1] + ELEMENT_ROWS, ELEMENT_ROWS), "right") - 1)
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[i:j], size[i:j])) for x in (region, rep, size)] + [pa.array(np.concatenate(sets[i:j]))], ["region", "rep", "size", "element"])
+
+
+#: Elements that travel as a batch, about.
+ELEMENT_ROWS = 1 << 16
+
+
+def _by_rarest(points: DataFrame) -> DataFrame:
+    """Regions parted so that links stay within a part, as Points.clusters does; points without a possible partner are left out."""
+    each = points.mapInArrow(_elements, "region long, rep long, size long, element long")
+    known = each.groupBy("region", "element").agg(F.count("*").alias("n")).where("n > 1")  # what only one set has can't be shared
+    mine = each.join(known, ["region", "element"]).groupBy("region", "rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("elements"))
+    single = F.col("size") - F.size("elements")
+    asked = F.greatest(F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - single, F.lit(0)).cast("int")
+    rare = mine.select("region", "rep", F.explode(F.slice("elements", 1, asked)["element"]).alias("element"))
+    least = F.min("rep").over(Window.partitionBy("region", "element"))
+    found = components(rare.select(F.col("rep").alias("a"), least.alias("b")))
+    return points.join(found, points["rep"] == found["node"]).select(F.xxhash64("region", "component", F.lit("rarest")).alias("region"), "rep", "tokens")
+
+
+def _dense(points: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    """Blocks (region, rep, tokens, main) of about limit shingles of regions that pivots don't part.
+
+    The pairs within a region's main component need no look. Its other points, few where pivots have linked most, and the main ones
+    are dealt to chunks of half a block; every two chunks of which one isn't main are a block, so that the largest region is many
+    tasks' and no task holds more than a block.
     """
-    ready, done = None, points.select("region", "rep").limit(0)
-    while True:
-        found = components(links)
-        named = points.join(found, points["rep"] == found["node"], "left").select("region", "rep", "tokens", F.coalesce("component", "rep").alias("label"))
-        largest = named.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-        named = written(named.join(largest, "region").withColumn("main", F.col("label") == F.col("largest")).join(done.withColumn("known", F.lit(True)), ["region", "rep"], "left"), "named")
-        rest = named.where("not main and known is null")
-        sized = _size(named, "region").select("region", "total").join(_size(rest, "region").select("region", F.col("total").alias("rest")), "region", "left")
-        sized = written(sized, "sized")
-        over = sized.where(F.col("rest") > limit)
-        small = named.join(sized.where(F.col("rest") <= limit), "region")  # nothing is left to do where all are main
-        blocks = F.ceil(F.col("total") / limit).cast("long")
-        asked = small.where("not main and known is null").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        other = small.where("main or known").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks))
-        # a known point has no link left to find, but for those within the main component it may stand beside others
-        out = asked.unionByName(other).select(F.xxhash64("region", "block", F.lit("dense")).alias("region"), "rep", "tokens", "main")
-        ready = out if ready is None else ready.unionByName(out)
-        if not over.limit(1).count():
-            return ready, links
-        points = written(named.join(over.select("region"), "region", "left_semi").select("region", "rep", "tokens"), "denser")
-        first = _hashed_first(rest.join(over.select("region"), "region", "left_semi").select("region", "rep", "tokens"), 3)
-        chosen = written(first.withColumn("sum", F.sum(F.octet_length("tokens") / 8).over(Window.partitionBy("region").orderBy("k"))).where((F.col("sum") <= limit) | (F.col("k") == 1)).select("region", "rep", "tokens"), "chosen")
-        near = _near_pivots(points, chosen, over, limit).where("part < 0")
-        links = written(links.unionByName(near.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).distinct(), "links")
-        done = written(done.unionByName(chosen.select("region", "rep")), "done")
+    found = components(links)
+    named = points.join(found, points["rep"] == found["node"], "left").select("region", "rep", "tokens", F.coalesce("component", "rep").alias("label"))
+    largest = named.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    named = written(named.join(largest, "region").withColumn("main", F.col("label") == F.col("largest")).drop("label", "largest"), "named")
+    total, rest = (F.sum(F.when(x, F.octet_length("tokens") / 8).otherwise(0)) for x in (F.col("main"), ~F.col("main")))
+    chunks = lambda n: F.ceil(2 * n / limit).cast("long")
+    dealt = named.join(named.groupBy("region").agg(chunks(rest).alias("asked"), chunks(total).alias("others")), "region")
+    dealt = dealt.withColumn("own", F.when(F.col("main"), F.col("asked") + F.pmod(F.xxhash64("rep", F.lit(7)), F.col("others"))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("asked"))))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("main"), F.col("asked")).otherwise(F.col("asked") + F.col("others")) - 1)
+    out = dealt.where("asked > 0").withColumn("met", F.explode(meets))  # nothing is left to do where all are main
+    return out.select(F.xxhash64("region", F.least("own", "met"), F.greatest("own", "met"), F.lit("dense")).alias("region"), "rep", "tokens", "main")
 
 
 def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Split regions (region, rep, tokens) until each has at most `limit` shingles: those regions, and links found on the way.
 
-    A region that hardly shrinks is left as it is up to `most` shingles, and else goes to _dense.
+    A region of more than `most` shingles is parted by its rarest elements before. One that hardly shrinks is left as it is up to
+    `most` shingles, and else goes to _dense.
     """
     spark = points.sparkSession
+    huge = written(_size(points, "region").where(F.col("total") > most).select("region"), "huge")
+    if huge.limit(1).count():
+        points = written(points.join(huge, "region", "left_anti").unionByName(_by_rarest(written(points.join(huge, "region", "left_semi"), "over"))), "parted")
     ready, level = None, 0
     links = spark.createDataFrame([], "a long, b long")
     while True:
@@ -359,8 +438,8 @@ def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataF
         same = written(grown.where((F.col("now") > limit) & still).select("region", "total"), "same")
         ready = ready.unionByName(points.join(same.where(F.col("total") <= most).select("region"), "region", "left_semi").withColumn("main", F.lit(False)))
         if same.where(F.col("total") > most).limit(1).count():
-            blocks, links = _dense(points.join(same.where(F.col("total") > most).select("region"), "region", "left_semi"), written(links.distinct(), "links"), most)
-            ready = ready.unionByName(blocks)
+            links = written(links.distinct(), "links")
+            ready = ready.unionByName(_dense(points.join(same.where(F.col("total") > most).select("region"), "region", "left_semi"), links, most))
         points = written(split.join(same, "region", "left_anti").select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "rep", "tokens"), "regions")
         level += 1
 

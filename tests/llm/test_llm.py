@@ -184,6 +184,48 @@ def test_jaccard_region_of_many_that_share_a_passage(monkeypatch):
         assert sum(calls) < 10 * len(sets)  # pivots for all pairs of the 400 would look at 80,000
 
 
+def test_jaccard_cloud_of_copies_too_far_from_each_other(monkeypatch):
+    # 300 sets linked with a base, 300 that are far from it by elements that others have too, some of which are linked in pairs
+    own = random.Random(7)
+    base, pool = ([own.randrange(2**63) for _ in range(n)] for n in (100, 2000))
+
+    def copy(n):
+        return {*own.sample(base, 100 - n), *own.sample(pool, n)}
+
+    sets = [copy(own.randrange(9)) for _ in range(300)] + [copy(14 + own.randrange(8)) for _ in range(260)]
+    sets += [{*sorted(s)[own.randrange(4) :]} for s in sets[-40:]]
+    sets = own.sample(sets, len(sets))
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    calls, common = [], jaccard.Points.common
+    monkeypatch.setattr(jaccard.Points, "common", lambda self, p, alive: calls.append(len(alive)) or common(self, p, alive))
+    got = jaccard.join_region([np.array(sorted(s), np.uint64) for s in sets])
+    assert set(got) <= {*want, *((b, a) for a, b in want)}
+    assert (jaccard._forest(np.array(got), len(sets)) == jaccard._forest(np.array(want), len(sets))).all()
+    assert sum(calls) < 30 * len(sets)  # pivots for all of the 300 would look at 130,000
+
+
+def test_jaccard_regions_over_a_task_are_parted_and_dealt(spark, monkeypatch):
+    passage, seed, rows = prose(60), prose(60).split(), []
+    for k in range(120):  # a passage in common, and copies of which half are too far from most
+        w = list(seed)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows += [(2 * k, f"{passage} {prose(40)}"), (2 * k + 1, " ".join(w))]
+    sizes, voronoi = [], jaccard._voronoi
+
+    def seen(points, limit, most):
+        regions, links = voronoi(points, limit, most)
+        sizes.append(points.selectExpr("sum(octet_length(tokens) / 8)").first()[0])
+        sizes.append([r[0] for r in regions.groupBy("region").agg(F.sum(F.octet_length("tokens") / 8)).select(F.col("sum((octet_length(tokens) / 8))")).collect()])
+        return regions, links
+
+    monkeypatch.setattr(jaccard, "_voronoi", seen)
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 400, 1500)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == brute_jaccard(rows)
+    # what shares the passage only is in no region; no block is much over a task's size
+    assert sizes[0] > 15_000 and max(sizes[1]) < 3000 and sum(sizes[1]) < 3 * sizes[0]
+
+
 def test_jaccard_odd_rows(odd, none):
     want = brute_jaccard([(r[0], r[1]) for r in odd_docs() if r[0] is not None])
     got = jaccard.similar_components(odd).collect()
