@@ -445,7 +445,7 @@ def _voronoi(points: DataFrame, limit: int, most: int) -> tuple[DataFrame, DataF
 
 
 #: Shingles of the documents a bucket of signatures on average: a task holds one bucket at a time, whatever the number of partitions.
-BUCKET_SHINGLES = 16 << 20
+BUCKET_SHINGLES = 4 << 20
 #: Sets of more than 1 / COMMON of all rows, of which there are fewer than COMMON, find their component by broadcast.
 COMMON = 1000
 

@@ -29,6 +29,8 @@ from frameloom.llm.grams import mix
 WINDOW, Q, SYMBOL = 100, 16, 4
 #: Windows of a run, shards of a merge, and symbols merged at a time (more if one bucket key alone has more).
 RUN, SHARDS, MERGE = 256, 4, 1 << 20
+#: Runs whose places are looked at together, and bytes of a bucket's runs that are trimmed and merged together (more if one key has more).
+RUNS_AT_ONCE, MERGE_BYTES = 1 << 13, 2 << 20
 #: Bits of a place in a text; those above tell several texts of one doc_id apart.
 PLACE_BITS = 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -80,10 +82,11 @@ def runs(data: np.ndarray, places: np.ndarray):
     end = edge + size + WINDOW - 1
     content = mix((total[end] - total[edge]) * inverse[edge] + size.astype(np.uint64))
     key = least[edge]
-    width = size + WINDOW - Q
-    begin = np.cumsum(width) - width
-    at = np.arange(int(width.sum())) + np.repeat(edge - begin, width)
-    again = np.add.reduceat((h[at] == np.repeat(key, width)).astype(np.int32), begin) > 1 if len(edge) else np.zeros(0, bool)
+    again = np.zeros(len(edge), bool)
+    for a in range(0, len(edge), RUNS_AT_ONCE):  # runs overlap, so that theirs are some times the slice's places
+        width = size[a : a + RUNS_AT_ONCE] + WINDOW - Q
+        at = _expand(edge[a : a + RUNS_AT_ONCE], width)
+        again[a : a + RUNS_AT_ONCE] = np.add.reduceat((h[at] == np.repeat(key[a : a + RUNS_AT_ONCE], width)).astype(np.int32), np.cumsum(width) - width) > 1
     return doc[edge], edge - places[doc[edge]], size, key, content, again
 
 
@@ -495,10 +498,24 @@ def _merge_bucket(piece: np.ndarray, data: np.ndarray):
     return out
 
 
+def _by_keys(piece: np.ndarray, data: np.ndarray):
+    """A bucket's runs with their bytes in parts of about MERGE_BYTES, all runs of a key in one part."""
+    size = piece["size"].astype(np.int64) + WINDOW - 1
+    start, order = np.cumsum(size) - size, np.argsort(piece["key"], kind="stable")
+    key = piece["key"][order]
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    before = np.append(0, np.cumsum(size[order]))[edge]  # bytes of the keys before
+    cut = edge[np.flatnonzero(np.diff(before // MERGE_BYTES, prepend=-1))]
+    for a, b in zip(cut, [*cut[1:], len(order)]):
+        some = order[a:b]
+        yield piece[some], data[_expand(start[some], size[some])]
+
+
 def _merge(batches):
     for _, rows in _buckets(batches, 2, 3):
-        piece = np.concatenate([np.frombuffer(b, PIECE) for b, _ in rows])
-        out = _merge_bucket(piece, np.frombuffer(b"".join(t for _, t in rows), np.uint8))
+        piece, data = np.concatenate([np.frombuffer(b, PIECE) for b, _ in rows]), np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+        rows.clear()  # their bytes are in data
+        out = [span for part in _by_keys(piece, data) for span in _merge_bucket(*part)]
         if out:
             doc, start, size = (np.array(x, np.int64) for x in zip(*out))
             yield _batch([(-1, d, b, None) for d, b in _spans(doc, start, size)], *_TAGGED)
@@ -522,7 +539,7 @@ def _base(text: str) -> Column:
 
 
 #: Bytes of text a bucket on average: a task holds one bucket at a time, whatever the number of partitions.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -120,6 +120,28 @@ def test_merged_transforms_find_repeats_across_shards():
     assert sorted(sorted(v) for v in groups.values()) == want
 
 
+def test_a_bucket_of_runs_is_merged_in_parts(monkeypatch):
+    own = np.random.default_rng(8)
+    rows, want = [], []
+    for doc in range(2):  # every key's run stands in both documents, with another end
+        piece, texts = np.zeros(4000, suffix.PIECE), []
+        for k in range(len(piece)):
+            texts.append(np.random.default_rng(k).integers(0, 256, 180, np.uint8).tobytes() + bytes([doc]) + own.integers(0, 256, 19 + k % 7, np.uint8).tobytes())
+            piece[k] = (mix_of(k), doc, 1000 * k, len(texts[-1]) - 99)
+            want += [(1, 1000 * k, 81)] if doc else []
+        rows.append((5, None, piece.tobytes(), b"".join(texts)))
+    seen, twice = [], suffix._twice
+    monkeypatch.setattr(suffix, "_twice", lambda piece, data, start: seen.append(len(data)) or twice(piece, data, start))
+    monkeypatch.setattr(suffix, "MERGE_BYTES", 100_000, raising=False)
+    got = [(doc, *span) for batch in suffix._merge([suffix._batch(rows, *suffix._TAGGED)]) for doc, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for span in np.frombuffer(blob, np.int64).reshape(-1, 2).tolist()]
+    assert got == want
+    assert max(seen) < 110_000 and sum(seen) == sum(len(r[3]) for r in rows)  # before, all 1.6 MB at once
+
+
+def mix_of(k):
+    return int(suffix.mix(np.array([k], np.uint64))[0])
+
+
 def brute_jaccard(rows):
     sets, link = {}, {}
     for i, t in rows:
