@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import mmap
-import pickle
 import struct
 from datetime import datetime
 
@@ -255,12 +254,42 @@ def _changes(key, rows: pd.DataFrame, last) -> pd.DataFrame:
     return pd.DataFrame({"log_id": key[0], "row_idx": rows["row_idx"].to_numpy(), "can_id": key[1], "timestamp": clock, "last_timestamp": before if key[1] < CAPPED_ID else clock, "changed": (earlier != data).astype(np.int32)})
 
 
+#: Groups of identifiers of a log that wait together: a batch costs some steps a group, not a row or an identifier.
+LATE_GROUPS = 256
+_HELD = {"row_idx": np.int64, "can_id": np.int64, "timestamp": np.float64, "data": object}
+_NO_ROWS = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
+
+
+def _joined(parts) -> tuple:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _taken(rows: tuple, some) -> tuple:
+    return tuple(x[some] for x in rows)
+
+
+def _packed(rows: tuple) -> bytes:
+    """Rows of _HELD as bytes: how many, the numbers, then each frame's length (-1: null) and the frames end to end."""
+    size = np.array([-1 if d is None else len(d) for d in rows[3]], np.int32)
+    return b"".join([HEADER.pack(len(size)), *(x.astype(t).tobytes() for x, t in zip(rows[:3], ("<i8", "<i8", "<f8"))), size.tobytes(), *(d for d in rows[3] if d is not None)])
+
+
+def _unpacked(blob: bytes) -> tuple:
+    (n,) = HEADER.unpack_from(blob)
+    row, can_id, clock = (np.frombuffer(blob, t, n, HEADER.size + 8 * n * k) for k, t in enumerate(("<i8", "<i8", "<f8")))
+    size = np.frombuffer(blob, np.int32, n, HEADER.size + 24 * n)
+    end = HEADER.size + 28 * n + np.cumsum(np.maximum(size, 0))
+    data = np.empty(n, object)
+    data[:] = [None if w < 0 else blob[e - w : e] for e, w in zip(end.tolist(), size.tolist())]
+    return row, can_id, clock, data
+
+
 def live_changes(frames: DataFrame, lateness: int | None = None) -> DataFrame:
     """last_timestamp and changed of a stream of (log_id, row_idx, timestamp, can_id, data), with the last frame of each identifier
     of a log as state. A batch's frames of one identifier are put in order together; the source bounds a batch.
 
     Without lateness rows are taken to come in order from batch to batch. With it, rows may come up to so many row numbers late: they
-    wait in the state until the greatest number seen is that far ahead (a watermark over row numbers), and leave in order; a row that
+    wait in the state, packed by groups of identifiers, until the greatest number seen is that far ahead (a watermark over row numbers), and leave in order; a row that
     is later still is dropped by the watermark, and Spark counts it (numRowsDroppedByWatermark). An end mark, a row without can_id and
     with a number beyond all others by the lateness, lets the last ones go.
     """
@@ -272,26 +301,30 @@ def live_changes(frames: DataFrame, lateness: int | None = None) -> DataFrame:
         yield out
 
     def patient(key, batches, state: GroupState):
-        last, held = ((state.get[0], state.get[1]) if state.get[0] is not None else None, pickle.loads(state.get[2])) if state.exists else (None, [])
-        if key[1] is None or pd.isna(key[1]):
-            return
+        last, held = (_unpacked(x) for x in state.get) if state.exists else (_NO_ROWS, _NO_ROWS)
         if not state.hasTimedOut:
-            held += [row for batch in batches for row in zip(batch["row_idx"], batch["timestamp"], batch["data"])]
-        held.sort(key=lambda row: row[0])
-        known = state.getCurrentWatermarkMs()
-        ready = [row for row in held if (row[0] + 1) * 1000 <= known]
-        held = held[len(ready) :]
-        if ready:
-            yield _changes(key, pd.DataFrame(ready, columns=["row_idx", "timestamp", "data"]), last)
-            last = (float(ready[-1][1]), ready[-1][2])
-        state.update((*(last or (None, None)), pickle.dumps(held)))
-        if held:
-            state.setTimeoutTimestamp((int(held[0][0]) + 1) * 1000)
+            come = [(x["can_id"].notna(), x) for x in batches]
+            held = _joined([held, *(tuple(x.loc[some, c].to_numpy(kind) for c, kind in _HELD.items()) for some, x in come if some.any())])
+        known = (held[0] + 1) * 1000 <= state.getCurrentWatermarkMs()
+        if known.any():
+            ready = _joined([last, _taken(held, known)])
+            new = np.arange(len(ready[0])) >= len(last[0])
+            order = np.lexsort((ready[0], new, ready[1]))  # an identifier's last frame is before all others
+            new, (row, can_id, clock, data) = new[order], _taken(ready, order)
+            same = np.append(False, can_id[1:] == can_id[:-1])
+            before = np.where(same & (can_id < CAPPED_ID), np.append(clock[:1], clock[:-1]), clock)
+            changed = same & np.append(False, data[1:] != data[:-1])
+            held, last = _taken(held, ~known), _taken((row, can_id, clock, data), np.append(can_id[1:] != can_id[:-1], True))
+            yield pd.DataFrame({"log_id": key[0], "row_idx": row[new], "can_id": can_id[new], "timestamp": clock[new], "last_timestamp": before[new], "changed": changed[new].astype(np.int32)})
+        state.update((_packed(last), _packed(held)))
+        if len(held[0]):
+            state.setTimeoutTimestamp((int(held[0].min()) + 1) * 1000)
 
     if lateness is None:
         return frames.groupBy("log_id", "can_id").applyInPandasWithState(step, _LIVE, "timestamp double, data binary", "append", GroupStateTimeout.NoTimeout)
     timed = frames.withColumn("_at", F.timestamp_seconds(F.col("row_idx") + 1)).withWatermark("_at", f"{lateness} seconds")
-    return timed.groupBy("log_id", "can_id").applyInPandasWithState(patient, _LIVE, "timestamp double, data binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = timed.withColumn("_group", F.pmod(F.hash("can_id"), F.lit(LATE_GROUPS)))
+    return timed.groupBy("log_id", "_group").applyInPandasWithState(patient, _LIVE, "last binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def none_dropped(query: StreamingQuery) -> None:

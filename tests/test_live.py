@@ -103,3 +103,25 @@ def test_rows_dropped_by_the_watermark_are_an_error(spark, tmp_path):
     q.awaitTermination()
     with pytest.raises(ServiceError, match="1 rows came later"):
         ring.none_dropped(q)
+
+
+def test_late_rows_of_many_identifiers_wait_in_few_groups(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [("L", k, k / 4, (256 if k % 2 else 9000) + rng.randrange(700), bytes(rng.randrange(2) for _ in range(rng.randrange(3))) if k % 50 else None) for k in range(3000)]
+    schema = "log_id string, row_idx long, timestamp double, can_id long, data binary"
+    late = sorted(rows, key=lambda r: r[1] + rng.randrange(900))
+    for part in range(3):
+        out = late[1000 * part : 1000 * part + 1000] + ([("L", 10_000, 0.0, None, None)] if part == 2 else [])
+        spark.createDataFrame(out, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = ring.live_changes(stream, lateness=1000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(**NOW).start()
+    q.awaitTermination()
+    want, before = [], {}
+    for _, k, clock, can_id, data in rows:
+        last = before.get(can_id, (clock, data))
+        want.append((k, can_id, clock, last[0] if can_id < 8192 else clock, int(last[1] != data)))
+        before[can_id] = (clock, data)
+    assert sorted(tuple(r)[1:] for r in spark.read.schema(ring._LIVE).parquet(str(tmp_path / "out")).collect()) == want
+    ring.none_dropped(q)
+    assert len(before) > 1000 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 256  # a state per identifier before
